@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, mixing, sentencepiece_bpe
+from strandline.llm import exact_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
 
 #: Where the tokenizer model lies, unless a caller names another file.
 MODEL = "piece_bpe_32k.model"
@@ -70,12 +70,26 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.tokenize_documents(_table(spark, sf_dir, "documents"), model_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup, "op6_sentencepiece": op6_sentencepiece}
+    return {
+        "op1_mix": op1_mix,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op5_toxicity": op5_toxicity,
+        "op6_sentencepiece": op6_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
