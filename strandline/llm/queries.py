@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
+from strandline.llm import exact_dedup, mixing, ngram_join, quality_fm, sentencepiece_bpe, syncmers, toxicity
 
 #: Where the tokenizer model lies, unless a caller names another file.
 MODEL = "piece_bpe_32k.model"
@@ -74,6 +74,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -82,13 +86,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.tokenize_documents(_table(spark, sf_dir, "documents"), model_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_syncmers": op4_syncmers,
         "op5_toxicity": op5_toxicity,
         "op6_sentencepiece": op6_sentencepiece,
+        "op9_quality": op9_quality,
     }
 
 
