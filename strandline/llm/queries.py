@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, mixing, ngram_join, quality_fm, sentencepiece_bpe, syncmers, toxicity
+from strandline.llm import exact_dedup, html_extract, license_scan, mixing, ngram_join, quality_fm, sentencepiece_bpe, syncmers, toxicity, warc
 
 #: Where the tokenizer model lies, unless a caller names another file.
 MODEL = "piece_bpe_32k.model"
@@ -86,10 +86,33 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.tokenize_documents(_table(spark, sf_dir, "documents"), model_path())
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -98,9 +121,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_syncmers": op4_syncmers,
         "op5_toxicity": op5_toxicity,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_html": op7_html,
+        "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op10_warc": OP10_SQL}
