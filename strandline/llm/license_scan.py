@@ -16,19 +16,24 @@ K = 2
 #: Neighbouring diagonals whose votes count together: an inserted or dropped word or two.
 DRIFT = 2
 #: Share of a template's k-grams that a span has to hold.
-COVER = 0.6
+COVER = 0.8
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Longer license passages, by label.
-PASSAGES = {
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl": "this source code form is subject to the terms of the mozilla public license",
-}
+# License notices and passages, by label; up to 64 k-grams each.
+PASSAGES = (
+    ("all-rights-reserved", "all rights reserved"),
+    ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("cc-by-nc", "licensed under cc by nc"),
+    ("gpl", "this work is licensed under the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+)
 
 _NO_WORD = np.zeros(256, dtype=bool)
 _NO_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -83,7 +88,7 @@ def _document_grams(wanted: np.ndarray):
     return run
 
 
-def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: dict[str, str] = PASSAGES, cover: float = COVER) -> DataFrame:
+def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, cover: float = COVER) -> DataFrame:
     """License phrases and passages in every document's whole text.
 
     Takes any frame with doc_id and text. Returns doc_id, n_words, n_base (places of the base phrases), first_word, last_word (their
@@ -98,7 +103,9 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: dict[s
     Null texts have no words. Null ids and repeated rows are rows of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    templates = [(t, label) for t, label in base.items()] + [(t, label) for label, t in passages.items()]
+    if any(t.count(" ") >= 64 + K - 1 for _, t in passages):
+        raise ValueError("a passage has over 64 k-grams")
+    templates = [(t, label) for t, label in base.items()] + [(t, label) for label, t in passages]
     rows = template_grams(templates)
     known = spark.createDataFrame(rows, "template int, label string, grams int, position int, words string, hash long")
     wanted = np.unique(np.array([r[-1] for r in rows], dtype=np.int64).view(np.uint64))
@@ -106,18 +113,18 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: dict[s
 
     # The templates are constants of this module or of the call, a few hundred k-grams.
     votes = met.join(F.broadcast(known), ["hash", "words"], "left")
-    # A word that stands often in a template votes once on a diagonal for each of its places; partial sums are made in the tasks.
+    # A diagonal's votes are the set of the template's positions it holds, one bit each, so merged diagonals count no position twice.
     diagonals = votes.groupBy("row", "template", "label", "grams", (F.col("place") - F.col("position")).alias("diagonal")).agg(
-        F.count("position").alias("votes"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
+        F.expr("bit_or(shiftleft(1L, position))").alias("held"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
     )
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     starts = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT).cast("int"), F.lit(0))
     is_base = F.col("template") < len(base)
     runs = diagonals.withColumn("opens", F.when(is_base, 1).otherwise(starts)).withColumn("span", F.sum("opens").over(by))
     spans = runs.groupBy("row", "template", "label", "grams", "span").agg(
-        F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
+        F.expr("bit_count(bit_or(held))").alias("votes"), F.min("diagonal").alias("start"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
     )
-    share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    share = F.col("votes") / F.col("grams")
     exact = is_base & (F.col("votes") == F.col("grams"))
     passage = ~is_base & (share >= cover)
     joined = lambda kept: F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), ",")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,20 @@ from strandline.llm import exact_dedup, html_extract, license_scan, mixing, ngra
 MODEL = "piece_bpe_32k.model"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's code to the executors, once a session, for clusters whose Python path lacks it."""
+    context = spark.sparkContext
+    if not getattr(context, "_strandline_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp()) / "strandline.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(packed))
+        context._strandline_shipped = True
+    return spark
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -19,7 +36,7 @@ def model_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
