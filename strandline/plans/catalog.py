@@ -1,4 +1,4 @@
-"""Named queries over the star-schema tables and their SQL oracles."""
+"""Named queries over the star-schema tables and their SQL oracles, group by group."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.plans import graph_queries, relation_queries, text_queries, vector_queries
+
+_GROUPS = (relation_queries, graph_queries, text_queries, vector_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for g in _GROUPS for name, (query, _) in g.CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in _GROUPS for name, (_, sql) in g.CATALOG.items() if sql}
