@@ -23,7 +23,7 @@ def walks(seeds: DataFrame, triples: DataFrame, hops: int) -> DataFrame:
 
 def one_hop(walked: DataFrame) -> DataFrame:
     """Edges of depth one: (root, r, t)."""
-    return walked.where("depth = 1").select("root", F.element_at("relations", -1).alias("r"), F.col("id").alias("t"))
+    return walked.where("depth = 1").select("root", F.try_element_at("relations", F.lit(-1)).alias("r"), F.col("id").alias("t"))
 
 
 def layers(edges: DataFrame) -> DataFrame:
