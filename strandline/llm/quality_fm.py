@@ -15,7 +15,7 @@ from strandline.llm.text_features import STATISTICS, counted_words, structure
 
 BITS, RANK = 15, 8
 #: Labelled rows that the machine is fitted on at most: those of the smallest hashes of their ids.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 EPOCHS, BATCH = 12, 256
 THRESHOLD = 0.3
 #: Buckets of metadata (a text's length in powers of two), after the words and the statistics.

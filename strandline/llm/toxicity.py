@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import portions
 from strandline.llm.text_features import counted_words, hashed_words
 
-BITS, HEADS = 18, (3, 4, 5, 6)
+BITS, HEADS = 18, (4, 5, 6)
 #: Labelled rows that the chain is fitted on at most: those of the smallest hashes of their ids.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 #: Categories in the chain's order: junk text, toxic text, and toxic text where abuse is dense.
 CATEGORIES = ("junk", "toxic", "dense")
 THRESHOLD = 0.5
@@ -130,9 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     if not len(rows):
         return []
-    buckets = [np.frombuffer(w, dtype=np.int32).astype(np.int64) for w in rows["words"]]
-    owner = np.repeat(np.arange(len(rows)), [len(b) for b in buckets])
-    bucket = np.concatenate(buckets)
+    bucket = np.frombuffer(b"".join(rows["words"]), dtype=np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) // 4 for w in rows["words"]])
+    rows = rows[["doc_id", "quality", "toxic"]]
+    # Features of a few rows are never used.
+    seen = np.bincount(bucket, minlength=1 << BITS)
+    frequent = seen[bucket] >= 4
+    owner, bucket = owner[frequent], bucket[frequent]
     toxic = (rows["toxic"].to_numpy() > 0).astype(float)
     junk = (rows["quality"].fillna(1).to_numpy() <= 0).astype(float)
     fold = (pd.util.hash_array(rows["doc_id"].to_numpy()) % FOLDS).astype(int)
