@@ -120,3 +120,55 @@ def distinguishing_words(counts: DataFrame, a: str, b: str, n: int = 10) -> Data
     own = lambda pid, name: counts.where(F.col("pid") == pid).select("word", F.col("cnt").alias(name))
     met = own(a, "cnt_a").join(own(b, "cnt_b"), "word", "full").fillna(0)
     return met.withColumn("gap", F.abs(F.col("cnt_a") - F.col("cnt_b"))).orderBy(F.desc("gap"), "word").limit(n)
+
+
+def sentence_pairs(mentions: DataFrame, tokens: DataFrame, relations: DataFrame, distance: int = 30, reach: int = 5, longest: int = 100) -> DataFrame:
+    """Pairs of a mention with one of the `reach` before it in the same sentence: (sid, pid, h, t, start, end).
+
+    Mentions don't overlap, lie at most `distance` tokens apart, and the sentence has under `longest` tokens. The pair in text order
+    is looked up first, then the other way round; start and end are the gap.
+    """
+    ends = sentences(tokens)
+    bounds = ends.select("sid", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    w = Window.partitionBy("sid").orderBy("start", "end", "wdid")
+    before = [F.struct(F.lag("start", k).over(w).alias("start"), F.lag("end", k).over(w).alias("end"), F.lag("wdid", k).over(w).alias("wdid")) for k in range(1, reach + 1)]
+    pairs = mentions.withColumn("prev", F.array(*before)).withColumn("prev", F.explode("prev")).where("prev.wdid is not null and prev.end <= start")
+    pairs = pairs.where(F.col("start") - F.col("prev.end") <= distance)
+    inside = (F.col("prev.start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")) & (F.col("prev.start") < F.col("s_end")) & (F.col("s_end") - F.col("s_start") < longest)
+    held = pairs.join(bounds, "sid").where(inside).select("sid", F.col("prev.wdid").alias("a"), F.col("wdid").alias("b"), F.col("prev.end").alias("from"), F.col("start").alias("to"))
+    one = relations.groupBy("h", "t").agg(F.max("pid").alias("pid"))
+    there = held.join(one.select(F.col("h").alias("a"), F.col("t").alias("b"), F.col("pid").alias("ahead")), ["a", "b"], "left")
+    both = there.join(one.select(F.col("h").alias("b"), F.col("t").alias("a"), F.col("pid").alias("back")), ["a", "b"], "left").where("ahead is not null or back is not null")
+    forward = F.col("ahead").isNotNull()
+    return both.select("sid", F.coalesce("ahead", "back").alias("pid"), F.when(forward, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("t"), F.col("from").alias("start"), F.col("to").alias("end"))
+
+
+def entity_sentences(mentions: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
+    """The first `most` sentences of each entity, by document and number: (wdid, sid, sent, mentions)."""
+    bounds = sentences(tokens).select("sid", "sent", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    held = mentions.join(bounds, "sid").where("start >= s_start and start < s_end").groupBy("wdid", "sid", "sent").agg(F.count(F.lit(1)).alias("mentions"))
+    nth = F.row_number().over(Window.partitionBy("wdid").orderBy("sid", "sent"))
+    return held.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def path_bags(paths: DataFrame, least: int = 10) -> DataFrame:
+    """Words and labels of dependency paths (pid, path array): (pid, kind, key, cnt), one for each distinct frequent path.
+
+    Paths alternate labels (even places) and words (odd ones), and need `least` occurrences and more than one entry.
+    """
+    low = paths.withColumn("path", F.transform("path", lambda x: F.lower(x))).where(F.size("path") > 1)
+    common = low.groupBy("pid", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    one = common.select("pid", F.posexplode("path").alias("pos", "key"))
+    kind = F.when(F.col("pos") % 2 == 1, "word").otherwise("label")
+    return one.withColumn("kind", kind).groupBy("pid", "kind", "key").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def set_pmi(members: DataFrame) -> DataFrame:
+    """ln(n |a and b| / (|a| |b|)) of the sets in (cat, entity), for pairs that meet; ln(1e-5) stands for the others."""
+    own = members.select("cat", "entity").distinct()
+    sizes = own.groupBy("cat").agg(F.count(F.lit(1)).alias("size"))
+    total = own.select("entity").distinct().agg(F.count(F.lit(1)).alias("n"))
+    a = own.select(F.col("cat").alias("a"), "entity")
+    met = a.join(own.select(F.col("cat").alias("b"), "entity"), "entity").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    met = met.join(sizes.select(F.col("cat").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("cat").alias("b"), F.col("size").alias("size_b")), "b")
+    return met.crossJoin(F.broadcast(total)).select("a", "b", F.greatest(F.log(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b"))), F.lit(-11.512925464970229)).alias("pmi"))

@@ -29,6 +29,21 @@ _WORDS = _GAPS + ", words AS (SELECT g.pid, k.tok AS word, count(*) AS cnt FROM
 _BAG = _WORDS + f", bag AS (SELECT pid, word, cnt FROM words WHERE regexp_matches(word, '^[A-Za-z0-9]+$') AND word NOT IN ({_STOP}))"
 
 
+_SENTS = """sents AS (SELECT sid, sent, min(pos) AS start, max(pos) + 1 AS end_ FROM (SELECT *, coalesce(sum(CASE WHEN tok IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM tokens) GROUP BY 1, 2)"""
+
+
+def _categories(s, d):
+    """Parts by brand and by type."""
+    part = B.table(s, d, "part")
+    return part.select(F.col("p_brand").alias("cat"), F.col("p_partkey").alias("entity")).unionAll(part.select("p_type", "p_partkey"))
+
+
+def _paths(s, d):
+    """Paths of three entries made of line items."""
+    item = B.table(s, d, "lineitem")
+    return item.select(F.col("l_returnflag").alias("pid"), F.array("l_linestatus", F.concat(F.lit("W"), F.col("l_linenumber").cast("string")), F.lit("dep")).alias("path"))
+
+
 def _bag(s, d):
     return T.filtered_words(T.context_words(_gaps(s, d), B.tokens(s, d)))
 
@@ -80,4 +95,27 @@ CATALOG = {
         lambda s, d: numbered_by_count(B.tokens(s, d).groupBy("tok").agg(F.count(F.lit(1)).alias("cnt")), "tok", "cnt"),
         _V("tokens", "SELECT tok, cnt, row_number() OVER (ORDER BY cnt DESC, tok) - 1 AS ind FROM (SELECT tok, count(*) AS cnt FROM tokens GROUP BY tok)"),
     ),
+    "mention_pairs_sentence": (
+        lambda s, d: T.sentence_pairs(B.mentions(s, d), B.tokens(s, d), B.pair_relations(s, d)).withColumns({c: F.col(c).cast("long") for c in ("start", "end")}),
+        _after(_NAMES, _SENTS + """, m AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start, end_, wdid) AS idx FROM mentions), rel AS (SELECT h, t, max(pid) AS pid FROM pair_relations GROUP BY h, t),
+          held AS (SELECT c.sid, p.wdid AS a, c.wdid AS b, p.end_ AS f, c.start AS g FROM m c JOIN m p ON p.sid = c.sid AND p.idx BETWEEN c.idx - 5 AND c.idx - 1 AND p.end_ <= c.start AND c.start - p.end_ <= 30
+            JOIN sents s ON s.sid = c.sid AND p.start >= s.start AND c.end_ <= s.end_ AND s.end_ - s.start < 100)""",
+          """SELECT sid, coalesce(x.pid, y.pid) AS pid, CASE WHEN x.pid IS NULL THEN b ELSE a END AS h, CASE WHEN x.pid IS NULL THEN a ELSE b END AS t, f AS start, g AS "end"
+          FROM held LEFT JOIN rel x ON x.h = a AND x.t = b LEFT JOIN rel y ON y.h = b AND y.t = a WHERE x.pid IS NOT NULL OR y.pid IS NOT NULL"""),
+    ),
+    "entity_sentence_index": (
+        lambda s, d: T.entity_sentences(B.mentions(s, d), B.tokens(s, d), 5).withColumn("sent", F.col("sent").cast("long")),
+        _after("tokens lexicon mentions", _SENTS, """SELECT wdid, sid, CAST(sent AS BIGINT) AS sent, mentions FROM (SELECT *, row_number() OVER (PARTITION BY wdid ORDER BY sid, sent) AS k FROM (
+          SELECT wdid, m.sid, sent, count(*) AS mentions FROM mentions m JOIN sents s ON s.sid = m.sid AND m.start >= s.start AND m.start < s.end_ GROUP BY 1, 2, 3)) WHERE k <= 5"""),
+    ),
+    "pmi_categories": (
+        lambda s, d: T.set_pmi(_categories(s, d)).withColumn("pmi", F.round("pmi", 6)),
+        """WITH c AS (SELECT p_brand AS cat, p_partkey AS e FROM part UNION SELECT p_type, p_partkey FROM part), z AS (SELECT cat, count(*) AS n FROM c GROUP BY cat)
+          SELECT a, b, round(greatest(ln(both_ * (SELECT count(DISTINCT e) FROM c) / (x.n * y.n)), ln(0.00001)), 6) AS pmi FROM (SELECT l.cat AS a, r.cat AS b, count(*) AS both_ FROM c l JOIN c r ON l.e = r.e AND l.cat < r.cat GROUP BY 1, 2) JOIN z x ON x.cat = a JOIN z y ON y.cat = b""",
+    ),
+    "dep_bow": (
+        lambda s, d: T.path_bags(_paths(s, d), 10),
+        """WITH p AS (SELECT l_returnflag AS pid, lower(l_linestatus) AS a, lower('W' || CAST(l_linenumber AS VARCHAR)) AS b, 'dep' AS c FROM lineitem), f AS (SELECT pid, a, b, c FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10)
+          SELECT pid, kind, key, count(*) AS cnt FROM (SELECT pid, 'label' AS kind, a AS key FROM f UNION ALL SELECT pid, 'word', b FROM f UNION ALL SELECT pid, 'label', c FROM f) GROUP BY 1, 2, 3""",
+    ),
 }
