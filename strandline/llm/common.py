@@ -14,6 +14,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 
 #: Rows above which an id set is joined by shuffle and no longer broadcast (8 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch that holds texts.
+BATCH_ROWS = 1000
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
@@ -33,6 +35,14 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same frame, in a session whose Arrow batches hold a thousand rows at most: a batch is held whole on both sides, and texts are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     """Left join of rows with one fact row a key, where one key may hold a third of the rows.
 
@@ -156,7 +166,7 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def portions(texts: list[str], most: int = 1 << 20):
+def portions(texts: list[str], most: int = 1 << 18):
     """Index ranges of consecutive texts of about `most` characters together, so that arrays stay small."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -176,13 +186,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     both = edges.select(F.col(left).alias("node"), F.col(right).alias("other"))
     both = shared_checkpoint(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node <> other").distinct())
-    label = shared_checkpoint(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
     while True:
         near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         stepped = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = shared_checkpoint(stepped.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        changed = after.where("component <> was").limit(1).count()
         label = after.select("node", "component")
-        if not changed:
+        if not after.where("component <> was").limit(1).count():
             return label

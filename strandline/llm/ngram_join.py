@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a token-group matrix over word shingles, group bounds, exact verification and link components.
 
 Every text is its set of 64-bit shingle hashes. Equal sets are one class. Classes that agree with a leader in most min-hashes and are
-verified to link to it form groups of bounded size; all others are groups of one. The token-group matrix holds the tokens of the
+verified to link to it form families, dealt into groups of bounded size; all others are groups of one. The token-group matrix holds the tokens of the
 groups' prefixes: two sets of the wanted similarity share a token among the first n - ceil(t n) + 1 in any common order, and how many
 they share bounds their overlap. Frequent tokens come last in that order. Only pairs of groups that the bound lets pass are
 opened, first against the group's token union, then member by member.
@@ -16,17 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, join_group_facts, maybe_broadcast, mix64, portions, shared_checkpoint, shingle_sets, text_of
+from strandline.llm.common import bounded_batches, components, join_group_facts, maybe_broadcast, mix64, portions, shared_checkpoint, shingle_sets, text_of
 
 WORDS_IN_SHINGLE, PERCENT = 5, 80
 #: Min-hashes of a set, and how many a class must share with a leader before the pair is verified.
-MIN_HASHES, LEADER_VOTES = 8, 4
+MIN_HASHES, LEADER_VOTES = 16, 8
 #: Members of a group, about; larger families of copies are several groups that are known to link.
 GROUP_ROWS = 32
 #: Tokens counted in this many documents or more come last in the common order; the most frequent ones are sent to the tasks.
-FREQUENT_FROM, FREQUENT_TOKENS = 40, 1 << 18
+FREQUENT_FROM, FREQUENT_TOKENS = 16, 1 << 18
 #: Tokens a task gathers before it passes them on.
-WINDOW_TOKENS = 2_000_000
+WINDOW_TOKENS = 1_000_000
 _PERMUTATIONS = mix64(np.arange(MIN_HASHES, dtype=np.uint64), 31) | np.uint64(1)
 
 
@@ -100,24 +100,33 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch({"token": pa.array(np.frombuffer(t, dtype=np.int64)), "count": pa.array(np.frombuffer(c, dtype=np.int64))})
 
 
-def _frequent_tokens(skeleton: DataFrame) -> np.ndarray:
-    """The most frequent tokens, sorted: those counted in FREQUENT_FROM documents, FREQUENT_TOKENS at most. They only order tokens."""
+def _frequent_tokens(skeleton: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and the rank of each by ascending count. They only order tokens.
+
+    They are those counted in FREQUENT_FROM documents, FREQUENT_TOKENS at most, whatever the input's size.
+    """
     counted = skeleton.where("rid is null and tokens is not null").select("tokens", "counts").mapInArrow(_token_counts, "token long, count long")
     most = counted.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS)
-    found = most.select("token").toArrow().column(0).combine_chunks()
-    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
-
-
-def prefix_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's first tokens in the common order (infrequent ones first, then by hash), and which of them are frequent."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-    else:
-        often = np.zeros(len(tokens), dtype=bool)
+    found = most.toArrow()
+    token = np.array(found.column("token").combine_chunks(), dtype=np.int64).view(np.uint64)
+    count = np.array(found.column("count").combine_chunks(), dtype=np.int64)
+    order = np.argsort(token)
+    token, count = token[order], count[order]
+    rank = np.empty(len(token), dtype=np.int64)
+    rank[np.lexsort((token, count))] = np.arange(len(token))
+    return token, rank
+
+
+def prefix_of(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's first tokens in the common order (infrequent ones by hash, then frequent ones by count), and which are frequent."""
+    known, ranks = frequent
     k = prefix_length(len(tokens), percent)
+    if not len(known):
+        return tokens[:k], np.zeros(min(k, len(tokens)), dtype=bool)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    often = known[at] == tokens
     rare = tokens[~often][:k]
-    more = tokens[often][: k - len(rare)]
+    more = tokens[often][np.argsort(ranks[at[often]])][: k - len(rare)]
     return np.concatenate([rare, more]), np.repeat([False, True], [len(rare), len(more)])
 
 
@@ -128,15 +137,16 @@ def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
         tokens: list[np.ndarray] = []
         often: list[np.ndarray] = []
         classes: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         held = 0
 
         def blocks() -> pa.RecordBatch:
-            t, o, c = np.concatenate(tokens), np.concatenate(often), np.concatenate(classes)
+            t, o, c, p = (np.concatenate(x) for x in (tokens, often, classes, places))
             bucket = np.where(o, -1 - (c % np.uint64(buckets)).astype(np.int64), (t % np.uint64(buckets)).astype(np.int64))
             order = np.lexsort((c, t, bucket))
-            t, c, bucket = t[order], c[order], bucket[order]
+            t, c, p, bucket = t[order], c[order], p[order], bucket[order]
             new = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-            t, c, bucket = t[new], c[new], bucket[new]
+            t, c, p, bucket = t[new], c[new], p[new], bucket[new]
             first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
             last = np.append(first[1:], len(bucket))
             return pa.record_batch(
@@ -144,6 +154,7 @@ def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
                     "bucket": pa.array(bucket[first]),
                     "tokens": pa.array([t[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
                     "classes": pa.array([c[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
+                    "places": pa.array([p[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
                 }
             )
 
@@ -154,10 +165,11 @@ def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
                 tokens.append(t)
                 often.append(o)
                 classes.append(np.full(len(t), first[i], dtype=np.uint64))
+                places.append(np.arange(len(t), dtype=np.int32))
                 held += len(t)
             if held > WINDOW_TOKENS:
                 yield blocks()
-                tokens, often, classes, held = [], [], [], 0
+                tokens, often, classes, places, held = [], [], [], [], 0
         if held:
             yield blocks()
 
@@ -177,18 +189,17 @@ def _signatures_only(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, No
 
 def _shared_tokens(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of a block that more than one class has, with those classes; of frequent tokens all."""
-    token, cls = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    parts = [(np.frombuffer(t, dtype=np.uint64), np.frombuffer(c, dtype=np.uint64)) for b in batches for t, c in zip(b.column("tokens").to_pylist(), b.column("classes").to_pylist(), strict=True)]
-    token, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kinds = (("tokens", np.uint64), ("classes", np.uint64), ("places", np.int32))
+    token, cls, place = (np.concatenate(x) for x in zip(*[tuple(np.frombuffer(v, dtype=t) for v, (_, t) in zip(row, kinds, strict=True)) for b in batches for row in zip(*[b.column(n).to_pylist() for n, _ in kinds], strict=True)], strict=True))
     order = np.lexsort((cls, token))
-    token, cls = token[order], cls[order]
+    token, cls, place = token[order], cls[order], place[order]
     new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-    token, cls = token[new], cls[new]
+    token, cls, place = token[new], cls[new], place[new]
     if key[0].as_py() >= 0:
         same = token[1:] == token[:-1]
         more = np.append(same, False) | np.append(False, same)
-        token, cls = token[more], cls[more]
-    yield pa.record_batch({"token": pa.array(_signed(token)), "cls": pa.array(_signed(cls))})
+        token, cls, place = token[more], cls[more], place[more]
+    yield pa.record_batch({"token": pa.array(_signed(token)), "cls": pa.array(_signed(cls)), "place": pa.array(place)})
 
 
 def _set_rows(k: int):
@@ -202,11 +213,12 @@ def _set_rows(k: int):
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Token sets (cls, n, tokens) of some classes, from the text of one document each."""
-    ids = shared_checkpoint(classes.join(wanted, "cls", "left_semi").select("rid").distinct())
-    rows = docs.join(maybe_broadcast(ids, ids.count()), "rid", "left_semi").select("rid", "text").mapInArrow(_set_rows(k), "cls long, n long, tokens binary")
-    # Rows that share an id may have other texts; those classes and repeats go.
-    return rows.join(maybe_broadcast(wanted, wanted.count()), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    """Token sets (cls, n, tokens) of some classes, from the text of one document each.
+
+    Rows that share an id may add further classes, and repeats; neither changes which sets link.
+    """
+    ids = shared_checkpoint(classes.join(wanted, "cls", "left_semi").select("rid"))
+    return docs.join(maybe_broadcast(ids, ids.count()), "rid", "left_semi").select("rid", "text").mapInArrow(_set_rows(k), "cls long, n long, tokens binary")
 
 
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -262,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int
     A text without words links with nothing. Rows without an id take part, and have their component's smallest id, or null if it
     has none. Repeated rows count as equal texts; a text without words keeps its own id. An empty table gives no rows.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of())).alias("rid"), text_of().alias("text"))
+    keyed = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of())).alias("rid"), text_of().alias("text"))
     raw = keyed.select("rid", "text", "doc_id")
     named = shared_checkpoint(
         raw.select("rid", "text").mapInArrow(_skeleton(k), "rid long, n long, cls long, check long, least binary, tokens binary, counts binary")
@@ -279,79 +291,107 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int
     grouped = _bounded_groups(classes, star)
     total = classes.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
     buckets = max(256, int(total // 250_000))
-    blocks = raw.select("rid", "text").mapInArrow(_prefix_blocks(frequent, buckets, k, percent), "bucket long, tokens binary, classes binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared_tokens, "token long, cls long")
-    matrix = shared.join(grouped.select("cls", "grp", "family", "n"), "cls").groupBy("token", "grp", "family").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = raw.select("rid", "text").mapInArrow(_prefix_blocks(frequent, buckets, k, percent), "bucket long, tokens binary, classes binary, places binary")
+    shared = blocks.groupBy("bucket").applyInArrow(_shared_tokens, "token long, cls long, place int")
+    matrix = shared.join(grouped.select("cls", "grp", "family", "low", "high"), "cls").groupBy("token", "grp", "family", "low", "high").agg(F.min("place").alias("place"))
     matrix = shared_checkpoint(matrix)
     pairs = _qualifying_pairs(matrix, percent)
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    wanted = shared_checkpoint(grouped.join(members, "grp", "left_semi").select("cls"))
+    wanted = grouped.join(members, "grp", "left_semi").select("cls")
     sets = _sets_of(keyed, classes, wanted, k).join(grouped.select("cls", "grp"), "cls").groupBy("grp").agg(F.collect_list("tokens").alias("sets"))
     sets = shared_checkpoint(sets)
     opened = pairs.join(sets.select(F.col("grp").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("grp").alias("b"), F.col("sets").alias("y")), "b")
     across = opened.select("a", "b", "x", "y").mapInArrow(_verify_groups(percent), "a long, b long")
-    # A group's members all link to its family's leader, so the family stands for the group.
+    # A family is connected by its leaders' links, so it stands for its groups and classes.
     names = grouped.groupBy("grp").agg(F.first("family").alias("family"))
     across = across.join(names.select(F.col("grp").alias("a"), F.col("family").alias("left")), "a").join(names.select(F.col("grp").alias("b"), F.col("family").alias("right")), "b")
-    edges = across.select(F.col("left").alias("a"), F.col("right").alias("b")).unionByName(star)
-    return _named_components(keyed, skeleton, classes, components(edges))
+    labels = components(across.select(F.col("left").alias("a"), F.col("right").alias("b")))
+    named = grouped.join(labels.select(F.col("node").alias("family"), "component"), "family", "left").select("cls", F.coalesce("component", "family").alias("component"))
+    return _named_components(keyed, skeleton, named)
 
 
 def _leader_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a: class, b: its leader): the smallest class among those that share the most min-hashes with it."""
+    """Verified links (a: class, b: a leader of it).
+
+    The classes that share a min-hash have two leaders: the one that shares most min-hashes with most classes, which in a family of
+    copies is its original or a copy with few changes, and one drawn by hash, another one for each min-hash. A class is first held
+    against the leader that shares most min-hashes with it, and only if they don't link against its other leaders.
+    """
     one = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), lambda i: F.hex(F.substring(F.col("least"), i * 8 + 1, F.lit(8)))))
-    hashed = classes.select("cls", "n", one.alias("nth", "value")).select("cls", "n", F.xxhash64("nth", "value").alias("key"))
-    facts = shared_checkpoint(hashed.groupBy("key").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    votes = join_group_facts(hashed, facts, "key", "rows").where("leader is not null and leader <> cls").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.where(F.col("votes") >= LEADER_VOTES).groupBy("cls").agg(F.max_by("leader", F.col("votes")).alias("leader"))
-    best = shared_checkpoint(best.select(F.col("cls").alias("a"), F.col("leader").alias("b")))
-    wanted = shared_checkpoint(best.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    sets = shared_checkpoint(_sets_of(docs, classes, wanted, k))
-    found = best.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-    return shared_checkpoint(found.select("a", "b", "x", "y").mapInArrow(_verify_pairs(percent), "a long, b long"))
+    hashed = classes.select("cls", one.alias("nth", "value")).select("cls", F.xxhash64("nth", "value").alias("key"))
+    sizes = shared_checkpoint(hashed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    shared = shared_checkpoint(join_group_facts(hashed, sizes, "key", "rows").where("rows is not null"))
+    shared = shared.join(shared.groupBy("cls").agg(F.sum("rows").alias("known")), "cls")
+    drawn = F.xxhash64("cls", "key")
+    leaders = shared.groupBy("key").agg(F.array(F.max_by("cls", F.struct("known", drawn)), F.max_by("cls", drawn)).alias("leaders"), F.count(F.lit(1)).alias("rows"))
+    met = join_group_facts(shared.select("cls", "key"), shared_checkpoint(leaders), "key", "rows")
+    met = met.select(F.col("cls").alias("a"), F.explode("leaders").alias("b")).where("a <> b").distinct()
+    met = met.join(classes.select(F.col("cls").alias("a"), F.col("least").alias("x"), F.col("n").alias("n_a")), "a").join(
+        classes.select(F.col("cls").alias("b"), F.col("least").alias("y"), F.col("n").alias("n_b")), "b"
+    )
+    same = F.aggregate(
+        F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), F.lit(0), lambda sum, i: sum + (F.substring(F.col("x"), i * 8 + 1, F.lit(8)) == F.substring(F.col("y"), i * 8 + 1, F.lit(8))).cast("int")
+    )
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    likely = shared_checkpoint(met.where(sized).select("a", "b", same.alias("votes")).where(F.col("votes") >= LEADER_VOTES))
+    sets = shared_checkpoint(_sets_of(docs, classes, likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), k))
+    best = likely.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    first = shared_checkpoint(_verified(sets, best, percent))
+    rest = likely.join(first.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
+    return shared_checkpoint(first.unionByName(_verified(sets, rest, percent)))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link."""
+    found = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
+    return found.select("a", "b", "x", "y").mapInArrow(_verify_pairs(percent), "a long, b long")
 
 
 def _bounded_groups(classes: DataFrame, star: DataFrame) -> DataFrame:
-    """Rows (cls, n, grp, family). A family is a leader and the classes that link to it; it is dealt into groups of bounded size."""
-    # A class that follows a leader takes it as family; a leader stays with its own followers.
-    leaders = star.groupBy("b").agg(F.count(F.lit(1)).alias("followers"))
-    own = classes.select("cls", "n").join(leaders.select(F.col("b").alias("cls"), "followers"), "cls", "left")
-    joined = own.join(star.select(F.col("a").alias("cls"), F.col("b").alias("leader")), "cls", "left")
-    family = F.when(F.col("followers").isNotNull(), F.col("cls")).otherwise(F.coalesce("leader", "cls"))
-    out = joined.select("cls", "n", family.alias("family"))
+    """Rows (cls, n, family, grp, low, high: sizes in the group). Members of a family are connected by leaders' links; it is dealt into groups of bounded size.
+    """
+    labels = components(star).select(F.col("node").alias("cls"), "component")
+    out = classes.select("cls", "n").join(labels, "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("family"))
     sizes = shared_checkpoint(out.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     out = join_group_facts(out, sizes, "family", "rows")
     chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("rows") / GROUP_ROWS))
-    return shared_checkpoint(out.select("cls", "n", "family", F.when(F.col("rows").isNull(), F.col("cls")).otherwise(F.xxhash64("family", chunk)).alias("grp")))
+    out = out.select("cls", "n", "family", F.when(F.col("rows").isNull(), F.col("cls")).otherwise(F.xxhash64("family", chunk)).alias("grp"))
+    bounds = out.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return shared_checkpoint(out.join(bounds, "grp").select("cls", "n", "family", "grp", "low", "high"))
 
 
 def _qualifying_pairs(matrix: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups of different families whose shared prefix tokens let two of their sets reach the wanted overlap.
 
-    Sets of n and m tokens with prefixes of p and q share at most c + max(n - p, m - q) tokens if their prefixes share c.
+    Sets of n and m tokens that share o tokens or more share l or more of the first n - o + l of the one and the first m - o + l of
+    the other, for any l. So only tokens at such places meet, and pairs that meet less than l times go. A larger l drops more pairs;
+    it is a few hundredths of the smaller set, as far as the stored prefixes reach. Groups stand in with the sizes of their smallest and
+    largest members, which only widens the bounds.
     """
-    x = matrix.select("token", *[F.col(c).alias(f"{c}_x") for c in ("grp", "family", "low", "high")])
-    y = matrix.select("token", *[F.col(c).alias(f"{c}_y") for c in ("grp", "family", "low", "high")])
+    names = ("grp", "family", "low", "high", "place")
+    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "xy")
+    o = F.ceil((F.col("low_x") + F.col("low_y")) * percent / (100 + percent) - F.lit(1e-9))
+    beyond = [F.col(f"high_{side}") - o for side in "xy"]
+    reach = [F.col(f"low_{side}") - F.ceil(F.col(f"low_{side}") * percent / 100 - F.lit(1e-9)) + 1 for side in "xy"]
+    least = F.greatest(F.lit(1), F.least(F.floor(F.least("low_x", "low_y") * 3 / 100) + 1, reach[0] - beyond[0], reach[1] - beyond[1]))
     sizes = (F.col("high_x") * 100 >= F.col("low_y") * percent) & (F.col("high_y") * 100 >= F.col("low_x") * percent)
-    met = x.join(y, (x.token == y.token) & (F.col("grp_x") < F.col("grp_y")) & (F.col("family_x") != F.col("family_y")) & sizes)
-    counted = met.groupBy(F.col("grp_x").alias("a"), F.col("grp_y").alias("b")).agg(F.count(F.lit(1)).alias("common"), *[F.min(c).alias(c) for c in ("low_x", "low_y")], *[F.max(c).alias(c) for c in ("high_x", "high_y")])
-    needed = F.ceil((F.col("low_x") + F.col("low_y")) * percent / (100 + percent) - F.lit(1e-9))
-    beyond = F.floor(F.greatest("high_x", "high_y") * percent / 100 + F.lit(1e-9))
-    return shared_checkpoint(counted.where(F.col("common") + beyond + 1 >= needed).select("a", "b"))
+    near = (F.col("place_x") < beyond[0] + least) & (F.col("place_y") < beyond[1] + least)
+    met = x.join(y, (x.token == y.token) & (F.col("grp_x") < F.col("grp_y")) & (F.col("family_x") != F.col("family_y")) & sizes & near)
+    counted = met.groupBy(F.col("grp_x").alias("a"), F.col("grp_y").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(least).alias("least"))
+    return shared_checkpoint(counted.where("common >= least").select("a", "b"))
 
 
-def _named_components(docs: DataFrame, skeleton: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _named_components(docs: DataFrame, skeleton: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document with its component's smallest id."""
     # Rows without an id stand under a hash of their text; those don't name a component.
     real = docs.where("doc_id is not null").select("doc_id").distinct() if docs.where("doc_id is null").limit(1).count() else None
     rows = skeleton.withColumn("doc_id", F.col("rid"))
     if real is not None:
         known = real.select(F.col("doc_id").alias("rid"), F.lit(True).alias("known"))
-        rows = skeleton.join(known, "rid", "left").withColumn("doc_id", F.when("known", F.col("rid"))).drop("known")
+        rows = skeleton.join(known, "rid", "left").withColumn("doc_id", F.when(F.col("known"), F.col("rid"))).drop("known")
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("class_size"))
-    label = least.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least_id", "class_size", F.coalesce("component", "cls").alias("component"))
-    label = shared_checkpoint(label)
+    label = shared_checkpoint(least.join(labels, "cls"))
     smallest = shared_checkpoint(label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
     of_class = shared_checkpoint(join_group_facts(label, smallest, "component", "rows").select("cls", "component_id", "class_size"))
     words = join_group_facts(rows.where("n > 0").select("doc_id", "n", "cls"), of_class, "cls", "class_size")
