@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_group_facts, shared_checkpoint
+from strandline.llm.common import bounded_batches, join_group_facts, shared_checkpoint
 
 #: Share of a page's text that its main container holds at least.
 MAIN_SHARE = 0.8
@@ -169,7 +169,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     and repeated rows stay as they are; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     winners = shared_checkpoint(host_paths(rows))
     if winners.count() <= BROADCAST_HOSTS:
         met = rows.join(F.broadcast(winners.select("host", "path")), "host", "left")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix64, portions, word_hashes
+from strandline.llm.common import bounded_batches, mix64, portions, word_hashes
 
 K = 2
 #: Neighbouring diagonals whose votes count together: an inserted or dropped word or two.
@@ -109,7 +109,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: tuple[
     rows = template_grams(templates)
     known = spark.createDataFrame(rows, "template int, label string, grams int, position int, words string, hash long")
     wanted = np.unique(np.array([r[-1] for r in rows], dtype=np.int64).view(np.uint64))
-    met = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_document_grams(wanted), "row long, doc_id long, n_words long, place long, hash long, words string")
+    met = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_document_grams(wanted), "row long, doc_id long, n_words long, place long, hash long, words string")
 
     # The templates are constants of this module or of the call, a few hundred k-grams.
     votes = met.join(F.broadcast(known), ["hash", "words"], "left")

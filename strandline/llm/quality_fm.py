@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import portions
+from strandline.llm.common import bounded_batches, portions
 from strandline.llm.text_features import STATISTICS, counted_words, structure
 
 BITS, RANK = 15, 8
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     drawn = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows rows of two numbers, so they may be broadcast.
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, columns binary, values binary, raw binary").toPandas()
+    got = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, columns binary, values binary, raw binary").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     rows = [(np.frombuffer(c, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for c, v in zip(got["columns"], got["values"], strict=True)]
     raw = np.array([np.frombuffer(x, dtype=np.float32) for x in got["raw"]]) if len(got) else np.zeros((1, len(STATISTICS)), dtype=np.float32)
@@ -161,5 +161,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             for a, b in portions(texts):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(predict(machine.value, texts[a:b]))], ["doc_id", "score"])
 
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import portions
+from strandline.llm.common import bounded_batches, portions
 
 SPACE_MARK = "▁"
 #: Words up to this many characters are remembered within a task, up to so many of them.
-REMEMBER_CHARS, REMEMBER_WORDS = 64, 300_000
+REMEMBER_CHARS, REMEMBER_WORDS = 64, 200_000
 _NO_PAIR = np.int64(1 << 62)
 
 
@@ -263,21 +263,24 @@ def tokenize_documents(docs: DataFrame, model_path: str, with_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the word table holds no cycles, and is walked for nothing
-        codec = Codec(model.value)
-        for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts):
-                got = codec.encode(texts[a:b])
-                columns = {
-                    "doc_id": ids.slice(a, b - a),
-                    "n_tokens": pa.array([n for n, _, _ in got], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(listed.encode()).hexdigest() for _, listed, _ in got]),
-                    "decoded_sha256": pa.array([hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest() for _, _, decoded in got]),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array([[int(x) for x in listed.split(",")] if n else [] for n, listed, _ in got], pa.list_(pa.int64()))
-                    columns["decoded"] = pa.array([decoded for _, _, decoded in got])
-                yield pa.record_batch(columns)
+        try:
+            codec = Codec(model.value)
+            for batch in batches:
+                ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+                for a, b in portions(texts):
+                    got = codec.encode(texts[a:b])
+                    columns = {
+                        "doc_id": ids.slice(a, b - a),
+                        "n_tokens": pa.array([n for n, _, _ in got], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(listed.encode()).hexdigest() for _, listed, _ in got]),
+                        "decoded_sha256": pa.array([hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest() for _, _, decoded in got]),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.array([[int(x) for x in listed.split(",")] if n else [] for n, listed, _ in got], pa.list_(pa.int64()))
+                        columns["decoded"] = pa.array([decoded for _, _, decoded in got])
+                    yield pa.record_batch(columns)
+        finally:
+            gc.enable()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import portions
+from strandline.llm.common import bounded_batches, portions
 from strandline.llm.text_features import counted_words, hashed_words
 
 BITS, HEADS = 18, (4, 5, 6)
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     drawn = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows rows of three numbers, so they may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_features, "doc_id long, quality int, toxic int, words binary").toPandas()
+    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_features, "doc_id long, quality int, toxic int, words binary").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     if not len(rows):
         return []
@@ -168,7 +168,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame
                 p = predict_chain(chain.value, texts[a:b]) if chain.value else np.zeros((b - a, len(CATEGORIES)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), *[pa.array(p[:, j]) for j in range(len(CATEGORIES))]], ["doc_id", *[f"p_{c}" for c in CATEGORIES]])
 
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double, p_dense double")
+    scored = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double, p_dense double")
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
@@ -186,4 +186,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | No
                     keep[a:b] = predict_chain(chain.value, texts[a:b])[:, 1] < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
