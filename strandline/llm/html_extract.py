@@ -1,4 +1,4 @@
-"""Main text of web pages by consensus of their host: pages vote for the path of their main container, and are read by the winning path."""
+"""Main text of web pages by consensus of their host: pages vote for the path of their main container, and are read by the winning path where it holds their article."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded_batches, join_group_facts, shared_checkpoint
 
 #: Share of a page's text that its main container holds at least.
 MAIN_SHARE = 0.8
-#: Hosts whose winning paths may be broadcast together.
-BROADCAST_HOSTS = 100_000
+#: Paths of hosts that may be broadcast together.
+BROADCAST_PATHS = 100_000
 
 # Elements by their role in the markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +52,7 @@ class _Block:
     text: str
     linked: int
     inside: list[str] = field(default_factory=list)
+    article: bool = False
 
 
 def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
@@ -78,7 +79,7 @@ def blocks_of(page: str) -> list[_Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text and not (stack and stack[-1].aside):
-                out.append(_Block(text, linked, [e.path for e in stack if e.tag in CONTAINERS]))
+                out.append(_Block(text, linked, [e.path for e in stack if e.tag in CONTAINERS], any(e.tag in ("article", "main") for e in stack)))
         held, linked = [], 0
 
     size = len(page)
@@ -122,7 +123,11 @@ def blocks_of(page: str) -> list[_Block]:
 
 
 def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
-    """The path of the deepest container with `share` of the page's text, links not counted; empty if there is no text."""
+    """The path of the smallest container that holds the whole article; empty if there is none.
+
+    The article is what lies in article or main elements and in the deepest container with `share` of the page's text, links not
+    counted. A page without those elements has it in all that is around that container, up to the body.
+    """
     scores: Counter[str] = Counter()
     total = 0
     for b in blocks:
@@ -131,35 +136,65 @@ def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
         for path in set(b.inside):
             scores[path] += own
     fit = [p for p, s in scores.items() if s >= share * total and s > 0]
-    return max(fit, key=lambda p: (p.count(">"), scores[p], p), default="")
+    deepest = max(fit, key=lambda p: (p.count(">"), scores[p], p), default="")
+    if not deepest:
+        return ""
+    needed = [b for b in blocks if b.article or deepest in b.inside]
+    shared = set(needed[0].inside).intersection(*(b.inside for b in needed))
+    if not any(b.article for b in needed):
+        layout = [p for p in shared if _tag(p) not in ("html", "body")]
+        return min(layout or shared, key=lambda p: (p.count(">"), p))
+    return max(shared, key=lambda p: (p.count(">"), p), default="")
+
 
+def _tag(path: str) -> str:
+    return re.split(r"[.#]", path.rsplit(">", 1)[-1], maxsplit=1)[0]
 
-def text_by_path(blocks: list[_Block], path: str | None) -> str:
-    """The blocks within the path, or within the page's own main container where nothing lies in it."""
-    chosen = [b.text for b in blocks if path in b.inside] if path else []
-    if not chosen:
-        own = main_path(blocks)
-        chosen = [b.text for b in blocks if own in b.inside] if own else [b.text for b in blocks]
-    return "\n".join(chosen)
+
+def text_by_path(blocks: list[_Block], path: str | None, votes: int | None = None) -> str:
+    """The blocks within the host's path if they hold the page's own article, else those of the page's own main container.
+
+    `votes` is how many pages of the host vote for this page's container. Only a page without an article element that is alone with
+    its vote is read by the host's path all the same, where anything lies in it.
+    """
+    own = main_path(blocks)
+    mine = [b for b in blocks if own in b.inside] if own else blocks
+    chosen = [b for b in blocks if path in b.inside] if path else []
+    odd = bool(chosen) and votes == 1 and not any(b.article for b in blocks)
+    if not odd and (not chosen or not all(path in b.inside for b in mine)):
+        chosen = mine
+    return "\n".join(b.text for b in chosen)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths = [main_path(blocks_of(h or "")) or None for h in batch.column("html").to_pylist()]
-        yield pa.record_batch([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
+        yield pa.record_batch([batch.column("host"), pa.array(paths, pa.string())], ["host", "own"])
+
+
+def _with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = [main_path(blocks_of(h or "")) or None for h in batch.column("html").to_pylist()]
+        yield batch.append_column("own", pa.array(paths, pa.string()))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [text_by_path(blocks_of(h or ""), p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        met = zip(*(batch.column(c).to_pylist() for c in ("html", "path", "votes")), strict=True)
+        texts = [text_by_path(blocks_of(h or ""), p, v) for h, p, v in met]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _vote_key() -> Column:
+    return F.concat_ws("\n", "host", "own")
+
+
 def host_paths(pages: DataFrame) -> DataFrame:
-    """The path that most of a host's pages vote for: rows (host, path, pages). Ties go to the greater path."""
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string").where("path is not null")
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    return counted.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"), F.sum("votes").alias("pages")).select("host", "best.path", "pages")
+    """Every path that pages of a host vote for, and the host's winner: rows (key, votes, path). Ties go to the greater path."""
+    counted = pages.select("host", "html").mapInArrow(_votes, "host string, own string").where("own is not null").groupBy("host", "own").agg(F.count(F.lit(1)).alias("votes"))
+    counted = shared_checkpoint(counted)
+    best = counted.groupBy("host").agg(F.max(F.struct("votes", "own")).alias("best")).select("host", F.col("best.own").alias("path"))
+    return counted.join(best, "host").select(_vote_key().alias("key"), "votes", "path")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -171,8 +206,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     winners = shared_checkpoint(host_paths(rows))
-    if winners.count() <= BROADCAST_HOSTS:
-        met = rows.join(F.broadcast(winners.select("host", "path")), "host", "left")
+    voted = rows.mapInArrow(_with_own, "page_id long, url string, html string, host string, own string").select("page_id", "url", "html", _vote_key().alias("key"))
+    if winners.count() <= BROADCAST_PATHS:
+        met = voted.join(F.broadcast(winners), "key", "left")
     else:
-        met = join_group_facts(rows, winners, "host", "pages")
-    return met.select("page_id", "url", "html", "path").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+        met = join_group_facts(voted, winners, "key", "votes")
+    return met.select("page_id", "url", "html", "path", "votes").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -244,6 +244,32 @@ def test_host_path_wins_over_one_odd_page(spark):
     assert got[7] == said(10, 1)
 
 
+def pages_text(spark, htmls):
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(htmls)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_leads_and_second_articles_stay(spark):
+    lead, body = said(18, 1), said(82, 2)
+    for page in (
+        "<html><body><article><div class='lead'><p>{}</p></div><div class='body'><p>{}</p></div></article></body></html>",
+        "<html><body><div class='post'><div class='lead'><p>{}</p></div><div class='body'><p>{}</p></div></div></body></html>",
+        "<article class='a'><p>{}</p></article><article class='b'><p>{}</p></article>",
+        "<html><body><article class='tease'>{}</article><div class='c'><p>{}</p></div></body></html>",
+    ):
+        assert pages_text(spark, [page.format(lead, body)] * 2) == [f"{lead}\n{body}"] * 2
+
+
+def test_pages_of_another_template_stay_whole(spark):
+    usual = "<html><body><div class='c'><p>{}</p></div></body></html>"
+    other = "<html><body><div class='c'><p>one</p></div><article class='x'><p>{}</p></article></body></html>"
+    plain = "<html><body><div class='c'><p>one</p></div><div class='y'><p>{}</p></div></body></html>"
+    long = said(90, 4)
+    got = pages_text(spark, [usual.format(said(60, i)) for i in range(5)] + [other.format(long)] + [plain.format(long)] * 2)
+    assert got[:5] == [said(60, i) for i in range(5)] and all(long in t for t in got[5:])
+
+
 def test_licenses_equal_brute_force(spark):
     r = random.Random(8)
     pool = "mit license apache general public the of a".split()
