@@ -34,17 +34,35 @@ ASIDE_WORDS = frozenset(
     "footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related "
     "reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that a class may have beside those of an aside: 'comments-list' is one, 'no-sidebar' and 'post-header' are none.
+HOLDER_WORDS = frozenset("area block bar bottom box container global inner items left links list main outer posts primary right secondary section site top wrap wrapper".split())
+#: Elements that no class makes an aside, those that name the article, and asides of which some hold it.
+PAGE_TAGS = frozenset("html body main article".split())
+LANDMARKS = frozenset("main article h1".split())
+DOUBTFUL_TAGS = frozenset("form header".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
 
+@dataclass
+class _Mark:
+    """A container that looks like an aside, and what it holds."""
+
+    around: int
+    size: int = 0
+    landmark: bool = False
+    article: bool = False
+
+
 @dataclass
 class _Element:
     tag: str
     path: str
     aside: bool
+    marks: tuple[_Mark, ...] = ()
+    articles: int = 0
 
 
 @dataclass
@@ -53,18 +71,36 @@ class _Block:
     linked: int
     inside: list[str] = field(default_factory=list)
     article: bool = False
+    marks: tuple[_Mark, ...] = ()
+
+
+def _says_aside(values: str) -> bool:
+    """Whether a whole class, id or role names an aside."""
+    for token in values.split():
+        parts = set(_PART.findall(token))
+        if parts & ASIDE_WORDS and parts <= ASIDE_WORDS | HOLDER_WORDS:
+            return True
+    return False
 
 
 def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
-    """An element with its path, in which classes and ids lose their digits; marked if it or what is around it isn't the article."""
+    """An element with its path, in which classes and ids lose their digits, and the marks on it and around it."""
     named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)} if attributes else {}
-    said = set(_PART.findall(" ".join(named.values())))
     inside_article = parent is not None and ("article" in parent.path or "main" in parent.path)
-    aside = bool(parent and parent.aside) or (tag in ASIDE_TAGS and not (tag == "header" and inside_article)) or bool(said & ASIDE_WORDS)
+    by_tag = tag in ASIDE_TAGS and not (tag == "header" and inside_article)
+    aside = bool(parent and parent.aside) or (by_tag and tag not in DOUBTFUL_TAGS)
+    marks = parent.marks if parent else ()
+    said = _says_aside(" ".join(named.values()))
+    if tag in LANDMARKS and not said and not aside:
+        for m in marks:
+            m.landmark = True
+            m.article |= tag != "h1"
+    if (by_tag or said) and tag not in PAGE_TAGS:
+        marks = (*marks, _Mark(parent.articles if parent else 0))
     name = tag + "".join("." + re.sub(r"\d+", "", c) for c in sorted(named.get("class", "").split()))
     if "class" not in named and "id" in named:
         name += "#" + re.sub(r"\d+", "", named["id"])
-    return _Element(tag, f"{parent.path}>{name}" if parent else name, aside)
+    return _Element(tag, f"{parent.path}>{name}" if parent else name, aside, marks, (parent.articles if parent else 0) + (tag in ("main", "article") and not marks))
 
 
 def blocks_of(page: str) -> list[_Block]:
@@ -73,13 +109,17 @@ def blocks_of(page: str) -> list[_Block]:
     stack: list[_Element] = []
     held: list[str] = []
     linked = links = at = 0
+    outside: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text and not (stack and stack[-1].aside):
-                out.append(_Block(text, linked, [e.path for e in stack if e.tag in CONTAINERS], any(e.tag in ("article", "main") for e in stack)))
+                marks = stack[-1].marks if stack else ()
+                for m in marks:
+                    m.size += len(text)
+                out.append(_Block(text, linked, [e.path for e in stack if e.tag in CONTAINERS], any(e.tag in ("article", "main") for e in stack), marks))
         held, linked = [], 0
 
     size = len(page)
@@ -118,8 +158,18 @@ def blocks_of(page: str) -> list[_Block]:
             if stack and (stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "td", "tr", "th", "dt", "dd", "option"))):
                 stack.pop()
             stack.append(_element(tag, m[3], stack[-1] if stack else None))
+            if tag in LANDMARKS and not stack[-1].aside and not stack[-1].marks:
+                outside[tag] += 1
     flush()
-    return out
+    total = sum(len(b.text) for b in out)
+
+    def stands(m: _Mark) -> bool:
+        """A mark is void on what holds the page's only article or heading, or most of its text where no article is elsewhere."""
+        if outside["main"] + outside["article"] > m.around:
+            return True
+        return not (m.article or (m.landmark and not outside["h1"]) or 2 * m.size > total)
+
+    return [b for b in out if not any(map(stands, b.marks))]
 
 
 def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:

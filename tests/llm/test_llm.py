@@ -270,6 +270,21 @@ def test_pages_of_another_template_stay_whole(spark):
     assert got[:5] == [said(60, i) for i in range(5)] and all(long in t for t in got[5:])
 
 
+def test_marks_around_the_article_are_void():
+    text, menu = said(60, 3), "<nav>Home</nav><div class='comments-list'>Reader</div>"
+    for page in (
+        "<body class='no-sidebar'><article><p>{}</p></article>{}</body>", "<body class='sidebar'><div><p>{}</p></div>{}</body>",
+        "<body><div class='has-sidebar'><p>{}</p>{}</div></body>", "<body><div class='sidebar-right'><article><p>{}</p></article>{}</div></body>",
+        "<body><div class='form-page'><p>{}</p></div>{}</body>", "<body><form id='form1'><div><p>{}</p></div>{}</form></body>",
+        "<body><div class='sidebar'><main class='widget'><p>{}</p></main></div>{}</body>",
+        "<body><main><div class='sidebar'><article><p>{}</p></article>{}</div></main></body>",
+    ):
+        assert [b.text for b in html_extract.blocks_of("<html>" + page.format(text, menu) + "</html>")] == [text], page
+    for header in ("post-header", "entry-header"):
+        page = f"<html><body><article><div class='{header}'><h1>Title</h1></div><p>{text}</p></article><form>Sign up</form>{menu}</body></html>"
+        assert [b.text for b in html_extract.blocks_of(page)] == ["Title", text]
+
+
 def test_licenses_equal_brute_force(spark):
     r = random.Random(8)
     pool = "mit license apache general public the of a".split()
