@@ -1,8 +1,8 @@
-"""Document fingerprints of closed syncmers, in DataFrame functions alone.
+"""Document fingerprints of closed syncmers with their places, in DataFrame functions alone.
 
 A text's units are runs of up to eight characters other than white space. A k-mer of units is a closed syncmer if its smallest inner
-s-mer, by hash, is its first or its last; that depends on the k-mer alone and not on what surrounds it. A fingerprint holds the
-smallest hashes of the text's syncmers, and two fingerprints estimate how much of their syncmers two texts share.
+s-mer, by hash, is its first or its last; that depends on the k-mer alone and not on what surrounds it. A fingerprint holds all
+syncmers of the text with the unit each begins at. Two fingerprints are matched anchor by anchor, and by the offset of their places.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from strandline.llm.common import shared_checkpoint, text_of
 
 UNIT = r"\S{1,8}"
 K, S = 4, 2
-#: Syncmers that a fingerprint keeps: those of the smallest hashes.
-SKETCH = 64
 
 
 def _let(value: Column, then) -> Column:
@@ -23,53 +21,92 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def syncmers(text: Column, unit: str = UNIT) -> Column:
-    """Distinct hashes of the text's closed syncmers, ascending. A text of fewer than K units has one, of all its units."""
+def anchors(text: Column, unit: str = UNIT) -> Column:
+    """All closed syncmers of a text in its order: structs of hash and first unit. A text without any has one, of all its units."""
     units = F.regexp_extract_all(text, F.lit(unit), F.lit(0))
     hashes = F.transform(units, lambda u: F.xxhash64(u))
 
+    def whole(h: Column) -> Column:
+        return F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("at")))
+
     def of_pairs(h: Column) -> Column:
         pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        return _let(pairs, lambda p: of_windows(p))
+        return _let(_let(pairs, lambda p: of_windows(p)), lambda found: F.when(F.size(found) > 0, found).otherwise(whole(h)))
 
     def of_windows(p: Column) -> Column:
         # Four units hold three pairs; the k-mer is named by its outer pairs, which cover it.
-        picked = F.transform(
-            F.sequence(F.lit(1), F.size(p) - (K - 1)),
-            lambda i: F.when(
-                F.least(F.get(p, i - 1), F.get(p, i + 1)) <= F.get(p, i),
-                F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)),
-            ),
-        )
-        return F.sort_array(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())))
+        at = F.filter(F.sequence(F.lit(1), F.size(p) - (K - 1)), lambda i: F.least(F.get(p, i - 1), F.get(p, i + 1)) <= F.get(p, i))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)).alias("hash"), (i - 1).alias("at")))
 
     def of_hashes(h: Column) -> Column:
-        return F.when(F.size(h) >= K, of_pairs(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) >= K, of_pairs(h)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
 
     return _let(hashes, of_hashes)
 
 
-def sketch(text: Column) -> Column:
-    """The smallest syncmers of a text."""
-    return F.slice(syncmers(text), 1, SKETCH)
+def syncmers(text: Column, unit: str = UNIT) -> Column:
+    """Distinct hashes of the text's anchors, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(anchors(text, unit), lambda x: x["hash"])))
 
 
 def printed(marks: Column) -> Column:
-    """A sketch as a string: 16 hexadecimal digits a syncmer."""
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """Anchors as a string: 16 hexadecimal digits of the hash and 8 of the place each, in the text's order."""
+    return F.array_join(F.transform(marks, lambda x: F.concat(F.lpad(F.hex(x["hash"]), 16, "0"), F.lpad(F.hex(x["at"]), 8, "0"))), "")
+
+
+def _runs(ordered: Column, same) -> Column:
+    """Structs of first index and length of the runs of equal neighbours in a sorted array that isn't empty."""
+    first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | ~same(F.get(ordered, i), F.get(ordered, i - 1)))
+    return _let(
+        first,
+        lambda f: F.zip_with(
+            f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(ordered))), lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("first"), (b - a).alias("n")))
+        ),
+    )
+
+
+def _numbered(marks: Column, side: int) -> Column:
+    """Anchors as (hash, number among the equal ones, side, place)."""
 
+    def of_sorted(s: Column) -> Column:
+        numbers = F.flatten(F.transform(_runs(s, lambda a, b: a["hash"] == b["hash"]), lambda r: F.sequence(F.lit(0), r["n"] - 1)))
+        return F.zip_with(s, numbers, lambda x, k: F.struct(x["hash"].alias("hash"), k.alias("k"), F.lit(side).alias("side"), x["at"].alias("at")))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of syncmers in common, from 0 to 1: the Dice coefficient that the smallest hashes of both estimate.
+    return F.when(F.size(marks) > 0, _let(F.sort_array(marks), of_sorted)).otherwise(F.array().cast("array<struct<hash:bigint,k:int,side:int,at:int>>"))
 
-    Two empty sketches are alike (1); an empty one is like no other (0).
+
+def matched(a: Column, b: Column) -> Column:
+    """How two texts' anchors match: a struct of near, placed and offset.
+
+    The k-th anchor of a hash in one meets the k-th of that hash in the other. `near` is the Dice coefficient of all anchors, repeats
+    counted; `placed` counts only the matches of the commonest offset of places, and `offset` is that offset in units (ties: the smaller
+    one, then the lower). Two texts without anchors are alike (1); one without is like no other (0).
     """
-    def dice(both: Column) -> Column:
-        common = F.size(F.array_intersect(F.array_intersect(both, a), b))
-        jaccard = common / F.size(both)
-        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(2 * jaccard / (1 + jaccard))
 
-    return _let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), dice)
+    def of_both(c: Column) -> Column:
+        steps = F.filter(
+            F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.get(c, i)["hash"] == F.get(c, i - 1)["hash"]) & (F.get(c, i)["k"] == F.get(c, i - 1)["k"])
+        )
+        return F.when(F.size(c) > 1, F.sort_array(F.transform(steps, lambda i: F.get(c, i)["at"] - F.get(c, i - 1)["at"]))).otherwise(F.array().cast("array<int>"))
+
+    def of_offsets(o: Column) -> Column:
+        runs = F.transform(
+            _runs(o, lambda x, y: x == y),
+            lambda r: F.struct(r["n"].alias("n"), (-F.abs(F.get(o, r["first"]))).alias("short"), (-F.get(o, r["first"])).alias("low")),
+        )
+        most = F.when(F.size(o) > 0, F.array_max(runs))
+        total = F.size(a) + F.size(b)
+        return _let(
+            most,
+            lambda m: F.struct(
+                F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(o) / total).alias("near"),
+                F.when(total == 0, F.lit(1.0)).otherwise(2 * F.coalesce(m["n"], F.lit(0)) / total).alias("placed"),
+                (-m["low"]).alias("offset"),
+            ),
+        )
+
+    both = F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1)))
+    return _let(_let(both, of_both), of_offsets)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -77,7 +114,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Takes any frame with doc_id and text. The edited text has its last floor(n / 4) code points replaced by the first as many (or all) of
     the next document by id; the last document's next is the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, and of both matches the share and the offset of the anchors that keep their places
+(placed_edited, offset_edited, placed_next, offset_next).
 
     Null texts are empty and have an empty fingerprint. A null id counts as the largest. Rows that repeat an id share the next
     document; as a next document, such rows stand for the text of the smallest hash. A single document follows itself. An empty table
@@ -88,25 +126,31 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     lengths = texts.select("key", F.length("text").alias("n")).groupBy("key").agg(F.max("n").alias("n"))
     order = shared_checkpoint(_next_keys(lengths))
 
-    # One shuffle of the texts serves both joins below: they read the same columns of it.
-    sketched = texts.withColumn("marks", sketch(F.col("text"))).repartition("key")
-    # The next document sends its beginning and its sketch to the one before it.
-    follows = order.select(F.col("next").alias("key"), F.col("key").alias("owner"), F.floor(F.col("n") / 4).cast("int").alias("room"))
-    sent = sketched.join(follows, "key").select("owner", F.xxhash64("text", "doc_id").alias("tie"), F.substring("text", F.lit(1), F.col("room")).alias("head"), F.col("marks").alias("next_marks"))
-    sent = sent.groupBy("owner").agg(F.min_by(F.struct("head", "next_marks"), "tie").alias("sent")).select(F.col("owner").alias("key"), "sent.*")
-    met = sketched.join(sent, "key", "left")
+    # One shuffle of the texts serves both joins below: they read the same columns of it. Anchors are larger than texts and found after it.
+    dealt = texts.repartition("key")
+    # The next document sends its text to the one before it.
+    follows = order.select(F.col("next").alias("key"), F.col("key").alias("owner"))
+    sent = dealt.join(follows, "key").select("owner", F.xxhash64("text", "doc_id").alias("tie"), F.col("text").alias("sent"))
+    sent = sent.groupBy("owner").agg(F.min_by("sent", "tie").alias("sent")).select(F.col("owner").alias("key"), F.coalesce("sent", F.lit("")).alias("sent"))
+    met = dealt.join(sent, "key", "left")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut))
-    out = met.withColumn("edited", edited).withColumn("edited_marks", sketch(F.col("edited")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("sent", F.lit("")), F.lit(1), cut))
+    out = met.withColumn("edited", edited)
+    out = out.withColumns({"marks": anchors(F.col("text")), "edited_marks": anchors(F.col("edited")), "next_marks": anchors(F.coalesce("sent", F.lit("")))})
+    out = out.withColumns({"to_edited": matched(F.col("marks"), F.col("edited_marks")), "to_next": matched(F.col("marks"), F.col("next_marks"))})
     return out.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("marks")).alias("fingerprint"),
         printed(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        F.col("to_edited.near").alias("near_edited"),
+        F.col("to_next.near").alias("near_next"),
+        F.col("to_edited.placed").alias("placed_edited"),
+        F.col("to_edited.offset").alias("offset_edited"),
+        F.col("to_next.placed").alias("placed_next"),
+        F.col("to_next.offset").alias("offset_next"),
     )
 
 

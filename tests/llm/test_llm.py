@@ -163,6 +163,35 @@ def test_syncmers(spark):
     assert got[0].fingerprint == got[53].fingerprint and got[53].near_next == 1.0 and got[51].fingerprint == ""
 
 
+def test_all_anchors_are_matched_by_place(spark):
+    words = [f"w{i:05d}" for i in range(3000)]
+    passage = [f"p{i:05d}" for i in range(60)]
+    texts = [
+        words, words[:1500] + ["new"] + words[1500:],  # a small edit
+        words[1000:] + words[:1000], [f"x{i}" for i in range(2000)] + passage, passage + [f"y{i}" for i in range(3000)],
+    ]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10 + i, f"a{i} b{i} c{i} d{i}") for i in range(20)]
+    got = {r.doc_id: r for r in syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.99 < got[0].near_next < 1 and 0.49 < got[0].placed_next < 0.52 and got[0].fingerprint != got[1].fingerprint
+    assert got[1].near_next > 0.99 and 0.3 < got[1].placed_next < 0.7 and got[1].offset_next in (-1000, -1001)
+    assert 0.005 < got[3].near_next == got[3].placed_next < 0.05 and got[3].offset_next == -2000
+    assert got[0].placed_edited == pytest.approx(0.75, abs=0.02) and got[0].offset_edited == 0
+    assert len(got[0].fingerprint) > 24 * 1500 and all(len(got[10 + i].fingerprint) == 24 for i in range(20))
+
+
+def test_matching_equals_brute_force(spark):
+    r = random.Random(1)
+    anchors = lambda v: [(r.randrange(v), j) for j in range(r.choice([0, 1, 3, 10, 40]))]
+    rows = [(i, anchors(v), anchors(v)) for i in range(150) for v in [r.choice([2, 5, 30])]]
+    df = spark.createDataFrame(rows, "i int, a array<struct<hash:bigint,at:int>>, b array<struct<hash:bigint,at:int>>")
+    for x in df.select("i", syncmers.matched(F.col("a"), F.col("b")).alias("m")).collect():
+        _, a, b = rows[x.i]
+        offsets = [q - p for h in range(30) for p, q in zip([p for g, p in a if g == h], [q for g, q in b if g == h])]
+        total, best = len(a) + len(b), max(offsets, key=lambda o: (offsets.count(o), -abs(o), -o), default=None)
+        want = (1.0, 1.0) if total == 0 else (2 * len(offsets) / total, 2 * offsets.count(best) / total)
+        assert (x.m.near, x.m.placed) == pytest.approx(want) and x.m.offset == best
+
+
 def brute_syncmers(units):
     """Windows whose smallest inner pair is the first or the last, by rank of any fixed order of the pairs."""
     pairs = list(zip(units, units[1:]))
