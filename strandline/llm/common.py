@@ -14,18 +14,22 @@ SPACE = "[\\x20\\x09-\\x0D]"
 
 #: Rows above which an id set is joined by shuffle and no longer broadcast (8 bytes a row).
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch that holds texts.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that holds texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Edges that a task of `components` takes.
+EDGES_IN_TASK = 500_000
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the folder named in spark.checkpoint.dir and read them back, so that nothing before is run again.
 
-    A folder is set only where the session names none, as in local tests.
+    Where the session names no folder, a local master gets a temporary one, as in tests; a cluster has to name one that its executors share.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint()
 
@@ -36,10 +40,12 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same frame, in a session whose Arrow batches hold a thousand rows at most: a batch is held whole on both sides, and texts are long."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """The same frame, in a session whose Arrow batches are bounded in rows and bytes: a batch is held whole on both sides, and texts are long."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(conf.get(name).rstrip("bB")) <= most:
+            conf.set(name, str(most))
     return df
 
 
@@ -186,12 +192,16 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     both = edges.select(F.col(left).alias("node"), F.col(right).alias("other"))
     both = shared_checkpoint(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node <> other").distinct())
-    label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
+    # Rounds work on few rows, in as many tasks as those need.
+    tasks = both.count() // EDGES_IN_TASK + 1
+    both = both.coalesce(tasks)
+    label = shared_checkpoint(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")).coalesce(tasks))
     while True:
-        near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        stepped = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
+        near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other").coalesce(tasks).groupBy("node").agg(F.min("seen").alias("seen"))
+        stepped = label.join(near, "node").coalesce(tasks).select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = shared_checkpoint(stepped.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
+        after = stepped.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
+        after = shared_checkpoint(after.coalesce(tasks))
         label = after.select("node", "component")
         if not after.where("component <> was").limit(1).count():
             return label

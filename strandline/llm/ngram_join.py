@@ -1,10 +1,15 @@
-"""N-gram Jaccard join: a token-group matrix over word shingles, group bounds, exact verification and link components.
-
-Every text is its set of 64-bit shingle hashes. Equal sets are one class. Classes that agree with a leader in most min-hashes and are
-verified to link to it form families, dealt into groups of bounded size; all others are groups of one. The token-group matrix holds the tokens of the
-groups' prefixes: two sets of the wanted similarity share a token among the first n - ceil(t n) + 1 in any common order, and how many
-they share bounds their overlap. Frequent tokens come last in that order. Only pairs of groups that the bound lets pass are
-opened, first against the group's token union, then member by member.
+"""N-gram Jaccard join: a token-group matrix over word shingles, bounds of query against group, exact verification and link components.
+
+Every text is its set of 64-bit shingle hashes, and equal sets are one class. Of a class only the first tokens in a common order, rare
+ones first, need to meet those of another: two sets of n and m tokens that share o or more have their first l common tokens among the
+first n - o + l of the one and the first m - o + l of the other, for any l up to o. Here l is a twentieth of the smaller set, so a
+passage that many texts quote doesn't bring them together. Classes with too few met tokens leave at this point; most do.
+
+The rest are partitioned into groups of similar texts: by the token of theirs that most classes have, then by whether they link to
+that token's leader, the class with most met tokens. A group holds its token union, with a bit a member for each token. Groups that
+link to one leader are a family, which is connected, and stands in the token-group matrix as one column. Pairs of columns that meet
+often enough are opened group by group: a member is a query against the other group's union, and only where its overlap with the
+union reaches what a link needs, the members' bits are counted.
 """
 
 from __future__ import annotations
@@ -19,75 +24,79 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bounded_batches, components, join_group_facts, maybe_broadcast, mix64, portions, shared_checkpoint, shingle_sets, text_of
 
 WORDS_IN_SHINGLE, PERCENT = 5, 80
-#: Min-hashes of a set, and how many a class must share with a leader before the pair is verified.
-MIN_HASHES, LEADER_VOTES = 16, 8
-#: Members of a group, about; larger families of copies are several groups that are known to link.
-GROUP_ROWS = 32
+#: Tokens that two linked sets have in common early on, as a share of the smaller set (in per cent); prefixes are longer by as much.
+MET_PERCENT = 5
+#: Members of a group at most: a bit each.
+GROUP_ROWS = 64
+#: Tokens of the sets that are grouped in one task, about, and ids that may be broadcast to fetch those sets.
+PART_TOKENS, BROADCAST_IDS = 250_000, 200_000
 #: Tokens counted in this many documents or more come last in the common order; the most frequent ones are sent to the tasks.
 FREQUENT_FROM, FREQUENT_TOKENS = 16, 1 << 18
-#: Tokens a task gathers before it passes them on.
-WINDOW_TOKENS = 1_000_000
-_PERMUTATIONS = mix64(np.arange(MIN_HASHES, dtype=np.uint64), 31) | np.uint64(1)
+#: Tokens a task gathers before it passes them on, and tokens of a block of the prefixes, about.
+WINDOW_TOKENS, BLOCK_TOKENS = 500_000, 1_000_000
+_LOW = np.uint64(0xFFFFFFFF)
+_WIDE = np.uint64(32)
 
 
-def needed_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def needed_overlap(n, m, percent: int = PERCENT):
     """The least intersection of sets of n and m tokens with 100 * intersection >= percent * union."""
     return -((-percent * (n + m)) // (100 + percent))
 
 
+def met_tokens(n: int) -> int:
+    """How many of their first common tokens linked sets are held to; n is the size of the smaller one."""
+    return n * MET_PERCENT // 100 + 1
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n + (-percent * n) // 100 + 1
+    """Tokens of a set of n that can be among the first `met_tokens` common ones with any set that links to it."""
+    return min(n, n + (-percent * n) // 100 + met_tokens(n))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in portions(texts):
-            yield batch.column(0).slice(a, b - a), shingle_sets(texts[a:b], k)
-
-
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, two independent 64-bit signatures and the min-hashes of some sets; zeros for empty ones."""
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Sizes, 64-bit signatures and 128-bit names of some sets; zeros for empty ones."""
     n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    first, second = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
-    least = np.zeros((len(sets), MIN_HASHES), dtype=np.uint64)
+    both = np.zeros((len(sets), 2), dtype=np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         flat = np.concatenate([sets[i] for i in some])
         at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
         with np.errstate(over="ignore"):
-            first[some] = mix64(np.add.reduceat(mix64(flat, 21), at) + n[some].astype(np.uint64), 23)
-            second[some] = np.add.reduceat(mix64(flat, 22), at)
-            for j, p in enumerate(_PERMUTATIONS):
-                least[some, j] = np.minimum.reduceat(flat * p, at)
-    return n, first, second, least
+            both[some, 0] = mix64(np.add.reduceat(mix64(flat, 21), at) + n[some].astype(np.uint64), 23)
+            both[some, 1] = np.add.reduceat(mix64(flat, 22), at)
+    return n, both[:, 0].copy(), [x.tobytes() for x in both]
 
 
 def _skeleton(k: int):
+    """Of each row its ids, the size and the names of its set; and, of every so many tokens of a task, those met repeatedly."""
+    names = ["rid", "doc_id", "tie", "n", "cls", "cid", "tokens", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "n", "cls", "check", "least", "tokens", "counts"]
-        none = lambda n: pa.nulls(n, pa.binary())
         window: list[np.ndarray] = []
         held = 0
 
         def frequent() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(window), return_counts=True)
             token, count = token[count > 2], count[count > 2]
-            one = lambda t: pa.nulls(1, t)
-            return pa.record_batch([one(pa.int64())] * 4 + [none(1), pa.array([token.tobytes()], pa.binary()), pa.array([count.astype(np.int64).tobytes()], pa.binary())], names)
-
-        for ids, sets in _sets(batches, k):
-            n, first, second, least = _signatures(sets)
-            yield pa.record_batch([ids, pa.array(n), pa.array(_signed(first)), pa.array(_signed(second)), pa.array([x.tobytes() for x in least], pa.binary()), none(len(n)), none(len(n))], names)
-            window += sets
-            held += int(n.sum())
-            if held > WINDOW_TOKENS:
-                yield frequent()
-                window, held = [], 0
+            none = [pa.nulls(1, t) for t in (*[pa.int64()] * 5, pa.binary())]
+            return pa.record_batch([*none, pa.array([token.tobytes()], pa.binary()), pa.array([count.astype(np.int64).tobytes()], pa.binary())], names)
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in portions(texts):
+                sets = shingle_sets(texts[a:b], k)
+                n, cls, cid = _signatures(sets)
+                ids = [batch.column(c).slice(a, b - a) for c in ("rid", "doc_id", "tie")]
+                yield pa.record_batch([*ids, pa.array(n), pa.array(_signed(cls)), pa.array(cid, pa.binary()), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.binary())], names)
+                window += sets
+                held += int(n.sum())
+                if held > WINDOW_TOKENS:
+                    yield frequent()
+                    window, held = [], 0
         if held:
             yield frequent()
 
@@ -100,127 +109,138 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch({"token": pa.array(np.frombuffer(t, dtype=np.int64)), "count": pa.array(np.frombuffer(c, dtype=np.int64))})
 
 
-def _frequent_tokens(skeleton: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, sorted, and the rank of each by ascending count. They only order tokens.
+class Frequent:
+    """The most frequent tokens with their counts, and the place of each in the order of ascending counts. They only order tokens."""
 
-    They are those counted in FREQUENT_FROM documents, FREQUENT_TOKENS at most, whatever the input's size.
-    """
+    def __init__(self, token: np.ndarray, count: np.ndarray):
+        order = np.argsort(token)
+        self.token, self.count = token[order], count[order]
+        self.rank = np.empty(len(token), dtype=np.int64)
+        self.rank[np.lexsort((self.token, self.count))] = np.arange(len(token))
+
+    def prefix(self, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The set's first tokens in the common order, infrequent ones by hash and then frequent ones by count, with the latter's counts or 0."""
+        k = prefix_length(len(tokens), percent)
+        if not len(self.token):
+            return tokens[:k], np.zeros(min(k, len(tokens)), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        often = self.token[at] == tokens
+        rare, at = tokens[~often][:k], at[often]
+        at = at[np.argsort(self.rank[at])][: k - len(rare)]
+        return np.concatenate([rare, self.token[at]]), np.concatenate([np.zeros(len(rare), dtype=np.int64), self.count[at]])
+
+
+def _frequent_tokens(skeleton: DataFrame) -> Frequent:
+    """Those counted in FREQUENT_FROM documents, FREQUENT_TOKENS at most, whatever the input's size."""
     counted = skeleton.where("rid is null and tokens is not null").select("tokens", "counts").mapInArrow(_token_counts, "token long, count long")
     most = counted.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS)
     found = most.toArrow()
-    token = np.array(found.column("token").combine_chunks(), dtype=np.int64).view(np.uint64)
-    count = np.array(found.column("count").combine_chunks(), dtype=np.int64)
-    order = np.argsort(token)
-    token, count = token[order], count[order]
-    rank = np.empty(len(token), dtype=np.int64)
-    rank[np.lexsort((token, count))] = np.arange(len(token))
-    return token, rank
-
-
-def prefix_of(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's first tokens in the common order (infrequent ones by hash, then frequent ones by count), and which are frequent."""
-    known, ranks = frequent
-    k = prefix_length(len(tokens), percent)
-    if not len(known):
-        return tokens[:k], np.zeros(min(k, len(tokens)), dtype=bool)
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    often = known[at] == tokens
-    rare = tokens[~often][:k]
-    more = tokens[often][np.argsort(ranks[at[often]])][: k - len(rare)]
-    return np.concatenate([rare, more]), np.repeat([False, True], [len(rare), len(more)])
+    token, count = (np.array(found.column(c).combine_chunks(), dtype=np.int64) for c in ("token", "count"))
+    return Frequent(token.view(np.uint64), count)
 
 
 def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
     """Tokens of the prefixes in blocks by hash range; frequent tokens go to blocks of their own, dealt by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[np.ndarray] = []
-        often: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-        held = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def blocks() -> pa.RecordBatch:
-            t, o, c, p = (np.concatenate(x) for x in (tokens, often, classes, places))
-            bucket = np.where(o, -1 - (c % np.uint64(buckets)).astype(np.int64), (t % np.uint64(buckets)).astype(np.int64))
-            order = np.lexsort((c, t, bucket))
-            t, c, p, bucket = t[order], c[order], p[order], bucket[order]
-            new = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-            t, c, p, bucket = t[new], c[new], p[new], bucket[new]
+            token, count, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+            often = count > 0
+            bucket = np.where(often, np.uint64(buckets) + cls % np.uint64(buckets), token % np.uint64(buckets))
+            place = (bucket << _WIDE) | (token >> _WIDE)
+            order = np.lexsort((cls, place))
+            place, cls, count = place[order], cls[order], count[order]
+            new = np.append(True, (place[1:] != place[:-1]) | (cls[1:] != cls[:-1]))
+            place, cls, count = place[new], cls[new], count[new]
+            bucket = (place >> _WIDE).astype(np.int64)
             first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
-            last = np.append(first[1:], len(bucket))
+            cuts = list(zip(first, np.append(first[1:], len(bucket)), strict=True))
+            token, count = (place & _LOW).astype(np.uint32), count.astype(np.int64)
             return pa.record_batch(
                 {
                     "bucket": pa.array(bucket[first]),
-                    "tokens": pa.array([t[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
-                    "classes": pa.array([c[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
-                    "places": pa.array([p[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
+                    "tokens": pa.array([token[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    "classes": pa.array([cls[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    "counts": pa.array([count[a:b].tobytes() if bucket[a] >= buckets else None for a, b in cuts], pa.binary()),
                 }
             )
 
-        for _, sets in _sets(batches, k):
-            n, first, _, _ = _signatures_only(sets)
-            for i in np.flatnonzero(n):
-                t, o = prefix_of(sets[i], frequent.value, percent)
-                tokens.append(t)
-                often.append(o)
-                classes.append(np.full(len(t), first[i], dtype=np.uint64))
-                places.append(np.arange(len(t), dtype=np.int32))
-                held += len(t)
-            if held > WINDOW_TOKENS:
-                yield blocks()
-                tokens, often, classes, places, held = [], [], [], [], 0
-        if held:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in portions(texts):
+                sets = shingle_sets(texts[a:b], k)
+                n, cls, _ = _signatures(sets)
+                for i in np.flatnonzero(n):
+                    token, count = frequent.value.prefix(sets[i], percent)
+                    held.append((token, count, np.full(len(token), cls[i], dtype=np.uint64)))
+                    size += len(token)
+                if size > WINDOW_TOKENS:
+                    yield blocks()
+                    held, size = [], 0
+        if size:
             yield blocks()
 
     return run
 
 
-def _signatures_only(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, None, None]:
-    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    first = np.zeros(len(sets), dtype=np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        flat = np.concatenate([sets[i] for i in some])
-        with np.errstate(over="ignore"):
-            first[some] = mix64(np.add.reduceat(mix64(flat, 21), np.concatenate([[0], np.cumsum(n[some])[:-1]])) + n[some].astype(np.uint64), 23)
-    return n, first, None, None
-
-
-def _shared_tokens(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of a block that more than one class has, with those classes; of frequent tokens all."""
-    kinds = (("tokens", np.uint64), ("classes", np.uint64), ("places", np.int32))
-    token, cls, place = (np.concatenate(x) for x in zip(*[tuple(np.frombuffer(v, dtype=t) for v, (_, t) in zip(row, kinds, strict=True)) for b in batches for row in zip(*[b.column(n).to_pylist() for n, _ in kinds], strict=True)], strict=True))
+def _met_in_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class in a block: how many of its tokens another class has too (of frequent tokens all), the sum of their counts, and the token with the largest."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        for t, c, m in zip(*(batch.column(x).to_pylist() for x in ("tokens", "classes", "counts")), strict=True):
+            token = np.frombuffer(t, dtype=np.uint32)
+            held.append((token, np.frombuffer(c, dtype=np.uint64), np.frombuffer(m, dtype=np.int64) if m is not None else np.zeros(len(token), dtype=np.int64)))
+    token, cls, count = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((cls, token))
-    token, cls, place = token[order], cls[order], place[order]
+    token, cls, count = token[order], cls[order], count[order]
     new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-    token, cls, place = token[new], cls[new], place[new]
-    if key[0].as_py() >= 0:
-        same = token[1:] == token[:-1]
-        more = np.append(same, False) | np.append(False, same)
-        token, cls, place = token[more], cls[more], place[more]
-    yield pa.record_batch({"token": pa.array(_signed(token)), "cls": pa.array(_signed(cls)), "place": pa.array(place)})
+    token, cls, count = token[new], cls[new], count[new]
+    name = token.astype(np.int64)
+    if count.any():
+        name = -1 - name
+    else:
+        first = np.append(True, token[1:] != token[:-1])
+        count = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
+        name += int(key[0].as_py()) << 32
+        name, cls, count = name[count > 1], cls[count > 1], count[count > 1]
+    order = np.lexsort((name, count, cls))
+    name, cls, count = name[order], cls[order], count[order]
+    first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], len(cls)) - 1 if len(cls) else first
+    sums = np.append(0, np.cumsum(count))
+    columns = {"cls": _signed(cls[first]), "met": last - first + 1, "known": sums[last + 1] - sums[first], "count": count[last], "token": name[last]}
+    yield pa.record_batch({c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
 
 
 def _set_rows(k: int):
+    """The sets of the wanted classes, one row for each part that needs them."""
+    names = ["part", "cid", "key", "leads", "guest", "spread", "n", "tokens"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, k):
-            n, first, _, _ = _signatures_only(sets)
-            some = np.flatnonzero(n)
-            yield pa.record_batch({"cls": pa.array(_signed(first[some])), "n": pa.array(n[some]), "tokens": pa.array([sets[i].tobytes() for i in some], pa.binary())})
+        for batch in batches:
+            texts, wanted, parts, home = (batch.column(c).to_pylist() for c in ("text", "cid", "parts", "home"))
+            for a, b in portions(texts):
+                sets = shingle_sets(texts[a:b], k)
+                n, _, cid = _signatures(sets)
+                # Rows that repeat an id may have other sets.
+                rows = [(i, p) for i in range(a, b) if cid[i - a] == wanted[i] for p in parts[i]]
+                if rows:
+                    pick = pa.array([i for i, _ in rows])
+                    yield pa.record_batch(
+                        [
+                            pa.array([p for _, p in rows], pa.int64()), *(batch.column(c).take(pick) for c in ("cid", "key", "leads")),
+                            pa.array([p != home[i] for i, p in rows]), batch.column("spread").take(pick),
+                            pa.array([int(n[i - a]) for i, _ in rows], pa.int64()), pa.array([sets[i - a].tobytes() for i, _ in rows], pa.binary()),
+                        ],
+                        names,
+                    )
 
     return run
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Token sets (cls, n, tokens) of some classes, from the text of one document each.
-
-    Rows that share an id may add further classes, and repeats; neither changes which sets link.
-    """
-    ids = shared_checkpoint(classes.join(wanted, "cls", "left_semi").select("rid"))
-    return docs.join(maybe_broadcast(ids, ids.count()), "rid", "left_semi").select("rid", "text").mapInArrow(_set_rows(k), "cls long, n long, tokens binary")
-
-
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
@@ -230,181 +250,266 @@ def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verify_pairs(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_union(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted union of at most GROUP_ROWS sets, and for each token a bit a set."""
+    if len(sets) == 1:
+        return sets[0], np.ones(len(sets[0]), dtype=np.uint64)
+    union, place = np.unique(np.concatenate(sets), return_inverse=True)
+    masks, at = np.zeros(len(union), dtype=np.uint64), 0
+    for j, s in enumerate(sets):
+        masks[place[at : at + len(s)]] |= np.uint64(1 << j)
+        at += len(s)
+    return union, masks
+
+
+def _bits(masks: np.ndarray, members: np.ndarray) -> Iterator[np.ndarray]:
+    """0-1 matrices of members by tokens, for some tokens after the other."""
+    for i in range(0, len(masks), 1 << 14):
+        yield ((masks[None, i : i + (1 << 14)] >> members.astype(np.uint64)[:, None]) & np.uint64(1)).astype(np.float32)
+
+
+def open_groups(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
+    """Linked members of two groups, each a (sizes, union, masks).
+
+    A member is first held against the other group's union: to link to any set it has to share `percent` of its own tokens.
+    """
+    (n, union, masks), (m, other, others) = x, y
+    at = np.minimum(np.searchsorted(other, union), len(other) - 1)
+    common = other[at] == union
+    masks, others = masks[common], others[at[common]]
+    if not len(masks):
+        return []
+    rows, columns = np.arange(len(n)), np.arange(len(m))
+    for _ in range(2):
+        rows = rows[sum(a.sum(axis=1, dtype=np.int64) for a in _bits(masks, rows)) * 100 >= percent * n[rows]]
+        masks, others, rows, columns, n, m = others, masks, columns, rows, m, n
+    if not len(rows) or not len(columns):
+        return []
+    shared = sum((a @ b.T).astype(np.int64) for a, b in zip(_bits(masks, rows), _bits(others, columns), strict=True))
+    i, j = np.nonzero(100 * shared >= percent * (n[rows][:, None] + m[columns][None, :] - shared))
+    return list(zip(rows[i].tolist(), columns[j].tolist(), strict=True))
+
+
+def _forest(pairs: list[tuple]) -> list[tuple]:
+    """Pairs that connect what all of them connect."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+_GROUP = "grp long, fam long, node binary, low long, high long, cids binary, sizes binary, tokens binary, masks binary, ptokens binary, pplaces binary, links binary"
+
+
+def _built(frequent, percent: int):
+    """Groups of the sets of a part, with their token unions, prefixes and inner links (pairs of names)."""
+
+    def group(members: list[tuple[bytes, np.ndarray]], node: bytes | None, low: int | None = None, high: int | None = None) -> tuple:
+        sizes = np.array([len(s) for _, s in members], dtype=np.int64)
+        union, masks = token_union([s for _, s in members])
+        links: list[tuple[bytes, bytes]] = []
+        if node is None and len(members) > 1:
+            shared = open_groups((sizes, union, masks), (sizes, union, masks), percent)
+            links = _forest([(members[i][0], members[j][0]) for i, j in shared if i < j])
+        first = [frequent.value.prefix(s, percent)[0] for _, s in members]
+        places = np.concatenate([np.arange(len(p), dtype=np.int32) for p in first])
+        ptokens, at = np.unique(np.concatenate(first), return_inverse=True)
+        least = np.full(len(ptokens), np.iinfo(np.int32).max, dtype=np.int32)
+        np.minimum.at(least, at, places)
+        grp = int.from_bytes(members[0][0][:8], "little", signed=True)
+        fam = int.from_bytes(node[:8], "little", signed=True) if node is not None else grp
+        blobs = (sizes.tobytes(), union.tobytes(), b"" if len(members) == 1 else masks.tobytes(), ptokens.tobytes(), least.tobytes())
+        return (grp, fam, node, low or int(sizes.min()), high or int(sizes.max()), b"".join(c for c, _ in members), *blobs, b"".join(a + b for a, b in links))
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_key: dict[int, list] = {}
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            ok = [_links(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), percent) for a, b in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cid", "leads", "guest", "spread", "tokens")), strict=True):
+                by_key.setdefault(row[0], []).append(row[1:])
+        out = []
+        for rows in by_key.values():
+            sets = {cid: np.frombuffer(t, dtype=np.uint64) for cid, *_, t in rows}
+            own = sorted((c for c in {cid for cid, _, guest, *_ in rows if not guest}), key=lambda c: (len(sets[c]), c))
+            leader = next((cid for cid, leads, *_ in rows if leads), None)
+            linked = [c for c in own if leader is not None and (c == leader or _links(sets[leader], sets[c], percent))]
+            spread = rows[0][3]
+            n = len(sets[leader]) if leader is not None else 0
+            # A family of several parts has the bounds that its leader's size sets, the same in every part.
+            bounds = (-((-percent * n) // 100), n * 100 // percent) if spread else (len(sets[linked[0]]), len(sets[linked[-1]])) if linked else (0, 0)
+            for i in range(0, len(linked), GROUP_ROWS):
+                out.append(group([(c, sets[c]) for c in linked[i : i + GROUP_ROWS]], leader, *bounds))
+            known = set(linked)
+            loose = [c for c in own if c not in known]
+            for i in range(0, len(loose), GROUP_ROWS):
+                out.append(group([(c, sets[c]) for c in loose[i : i + GROUP_ROWS]], None))
+        for i in range(0, len(out), 200):
+            columns = list(zip(*out[i : i + 200], strict=True))
+            kinds = [x.split(" ") for x in _GROUP.split(", ")]
+            yield pa.record_batch([pa.array(c, pa.int64() if t == "long" else pa.binary()) for c, (_, t) in zip(columns, kinds, strict=True)], [x for x, _ in kinds])
 
     return run
 
 
-def open_groups(few: list[np.ndarray], many: list[np.ndarray], percent: int) -> bool:
-    """Whether a set of one group links to one of another: each query first against the other's token union, then its members."""
-    union = many[0] if len(many) == 1 else np.unique(np.concatenate(many))
-    for q in few:
-        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-        if 100 * int((union[at] == q).sum()) < percent * len(q):
-            continue
-        if any(_links(q, s, percent) for s in many):
-            return True
-    return False
+def _matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for fam, low, high, t, p in zip(*(batch.column(c).to_pylist() for c in ("fam", "low", "high", "ptokens", "pplaces")), strict=True):
+            token = np.frombuffer(t, dtype=np.int64)
+            same = [pa.array(np.full(len(token), v)) for v in (fam, low, high)]
+            yield pa.record_batch([pa.array(token), *same, pa.array(np.frombuffer(p, dtype=np.int32))], ["token", "fam", "low", "high", "place"])
+
 
+def _opened(percent: int):
+    """Links between the members of two groups, as pairs of nodes: a family is one node, others are classes."""
 
-def _verify_groups(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                few, many = sorted(([np.frombuffer(s, dtype=np.uint64) for s in g] for g in (x, y)), key=len)
-                ok.append(open_groups(few, many, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            found: list[tuple[bytes, bytes]] = []
+            sides = [[batch.column(f"{c}_{s}") for c in ("node", "cids", "sizes", "tokens", "masks")] for s in "xy"]
+            for i in range(batch.num_rows):
+                groups, names = [], []
+                for columns in sides:
+                    node, cids, sizes, tokens, masks = (c[i].as_py() for c in columns)
+                    union = np.frombuffer(tokens, dtype=np.uint64)
+                    groups.append((np.frombuffer(sizes, dtype=np.int64), union, np.frombuffer(masks, dtype=np.uint64) if masks else np.ones(len(union), dtype=np.uint64)))
+                    names.append([node or cids[j : j + 16] for j in range(0, len(cids), 16)])
+                found += {(names[0][a], names[1][b]) for a, b in open_groups(*groups, percent)}
+            edges = _forest(found)
+            yield pa.record_batch({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
 
     return run
 
 
+def _inner_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = [(x[i : i + 16], x[i + 16 : i + 32]) for x in batch.column("links").to_pylist() for i in range(0, len(x), 32)]
+        yield pa.record_batch({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(x[i : i + 16], node) for node, x in zip(batch.column("node").to_pylist(), batch.column("cids").to_pylist(), strict=True) for i in range(0, len(x), 16)]
+        yield pa.record_batch({"cid": pa.array([c for c, _ in rows], pa.binary()), "node": pa.array([n or c for c, n in rows], pa.binary())})
+
+
+def jaccard_rows(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Link components as in `jaccard_components`, with `tie` (a hash of the text) and `stays` (the row's class is the one that names its component)."""
+    text = text_of()
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = rows.select(F.coalesce("doc_id", "tie").alias("rid"), "doc_id", "tie", "text")
+    named = shared_checkpoint(rows.mapInArrow(_skeleton(k), "rid long, doc_id long, tie long, n long, cls long, cid binary, tokens binary, counts binary"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(named))
+    skeleton = named.where("rid is not null").select("rid", "doc_id", "tie", "n", "cls", "cid")
+    facts = [F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("cls").alias("cls")]
+    classes = shared_checkpoint(skeleton.where("n > 0").groupBy("cid").agg(*facts))
+
+    groups = _grouped(rows, classes, frequent, k, percent)
+    edges = _links_across(groups, percent).unionByName(groups.where(F.length("links") > 0).select("links").mapInArrow(_inner_links, "a binary, b binary"))
+    labels = components(edges)
+    node_of = groups.select("node", "cids").mapInArrow(_members, "cid binary, node binary")
+    component = node_of.join(labels, "node", "left").select("cid", F.coalesce("component", "node").alias("component"))
+    return _named_rows(skeleton, classes, component)
+
+
+def _grouped(rows: DataFrame, classes: DataFrame, frequent, k: int, percent: int) -> DataFrame:
+    """Groups of the classes that meet enough tokens of others, with their token unions; a checkpoint."""
+    total = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
+    buckets = max(256, int(total // BLOCK_TOKENS))
+    blocks = rows.select("text").mapInArrow(_prefix_blocks(frequent, buckets, k, percent), "bucket long, tokens binary, classes binary, counts binary")
+    met = blocks.groupBy("bucket").applyInArrow(_met_in_block, "cls long, met long, known long, count long, token long")
+    met = met.groupBy("cls").agg(F.sum("met").alias("met"), F.sum("known").alias("known"), F.max(F.struct("count", "token"))["token"].alias("key"))
+    # The smallest set that can link is percent of this one. Blocks keep 32 bits of a token, so two tokens of a set may rarely count as one.
+    enough = F.floor(F.ceil(F.col("n") * percent / 100) * MET_PERCENT / 100) + 1
+    live = shared_checkpoint(met.join(classes.select("cls", "cid", "rid", "n"), "cls").where(F.col("met") >= F.greatest(F.lit(1), enough - 2)).select("cid", "rid", "n", "key", "known"))
+
+    leads = live.groupBy("key").agg(F.max_by("cid", F.struct("known", "cid")).alias("leader"), F.sum("n").alias("volume"))
+    volume = live.agg(F.sum("n")).first()[0] or 0
+    parts = int(volume // PART_TOKENS) + 1
+    salts = F.ceil(F.col("volume") / PART_TOKENS)
+    own = F.when(salts > 1, F.xxhash64("key", F.pmod(F.xxhash64("cid"), salts))).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts)))
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), salts - 1), lambda i: F.xxhash64("key", i))
+    wanted = live.join(leads, "key").select("rid", "cid", "key", own.alias("home"), (F.col("cid") == F.col("leader")).alias("leads"), (salts > 1).alias("spread"), everywhere.alias("everywhere"))
+    wanted = wanted.withColumn("parts", F.when(F.col("leads") & F.col("spread"), F.col("everywhere")).otherwise(F.array("home"))).drop("everywhere")
+    wanted = shared_checkpoint(wanted)
+    count = wanted.count()
+    sets = rows.select("rid", "text").join(maybe_broadcast(wanted, count, BROADCAST_IDS), "rid")
+    sets = sets.mapInArrow(_set_rows(k), "part long, cid binary, key long, leads boolean, guest boolean, spread boolean, n long, tokens binary")
+    return shared_checkpoint(sets.groupBy("part").applyInArrow(_built(frequent, percent), _GROUP))
+
+
+def _links_across(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups of different columns of the token-group matrix; a checkpoint.
+
+    Of two columns, tokens meet at places that the bound allows; pairs that meet less than `met_tokens` times go. A column stands in
+    with the sizes of its smallest and largest members, which only widens the bounds.
+    """
+    matrix = groups.select("fam", "low", "high", "ptokens", "pplaces").mapInArrow(_matrix_rows, "token long, fam long, low long, high long, place int")
+    matrix = matrix.groupBy("token", "fam").agg(F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"))
+    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("fam", "low", "high", "place")]) for side in "xy")
+    smaller = F.least("low_x", "low_y")
+    met = F.floor(smaller * MET_PERCENT / 100) + 1
+    overlap = F.ceil((F.col("low_x") + F.col("low_y")) * percent / (100 + percent) - F.lit(1e-9))
+    sizes = (F.col("high_x") * 100 >= F.col("low_y") * percent) & (F.col("high_y") * 100 >= F.col("low_x") * percent)
+    near = (F.col("place_x") < F.col("high_x") - overlap + met) & (F.col("place_y") < F.col("high_y") - overlap + met)
+    both = x.join(y, (x.token == y.token) & (F.col("fam_x") < F.col("fam_y")) & sizes & near)
+    pairs = both.groupBy("fam_x", "fam_y").agg(F.count(F.lit(1)).alias("common"), F.min(met).alias("least")).where("common >= least").select("fam_x", "fam_y")
+    blobs = ("node", "cids", "sizes", "tokens", "masks")
+    left, right = (groups.select(F.col("fam").alias(f"fam_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in blobs]) for side in "xy")
+    opened = pairs.join(left, "fam_x").join(right, "fam_y").drop("fam_x", "fam_y")
+    return shared_checkpoint(opened.mapInArrow(_opened(percent), "a binary, b binary"))
+
+
+def _named_rows(skeleton: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """Each row with its component's smallest id."""
+    label = shared_checkpoint(component.join(classes.select("cid", "least_id"), "cid"))
+    smallest = label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min_by("cid", F.struct(F.col("least_id").isNull(), "least_id", "cid")).alias("keeper"), F.count(F.lit(1)).alias("rows"))
+    smallest = shared_checkpoint(smallest.where("rows > 1"))
+    several = join_group_facts(label.select("cid", "component"), smallest, "component", "rows").where("rows is not null").select("cid", "component_id", "keeper", F.lit(True).alias("linked"))
+    of_class = classes.join(several, "cid", "left").where("linked or class_size > 1")
+    of_class = shared_checkpoint(of_class.select("cid", "class_size", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("keeper", "cid").alias("keeper")))
+    out = join_group_facts(skeleton.where("n > 0"), of_class, "cid", "class_size")
+    alone = F.col("class_size").isNull()
+    found = out.select(
+        "doc_id", "tie", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (alone | (F.col("cid") == F.col("keeper"))).alias("stays"),
+    )
+    empty = skeleton.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
+    return found.unionByName(empty)
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Link components of documents whose k-word shingle sets have a Jaccard similarity of `percent` or more.
 
     Takes any frame with doc_id and text. Returns doc_id, n_shingles, component_id (smallest doc_id that links reach, itself
     included), class_size (documents with the same set). Words are as in `common.word_hashes`. The result is exact up to collisions of
-    64-bit hashes; two classes with one signature are noticed and raise.
+    64-bit hashes.
 
     A text without words links with nothing. Rows without an id take part, and have their component's smallest id, or null if it
-    has none. Repeated rows count as equal texts; a text without words keeps its own id. An empty table gives no rows.
-    """
-    keyed = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of())).alias("rid"), text_of().alias("text"))
-    raw = keyed.select("rid", "text", "doc_id")
-    named = shared_checkpoint(
-        raw.select("rid", "text").mapInArrow(_skeleton(k), "rid long, n long, cls long, check long, least binary, tokens binary, counts binary")
-    )
-    skeleton = named.where("rid is not null").select("rid", "n", "cls", "check", "least")
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(named))
-    facts = [F.min("rid").alias("rid"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("least").alias("least")]
-    classes = skeleton.where("n > 0").groupBy("cls").agg(*facts, (F.min("check") != F.max("check")).alias("clash"))
-    classes = shared_checkpoint(classes)
-    if classes.where("clash").limit(1).count():
-        raise ValueError("two different sets have one signature")
-
-    star = _leader_links(keyed, classes, k, percent)
-    grouped = _bounded_groups(classes, star)
-    total = classes.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
-    buckets = max(256, int(total // 250_000))
-    blocks = raw.select("rid", "text").mapInArrow(_prefix_blocks(frequent, buckets, k, percent), "bucket long, tokens binary, classes binary, places binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared_tokens, "token long, cls long, place int")
-    matrix = shared.join(grouped.select("cls", "grp", "family", "low", "high"), "cls").groupBy("token", "grp", "family", "low", "high").agg(F.min("place").alias("place"))
-    matrix = shared_checkpoint(matrix)
-    pairs = _qualifying_pairs(matrix, percent)
-
-    members = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    wanted = grouped.join(members, "grp", "left_semi").select("cls")
-    sets = _sets_of(keyed, classes, wanted, k).join(grouped.select("cls", "grp"), "cls").groupBy("grp").agg(F.collect_list("tokens").alias("sets"))
-    sets = shared_checkpoint(sets)
-    opened = pairs.join(sets.select(F.col("grp").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("grp").alias("b"), F.col("sets").alias("y")), "b")
-    across = opened.select("a", "b", "x", "y").mapInArrow(_verify_groups(percent), "a long, b long")
-    # A family is connected by its leaders' links, so it stands for its groups and classes.
-    names = grouped.groupBy("grp").agg(F.first("family").alias("family"))
-    across = across.join(names.select(F.col("grp").alias("a"), F.col("family").alias("left")), "a").join(names.select(F.col("grp").alias("b"), F.col("family").alias("right")), "b")
-    labels = components(across.select(F.col("left").alias("a"), F.col("right").alias("b")))
-    named = grouped.join(labels.select(F.col("node").alias("family"), "component"), "family", "left").select("cls", F.coalesce("component", "family").alias("component"))
-    return _named_components(keyed, skeleton, named)
-
-
-def _leader_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a: class, b: a leader of it).
-
-    The classes that share a min-hash have two leaders: the one that shares most min-hashes with most classes, which in a family of
-    copies is its original or a copy with few changes, and one drawn by hash, another one for each min-hash. A class is first held
-    against the leader that shares most min-hashes with it, and only if they don't link against its other leaders.
+    has none. Repeated rows count as equal texts; a text without words keeps its own id. An empty table gives no rows; further
+    columns are ignored.
     """
-    one = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), lambda i: F.hex(F.substring(F.col("least"), i * 8 + 1, F.lit(8)))))
-    hashed = classes.select("cls", one.alias("nth", "value")).select("cls", F.xxhash64("nth", "value").alias("key"))
-    sizes = shared_checkpoint(hashed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    shared = shared_checkpoint(join_group_facts(hashed, sizes, "key", "rows").where("rows is not null"))
-    shared = shared.join(shared.groupBy("cls").agg(F.sum("rows").alias("known")), "cls")
-    drawn = F.xxhash64("cls", "key")
-    leaders = shared.groupBy("key").agg(F.array(F.max_by("cls", F.struct("known", drawn)), F.max_by("cls", drawn)).alias("leaders"), F.count(F.lit(1)).alias("rows"))
-    met = join_group_facts(shared.select("cls", "key"), shared_checkpoint(leaders), "key", "rows")
-    met = met.select(F.col("cls").alias("a"), F.explode("leaders").alias("b")).where("a <> b").distinct()
-    met = met.join(classes.select(F.col("cls").alias("a"), F.col("least").alias("x"), F.col("n").alias("n_a")), "a").join(
-        classes.select(F.col("cls").alias("b"), F.col("least").alias("y"), F.col("n").alias("n_b")), "b"
-    )
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.lit(MIN_HASHES - 1)), F.lit(0), lambda sum, i: sum + (F.substring(F.col("x"), i * 8 + 1, F.lit(8)) == F.substring(F.col("y"), i * 8 + 1, F.lit(8))).cast("int")
-    )
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    likely = shared_checkpoint(met.where(sized).select("a", "b", same.alias("votes")).where(F.col("votes") >= LEADER_VOTES))
-    sets = shared_checkpoint(_sets_of(docs, classes, likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), k))
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
-    first = shared_checkpoint(_verified(sets, best, percent))
-    rest = likely.join(first.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
-    return shared_checkpoint(first.unionByName(_verified(sets, rest, percent)))
-
-
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
-    found = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-    return found.select("a", "b", "x", "y").mapInArrow(_verify_pairs(percent), "a long, b long")
-
-
-def _bounded_groups(classes: DataFrame, star: DataFrame) -> DataFrame:
-    """Rows (cls, n, family, grp, low, high: sizes in the group). Members of a family are connected by leaders' links; it is dealt into groups of bounded size.
-    """
-    labels = components(star).select(F.col("node").alias("cls"), "component")
-    out = classes.select("cls", "n").join(labels, "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("family"))
-    sizes = shared_checkpoint(out.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    out = join_group_facts(out, sizes, "family", "rows")
-    chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("rows") / GROUP_ROWS))
-    out = out.select("cls", "n", "family", F.when(F.col("rows").isNull(), F.col("cls")).otherwise(F.xxhash64("family", chunk)).alias("grp"))
-    bounds = out.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    return shared_checkpoint(out.join(bounds, "grp").select("cls", "n", "family", "grp", "low", "high"))
-
-
-def _qualifying_pairs(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups of different families whose shared prefix tokens let two of their sets reach the wanted overlap.
-
-    Sets of n and m tokens that share o tokens or more share l or more of the first n - o + l of the one and the first m - o + l of
-    the other, for any l. So only tokens at such places meet, and pairs that meet less than l times go. A larger l drops more pairs;
-    it is a few hundredths of the smaller set, as far as the stored prefixes reach. Groups stand in with the sizes of their smallest and
-    largest members, which only widens the bounds.
-    """
-    names = ("grp", "family", "low", "high", "place")
-    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "xy")
-    o = F.ceil((F.col("low_x") + F.col("low_y")) * percent / (100 + percent) - F.lit(1e-9))
-    beyond = [F.col(f"high_{side}") - o for side in "xy"]
-    reach = [F.col(f"low_{side}") - F.ceil(F.col(f"low_{side}") * percent / 100 - F.lit(1e-9)) + 1 for side in "xy"]
-    least = F.greatest(F.lit(1), F.least(F.floor(F.least("low_x", "low_y") * 3 / 100) + 1, reach[0] - beyond[0], reach[1] - beyond[1]))
-    sizes = (F.col("high_x") * 100 >= F.col("low_y") * percent) & (F.col("high_y") * 100 >= F.col("low_x") * percent)
-    near = (F.col("place_x") < beyond[0] + least) & (F.col("place_y") < beyond[1] + least)
-    met = x.join(y, (x.token == y.token) & (F.col("grp_x") < F.col("grp_y")) & (F.col("family_x") != F.col("family_y")) & sizes & near)
-    counted = met.groupBy(F.col("grp_x").alias("a"), F.col("grp_y").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(least).alias("least"))
-    return shared_checkpoint(counted.where("common >= least").select("a", "b"))
-
-
-def _named_components(docs: DataFrame, skeleton: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each document with its component's smallest id."""
-    # Rows without an id stand under a hash of their text; those don't name a component.
-    real = docs.where("doc_id is not null").select("doc_id").distinct() if docs.where("doc_id is null").limit(1).count() else None
-    rows = skeleton.withColumn("doc_id", F.col("rid"))
-    if real is not None:
-        known = real.select(F.col("doc_id").alias("rid"), F.lit(True).alias("known"))
-        rows = skeleton.join(known, "rid", "left").withColumn("doc_id", F.when(F.col("known"), F.col("rid"))).drop("known")
-    least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("class_size"))
-    label = shared_checkpoint(least.join(labels, "cls"))
-    smallest = shared_checkpoint(label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
-    of_class = shared_checkpoint(join_group_facts(label, smallest, "component", "rows").select("cls", "component_id", "class_size"))
-    words = join_group_facts(rows.where("n > 0").select("doc_id", "n", "cls"), of_class, "cls", "class_size")
-    return words.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size").unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    )
+    return jaccard_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one whose id names it; columns are unchanged. Documents without words or without an id stay.
 
-    Of rows that repeat the staying id, all stay that have its set.
+    Where one id stands on rows of several texts, only those texts go that another row stands for. Rows that repeat id and set of the
+    staying one stay with it.
     """
-    decided = jaccard_components(docs, k, percent)
-    gone = shared_checkpoint(decided.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti")
+    id_name, tie_name = (f"{docs.columns and max(docs.columns, key=len)}_{x}" for x in ("id", "tie"))
+    decided = jaccard_rows(docs, k, percent)
+    gone = decided.where("n_shingles > 0 and doc_id is not null and not (stays and doc_id = component_id)")
+    gone = shared_checkpoint(gone.select(F.col("doc_id").alias(id_name), F.col("tie").alias(tie_name)).distinct())
+    marked = (F.col("doc_id").cast("long") == F.col(id_name)) & (F.xxhash64(text_of()) == F.col(tie_name))
+    return docs.join(maybe_broadcast(gone, gone.count()), marked, "left_anti")

@@ -137,17 +137,52 @@ def test_components_equal_brute_force(spark):
     assert kept == sorted(i for i, (n, c) in want.items() if n == 0 or c == i)
 
 
-def test_prefixes_of_linked_sets_meet():
+def test_prefixes_of_linked_sets_meet_often_enough():
     r = np.random.default_rng(1)
-    frequent = np.sort(r.integers(0, 1 << 62, 50, dtype=np.uint64))
-    ranks = r.permutation(50)
-    for _ in range(200):
-        n = int(r.integers(5, 80))
-        x = np.unique(np.concatenate([r.integers(0, 1 << 62, n, dtype=np.uint64), frequent[r.random(50) < 0.3]]))
-        y = np.unique(np.where(r.random(len(x)) < 0.1, r.integers(0, 1 << 62, len(x), dtype=np.uint64), x))
+    frequent = ngram_join.Frequent(r.integers(0, 1 << 62, 50, dtype=np.uint64), r.permutation(50))
+    for _ in range(300):
+        n = int(r.integers(5, 200))
+        x = np.unique(np.concatenate([r.integers(0, 1 << 62, n, dtype=np.uint64), frequent.token[r.random(50) < 0.3]]))
+        y = np.unique(np.where(r.random(len(x)) < 0.1, r.integers(0, 1 << 62, len(x), dtype=np.uint64), x))[: r.integers(len(x) * 9 // 10, len(x) + 1)]
         if ngram_join._links(x, y, 80):
-            a, b = (ngram_join.prefix_of(s, (frequent, ranks), 80)[0] for s in (x, y))
-            assert len(np.intersect1d(a, b))
+            a, b = (frequent.prefix(s, 80)[0] for s in (x, y))
+            assert len(np.intersect1d(a, b)) >= ngram_join.met_tokens(min(len(x), len(y)))
+
+
+def test_groups_open_to_the_same_links_as_all_pairs():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        base = r.integers(0, 1 << 62, 90, dtype=np.uint64)
+        sets = [np.unique(np.where(r.random(90) < r.choice([0.02, 0.12, 0.4]), r.integers(0, 1 << 62, 90, dtype=np.uint64), base)) for _ in range(50)]
+        x, y = sets[:20], sets[20:]
+        groups = [(np.array([len(s) for s in g]), *ngram_join.token_union(g)) for g in (x, y)]
+        want = [(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if ngram_join._links(a, b, 80)]
+        assert sorted(ngram_join.open_groups(*groups, 80)) == want
+
+
+def test_one_large_family_over_many_parts(spark, monkeypatch):
+    """Copies of one text, most near its original and some far, dealt into parts of a few sets each; and one text with two ids."""
+    monkeypatch.setattr(ngram_join, "PART_TOKENS", 900)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 4)
+    r = random.Random(6)
+    base, rows = said(100, 77).split(), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"v{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, said(50, i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    one, two = said(60, 1), said(60, 2)
+    df = spark.createDataFrame([(7, one), (7, two), (3, two + " end"), (8, "other words"), (None, one)], "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("tie", F.lit(2))
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted([("7", one), ("3", two + " end"), ("8", "other words"), ("None", one)])
 
 
 def test_syncmers(spark):
