@@ -32,8 +32,8 @@ GROUP_ROWS = 64
 PART_TOKENS, BROADCAST_IDS = 250_000, 200_000
 #: Tokens counted in this many documents or more come last in the common order; the most frequent ones are sent to the tasks.
 FREQUENT_FROM, FREQUENT_TOKENS = 16, 1 << 18
-#: Tokens a task gathers before it passes them on, and tokens of a block of the prefixes, about.
-WINDOW_TOKENS, BLOCK_TOKENS = 500_000, 1_000_000
+#: Tokens a task gathers before it passes them on, tokens of a block of the prefixes, about, and documents beyond which a token has several blocks.
+WINDOW_TOKENS, BLOCK_TOKENS, DEALT_FROM = 500_000, 1_000_000, 20_000
 _LOW = np.uint64(0xFFFFFFFF)
 _WIDE = np.uint64(32)
 
@@ -139,8 +139,8 @@ def _frequent_tokens(skeleton: DataFrame) -> Frequent:
     return Frequent(token.view(np.uint64), count)
 
 
-def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
-    """Tokens of the prefixes in blocks by hash range; frequent tokens go to blocks of their own, dealt by class."""
+def _prefix_blocks(frequent, buckets: int, dealt_from: int, k: int, percent: int):
+    """Tokens of the prefixes in blocks by hash; those of more than `dealt_from` documents go to several blocks by class, all apart from the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -148,23 +148,24 @@ def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
 
         def blocks() -> pa.RecordBatch:
             token, count, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-            often = count > 0
-            bucket = np.where(often, np.uint64(buckets) + cls % np.uint64(buckets), token % np.uint64(buckets))
+            deals = (count // dealt_from + 1).astype(np.uint64)
+            own = token % np.uint64(buckets)
+            bucket = np.where(deals > 1, np.uint64(buckets) + (own + cls % deals * np.uint64(97)) % np.uint64(buckets), own)
             place = (bucket << _WIDE) | (token >> _WIDE)
             order = np.lexsort((cls, place))
-            place, cls, count = place[order], cls[order], count[order]
+            place, cls, deals = place[order], cls[order], deals[order]
             new = np.append(True, (place[1:] != place[:-1]) | (cls[1:] != cls[:-1]))
-            place, cls, count = place[new], cls[new], count[new]
+            place, cls, deals = place[new], cls[new], deals[new]
             bucket = (place >> _WIDE).astype(np.int64)
             first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
             cuts = list(zip(first, np.append(first[1:], len(bucket)), strict=True))
-            token, count = (place & _LOW).astype(np.uint32), count.astype(np.int64)
+            token = (place & _LOW).astype(np.uint32)
             return pa.record_batch(
                 {
                     "bucket": pa.array(bucket[first]),
                     "tokens": pa.array([token[a:b].tobytes() for a, b in cuts], pa.binary()),
                     "classes": pa.array([cls[a:b].tobytes() for a, b in cuts], pa.binary()),
-                    "counts": pa.array([count[a:b].tobytes() if bucket[a] >= buckets else None for a, b in cuts], pa.binary()),
+                    "deals": pa.array([deals[a:b].astype(np.int64).tobytes() if bucket[a] >= buckets else None for a, b in cuts], pa.binary()),
                 }
             )
 
@@ -187,25 +188,25 @@ def _prefix_blocks(frequent, buckets: int, k: int, percent: int):
 
 
 def _met_in_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class in a block: how many of its tokens another class has too (of frequent tokens all), the sum of their counts, and the token with the largest."""
+    """Of each class in a block: how many of its tokens another class has too, the sum of those tokens' classes, and the token with most classes.
+
+    Of tokens with several blocks each holds its share of the classes, and all tokens count.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for t, c, m in zip(*(batch.column(x).to_pylist() for x in ("tokens", "classes", "counts")), strict=True):
+        for t, c, m in zip(*(batch.column(x).to_pylist() for x in ("tokens", "classes", "deals")), strict=True):
             token = np.frombuffer(t, dtype=np.uint32)
-            held.append((token, np.frombuffer(c, dtype=np.uint64), np.frombuffer(m, dtype=np.int64) if m is not None else np.zeros(len(token), dtype=np.int64)))
-    token, cls, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.append((token, np.frombuffer(c, dtype=np.uint64), np.frombuffer(m, dtype=np.int64) if m is not None else np.ones(len(token), dtype=np.int64)))
+    token, cls, deals = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((cls, token))
-    token, cls, count = token[order], cls[order], count[order]
+    token, cls, deals = token[order], cls[order], deals[order]
     new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-    token, cls, count = token[new], cls[new], count[new]
-    name = token.astype(np.int64)
-    if count.any():
-        name = -1 - name
-    else:
-        first = np.append(True, token[1:] != token[:-1])
-        count = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
-        name += int(key[0].as_py()) << 32
-        name, cls, count = name[count > 1], cls[count > 1], count[count > 1]
+    token, cls, deals = token[new], cls[new], deals[new]
+    first = np.append(True, token[1:] != token[:-1])
+    count = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
+    met = (count > 1) | (deals > 1)
+    name = np.where(deals > 1, -1 - token.astype(np.int64), token.astype(np.int64) + (int(key[0].as_py()) << 32))[met]
+    cls, count = cls[met], (count * deals)[met]
     order = np.lexsort((name, count, cls))
     name, cls, count = name[order], cls[order], count[order]
     first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, dtype=np.int64)
@@ -425,7 +426,7 @@ def _grouped(rows: DataFrame, classes: DataFrame, frequent, k: int, percent: int
     """Groups of the classes that meet enough tokens of others, with their token unions; a checkpoint."""
     total = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = max(256, int(total // BLOCK_TOKENS))
-    blocks = rows.select("text").mapInArrow(_prefix_blocks(frequent, buckets, k, percent), "bucket long, tokens binary, classes binary, counts binary")
+    blocks = rows.select("text").mapInArrow(_prefix_blocks(frequent, buckets, DEALT_FROM, k, percent), "bucket long, tokens binary, classes binary, deals binary")
     met = blocks.groupBy("bucket").applyInArrow(_met_in_block, "cls long, met long, known long, count long, token long")
     met = met.groupBy("cls").agg(F.sum("met").alias("met"), F.sum("known").alias("known"), F.max(F.struct("count", "token"))["token"].alias("key"))
     # The smallest set that can link is percent of this one. Blocks keep 32 bits of a token, so two tokens of a set may rarely count as one.

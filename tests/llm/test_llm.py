@@ -163,7 +163,7 @@ def test_groups_open_to_the_same_links_as_all_pairs():
 def test_one_large_family_over_many_parts(spark, monkeypatch):
     """Copies of one text, most near its original and some far, dealt into parts of a few sets each; and one text with two ids."""
     monkeypatch.setattr(ngram_join, "PART_TOKENS", 900)
-    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "DEALT_FROM", 30)
     r = random.Random(6)
     base, rows = said(100, 77).split(), []
     for i in range(150):
