@@ -68,6 +68,12 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) ->
     return near.unionByName(far)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the frame doesn't have."""
+    held = {c.lower() for c in df.columns}
+    return [next(x for x in (name + "_" * i for i in range(1, len(held) + 2)) if x not in held) for name in names]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))

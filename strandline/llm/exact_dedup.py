@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, join_group_facts, maybe_broadcast, shared_checkpoint, text_of
+from strandline.llm.common import SPACE, join_group_facts, maybe_broadcast, shared_checkpoint, text_of, unused
 
 #: Bits of a fingerprint that select its quotient (a block of the filter); the other 48 are its remainder.
 QUOTIENT_BITS = 16
 #: Fingerprints that a task gathers before it writes a filter.
 FILTER_ROWS = 1 << 20
+#: Ids with digests (120 bytes a row) that may be broadcast.
+BROADCAST_KEYS = 200_000
 
 
 def normalised(column: str = "text") -> Column:
@@ -112,16 +114,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents without the copies that `exact_groups` drops; their columns are unchanged.
+    """The documents without the copies that `exact_groups` drops, one row of each group; their columns are unchanged.
 
-    Rows that repeat the kept row's id and text count as copies of it and go too, so one row of each group stays, or all rows of a
-    group without any id.
+    Of rows that repeat the staying row's id, and of a group whose rows all lack an id, a longest one stays. Null and empty
+    texts are one group; an empty table gives no rows. Only ids and digests of copies are gathered; where those are few, texts aren't shuffled.
     """
-    decided = exact_groups(docs).select("doc_id", "kept", "text_sha256")
-    dropped = shared_checkpoint(decided.where("not kept and doc_id is not null").select("doc_id", "text_sha256").distinct())
-    nameless = decided.where("not kept and doc_id is null").select("text_sha256").distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    gone = maybe_broadcast(dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")), dropped.count())
-    left = marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti")
-    left = left.join(nameless.select(F.col("text_sha256").alias("_gone")), F.col("doc_id").isNull() & (F.col("_sha") == F.col("_gone")), "left_anti")
-    return left.drop("_sha")
+    ident, sha, size, row = unused(docs, "ident", "sha", "size", "row")
+    decided = shared_checkpoint(exact_groups(docs).where("group_size > 1").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha), "kept"))
+    gone = decided.where("not kept").drop("kept").distinct()
+    again = decided.where("kept").groupBy(ident, sha).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1).drop(size)
+    marked = docs.withColumn(sha, F.sha2(normalised(), 256))
+
+    def same(keys: DataFrame):
+        return F.col("doc_id").eqNullSafe(keys[ident]) & (marked[sha] == keys[sha])
+
+    left = marked.join(maybe_broadcast(gone, gone.count(), BROADCAST_KEYS), same(gone), "left_anti")
+    repeats = again.count()
+    if not repeats:
+        return left.drop(sha)
+    again = maybe_broadcast(again, repeats, BROADCAST_KEYS)
+    # Summed in the tasks first, so a row that repeats often meets no other task as often.
+    one = left.join(again, same(again), "left_semi").groupBy(F.col("doc_id"), sha).agg(F.max_by(F.struct(*docs.columns), F.length(text_of())).alias(row))
+    return left.join(again, same(again), "left_anti").select(*docs.columns).unionByName(one.select(f"{row}.*"))

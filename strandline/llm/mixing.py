@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, shared_checkpoint, text_of
+from strandline.llm.common import WORD, shared_checkpoint, text_of, unused
 
 #: A source's words are repeated at most so often.
 MOST_EPOCHS = 3
-#: Equal ranges of the hash key; within a source each is sorted and summed on its own.
-KEY_RANGES = 1024
+#: Equal ranges of the hash key, by the table's rows; within a source each is sorted and summed on its own.
+LEAST_RANGES, ROWS_IN_RANGE = 1024, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most_ep
     return settled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, seed: str = "mix", ranges: int = KEY_RANGES) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, seed: str = "mix", ranges: int | None = None) -> DataFrame:
     """Words that a mix of the sources takes from each document.
 
     Takes any frame with doc_id, source and text. Returns doc_id, source, size, source_size, target, taken, epochs (whole passes),
@@ -50,9 +50,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64(text_of()).alias("tie"))
-    # The key's leading 32 bits, cut into equal ranges: the same partition of the key space in every run.
-    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
     rows = shared_checkpoint(rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
+    # The key's leading 32 bits, cut into equal ranges: as many as rows ask for, so the same in every run.
+    ranges = ranges or max(LEAST_RANGES, rows.count() // ROWS_IN_RANGE)
+    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
 
     sums = shared_checkpoint(rows.groupBy("name", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
     offsets = sums.withColumn("offset", F.sum("words").over(Window.partitionBy("name").orderBy("range")) - F.col("words"))
@@ -83,12 +84,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> Data
     A document appears once for each whole pass, and once more if the last pass takes at least half of its words: texts stay whole, so
     a source departs from its budget by half a document at most. Documents without words appear once for each whole pass.
     """
+    key, own_copies, nth, copy = unused(docs, "key", "copies", "nth", "copy")
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
-    counted = mix(docs, weights).withColumn("_key", _row_key("tie")).groupBy("_key").agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_key", _row_key(F.xxhash64(text_of())))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    joined = keyed.withColumn("_nth", nth).join(counted, "_key")
-    # Equal rows share their copies as evenly as whole numbers allow.
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    repeated = joined.withColumn("_copy", F.explode(F.when(own > 0, F.sequence(F.lit(1), own.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    counted = mix(docs, weights).select(_row_key("tie").alias(key), copies.alias(own_copies)).groupBy(key).agg(F.sum(own_copies).alias(own_copies), F.count(F.lit(1)).alias(nth))
+    several = counted.where(F.col(nth) > 1)
+    keyed = docs.withColumn(key, _row_key(F.xxhash64(text_of())))
+    found = keyed.join(counted, key)
+    if several.limit(1).count():
+        # Equal rows share their copies as evenly as whole numbers allow: those after the first ones have one less.
+        number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+        alone, equal = found.where(F.col(nth) == 1).drop(nth), found.where(F.col(nth) > 1)
+        share = F.floor(F.col(own_copies) / F.col(nth)) + F.when(number <= F.col(own_copies) % F.col(nth), 1).otherwise(0)
+        found = alone.unionByName(equal.withColumn(own_copies, share).drop(nth))
+    repeated = found.withColumn(copy, F.explode(F.when(F.col(own_copies) > 0, F.sequence(F.lit(1), F.col(own_copies).cast("int"))).otherwise(F.array().cast("array<int>"))))
     return repeated.select(*docs.columns)
