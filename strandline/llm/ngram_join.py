@@ -6,8 +6,9 @@ first n - o + l of the one and the first m - o + l of the other, for any l up to
 passage that many texts quote doesn't bring them together. Classes with too few met tokens leave at this point; most do.
 
 The rest are partitioned into groups of similar texts: by the token of theirs that most classes have, then by whether they link to
-that token's leader, the class with most met tokens. A group holds its token union, with a bit a member for each token. Groups that
-link to one leader are a family, which is connected, and stands in the token-group matrix as one column. Pairs of columns that meet
+that token's leader, the class with most met tokens, are near it, or are unlike it, and then look for another leader. A group holds its
+token union, with a bit a member for each token. Groups that link to one leader are a family, which is connected, and stands in the
+token-group matrix as one column. Pairs of columns that meet
 often enough are opened group by group: a member is a query against the other group's union, and only where its overlap with the
 union reaches what a link needs, the members' bits are counted.
 """
@@ -28,6 +29,8 @@ WORDS_IN_SHINGLE, PERCENT = 5, 80
 MET_PERCENT = 5
 #: Members of a group at most: a bit each.
 GROUP_ROWS = 64
+#: Similarity to a leader from which texts that don't link to it share groups, as a fraction. Others find another leader, themselves in the end.
+NEAR = (1, 2)
 #: Tokens of the sets that are grouped in one task, about, and ids that may be broadcast to fetch those sets.
 PART_TOKENS, BROADCAST_IDS = 250_000, 200_000
 #: Tokens counted in this many documents or more come last in the common order; the most frequent ones are sent to the tasks.
@@ -245,10 +248,27 @@ def _set_rows(k: int):
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
+    common = _common(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(x) + len(y) - common)
+    return int((both[1:] == both[:-1]).sum())
+
+
+def around_leader(leader: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Of each set: 2 if it links to the leader, 1 if it is half as similar or more, else 0."""
+    out = []
+    for s in sets:
+        if min(len(s), len(leader)) * NEAR[1] < NEAR[0] * max(len(s), len(leader)):
+            out.append(0)
+            continue
+        common = _common(leader, s)
+        union = len(leader) + len(s) - common
+        out.append(2 if 100 * common >= percent * union else int(common * NEAR[1] >= NEAR[0] * union))
+    return out
 
 
 def token_union(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -341,19 +361,21 @@ def _built(frequent, percent: int):
         out = []
         for rows in by_key.values():
             sets = {cid: np.frombuffer(t, dtype=np.uint64) for cid, *_, t in rows}
-            own = sorted((c for c in {cid for cid, _, guest, *_ in rows if not guest}), key=lambda c: (len(sets[c]), c))
+            rest = sorted({cid for cid, _, guest, *_ in rows if not guest}, key=lambda c: (len(sets[c]), c))
             leader = next((cid for cid, leads, *_ in rows if leads), None)
-            linked = [c for c in own if leader is not None and (c == leader or _links(sets[leader], sets[c], percent))]
-            spread = rows[0][3]
-            n = len(sets[leader]) if leader is not None else 0
             # A family of several parts has the bounds that its leader's size sets, the same in every part.
-            bounds = (-((-percent * n) // 100), n * 100 // percent) if spread else (len(sets[linked[0]]), len(sets[linked[-1]])) if linked else (0, 0)
-            for i in range(0, len(linked), GROUP_ROWS):
-                out.append(group([(c, sets[c]) for c in linked[i : i + GROUP_ROWS]], leader, *bounds))
-            known = set(linked)
-            loose = [c for c in own if c not in known]
-            for i in range(0, len(loose), GROUP_ROWS):
-                out.append(group([(c, sets[c]) for c in loose[i : i + GROUP_ROWS]], None))
+            n = len(sets[leader]) if leader is not None else 0
+            bounds = (-((-percent * n) // 100), n * 100 // percent) if rows[0][3] else None
+            while rest:
+                head = leader if leader is not None else rest[len(rest) // 2]
+                kinds = around_leader(sets[head], [sets[c] for c in rest], percent)
+                linked, near, rest = ([c for c, k in zip(rest, kinds, strict=True) if k == kind] for kind in (2, 1, 0))
+                own = bounds or (len(sets[linked[0]]), len(sets[linked[-1]])) if linked else None
+                for i in range(0, len(linked), GROUP_ROWS):
+                    out.append(group([(c, sets[c]) for c in linked[i : i + GROUP_ROWS]], head, *own))
+                for i in range(0, len(near), GROUP_ROWS):
+                    out.append(group([(c, sets[c]) for c in near[i : i + GROUP_ROWS]], None))
+                leader = bounds = None
         for i in range(0, len(out), 200):
             columns = list(zip(*out[i : i + 200], strict=True))
             kinds = [x.split(" ") for x in _GROUP.split(", ")]
