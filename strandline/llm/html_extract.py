@@ -6,18 +6,21 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded_batches, join_group_facts, shared_checkpoint
 
 #: Share of a page's text that its main container holds at least.
 MAIN_SHARE = 0.8
-#: Paths of hosts that may be broadcast together.
-BROADCAST_PATHS = 100_000
+#: Characters of hosts and their winning paths that may be broadcast together.
+BROADCAST_CHARS = 10_000_000
+#: Longer paths and names are cut and end in a digest; elements nested deeper stand for their ancestor, as in browsers.
+LONGEST_PATH, LONGEST_NAME, DEEPEST = 400, 100, 512
 
 # Elements by their role in the markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +44,8 @@ PAGE_TAGS = frozenset("html body main article".split())
 LANDMARKS = frozenset("main article h1".split())
 DOUBTFUL_TAGS = frozenset("form header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+# A tag ends at the first > outside quotes; one with broken quotes, at the first >. No part is read twice, and so many pieces at most.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?:[^<>"']++|"[^"]*+"|'[^']*+'){0,100}+)>|([^<>]*+)>)""", re.DOTALL)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
@@ -63,17 +67,23 @@ class _Element:
     aside: bool
     marks: tuple[_Mark, ...] = ()
     articles: int = 0
+    #: Whether it is or lies in an article or main element, and the paths of the containers around its text, the outermost first.
+    article: bool = False
+    around: tuple[str, ...] = ()
 
 
 @dataclass
 class _Block:
     text: str
     linked: int
-    inside: list[str] = field(default_factory=list)
+    inside: tuple[str, ...] = ()
     article: bool = False
     marks: tuple[_Mark, ...] = ()
 
 
+_OUTSIDE = _Element("", "", False)
+
+
 def _says_aside(values: str) -> bool:
     """Whether a whole class, id or role names an aside."""
     for token in values.split():
@@ -83,24 +93,33 @@ def _says_aside(values: str) -> bool:
     return False
 
 
-def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
+def _cut(name: str, most: int) -> str:
+    return name if len(name) <= most else f"{name[:most]}~{md5(name.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}"
+
+
+def _element(tag: str, attributes: str, parent: _Element, depth: int) -> _Element:
     """An element with its path, in which classes and ids lose their digits, and the marks on it and around it."""
+    by_tag = tag in ASIDE_TAGS and not (tag == "header" and parent.article)
+    aside = parent.aside or (by_tag and tag not in DOUBTFUL_TAGS)
+    if depth >= DEEPEST:
+        return _Element(tag, parent.path, aside, parent.marks, parent.articles, parent.article, parent.around)
     named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)} if attributes else {}
-    inside_article = parent is not None and ("article" in parent.path or "main" in parent.path)
-    by_tag = tag in ASIDE_TAGS and not (tag == "header" and inside_article)
-    aside = bool(parent and parent.aside) or (by_tag and tag not in DOUBTFUL_TAGS)
-    marks = parent.marks if parent else ()
+    marks = parent.marks
     said = _says_aside(" ".join(named.values()))
     if tag in LANDMARKS and not said and not aside:
         for m in marks:
             m.landmark = True
             m.article |= tag != "h1"
     if (by_tag or said) and tag not in PAGE_TAGS:
-        marks = (*marks, _Mark(parent.articles if parent else 0))
+        marks = (*marks, _Mark(parent.articles))
     name = tag + "".join("." + re.sub(r"\d+", "", c) for c in sorted(named.get("class", "").split()))
     if "class" not in named and "id" in named:
         name += "#" + re.sub(r"\d+", "", named["id"])
-    return _Element(tag, f"{parent.path}>{name}" if parent else name, aside, marks, (parent.articles if parent else 0) + (tag in ("main", "article") and not marks))
+    above = parent.path if len(parent.path) <= LONGEST_PATH else _cut(parent.path, LONGEST_NAME)
+    path = f"{above}>{_cut(name, LONGEST_NAME)}" if above else _cut(name, LONGEST_NAME)
+    around = (*parent.around, path) if tag in CONTAINERS else parent.around
+    named_article = tag in ("main", "article")
+    return _Element(tag, path, aside, marks, parent.articles + (named_article and not marks), parent.article or named_article, around)
 
 
 def blocks_of(page: str) -> list[_Block]:
@@ -110,16 +129,17 @@ def blocks_of(page: str) -> list[_Block]:
     held: list[str] = []
     linked = links = at = 0
     outside: Counter[str] = Counter()
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
-            if text and not (stack and stack[-1].aside):
-                marks = stack[-1].marks if stack else ()
-                for m in marks:
+            top = stack[-1] if stack else _OUTSIDE
+            if text and not top.aside:
+                for m in top.marks:
                     m.size += len(text)
-                out.append(_Block(text, linked, [e.path for e in stack if e.tag in CONTAINERS], any(e.tag in ("article", "main") for e in stack), marks))
+                out.append(_Block(text, linked, top.around, top.article, top.marks))
         held, linked = [], 0
 
     size = len(page)
@@ -149,15 +169,17 @@ def blocks_of(page: str) -> list[_Block]:
         flush()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
+            while opened[tag]:
+                top = stack.pop()
+                opened[top.tag] -= 1
+                if top.tag == tag:
                     break
         elif tag not in VOID:
             # A paragraph ends where a block begins, and an item where the next one does.
             if stack and (stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "td", "tr", "th", "dt", "dd", "option"))):
-                stack.pop()
-            stack.append(_element(tag, m[3], stack[-1] if stack else None))
+                opened[stack.pop().tag] -= 1
+            stack.append(_element(tag, m[3] or m[4] or "", stack[-1] if stack else _OUTSIDE, len(stack)))
+            opened[tag] += 1
             if tag in LANDMARKS and not stack[-1].aside and not stack[-1].marks:
                 outside[tag] += 1
     flush()
@@ -179,41 +201,37 @@ def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
     counted. A page without those elements has it in all that is around that container, up to the body.
     """
     scores: Counter[str] = Counter()
+    depth: dict[str, int] = {}
     total = 0
     for b in blocks:
         own = max(len(b.text) - b.linked, 0)
         total += own
-        for path in set(b.inside):
+        for i, path in enumerate(b.inside):
             scores[path] += own
+            depth[path] = i
+    place = lambda p: (depth[p], p)
     fit = [p for p, s in scores.items() if s >= share * total and s > 0]
-    deepest = max(fit, key=lambda p: (p.count(">"), scores[p], p), default="")
+    deepest = max(fit, key=place, default="")
     if not deepest:
         return ""
     needed = [b for b in blocks if b.article or deepest in b.inside]
     shared = set(needed[0].inside).intersection(*(b.inside for b in needed))
     if not any(b.article for b in needed):
         layout = [p for p in shared if _tag(p) not in ("html", "body")]
-        return min(layout or shared, key=lambda p: (p.count(">"), p))
-    return max(shared, key=lambda p: (p.count(">"), p), default="")
+        return min(layout or shared, key=place)
+    return max(shared, key=place, default="")
 
 
 def _tag(path: str) -> str:
     return re.split(r"[.#]", path.rsplit(">", 1)[-1], maxsplit=1)[0]
 
 
-def text_by_path(blocks: list[_Block], path: str | None, votes: int | None = None) -> str:
-    """The blocks within the host's path if they hold the page's own article, else those of the page's own main container.
-
-    `votes` is how many pages of the host vote for this page's container. Only a page without an article element that is alone with
-    its vote is read by the host's path all the same, where anything lies in it.
-    """
+def text_by_path(blocks: list[_Block], path: str | None) -> str:
+    """The blocks within the host's path if all of the page's own main container lies in it, else those of that container."""
     own = main_path(blocks)
     mine = [b for b in blocks if own in b.inside] if own else blocks
-    chosen = [b for b in blocks if path in b.inside] if path else []
-    odd = bool(chosen) and votes == 1 and not any(b.article for b in blocks)
-    if not odd and (not chosen or not all(path in b.inside for b in mine)):
-        chosen = mine
-    return "\n".join(b.text for b in chosen)
+    whole = path and all(path in b.inside for b in mine)
+    return "\n".join(b.text for b in (blocks if whole else mine) if not whole or path in b.inside)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,43 +240,28 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("host"), pa.array(paths, pa.string())], ["host", "own"])
 
 
-def _with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = [main_path(blocks_of(h or "")) or None for h in batch.column("html").to_pylist()]
-        yield batch.append_column("own", pa.array(paths, pa.string()))
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        met = zip(*(batch.column(c).to_pylist() for c in ("html", "path", "votes")), strict=True)
-        texts = [text_by_path(blocks_of(h or ""), p, v) for h, p, v in met]
+        texts = [text_by_path(blocks_of(h or ""), p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _vote_key() -> Column:
-    return F.concat_ws("\n", "host", "own")
-
-
 def host_paths(pages: DataFrame) -> DataFrame:
-    """Every path that pages of a host vote for, and the host's winner: rows (key, votes, path). Ties go to the greater path."""
-    counted = pages.select("host", "html").mapInArrow(_votes, "host string, own string").where("own is not null").groupBy("host", "own").agg(F.count(F.lit(1)).alias("votes"))
-    counted = shared_checkpoint(counted)
-    best = counted.groupBy("host").agg(F.max(F.struct("votes", "own")).alias("best")).select("host", F.col("best.own").alias("path"))
-    return counted.join(best, "host").select(_vote_key().alias("key"), "votes", "path")
+    """The path that most pages of a host vote for: rows (host, votes, path), votes being those of all its paths. Ties go to the greater path."""
+    counted = pages.select("host", "html").mapInArrow(_votes, "host string, own string").where("own is not null").groupBy("host", "own").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("host").agg(F.sum("n").alias("votes"), F.max(F.struct("n", "own"))["own"].alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars.
 
-    Takes any frame with page_id, url and html. Pages without a host share one vote. Null or empty html has an empty text; null ids
-    and repeated rows stay as they are; an empty table gives no rows.
+    Takes any frame with page_id, url and html; further columns are ignored. A page is read by its host's winning path where that holds
+    the page's own main container, so the consensus adds what a page's own score leaves out and drops nothing of it. Pages without a host
+    share one vote. Null or empty html has an empty text; null ids and repeated rows stay as they are; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     winners = shared_checkpoint(host_paths(rows))
-    voted = rows.mapInArrow(_with_own, "page_id long, url string, html string, host string, own string").select("page_id", "url", "html", _vote_key().alias("key"))
-    if winners.count() <= BROADCAST_PATHS:
-        met = voted.join(F.broadcast(winners), "key", "left")
-    else:
-        met = join_group_facts(voted, winners, "key", "votes")
-    return met.select("page_id", "url", "html", "path", "votes").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    chars = winners.agg(F.sum(F.length("host") + F.length("path") + 50)).first()[0] or 0
+    met = rows.join(F.broadcast(winners), "host", "left") if chars <= BROADCAST_CHARS else join_group_facts(rows, winners, "host", "votes")
+    return met.select("page_id", "url", "html", "path").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -17,8 +17,8 @@ from strandline.llm.text_features import counted_words, hashed_words
 BITS, HEADS = 18, (4, 5, 6)
 #: Labelled rows that the chain is fitted on at most: those of the smallest hashes of their ids.
 SAMPLE_ROWS = 6_000
-#: Categories in the chain's order: junk text, toxic text, and toxic text where abuse is dense.
-CATEGORIES = ("junk", "toxic", "dense")
+#: Categories in the chain's order, those that the labels have: junk text (quality 0) and toxic text.
+CATEGORIES = ("junk", "toxic")
 THRESHOLD = 0.5
 FOLDS = 5
 
@@ -121,13 +121,14 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[LinearModel]:
     """Fit the chain on at most `sample_rows` labelled rows, drawn by hash of the id.
 
-    Rows without an id or a toxic label aren't used; without any usable row every probability is a half.
+    Rows without an id or a toxic label aren't used, and of rows with one id the one with the smallest features; without any usable row
+    there is no chain.
     """
     drawn = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows rows of three numbers, so they may be broadcast.
     rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_features, "doc_id long, quality int, toxic int, words binary").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "words"]).drop_duplicates("doc_id")
     if not len(rows):
         return []
     bucket = np.frombuffer(b"".join(rows["words"]), dtype=np.int32)
@@ -140,24 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     toxic = (rows["toxic"].to_numpy() > 0).astype(float)
     junk = (rows["quality"].fillna(1).to_numpy() <= 0).astype(float)
     fold = (pd.util.hash_array(rows["doc_id"].to_numpy()) % FOLDS).astype(int)
-    return fit_chain(owner, bucket, np.column_stack([junk, toxic, _dense(owner, bucket, toxic)]), fold)
-
-
-def _dense(owner: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Toxic rows in which words that mark toxic rows are more frequent than in the median toxic row."""
-    n, positive = len(toxic), max(toxic.sum(), 1)
-    seen = np.bincount(bucket, minlength=1 << BITS)
-    share = np.bincount(bucket, toxic[owner], minlength=1 << BITS) / np.maximum(seen, 1)
-    marks = np.bincount(owner, (share[bucket] > 0.8) & (seen[bucket] >= 5), minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
-    return ((toxic > 0) & (marks > np.median(marks[toxic > 0]) if positive and toxic.any() else np.zeros(n, dtype=bool))).astype(float)
+    return fit_chain(owner, bucket, np.column_stack([junk, toxic]), fold)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Probabilities of the chain's categories for every document, by its whole text.
 
     Takes frames with doc_id and text, and labels with doc_id, quality, toxic. The chain is fitted on `labelled_docs` (default: docs).
-    Returns doc_id, p_junk, p_toxic, p_dense, toxic (p_toxic at or above `threshold`). Null texts are empty and score by the models'
-    biases; null ids and repeated rows keep their rows; an empty table gives none, and without labels nothing is toxic.
+    Returns doc_id, p_junk, p_toxic, toxic (p_toxic at or above `threshold`). Null texts are empty and score by the models'
+    biases; null ids and repeated rows keep their rows; an empty table gives none. Without labels every probability is 0.
     """
     chain = docs.sparkSession.sparkContext.broadcast(train(labelled_docs if labelled_docs is not None else docs, labels, sample_rows))
 
@@ -168,7 +160,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame
                 p = predict_chain(chain.value, texts[a:b]) if chain.value else np.zeros((b - a, len(CATEGORIES)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), *[pa.array(p[:, j]) for j in range(len(CATEGORIES))]], ["doc_id", *[f"p_{c}" for c in CATEGORIES]])
 
-    scored = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double, p_dense double")
+    scored = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double")
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
