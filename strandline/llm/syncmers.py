@@ -1,8 +1,11 @@
 """Document fingerprints of closed syncmers with their places, in DataFrame functions alone.
 
-A text's units are runs of up to eight characters other than white space. A k-mer of units is a closed syncmer if its smallest inner
-s-mer, by hash, is its first or its last; that depends on the k-mer alone and not on what surrounds it. A fingerprint holds all
-syncmers of the text with the unit each begins at. Two fingerprints are matched anchor by anchor, and by the offset of their places.
+A text's units are short runs of characters that end at white space or after certain characters, so where a unit begins and ends depends
+on its own characters alone, never on a count from some earlier place. A k-mer is K units in a row. It is a closed syncmer if the
+smallest of its inner s-mers, by hash, is its first or its last; that depends on the k-mer alone and not on what surrounds it, so an edit
+moves no anchor that it doesn't touch. A fingerprint holds all syncmers of the text with the unit each begins at. Two
+fingerprints are matched anchor by anchor and by place: what counts are matches in one band of diagonals, so passages that
+stand in another order match in part only.
 """
 
 from __future__ import annotations
@@ -12,8 +15,16 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import shared_checkpoint, text_of
 
-UNIT = r"\S{1,8}"
+#: Characters that go on with a unit. It ends before white space and after any other character: a rare letter, two digits, a mark, any
+#: character beyond ASCII. They are listed one by one, as the pattern's classes are looked up in a table then, not tried range by range.
+GOES_ON = "ACDEFHILMNOPRSTUWacdefhilmnoprstuw02345689"
+UNIT = rf"[{GOES_ON}]++[^\s{GOES_ON}]?|[^\s{GOES_ON}]"
 K, S = 4, 2
+#: Two neighbouring bins of offsets are a band; a bin is this part of the longer text's units.
+BINS = 16
+#: Bits of an anchor's hash that take part in matching; the rest of a long holds its side and its place.
+_PLACE, _SIDE = 1 << 23, 1 << 24
+_LONGS = "array<bigint>"
 
 
 def _let(value: Column, then) -> Column:
@@ -21,92 +32,115 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def anchors(text: Column, unit: str = UNIT) -> Column:
-    """All closed syncmers of a text in its order: structs of hash and first unit. A text without any has one, of all its units."""
-    units = F.regexp_extract_all(text, F.lit(unit), F.lit(0))
-    hashes = F.transform(units, lambda u: F.xxhash64(u))
+def unit_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
 
-    def whole(h: Column) -> Column:
-        return F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("at")))
 
-    def of_pairs(h: Column) -> Column:
-        pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        return _let(_let(pairs, lambda p: of_windows(p)), lambda found: F.when(F.size(found) > 0, found).otherwise(whole(h)))
+def places(text: Column) -> Column:
+    """The anchors of a text in its order, as a struct of two arrays: hashes, and the unit that each begins at.
 
-    def of_windows(p: Column) -> Column:
-        # Four units hold three pairs; the k-mer is named by its outer pairs, which cover it.
-        at = F.filter(F.sequence(F.lit(1), F.size(p) - (K - 1)), lambda i: F.least(F.get(p, i - 1), F.get(p, i + 1)) <= F.get(p, i))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)).alias("hash"), (i - 1).alias("at")))
+    Anchors are all closed syncmers. A text of few units, or without a syncmer, has all its pairs of units; one of a single unit has that.
+    """
+
+    def of_units(h: Column) -> Column:
+        pairs = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return F.when(F.size(h) > 1, _let(pairs, of_pairs)).otherwise(F.struct(h.alias("hash"), F.transform(h, lambda x, i: i).alias("at")))
 
-    def of_hashes(h: Column) -> Column:
-        return F.when(F.size(h) >= K, of_pairs(h)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+    def of_pairs(p: Column) -> Column:
+        # Four units hold three pairs. A k-mer whose middle pair is smaller than both others isn't closed; its outer pairs cover and name it.
+        closed = F.filter(F.sequence(F.lit(0), F.size(p) - (K - S + 1)), lambda i: F.least(F.get(p, i), F.get(p, i + 2)) <= F.get(p, i + 1))
+        found = F.when(F.size(p) >= SHORT, closed).otherwise(F.array().cast("array<int>"))
+        every = F.struct(p.alias("hash"), F.transform(p, lambda x, i: i).alias("at"))
+        return _let(found, lambda at: F.when(F.size(at) > 0, F.struct(F.transform(at, lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2))).alias("hash"), at.alias("at"))).otherwise(every))
 
-    return _let(hashes, of_hashes)
+    return _let(unit_hashes(text), of_units)
 
 
-def syncmers(text: Column, unit: str = UNIT) -> Column:
-    """Distinct hashes of the text's anchors, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(anchors(text, unit), lambda x: x["hash"])))
+#: Texts of fewer pairs of units have all of them as anchors.
+SHORT = 12
 
 
 def printed(marks: Column) -> Column:
-    """Anchors as a string: 16 hexadecimal digits of the hash and 8 of the place each, in the text's order."""
-    return F.array_join(F.transform(marks, lambda x: F.concat(F.lpad(F.hex(x["hash"]), 16, "0"), F.lpad(F.hex(x["at"]), 8, "0"))), "")
-
-
-def _runs(ordered: Column, same) -> Column:
-    """Structs of first index and length of the runs of equal neighbours in a sorted array that isn't empty."""
-    first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | ~same(F.get(ordered, i), F.get(ordered, i - 1)))
-    return _let(
-        first,
-        lambda f: F.zip_with(
-            f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(ordered))), lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("first"), (b - a).alias("n")))
-        ),
-    )
+    """Anchors as a string in the text's order: the hash in hexadecimal, a colon, the place, and a full stop."""
+    return F.array_join(F.zip_with(marks["hash"], marks["at"], lambda h, at: F.concat(F.hex(h), F.lit(":"), at.cast("string"))), ".")
+
+
+def _first_of_runs(ordered: Column) -> Column:
+    """Where runs of equal neighbours begin in a sorted array, with the array's size at the end."""
+    return F.concat(F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))), F.array(F.size(ordered)))
+
+
+def told_apart(marks: Column) -> Column:
+    """One long an anchor, that no other anchor of the text has: the top bits of its hash, and its place. Repeats after the first are hashed with their number.
 
+    Only texts with repeats are numbered. Places beyond eight million begin again at 0.
+    """
+    hashed = lambda h, at: h.bitwiseAND(F.lit(-2 * _SIDE)).bitwiseOR(at.cast("long").bitwiseAND(F.lit(_PLACE - 1)))
 
-def _numbered(marks: Column, side: int) -> Column:
-    """Anchors as (hash, number among the equal ones, side, place)."""
+    def numbered(c: Column) -> Column:
+        top = F.transform(c, lambda x: x.bitwiseAND(F.lit(-2 * _SIDE)))
+        return _let(top, lambda t: _let(_first_of_runs(t), lambda f: F.flatten(F.zip_with(F.slice(f, 1, F.size(f) - 1), F.slice(f, 2, F.size(f)), lambda a, b: of_run(c, a, b)))))
 
-    def of_sorted(s: Column) -> Column:
-        numbers = F.flatten(F.transform(_runs(s, lambda a, b: a["hash"] == b["hash"]), lambda r: F.sequence(F.lit(0), r["n"] - 1)))
-        return F.zip_with(s, numbers, lambda x, k: F.struct(x["hash"].alias("hash"), k.alias("k"), F.lit(side).alias("side"), x["at"].alias("at")))
+    def of_run(c: Column, a: Column, b: Column) -> Column:
+        again = F.slice(c, a + 1, b - a)
+        renamed = lambda x, k: F.when(k == 0, x).otherwise(hashed(F.xxhash64(x.bitwiseAND(F.lit(-2 * _SIDE)), k), x.bitwiseAND(F.lit(_PLACE - 1))))
+        return F.when(b - a == 1, again).otherwise(F.transform(again, renamed))
 
-    return F.when(F.size(marks) > 0, _let(F.sort_array(marks), of_sorted)).otherwise(F.array().cast("array<struct<hash:bigint,k:int,side:int,at:int>>"))
+    packed = F.zip_with(marks["hash"], marks["at"], hashed)
+    many = F.size(F.array_distinct(marks["hash"])) < F.size(marks["hash"])
+    return F.when(many, _let(F.sort_array(packed), numbered)).otherwise(packed)
 
 
 def matched(a: Column, b: Column) -> Column:
-    """How two texts' anchors match: a struct of near, placed and offset.
+    """How two texts' anchors (longs of `told_apart`) match: a struct of near, placed and offset.
 
-    The k-th anchor of a hash in one meets the k-th of that hash in the other. `near` is the Dice coefficient of all anchors, repeats
-    counted; `placed` counts only the matches of the commonest offset of places, and `offset` is that offset in units (ties: the smaller
-    one, then the lower). Two texts without anchors are alike (1); one without is like no other (0).
+    The k-th anchor of a hash in one meets the k-th of that hash in the other. `near` is the Dice coefficient of the matches whose offsets
+    lie in the best band: two neighbouring bins of a sixteenth of the longer text's anchors, in units. `placed` counts only the matches of the
+    commonest offset, and `offset` is that one in units (ties: the smaller one, then the lower). Two texts without anchors are alike (1); one
+    without is like no other (0).
     """
+    none = F.array().cast("array<int>")
+    top = lambda x: F.shiftright(x, 25)
+    place = lambda x: x.bitwiseAND(F.lit(_PLACE - 1)).cast("int")
 
     def of_both(c: Column) -> Column:
-        steps = F.filter(
-            F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.get(c, i)["hash"] == F.get(c, i - 1)["hash"]) & (F.get(c, i)["k"] == F.get(c, i - 1)["k"])
-        )
-        return F.when(F.size(c) > 1, F.sort_array(F.transform(steps, lambda i: F.get(c, i)["at"] - F.get(c, i - 1)["at"]))).otherwise(F.array().cast("array<int>"))
+        steps = F.filter(F.sequence(F.lit(1), F.size(c) - 1), lambda i: top(F.get(c, i)) == top(F.get(c, i - 1)))
+        return F.sort_array(F.transform(steps, lambda i: place(F.get(c, i)) - place(F.get(c, i - 1))))
 
-    def of_offsets(o: Column) -> Column:
-        runs = F.transform(
-            _runs(o, lambda x, y: x == y),
-            lambda r: F.struct(r["n"].alias("n"), (-F.abs(F.get(o, r["first"]))).alias("short"), (-F.get(o, r["first"])).alias("low")),
+    # A bin is measured by anchors, of which there are fewer than units, and no less than one.
+    width = F.greatest(F.floor(F.greatest(F.size(a), F.size(b)) * 3 / (2 * BINS)), F.lit(1))
+    bin_of = lambda x: F.floor((x + F.floor(width / 2)) / width)
+
+    def best_of(o: Column) -> Column:
+        run = _let(
+            _first_of_runs(o),
+            lambda f: F.array_max(F.zip_with(F.slice(f, 1, F.size(f) - 1), F.slice(f, 2, F.size(f)), lambda i, j: F.struct((j - i).alias("n"), (-F.abs(F.get(o, i))).alias("short"), (-F.get(o, i)).alias("low")))),
         )
-        most = F.when(F.size(o) > 0, F.array_max(runs))
-        total = F.size(a) + F.size(b)
-        return _let(
-            most,
-            lambda m: F.struct(
-                F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(o) / total).alias("near"),
-                F.when(total == 0, F.lit(1.0)).otherwise(2 * F.coalesce(m["n"], F.lit(0)) / total).alias("placed"),
-                (-m["low"]).alias("offset"),
+        bins = F.transform(o, lambda x: bin_of(x))
+        band = _let(
+            bins,
+            lambda v: _let(
+                _first_of_runs(v),
+                lambda f: F.array_max(
+                    F.transform(F.sequence(F.lit(0), F.size(f) - 2), lambda i: F.when(F.get(v, F.get(f, i + 1)) == F.get(v, F.get(f, i)) + 1, F.get(f, i + 2)).otherwise(F.get(f, i + 1)) - F.get(f, i))
+                ),
             ),
         )
+        return F.when(F.size(o) > 0, F.struct(run.alias("run"), band.alias("band")))
+
+    def in_numbers(m: Column) -> Column:
+        total = F.size(a) + F.size(b)
+        return F.struct(
+            F.when(total == 0, F.lit(1.0)).otherwise(2 * F.coalesce(m["band"], F.lit(0)) / total).alias("near"),
+            F.when(total == 0, F.lit(1.0)).otherwise(2 * F.coalesce(m["run"]["n"], F.lit(0)) / total).alias("placed"),
+            (-m["run"]["low"]).alias("offset"),
+        )
 
-    both = F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1)))
-    return _let(_let(both, of_both), of_offsets)
+    # Texts without a common hash are told by a set, unsorted; most pairs of documents are such.
+    meet = F.arrays_overlap(F.transform(a, top), F.transform(b, top))
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(_SIDE)))))
+    offsets = F.when(meet, _let(both, of_both)).otherwise(none)
+    return _let(_let(offsets, best_of), in_numbers)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -114,17 +148,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Takes any frame with doc_id and text. The edited text has its last floor(n / 4) code points replaced by the first as many (or all) of
     the next document by id; the last document's next is the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, and of both matches the share and the offset of the anchors that keep their places
-(placed_edited, offset_edited, placed_next, offset_next).
+    edited_fingerprint, near_edited, near_next, and of both matches the share and the offset of the anchors on the commonest diagonal
+    (placed_edited, offset_edited, placed_next, offset_next).
 
     Null texts are empty and have an empty fingerprint. A null id counts as the largest. Rows that repeat an id share the next
     document; as a next document, such rows stand for the text of the smallest hash. A single document follows itself. An empty table
-    gives no rows.
+    gives no rows; further columns are ignored.
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("key", F.coalesce("doc_id", last))
-    lengths = texts.select("key", F.length("text").alias("n")).groupBy("key").agg(F.max("n").alias("n"))
-    order = shared_checkpoint(_next_keys(lengths))
+    order = shared_checkpoint(_next_keys(texts.select("key").distinct()))
 
     # One shuffle of the texts serves both joins below: they read the same columns of it. Anchors are larger than texts and found after it.
     dealt = texts.repartition("key")
@@ -132,16 +165,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     follows = order.select(F.col("next").alias("key"), F.col("key").alias("owner"))
     sent = dealt.join(follows, "key").select("owner", F.xxhash64("text", "doc_id").alias("tie"), F.col("text").alias("sent"))
     sent = sent.groupBy("owner").agg(F.min_by("sent", "tie").alias("sent")).select(F.col("owner").alias("key"), F.coalesce("sent", F.lit("")).alias("sent"))
-    met = dealt.join(sent, "key", "left")
-    n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("sent", F.lit("")), F.lit(1), cut))
-    out = met.withColumn("edited", edited)
-    out = out.withColumns({"marks": anchors(F.col("text")), "edited_marks": anchors(F.col("edited")), "next_marks": anchors(F.coalesce("sent", F.lit("")))})
-    out = out.withColumns({"to_edited": matched(F.col("marks"), F.col("edited_marks")), "to_next": matched(F.col("marks"), F.col("next_marks"))})
-    return out.select(
+    met = dealt.join(sent, "key", "left").select("doc_id", "text", F.coalesce("sent", F.lit("")).alias("sent"))
+    met = met.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 4).cast("int"))
+    met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("cut")), F.substring(F.col("sent"), F.lit(1), F.col("cut"))))
+    met = met.withColumns({"marks": places(F.col("text")), "edited_marks": places(F.col("edited")), "next_marks": places(F.col("sent"))})
+    met = met.withColumns({x: told_apart(F.col(y)) for x, y in (("own", "marks"), ("changed", "edited_marks"), ("after", "next_marks"))})
+    met = met.withColumns({"to_edited": matched(F.col("own"), F.col("changed")), "to_next": matched(F.col("own"), F.col("after"))})
+    return met.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
+        F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("marks")).alias("fingerprint"),
         printed(F.col("edited_marks")).alias("edited_fingerprint"),
@@ -154,16 +186,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _next_keys(lengths: DataFrame) -> DataFrame:
-    """Each key with the next larger one, the largest with the smallest: rows (key, n, next).
+def _next_keys(keys: DataFrame) -> DataFrame:
+    """Each key with the next larger one, the largest with the smallest: rows (key, next).
 
     Keys are dealt into ranges. Within a range a window finds the next key; a table of the ranges' first keys, one row a range, links
     the ranges.
     """
-    ranged = shared_checkpoint(lengths.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    ranged = shared_checkpoint(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
     by = Window.orderBy("part")
     smallest = F.min("first").over(Window.partitionBy())
     beyond = firsts.select("part", F.coalesce(F.lead("first").over(by), smallest).alias("beyond"))
     inside = ranged.withColumn("inside", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
-    return inside.join(beyond, "part").select("key", "n", F.coalesce("inside", "beyond").alias("next"))
+    return inside.join(beyond, "part").select("key", F.coalesce("inside", "beyond").alias("next"))
