@@ -27,7 +27,7 @@ def one_hop(walked: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """Layer of each node: one more than its highest source's. Nodes on cycles, and after them, have none and are absent."""
+    """Layer of each node: one more than its highest source's. Nodes on cycles, and after them, have none and are absent (see `layers_of_all`)."""
     edges = checkpointed(edges.select("src", "dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     left = checkpointed(edges.select(F.col("dst").alias("node"), "src"))
@@ -42,6 +42,35 @@ def layers(edges: DataFrame) -> DataFrame:
     return done
 
 
+def layers_of_all(edges: DataFrame) -> DataFrame:
+    """Layers as in `layers`; what stays without one, on cycles and after them, comes one below the lowest layer of its known sources, or at 0."""
+    known = checkpointed(layers(edges))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(known, "node", "left_anti")
+    above = edges.select("src", F.col("dst").alias("node")).distinct().join(known.select(F.col("node").alias("src"), "layer"), "src").groupBy("node").agg(F.max("layer").alias("layer"))
+    rest = nodes.join(above, "node", "left").select("node", F.coalesce(F.col("layer") + 1, F.lit(0)).alias("layer"), F.lit(True).alias("cyclic"))
+    return known.withColumn("cyclic", F.lit(False)).unionByName(rest)
+
+
+def top_nodes(edges: DataFrame, most: int = 1000, levels: int = 2) -> DataFrame:
+    """Roots of (child, parent) and their descendants of at most `levels` levels, fewer levels while there would be `most` nodes or more: (node)."""
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+    found = [checkpointed(roots)]
+    for _ in range(levels):
+        below = found[-1].join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"))
+        found.append(checkpointed(found[-1].unionByName(below).distinct()))
+    for nodes in reversed(found):
+        if nodes.count() < most:
+            return nodes
+    return found[0]
+
+
+def attached_instances(instances: DataFrame, placed: DataFrame) -> DataFrame:
+    """The top node of each instance (entity, node): that of the first of its types, by name, that has one; -1 if none: (entity, top)."""
+    tops = placed.where("top is not null").select("node", "top")
+    met = instances.join(tops, "node", "left").groupBy("entity").agg(F.min_by("top", F.when(F.col("top").isNotNull(), F.col("node"))).alias("top"))
+    return met.select("entity", F.coalesce("top", F.lit("-1")).alias("top"))
+
+
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Entities and pages that seeds reach by alternating links (page, entity): rows (node, rounds)."""
     links = checkpointed(links.select("page", "entity").distinct())
@@ -55,31 +84,29 @@ def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return found
 
 
-def ancestors_until_root(seeds: DataFrame, parents: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """Each seed's ancestors, layer by layer; a seed stops before the first layer that holds a root: rows (seed, node)."""
+def ancestors_until_root(seeds: DataFrame, parents: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each seed's ancestors, layer by layer until none is new; a seed stops before the first layer that holds a root: rows (seed, node)."""
     up = parents.select(F.col("child").alias("node"), F.col("parent").alias("above"))
     found = checkpointed(seeds.select(F.col("node").alias("seed"), "node"))
     layer = found
-    for _ in range(most):
+    while True:
         nxt = layer.join(up, "node").select("seed", F.col("above").alias("node")).distinct().join(found, ["seed", "node"], "left_anti")
         stopped = nxt.join(roots, "node", "left_semi").select("seed").distinct()
         layer = checkpointed(nxt.join(stopped, "seed", "left_anti"))
         if not layer.limit(1).count():
-            break
+            return found
         found = checkpointed(found.unionByName(layer))
-    return found
 
 
-def nearest_top(nodes: DataFrame, parents: DataFrame, tops: DataFrame, most: int = 50) -> DataFrame:
+def nearest_top(nodes: DataFrame, parents: DataFrame, tops: DataFrame) -> DataFrame:
     """Nearest of some top nodes above each node: (node, top, depth), ties to the smaller top; top is null and depth -1 without one."""
     up = parents.select(F.col("child").alias("node"), F.col("parent").alias("above")).distinct()
     found = checkpointed(tops.select("node", F.col("node").alias("top"), F.lit(0).alias("depth")))
-    last = found
-    for depth in range(1, most + 1):
+    last, depth = found, 0
+    while last.limit(1).count():
+        depth += 1
         nxt = up.join(last.select(F.col("node").alias("above"), "top"), "above").groupBy("node").agg(F.min("top").alias("top"))
         last = checkpointed(nxt.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if not last.limit(1).count():
-            break
         found = checkpointed(found.unionByName(last))
     return nodes.select("node").distinct().join(found, "node", "left").select("node", "top", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
@@ -106,9 +133,9 @@ def edge_features(occs: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def id_frequency(edges: DataFrame, sample: str = "pid") -> DataFrame:
-    """Samples that each id occurs in, with an index by descending frequency, then id."""
+    """Samples that each id occurs in, with an index by descending frequency, then id: (id, samples, ind)."""
     ids = edges.select(sample, F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("samples"))
-    return ids
+    return numbered_by_count(ids, "id", "samples")
 
 
 def numbered_by_count(df: DataFrame, key: str, count: str) -> DataFrame:

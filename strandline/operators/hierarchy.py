@@ -9,14 +9,17 @@ from strandline.operators.loops import checkpointed
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Every (anc, des, depth, paths): how many paths of each length lead from an ancestor down. The hierarchy has no cycle.
+    """Every (anc, des, depth, paths): how many paths of each length lead from an ancestor down. A cycle raises.
 
-    Each round joins the last round's paths with the edges; counts stay aggregated, so shared children don't multiply rows.
+    A path without a cycle has fewer steps than there are nodes, which bounds the rounds. Each round joins the last round's paths with the edges; counts stay aggregated, so shared children don't multiply rows.
     """
     step = edges.select(F.col("parent").alias("up"), F.col("child").alias("down"))
     level = checkpointed(step.groupBy(F.col("up").alias("anc"), F.col("down").alias("des")).agg(F.count(F.lit(1)).alias("paths")))
     found, depth = level.withColumn("depth", F.lit(1)), 1
+    nodes = edges.select(F.explode(F.array("parent", "child"))).distinct().count()
     while level.limit(1).count():
+        if depth >= nodes:
+            raise ValueError("the hierarchy has a cycle")
         depth += 1
         level = checkpointed(level.join(step, level.des == step.up).groupBy("anc", F.col("down").alias("des")).agg(F.sum("paths").alias("paths")))
         found = found.unionByName(level.withColumn("depth", F.lit(depth)))

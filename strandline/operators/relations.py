@@ -165,6 +165,11 @@ def split_by_type(occs: DataFrame, types: DataFrame, share: float = 0.01, major_
     return keyed.join(names, ["pid", "h_type", "t_type"]).select("pid", "h", "t", "name")
 
 
+def split_counts(occs: DataFrame, types: DataFrame, share: float = 0.01, major_keeps_name: bool = False) -> DataFrame:
+    """Distinct occurrences under each new name: (pid, name, cnt). Type keys are counted once, and their counts summed by name."""
+    return split_names(type_keys(occs, types), share, major_keeps_name).groupBy("pid", "name").agg(F.sum("n").alias("cnt"))
+
+
 def parallel_relations(triples: DataFrame, least: int = 3) -> DataFrame:
     """Relations that run against others over the same pairs: (r, against, cnt) with `least` pairs."""
     own = triples.where(F.col("h").rlike(ENTITY) & F.col("t").rlike(ENTITY)).distinct()
@@ -200,4 +205,4 @@ def trailing_mean(df: DataFrame, key: list[str], order: list[str], value: str, r
 
 def shuffled_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows in an order that depends on the seed and the key alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

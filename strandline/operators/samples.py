@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +17,33 @@ def disjoint(test: DataFrame, dev: DataFrame, train: DataFrame, key: str = "pid"
     return t.withColumn("split", F.lit("test")).unionByName(d2.withColumn("split", F.lit("dev"))).unionByName(r.withColumn("split", F.lit("train")))
 
 
-def proportional_split(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
-    """Members of each group (grp, member, order) dealt one by one to the split that lags most behind its share: (grp, member, split).
+def dealing_pattern(shares: list[float], longest: int = 10_000) -> tuple[list[int], list[int]]:
+    """Which split each member of a group goes to by its number: the first round, and the round that repeats ever after.
 
-    The dealing depends on a member's number alone, so the choices for 1..n are folded once a group size and looked up.
+    The next member goes to the split that lags most behind its share, the first of equals. A round is as long as the shares' common
+    denominator, after which every split has exactly its share; a longer one than `longest` raises.
     """
-    n = len(shares)
-    zero = F.struct(F.array(*[F.lit(0)] * n).alias("have"), F.array().cast("array<int>").alias("chosen"))
-
-    def deal(state: Column, i: Column) -> Column:
-        lag = F.array(*[F.lit(s) - state["have"][j] / F.greatest(i - 1, F.lit(1)) for j, (_, s) in enumerate(shares)])
-        pick = (F.array_position(lag, F.array_max(lag)) - 1).cast("int")
-        have = F.transform(state["have"], lambda x, j: x + (j == pick).cast("int"))
-        return F.struct(have.alias("have"), F.concat(state["chosen"], F.array(pick)).alias("chosen"))
-
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    patterns = sizes.select("n").distinct().withColumn("chosen", F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, deal)["chosen"])
-    nth = F.row_number().over(Window.partitionBy("grp").orderBy("order", "member"))
+    exact = [Fraction(str(s)) for s in shares]
+    length = math.lcm(*[s.denominator for s in exact])
+    if length > longest or sum(exact) != 1:
+        raise ValueError("shares must sum to one and have a small common denominator")
+    have, chosen = [0] * len(exact), []
+    for i in range(2 * length):
+        pick = max(range(len(exact)), key=lambda j: (exact[j] * max(i, 1) - have[j] if i else exact[j], -j))
+        have[pick] += 1
+        chosen.append(pick)
+    if have != [2 * length * s for s in exact]:
+        raise ValueError("the dealing doesn't repeat")
+    return chosen[:length], chosen[length:]
+
+
+def proportional_split(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
+    """Members of each group (grp, member, order) dealt one by one to the split that lags most behind its share: (grp, member, split)."""
+    first, ever = dealing_pattern([s for _, s in shares])
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("order", "member")) - 1
     names = F.array(*[F.lit(s) for s, _ in shares])
-    placed = groups.withColumn("nth", nth).join(sizes.join(patterns, "n"), "grp")
-    return placed.select("grp", "member", F.element_at(names, F.element_at("chosen", F.col("nth")) + 1).alias("split"))
+    pick = F.when(F.col("nth") < len(first), F.get(F.lit(first), F.col("nth"))).otherwise(F.get(F.lit(ever), F.col("nth") % len(ever)))
+    return groups.withColumn("nth", nth).select("grp", "member", F.get(names, pick).alias("split"))
 
 
 def nway_samples(chunks: DataFrame, parents: DataFrame) -> DataFrame:
@@ -66,11 +76,19 @@ def padded(column: str, length: int, fill: int = 0) -> Column:
     return F.concat(a, F.array_repeat(F.lit(fill), F.greatest(F.lit(length) - F.size(a), F.lit(0))))
 
 
-def positives_and_some_negatives(rows: DataFrame, ratio: float, key: str, seed: int = 1) -> DataFrame:
-    """All rows with label 1 and, drawn by hash of the key, a share of `ratio` negatives to a positive.
+def positives_and_some_negatives(rows: DataFrame, ratio: float, key: str, seed: int = 1, ranges: int = 1024) -> DataFrame:
+    """All rows with label 1 and, in the order of a hash of the key, exactly `ratio` negatives to a positive, rounded down, or all there are.
 
-    The share is a threshold on the hash, so nothing is sorted; the number drawn is that share on average.
+    The hash is cut into ranges that are counted apart; whole ranges are taken, and only the one that holds the last negative is sorted.
     """
-    counts = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    kept = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < F.col("p") * ratio / F.greatest("q", F.lit(1)) * (1 << 30)
-    return rows.crossJoin(F.broadcast(counts)).where((F.col("label") == 1) | kept).select(*rows.columns)
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
+    keyed = rows.withColumn("_at", F.when(F.col("label") == 1, None).otherwise(place)).withColumn("_range", F.floor(F.col("_at") / F.lit((1 << 48) // ranges)))
+    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.floor(F.sum(F.when(F.col("_range").isNull(), F.col("n")).otherwise(0)).over(Window.partitionBy()) * ratio)
+    by = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range: a thousand or so.
+    left = counts.withColumn("wanted", wanted).where("_range is not null").withColumn("left", F.col("wanted") - F.coalesce(F.sum("n").over(by), F.lit(0))).select("_range", "n", "left")
+    met = keyed.join(F.broadcast(left), "_range", "left")
+    whole = met.where("_range is null or n <= left")
+    part = met.where("n > left and left > 0").withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy("_at", key))).where("_nth <= left")
+    return whole.select(*rows.columns).unionByName(part.select(*rows.columns))

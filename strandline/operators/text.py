@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE_ENDS = [".", "!", "?"]
+#: A text that begins with ASCII punctuation.
+PUNCTUATION = r"^[!-/:-@\[-`{-~]"
 #: Words that filters drop. Fixed values.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with you".split()
 
@@ -18,6 +20,15 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return numbered.groupBy("sid", "sent").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
 
 
+def with_sentence(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Mentions with the sentence that they begin in: sent, s_start, s_end. Both sides meet at one place of a document, not by document alone."""
+    ends = F.when(F.col("tok").isin(SENTENCE_ENDS), 1).otherwise(0)
+    before = F.sum(ends).over(Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    of_sentence = Window.partitionBy("sid", "sent")
+    placed = tokens.withColumn("sent", F.coalesce(before, F.lit(0))).select("sid", F.col("pos").alias("start"), "sent", F.min("pos").over(of_sentence).alias("s_start"), (F.max("pos").over(of_sentence) + 1).alias("s_end"))
+    return mentions.join(placed, ["sid", "start"])
+
+
 def numbered_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions with their index in the document, by start, end and id."""
     return mentions.withColumn("idx", F.row_number().over(Window.partitionBy("sid").orderBy("start", "end", "wdid")))
@@ -39,32 +50,39 @@ def forward_pairs(mentions: DataFrame, relations: DataFrame, distance: int = 10,
     return both.select("sid", "start", "end", "p.*").join(one, ["h", "t"]).select("sid", "pid", "start", "end", "direction").distinct()
 
 
-def snippets(gaps: DataFrame, tokens: DataFrame) -> DataFrame:
+def gap_tokens(gaps: DataFrame, lists: DataFrame) -> DataFrame:
+    """The tokens in each gap: (pid, direction, toks), from token lists (sid, toks).
+
+    A document's gaps meet its list in one row and are cut out of it, so nothing is paired with tokens outside a gap.
+    """
+    held = gaps.groupBy("sid").agg(F.collect_list(F.struct("pid", "start", "end", "direction")).alias("gaps"))
+    cut = F.transform("gaps", lambda g: F.struct(g["pid"].alias("pid"), g["direction"].alias("direction"), F.slice("toks", g["start"] + 1, g["end"] - g["start"]).alias("toks")))
+    return lists.join(held, "sid").select(F.explode(cut).alias("g")).select("g.*")
+
+
+def snippets(gaps: DataFrame, lists: DataFrame) -> DataFrame:
     """Counts (pid, snippet, direction, cnt) of the tokens in the gaps, in order."""
-    inside = gaps.join(tokens, "sid").where("pos >= start and pos < end")
-    texts = inside.groupBy("sid", "pid", "start", "end", "direction").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("toks"))
-    said = F.array_join(F.transform("toks", lambda x: x.tok), " ")
-    return texts.groupBy("pid", said.alias("snippet"), "direction").agg(F.count(F.lit(1)).alias("cnt"))
+    said = F.array_join("toks", " ")
+    return gap_tokens(gaps, lists).groupBy("pid", said.alias("snippet"), "direction").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def filtered_snippets(counts: DataFrame, longest: int = 5) -> DataFrame:
-    """Snippets that don't begin with a mark, have a word besides stop words, and at most `longest` tokens; lower-case ones add up."""
+def filtered_snippets(counts: DataFrame, longest: int = 5, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Snippets that don't begin with ASCII punctuation, have a word besides stop words, and at most `longest` tokens; lower-case ones add up."""
     low = counts.withColumn("snippet", F.lower("snippet"))
     toks = F.split("snippet", " ")
-    fine = ~F.col("snippet").rlike("^[^a-z0-9]") & F.exists(toks, lambda x: ~x.isin(STOP_WORDS)) & (F.size(toks) <= longest)
+    fine = ~F.col("snippet").rlike(PUNCTUATION) & F.exists(toks, lambda x: ~x.isin(stop_words)) & (F.size(toks) <= longest)
     return low.where(fine).groupBy("pid", "snippet", "direction").agg(F.sum("cnt").alias("cnt"))
 
 
-def filtered_words(counts: DataFrame) -> DataFrame:
+def filtered_words(counts: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """Lower-case words of letters and digits without stop words; counts (pid, word, cnt) that meet add up."""
     low = counts.withColumn("word", F.lower("word"))
-    return low.where(F.col("word").rlike("^[A-Za-z0-9]+$") & ~F.col("word").isin(STOP_WORDS)).groupBy("pid", "word").agg(F.sum("cnt").alias("cnt"))
+    return low.where(F.col("word").rlike("^[A-Za-z0-9]+$") & ~F.col("word").isin(stop_words)).groupBy("pid", "word").agg(F.sum("cnt").alias("cnt"))
 
 
-def context_words(gaps: DataFrame, tokens: DataFrame, least: int = 1) -> DataFrame:
+def context_words(gaps: DataFrame, lists: DataFrame, least: int = 1) -> DataFrame:
     """Counts (pid, word, cnt) of the tokens in the gaps."""
-    inside = gaps.join(tokens, "sid").where("pos >= start and pos < end")
-    return inside.groupBy("pid", F.col("tok").alias("word")).agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+    return gap_tokens(gaps, lists).select("pid", F.explode("toks").alias("word")).groupBy("pid", "word").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
 
 
 def document_mentions(mentions: DataFrame) -> DataFrame:
@@ -128,14 +146,12 @@ def sentence_pairs(mentions: DataFrame, tokens: DataFrame, relations: DataFrame,
     Mentions don't overlap, lie at most `distance` tokens apart, and the sentence has under `longest` tokens. The pair in text order
     is looked up first, then the other way round; start and end are the gap.
     """
-    ends = sentences(tokens)
-    bounds = ends.select("sid", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     w = Window.partitionBy("sid").orderBy("start", "end", "wdid")
     before = [F.struct(F.lag("start", k).over(w).alias("start"), F.lag("end", k).over(w).alias("end"), F.lag("wdid", k).over(w).alias("wdid")) for k in range(1, reach + 1)]
-    pairs = mentions.withColumn("prev", F.array(*before)).withColumn("prev", F.explode("prev")).where("prev.wdid is not null and prev.end <= start")
+    pairs = with_sentence(mentions, tokens).withColumn("prev", F.array(*before)).withColumn("prev", F.explode("prev")).where("prev.wdid is not null and prev.end <= start")
     pairs = pairs.where(F.col("start") - F.col("prev.end") <= distance)
     inside = (F.col("prev.start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")) & (F.col("prev.start") < F.col("s_end")) & (F.col("s_end") - F.col("s_start") < longest)
-    held = pairs.join(bounds, "sid").where(inside).select("sid", F.col("prev.wdid").alias("a"), F.col("wdid").alias("b"), F.col("prev.end").alias("from"), F.col("start").alias("to"))
+    held = pairs.where(inside).select("sid", F.col("prev.wdid").alias("a"), F.col("wdid").alias("b"), F.col("prev.end").alias("from"), F.col("start").alias("to"))
     one = relations.groupBy("h", "t").agg(F.max("pid").alias("pid"))
     there = held.join(one.select(F.col("h").alias("a"), F.col("t").alias("b"), F.col("pid").alias("ahead")), ["a", "b"], "left")
     both = there.join(one.select(F.col("h").alias("b"), F.col("t").alias("a"), F.col("pid").alias("back")), ["a", "b"], "left").where("ahead is not null or back is not null")
@@ -145,8 +161,7 @@ def sentence_pairs(mentions: DataFrame, tokens: DataFrame, relations: DataFrame,
 
 def entity_sentences(mentions: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
     """The first `most` sentences of each entity, by document and number: (wdid, sid, sent, mentions)."""
-    bounds = sentences(tokens).select("sid", "sent", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    held = mentions.join(bounds, "sid").where("start >= s_start and start < s_end").groupBy("wdid", "sid", "sent").agg(F.count(F.lit(1)).alias("mentions"))
+    held = with_sentence(mentions, tokens).groupBy("wdid", "sid", "sent").agg(F.count(F.lit(1)).alias("mentions"))
     nth = F.row_number().over(Window.partitionBy("wdid").orderBy("sid", "sent"))
     return held.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
@@ -164,11 +179,13 @@ def path_bags(paths: DataFrame, least: int = 10) -> DataFrame:
 
 
 def set_pmi(members: DataFrame) -> DataFrame:
-    """ln(n |a and b| / (|a| |b|)) of the sets in (cat, entity), for pairs that meet; ln(1e-5) stands for the others."""
+    """ln(n |a and b| / (|a| |b|)) of all pairs of the sets in (cat, entity); ln(1e-5) for pairs that never meet, and at least. Sets number in the hundreds."""
     own = members.select("cat", "entity").distinct()
     sizes = own.groupBy("cat").agg(F.count(F.lit(1)).alias("size"))
     total = own.select("entity").distinct().agg(F.count(F.lit(1)).alias("n"))
     a = own.select(F.col("cat").alias("a"), "entity")
     met = a.join(own.select(F.col("cat").alias("b"), "entity"), "entity").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    met = met.join(sizes.select(F.col("cat").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("cat").alias("b"), F.col("size").alias("size_b")), "b")
-    return met.crossJoin(F.broadcast(total)).select("a", "b", F.greatest(F.log(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b"))), F.lit(-11.512925464970229)).alias("pmi"))
+    every = sizes.agg(F.collect_list(F.struct(F.col("cat").alias("b"), F.col("size").alias("size_b"))).alias("every"))
+    pairs = sizes.select(F.col("cat").alias("a"), F.col("size").alias("size_a")).crossJoin(F.broadcast(every)).select("a", "size_a", F.inline("every")).where("a < b")
+    met = pairs.join(met, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    return met.crossJoin(F.broadcast(total)).select("a", "b", F.log(F.greatest(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b")), F.lit(1e-5))).alias("pmi"))

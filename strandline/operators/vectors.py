@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,36 +41,6 @@ def pairwise_cosine(rows: DataFrame) -> DataFrame:
     return _pairs(mean_vectors(rows, unit=True)).select("p1", "p2", dot(F.col("x"), F.col("y")).alias("score"))
 
 
-def _met(rows: DataFrame, most: int) -> DataFrame:
-    """Squared distances of the occurrences of two relations, of the first `most` of each by id; these scores are defined on bounded samples."""
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy("id"))
-    few = rows.withColumn("nth", nth).where(F.col("nth") <= most)
-    a = few.select(F.col("pid").alias("p1"), F.col("id").alias("c"), F.col("vec").alias("x"))
-    b = few.select(F.col("pid").alias("p2"), F.col("id").alias("p"), F.col("vec").alias("y"))
-    return a.join(b, F.col("p1") != F.col("p2")).select("p1", "p2", "c", "p", squared_distance(F.col("x"), F.col("y")).alias("d2"))
-
-
-def euclidean_mean(rows: DataFrame, most: int) -> DataFrame:
-    """Negative mean distance of all pairs of occurrences."""
-    return _met(rows, most).groupBy("p1", "p2").agg((-F.avg(F.sqrt("d2"))).alias("score"))
-
-
-def expected_exponential(rows: DataFrame, most: int) -> DataFrame:
-    """Mean over children of ln(mean over parents of exp(min d2 - d2)) - min d2."""
-    low = F.min("d2").over(Window.partitionBy("p1", "p2", "c"))
-    each = _met(rows, most).withColumn("low", low).groupBy("p1", "p2", "c").agg((F.log(F.avg(F.exp(F.col("low") - F.col("d2")))) - F.min("low")).alias("s"))
-    return each.groupBy("p1", "p2").agg(F.avg("s").alias("score"))
-
-
-def gaussian_mixture(rows: DataFrame, dims: int, most: int, variance: float = 1.0) -> DataFrame:
-    """Log-likelihood of one relation's occurrences under equal Gaussians at the other's."""
-    low = F.min("d2").over(Window.partitionBy("p1", "p2", "c"))
-    constant = -0.5 * dims * math.log(2 * math.pi * variance)
-    s = F.log(F.avg(F.exp((F.col("low") - F.col("d2")) / (2 * variance)))) - F.min("low") / (2 * variance) + constant
-    each = _met(rows, most).withColumn("low", low).groupBy("p1", "p2", "c").agg(s.alias("s"))
-    return each.groupBy("p1", "p2").agg(F.sum("s").alias("score"))
-
-
 def nearest_relations(rows: DataFrame, k: int) -> DataFrame:
     """The k relations of the highest cosine of mean vectors: (p1, rank, p2, cosine)."""
     rank = F.row_number().over(Window.partitionBy("p1").orderBy(F.desc("cosine"), "p2"))

@@ -45,15 +45,15 @@ def _after(names: str, extra: str, body: str) -> str:
 
 CATALOG = {
     "split_property_counts": (
-        lambda s, d: R.split_by_type(B.occs(s, d), B.types(s, d)).groupBy("pid", "name").agg(F.count(F.lit(1)).alias("cnt")),
+        lambda s, d: R.split_counts(B.occs(s, d), B.types(s, d)),
         _after("occs types", _KEYS, f"SELECT pid, {_NAME} AS name, CAST(sum(n) AS BIGINT) AS cnt FROM placed GROUP BY 1, 2"),
     ),
     "split_property_assign": (
-        lambda s, d: R.split_by_type(B.occs(s, d).where("pid = 'P13'"), B.types(s, d)),
-        _after("occs types", _KEYS, f"SELECT k.pid, k.h, k.t, p.name FROM keyed k JOIN (SELECT *, {_NAME} AS name FROM placed) p USING (pid, h_type, t_type) WHERE k.pid = 'P13'"),
+        lambda s, d: R.split_by_type(B.occs(s, d), B.types(s, d)),
+        _after("occs types", _KEYS, f"SELECT k.pid, k.h, k.t, p.name FROM keyed k JOIN (SELECT *, {_NAME} AS name FROM placed) p USING (pid, h_type, t_type)"),
     ),
     "split_major_as_original": (
-        lambda s, d: R.split_by_type(B.occs(s, d), B.types(s, d), major_keeps_name=True).groupBy("pid", "name").agg(F.count(F.lit(1)).alias("cnt")),
+        lambda s, d: R.split_counts(B.occs(s, d), B.types(s, d), major_keeps_name=True),
         _after("occs types", _KEYS, f"SELECT pid, {_MAJOR} AS name, CAST(sum(n) AS BIGINT) AS cnt FROM placed GROUP BY 1, 2"),
     ),
     "split_leaf_edges": (
@@ -146,7 +146,7 @@ CATALOG = {
         lambda s, d: R.cumulative_seeds(R.entity_degree(B.triples(s, d)), "entity", 0.5),
         _after("triples", "deg AS (SELECT entity, count(*) AS cnt FROM (SELECT h AS entity FROM triples UNION ALL SELECT t FROM triples) GROUP BY entity)", "SELECT entity, cnt, CAST(through AS BIGINT) AS through FROM (SELECT *, sum(cnt) OVER (ORDER BY cnt DESC, entity ROWS UNBOUNDED PRECEDING) AS through, sum(cnt) OVER () AS total FROM deg) WHERE through < 0.5 * total"),
     ),
-    "hash_shuffle_sample": (lambda s, d: R.shuffled_sample(B.table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7, 100), None),
+    "hash_shuffle_sample": (lambda s, d: R.shuffled_sample(B.table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7, 100), "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100"),
     "is_parent": (lambda s, d: B.subprops(s).select("parent", "child").distinct(), _V("subprops", "SELECT DISTINCT parent, child FROM subprops")),
     "is_sibling": (lambda s, d: H.siblings(B.subprops(s)), _V("subprops", "SELECT DISTINCT x.child AS a, y.child AS b FROM subprops x JOIN subprops y USING (parent) WHERE x.child <> y.child")),
     "hierarchy_closure": (lambda s, d: _closed(s).withColumn("depth", F.col("depth").cast("long")), _V("subprops closure", "SELECT anc, des, CAST(depth AS BIGINT) AS depth, count(*) AS paths FROM closure GROUP BY 1, 2, 3")),
@@ -180,7 +180,17 @@ CATALOG = {
         lambda s, d: S.pointwise_pairs(B.subprops(s).select(F.col("parent").alias("pid")).distinct(), B.properties(s), _closed(s)).withColumn("label", F.col("label").cast("long")),
         _V("subprops closure properties", "SELECT p.parent, q.pid AS child, CAST(CASE WHEN EXISTS (SELECT 1 FROM closure c WHERE c.anc = p.parent AND c.des = q.pid) THEN 1 ELSE 0 END AS BIGINT) AS label FROM (SELECT DISTINCT parent FROM subprops) p JOIN properties q ON p.parent <> q.pid"),
     ),
-    "pm2_split": (lambda s, d: S.proportional_split(B.table(s, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("member"), F.col("p_partkey").alias("order")), [("train", 0.6), ("dev", 0.2), ("test", 0.2)]), None),
+    "pm2_split": (lambda s, d: S.proportional_split(B.table(s, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("member"), F.col("p_partkey").alias("order")), [("train", 0.6), ("dev", 0.2), ("test", 0.2)]),
+        """WITH RECURSIVE m AS (SELECT p_brand AS grp, p_partkey AS member, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part),
+          deal AS (SELECT 1 AS i, 1 AS a, 0 AS b, 0 AS c, 'train' AS split UNION ALL
+            SELECT i + 1, a + CASE WHEN s = 'train' THEN 1 ELSE 0 END, b + CASE WHEN s = 'dev' THEN 1 ELSE 0 END, c + CASE WHEN s = 'test' THEN 1 ELSE 0 END, s FROM (
+              SELECT *, CASE WHEN 6 * i - 10 * a >= greatest(2 * i - 10 * b, 2 * i - 10 * c) THEN 'train' WHEN 2 * i - 10 * b >= 2 * i - 10 * c THEN 'dev' ELSE 'test' END AS s FROM deal WHERE i < (SELECT max(nth) FROM m)))
+          SELECT m.grp, m.member, deal.split FROM m JOIN deal ON i = nth"""),
+    "negatives_to_positives": (
+        lambda s, d: S.positives_and_some_negatives(B.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("label")), 1.5, "o_orderkey").groupBy("label").agg(F.count(F.lit(1)).alias("cnt"), F.sum("o_orderkey").alias("keys")).withColumn("label", F.col("label").cast("long")),
+        """WITH o AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS p FROM orders), z AS (SELECT floor(count(CASE WHEN p THEN 1 END) * 1.5) AS want FROM o),
+          n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY substr(md5('1:' || o_orderkey), 1, 12), o_orderkey) AS k FROM o)
+          SELECT CAST(p AS BIGINT) AS label, count(*) AS cnt, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM n, z WHERE p OR k <= want GROUP BY 1"""),
 }
 
 

@@ -15,7 +15,8 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 def _gaps(s, d):
-    return T.forward_pairs(B.mentions(s, d), B.pair_relations(s, d))
+    lex = B.lexicon(s, d)
+    return T.forward_pairs(B.mentions(s, d, lex), B.pair_relations(s, d, lex))
 
 
 _GAPS = """m AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start, end_, wdid) AS idx FROM mentions),
@@ -45,7 +46,7 @@ def _paths(s, d):
 
 
 def _bag(s, d):
-    return T.filtered_words(T.context_words(_gaps(s, d), B.tokens(s, d)))
+    return T.filtered_words(T.context_words(_gaps(s, d), B.token_lists(s, d)))
 
 
 CATALOG = {
@@ -55,22 +56,22 @@ CATALOG = {
     ),
     "mention_popularity": (lambda s, d: T.document_mentions(B.mentions(s, d)), _V("tokens lexicon mentions", "SELECT wdid, count(DISTINCT sid) AS docs, count(*) AS cnt, min(sid) AS first_sid FROM mentions GROUP BY wdid")),
     "mention_pairs_forward": (lambda s, d: _gaps(s, d).withColumns({c: F.col(c).cast("long") for c in ("start", "end", "direction")}), _after(_NAMES, _GAPS, 'SELECT sid, pid, start, end_ AS "end", CAST(direction AS BIGINT) AS direction FROM gaps')),
-    "gap_snippets": (lambda s, d: T.snippets(_gaps(s, d), B.tokens(s, d)).withColumn("direction", F.col("direction").cast("long")), _after(_NAMES, _SNIPPETS, "SELECT pid, snippet, CAST(direction AS BIGINT) AS direction, cnt FROM snips")),
+    "gap_snippets": (lambda s, d: T.snippets(_gaps(s, d), B.token_lists(s, d)).withColumn("direction", F.col("direction").cast("long")), _after(_NAMES, _SNIPPETS, "SELECT pid, snippet, CAST(direction AS BIGINT) AS direction, cnt FROM snips")),
     "snippet_filter": (
-        lambda s, d: T.filtered_snippets(T.snippets(_gaps(s, d), B.tokens(s, d))).withColumn("direction", F.col("direction").cast("long")),
+        lambda s, d: T.filtered_snippets(T.snippets(_gaps(s, d), B.token_lists(s, d))).withColumn("direction", F.col("direction").cast("long")),
         _after(_NAMES, _SNIPPETS, f"""SELECT pid, lower(snippet) AS snippet, CAST(direction AS BIGINT) AS direction, CAST(sum(cnt) AS BIGINT) AS cnt FROM snips
-          WHERE regexp_matches(lower(snippet), '^[a-z0-9]') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2, 3"""),
+          WHERE NOT regexp_matches(lower(snippet), '{T.PUNCTUATION}') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2, 3"""),
     ),
-    "pid_context_counts": (lambda s, d: T.context_words(_gaps(s, d), B.tokens(s, d), 2), _after(_NAMES, _WORDS, "SELECT * FROM words WHERE cnt >= 2")),
+    "pid_context_counts": (lambda s, d: T.context_words(_gaps(s, d), B.token_lists(s, d), 2), _after(_NAMES, _WORDS, "SELECT * FROM words WHERE cnt >= 2")),
     "bow_filter": (lambda s, d: _bag(s, d), _after(_NAMES, _BAG, "SELECT * FROM bag")),
     "tfidf": (
         lambda s, d: T.tfidf(_bag(s, d)).withColumn("weight", F.round("weight", 6)),
         _after(_NAMES, _BAG + ", raw AS (SELECT b.pid, b.word, cnt * (ln((1 + (SELECT count(DISTINCT pid) FROM bag)) / (1 + df)) + 1) AS w FROM bag b JOIN (SELECT word, count(DISTINCT pid) AS df FROM bag GROUP BY word) USING (word))", "SELECT pid, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY pid)), 6) AS weight FROM raw"),
     ),
     "pattern_topk": (
-        lambda s, d: T.top_per_relation(T.filtered_snippets(T.snippets(_gaps(s, d), B.tokens(s, d))).groupBy("pid", "snippet").agg(F.sum("cnt").alias("cnt")), "snippet", 5).withColumn("rank", F.col("rank").cast("long")),
+        lambda s, d: T.top_per_relation(T.filtered_snippets(T.snippets(_gaps(s, d), B.token_lists(s, d))).groupBy("pid", "snippet").agg(F.sum("cnt").alias("cnt")), "snippet", 5).withColumn("rank", F.col("rank").cast("long")),
         _after(_NAMES, _SNIPPETS, f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cnt DESC, snippet) AS rank FROM (SELECT pid, lower(snippet) AS snippet, CAST(sum(cnt) AS BIGINT) AS cnt FROM snips
-          WHERE regexp_matches(lower(snippet), '^[a-z0-9]') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2)) WHERE rank <= 5"""),
+          WHERE NOT regexp_matches(lower(snippet), '{T.PUNCTUATION}') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2)) WHERE rank <= 5"""),
     ),
     "diff_features": (
         lambda s, d: T.distinguishing_words(_bag(s, d), "P1", "P2"),
@@ -111,7 +112,7 @@ CATALOG = {
     "pmi_categories": (
         lambda s, d: T.set_pmi(_categories(s, d)).withColumn("pmi", F.round("pmi", 6)),
         """WITH c AS (SELECT p_brand AS cat, p_partkey AS e FROM part UNION SELECT p_type, p_partkey FROM part), z AS (SELECT cat, count(*) AS n FROM c GROUP BY cat)
-          SELECT a, b, round(greatest(ln(both_ * (SELECT count(DISTINCT e) FROM c) / (x.n * y.n)), ln(0.00001)), 6) AS pmi FROM (SELECT l.cat AS a, r.cat AS b, count(*) AS both_ FROM c l JOIN c r ON l.e = r.e AND l.cat < r.cat GROUP BY 1, 2) JOIN z x ON x.cat = a JOIN z y ON y.cat = b""",
+          SELECT x.cat AS a, y.cat AS b, round(ln(greatest(coalesce(both_, 0) * (SELECT count(DISTINCT e) FROM c) / (x.n * y.n), 0.00001)), 6) AS pmi FROM z x JOIN z y ON x.cat < y.cat LEFT JOIN (SELECT l.cat AS a, r.cat AS b, count(*) AS both_ FROM c l JOIN c r ON l.e = r.e AND l.cat < r.cat GROUP BY 1, 2) ON a = x.cat AND b = y.cat""",
     ),
     "dep_bow": (
         lambda s, d: T.path_bags(_paths(s, d), 10),

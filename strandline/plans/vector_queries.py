@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import metrics as M
+from strandline.operators import pair_scores as P
 from strandline.operators import vectors as V
 from strandline.plans.relation_queries import _after
 from strandline.sources import bindings as B
 
 _V = B.with_views
-DIMS, MOST = 64, 20
+DIMS = 64
 
 _LONG = """long AS (SELECT pid, id, CAST(unnest(range(64)) AS BIGINT) AS dim, CAST(unnest(vec) AS DOUBLE) AS x FROM vectors),
   mean AS (SELECT pid, dim, avg(x) AS x FROM long GROUP BY 1, 2),
   scores AS (SELECT a.pid AS p1, b.pid AS p2, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS cosine, -sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance, sum(a.x * b.x) AS dot
              FROM mean a JOIN mean b ON a.dim = b.dim AND a.pid <> b.pid GROUP BY 1, 2)"""
-_MET = f"""few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY id) AS k FROM vectors) WHERE k <= {MOST}),
-  met AS (SELECT a.pid AS p1, b.pid AS p2, a.id AS c, b.id AS p, pow(list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 2) AS d2 FROM few a JOIN few b ON a.pid <> b.pid),
-  low AS (SELECT *, min(d2) OVER (PARTITION BY p1, p2, c) AS low FROM met)"""
+_MET = """met AS (SELECT a.pid AS p1, b.pid AS p2, a.id AS c, b.id AS p, pow(list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 2) AS d2 FROM vectors a JOIN vectors b ON a.pid <> b.pid),
+  lows AS (SELECT p1, p2, c, min(d2) AS low FROM met GROUP BY 1, 2, 3), low AS (SELECT * FROM met JOIN lows USING (p1, p2, c))"""
+
+
+def _all(s, d, score, *more):
+    rows = B.vectors(s, d)
+    return score(rows, P.all_pairs(rows), *more)
 
 
 def _scores(s, d):
@@ -46,8 +51,10 @@ def _logits(s, d):
     """Each vector as a sample: its dot product with the other relations' means."""
     means = V.mean_vectors(B.vectors(s, d)).select(F.col("pid").alias("candidate"), F.col("vec").alias("m"))
     rows = B.vectors(s, d).select(F.col("id").alias("sample"), "pid", F.concat(F.lit("P"), ((F.col("pid").substr(2, 9).cast("int") + 3) % 10).cast("string")).alias("label"), "vec")
-    # Means are one row a relation.
-    return rows.crossJoin(F.broadcast(means)).select("sample", "pid", "label", "candidate", V.dot(F.col("vec"), F.col("m")).alias("logit"))
+    # Means are one row a relation, gathered in one small row.
+    every = means.agg(F.collect_list(F.struct("candidate", "m")).alias("every"))
+    met = rows.crossJoin(F.broadcast(every)).select("sample", "pid", "label", "vec", F.explode("every").alias("e"))
+    return met.select("sample", "pid", "label", "e.candidate", V.dot(F.col("vec"), F.col("e.m")).alias("logit"))
 
 
 CATALOG = {
@@ -67,13 +74,13 @@ CATALOG = {
         lambda s, d: V.pairwise_cosine(B.vectors(s, d)).withColumn("score", F.round("score", 5)),
         _after("vectors", "unit AS (SELECT pid, CAST(unnest(range(64)) AS BIGINT) AS dim, CAST(unnest(vec) AS DOUBLE) / sqrt(list_inner_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS x FROM vectors), mean AS (SELECT pid, dim, avg(x) AS x FROM unit GROUP BY 1, 2)", "SELECT a.pid AS p1, b.pid AS p2, round(sum(a.x * b.x), 5) AS score FROM mean a JOIN mean b ON a.dim = b.dim AND a.pid <> b.pid GROUP BY 1, 2"),
     ),
-    "euclid_mean": (lambda s, d: V.euclidean_mean(B.vectors(s, d), MOST).withColumn("score", F.round("score", 4)), _after("vectors", _MET, "SELECT p1, p2, round(-avg(sqrt(d2)), 4) AS score FROM met GROUP BY 1, 2")),
+    "euclid_mean": (lambda s, d: _all(s, d, P.euclidean_mean).withColumn("score", F.round("score", 4)), _after("vectors", _MET, "SELECT p1, p2, round(-avg(sqrt(d2)), 4) AS score FROM met GROUP BY 1, 2")),
     "expeuc": (
-        lambda s, d: V.expected_exponential(B.vectors(s, d), MOST).withColumn("score", F.round("score", 4)),
+        lambda s, d: _all(s, d, P.expected_exponential).withColumn("score", F.round("score", 4)),
         _after("vectors", _MET, "SELECT p1, p2, round(avg(s), 4) AS score FROM (SELECT p1, p2, c, ln(avg(exp(low - d2))) - min(low) AS s FROM low GROUP BY 1, 2, 3) GROUP BY 1, 2"),
     ),
     "mixgau": (
-        lambda s, d: V.gaussian_mixture(B.vectors(s, d), DIMS, MOST).withColumn("score", F.round("score", 2)),
+        lambda s, d: _all(s, d, P.gaussian_mixture, DIMS).withColumn("score", F.round("score", 2)),
         _after("vectors", _MET, "SELECT p1, p2, round(sum(s), 2) AS score FROM (SELECT p1, p2, c, ln(avg(exp((low - d2) / 2))) - min(low) / 2 - 32 * ln(2 * pi()) AS s FROM low GROUP BY 1, 2, 3) GROUP BY 1, 2"),
     ),
     "knn_props": (

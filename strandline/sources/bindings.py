@@ -105,32 +105,34 @@ TYPES = """
   UNION ALL SELECT 'Q' || CAST(4000000000 + s_suppkey AS VARCHAR), 'N' || CAST(s_nationkey AS VARCHAR), 1, 0 FROM supplier
 """
 
-WORDS_AND_ENDS = "[a-z]+|[.!?]"
+WORDS_AND_ENDS = r"\p{L}+|[.!?]"
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens (sid, pos, tok) of the English documents: words and sentence ends, lower case."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token lists (sid, toks) of all documents: words of any letters and sentence ends, lower case."""
     found = F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORDS_AND_ENDS), F.lit(0))
-    return docs.select(F.col("doc_id").alias("sid"), F.posexplode(found).alias("pos", "tok"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), found.alias("toks"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens (sid, pos, tok) of all documents."""
+    return token_lists(spark, sf_dir).select("sid", F.posexplode("toks").alias("pos", "tok"))
 
 
 TOKENS = f"""
   SELECT doc_id AS sid, CAST(unnest(range(len(w))) AS BIGINT) AS pos, unnest(w) AS tok
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS_AND_ENDS}') AS w FROM documents WHERE lang = 'en')
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS_AND_ENDS}') AS w FROM documents)
 """
 
 LEXICON_WORDS = 200
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent long words as entities: (word, wdid, rank)."""
+    """The most frequent long words as entities: (word, wdid, rank). Two hundred rows, found once and held by the driver."""
     df = tokens(spark, sf_dir).where("length(tok) >= 7").groupBy("tok").agg(F.countDistinct("sid").alias("df"))
     top = df.orderBy(F.desc("df"), "tok").limit(LEXICON_WORDS)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.desc("df"), "tok"))
-    return top.select(F.col("tok").alias("word"), rank.alias("rank")).withColumn("wdid", F.concat(F.lit("W"), F.col("rank").cast("string")))
+    rows = [(r.tok, i, f"W{i}") for i, r in enumerate(top.collect(), 1)]
+    return spark.createDataFrame(rows, "word string, rank int, wdid string")
 
 
 LEXICON = f"""
@@ -140,18 +142,18 @@ LEXICON = f"""
 """
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
     """Mentions (sid, start, end, wdid): tokens that are in the lexicon, of a fixed two hundred words."""
-    lex = lexicon(spark, sf_dir).select(F.col("word").alias("tok"), "wdid")
+    lex = (lexicon(spark, sf_dir) if lex is None else lex).select(F.col("word").alias("tok"), "wdid")
     return tokens(spark, sf_dir).join(F.broadcast(lex), "tok").select("sid", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "wdid")
 
 
 MENTIONS = "SELECT sid, pos AS start, pos + 1 AS end_, wdid FROM tokens JOIN lexicon ON tok = word"
 
 
-def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_relations(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
     """A relation for a third of the lexicon's pairs: (h, t, pid)."""
-    lex = lexicon(spark, sf_dir)
+    lex = lexicon(spark, sf_dir) if lex is None else lex
     a, b = lex.select(F.col("wdid").alias("h"), F.col("rank").alias("i")), lex.select(F.col("wdid").alias("t"), F.col("rank").alias("j"))
     pid = F.concat(F.lit("P"), ((F.col("i") * 7 + F.col("j")) % 10).cast("string"))
     return a.join(b, (F.col("i") + F.col("j")) % 3 == 0).select("h", "t", pid.alias("pid"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.relations import ENTITY, drop_consecutive
+from strandline.operators.loops import checkpointed
+from strandline.operators.relations import ENTITY
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,10 +75,76 @@ def read_nway(spark: SparkSession, path: str, relations: DataFrame | None = None
     if per_relation is not None:
         out = out.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("pos"))).where(F.col("nth") <= per_relation).drop("nth")
     if one_per_label:
-        out = drop_consecutive(out.withColumn("all", F.lit(1)), ["all"], ["pos"], "label").drop("all")
+        out = _runs_collapsed(out)
     return out.select("pos", "label", "pid", "occs")
 
 
+def _runs_collapsed(rows: DataFrame) -> DataFrame:
+    """Rows whose label differs from that of the row before. A task reads a stretch of the file, whose rows it numbers in a row; only the last label of each stretch goes on."""
+    stretch = F.shiftright("pos", 33)
+    held = checkpointed(rows.withColumn("_part", stretch))
+    last = held.groupBy("_part").agg(F.max_by("label", "pos").alias("end"))
+    # One row a stretch.
+    before = last.select("_part", F.lag("end").over(Window.orderBy("_part")).alias("_before"), F.lit(True).alias("_any"))
+    own = F.lag(F.struct("label")).over(Window.partitionBy("_part").orderBy("pos"))
+    met = held.withColumn("_own", own).join(F.broadcast(before), "_part")
+    first = F.col("_own").isNull() & (F.col("_part") == F.lit(0))
+    was = F.when(F.col("_own").isNotNull(), F.col("_own.label")).otherwise(F.col("_before"))
+    return met.where(~F.col("label").eqNullSafe(was) | first).select(*rows.columns)
+
+
+def one_per_pair(samples: DataFrame, order: str = "pos") -> DataFrame:
+    """Of the samples of one unordered pair of relations (p1, p2) the first."""
+    nth = F.row_number().over(Window.partitionBy(F.least("p1", "p2"), F.greatest("p1", "p2")).orderBy(order, "p1"))
+    return samples.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Relation ids: the first column."""
+    return spark.read.text(path).where("value <> ''").select(_field(0).alias("pid"))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counted pairs: a, b and cnt by tabs."""
+    return spark.read.text(path).where("value <> ''").select(_field(0).alias("a"), _field(1).alias("b"), _field(2).cast("long").alias("cnt"))
+
+
+def read_list_map(spark: SparkSession, path: str, separator: str = "|||") -> DataFrame:
+    """A key and its list: (key, vals). Of equal keys the last wins."""
+    rows = _lines(spark, path).where("value <> ''").select(_field(0).alias("key"), F.split(_field(1), "".join(f"[{c}]" for c in separator)).alias("vals"), "pos")
+    return rows.groupBy("key").agg(F.max_by("vals", "pos").alias("vals"))
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Articles in JSON lines (id, title, sections) as one text each, white space collapsed; articles without an id are left out: (id, text)."""
+    rows = spark.read.schema("id string, title string, sections array<string>").json(path).where("id is not null and id <> ''")
+    whole = F.array_join(F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce("sections", F.array().cast("array<string>"))), " ")
+    return rows.select("id", F.trim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")).alias("text"))
+
+
+def sampled_files(spark: SparkSession, path: str, n: int, seed: int = 0) -> DataFrame:
+    """Lines of n of a folder's files, drawn by the hash of seed and name, with the file that each comes from: (file, value)."""
+    files = spark.read.format("binaryFile").load(path).select("path").distinct()
+    some = files.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.regexp_extract("path", "[^/]*$", 0))), "path").limit(n)
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    return rows.join(F.broadcast(some.select(F.regexp_extract("path", "[^/]*$", 0).alias("_name"))), F.regexp_extract("file", "[^/]*$", 0) == F.col("_name"), "left_semi")
+
+
+def read_see_also(lines: DataFrame, edges: DataFrame, split_of: DataFrame, split: str | None = None) -> DataFrame:
+    """Neighbours (pid, other) of relations from lines (pid, other), ids of split relations (name, pid) mapped to their base relation.
+
+    With `split`, relations of that split (split, pid) have their siblings in it instead.
+    """
+    base = lambda c: F.substring_index(c, "_", 1)
+    own = lines.select(base("pid").alias("pid"), base("other").alias("other")).where("pid <> other").distinct()
+    if split is None:
+        return own
+    there = split_of.where(F.col("split") == split).select("pid").distinct()
+    a = edges.join(there.withColumnRenamed("pid", "child"), "child", "left_semi")
+    met = a.select("parent", F.col("child").alias("pid")).join(a.select("parent", F.col("child").alias("other")), "parent").where("pid <> other").select("pid", "other").distinct()
+    return own.join(met.select("pid").distinct(), "pid", "left_anti").unionByName(met)
+
+
 def read_pointwise(spark: SparkSession, path: str) -> DataFrame:
     """Samples `label TAB p1 h t ... TAB p2 h t ...` of different relations."""
     rows = _lines(spark, path).select("pos", _field(0).cast("int").alias("label"), F.split(_field(1), " ").alias("x"), F.split(_field(2), " ").alias("y"))
@@ -106,13 +173,33 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("val", "pos").alias("val"))
 
 
-def read_vectors(spark: SparkSession, path: str, size: int, sep: str = "\t", unwrap: bool = False) -> DataFrame:
-    """Vectors of a fixed size as text; a line of another size raises. `unwrap` takes the last part of `<.../id>`."""
+def read_vectors(spark: SparkSession, path: str, size: int, sep: str = "\t", unwrap: bool = False, header: bool = False) -> DataFrame:
+    """Vectors of a fixed size as text; a line of another size raises. `unwrap` takes the last part of `<.../id>`.
+
+    With `header` the lines of two numbers after a word, or of two numbers alone, which tell the file's size, are left out.
+    """
     parts = F.split("value", sep)
     own = F.regexp_extract(parts[0], r"([^/<>]+)>?$", 1) if unwrap else parts[0]
     vec = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).cast("array<float>")
     checked = F.when(F.size(vec) == size, vec).otherwise(F.raise_error(F.lit(f"a vector is not of size {size}")).cast("array<float>"))
-    return spark.read.text(path).where("value <> ''").select(own.alias("id"), checked.alias("vec"))
+    rows = spark.read.text(path).where("value <> ''")
+    rows = rows.where(~F.col("value").rlike(r"^(\S+\s+)?[0-9]+\s+[0-9]+\s*$")) if header else rows
+    return rows.select(own.alias("id"), checked.alias("vec"))
+
+
+def indexed_vectors(vectors: DataFrame, pad: str = "<PAD>") -> DataFrame:
+    """Vectors with an index from 1 in the order of their ids, and a padding row of zeros at 0: (ind, id, vec).
+
+    Ids are numbered in ranges, so no task holds them all.
+    """
+    ranged = checkpointed(vectors.repartitionByRange("id").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    # One row a range.
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("id"))
+    numbered = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_part").select((F.col("before") + F.col("_nth")).alias("ind"), "id", "vec")
+    first = vectors.limit(1).select(F.lit(0).cast("long").alias("ind"), F.lit(pad).alias("id"), F.transform("vec", lambda x: F.lit(0.0).cast("float")).alias("vec"))
+    return first.unionByName(numbered)
 
 
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:

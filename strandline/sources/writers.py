@@ -23,15 +23,16 @@ def rank_lines(ranked: DataFrame, k: int) -> DataFrame:
     return top.select(F.concat_ws(",", "p1", F.array_join(F.transform("found", lambda x: x.p2), ",")).alias("value"))
 
 
-def tree_lines(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """Each root's tree as lines indented by depth, in the order of paths: (path, value)."""
+def tree_lines(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each root's tree as lines indented by depth, in the order of paths: (path, value). A cycle raises."""
     from strandline.operators.loops import checkpointed
 
     level = checkpointed(roots.select("pid", F.array("pid").alias("path")))
     out = level
     step = edges.select(F.col("parent").alias("pid"), "child")
-    for _ in range(most):
-        level = checkpointed(level.join(step, "pid").select(F.col("child").alias("pid"), F.concat("path", F.array("child")).alias("path")))
+    fine = F.when(F.array_contains("path", F.col("child")), F.raise_error(F.lit("the hierarchy has a cycle"))).otherwise(F.col("child"))
+    while True:
+        level = checkpointed(level.join(step, "pid").select(fine.alias("pid"), F.concat("path", F.array("child")).alias("path")))
         if not level.limit(1).count():
             break
         out = out.unionByName(level)
@@ -41,3 +42,17 @@ def tree_lines(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
 def label_index(labels: DataFrame) -> DataFrame:
     """Labels numbered from 0 in their order; one row a label."""
     return labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("ind"))
+
+
+def shuffled_heads(occs: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The first n occurrences of each relation in an order by the hash of seed, head and tail."""
+    nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "h", F.lit("|"), "t")), "h", "t"))
+    return occs.withColumn("_nth", nth).where(F.col("_nth") <= n).select("pid", "h", "t")
+
+
+def tree_json(edges: DataFrame, predicted: DataFrame) -> DataFrame:
+    """A JSON object a relation with its parent, the smallest of several and # without one, and the predicted one (pid, predicted): (pid, value)."""
+    own = edges.groupBy(F.col("child").alias("pid")).agg(F.min("parent").alias("parent"))
+    top = edges.select(F.col("parent").alias("pid")).distinct().join(own, "pid", "left_anti").withColumn("parent", F.lit("#"))
+    both = own.unionByName(top).join(predicted, "pid", "left")
+    return both.select("pid", F.to_json(F.struct(F.col("pid").alias("id"), "parent", F.coalesce("predicted", F.lit("#")).alias("predicted"))).alias("value"))
