@@ -24,7 +24,6 @@ K, S = 4, 2
 BINS = 16
 #: Bits of an anchor's hash that take part in matching; the rest of a long holds its side and its place.
 _PLACE, _SIDE = 1 << 23, 1 << 24
-_LONGS = "array<bigint>"
 
 
 def _let(value: Column, then) -> Column:
@@ -78,13 +77,15 @@ def told_apart(marks: Column) -> Column:
     hashed = lambda h, at: h.bitwiseAND(F.lit(-2 * _SIDE)).bitwiseOR(at.cast("long").bitwiseAND(F.lit(_PLACE - 1)))
 
     def numbered(c: Column) -> Column:
-        top = F.transform(c, lambda x: x.bitwiseAND(F.lit(-2 * _SIDE)))
-        return _let(top, lambda t: _let(_first_of_runs(t), lambda f: F.flatten(F.zip_with(F.slice(f, 1, F.size(f) - 1), F.slice(f, 2, F.size(f)), lambda a, b: of_run(c, a, b)))))
-
-    def of_run(c: Column, a: Column, b: Column) -> Column:
-        again = F.slice(c, a + 1, b - a)
-        renamed = lambda x, k: F.when(k == 0, x).otherwise(hashed(F.xxhash64(x.bitwiseAND(F.lit(-2 * _SIDE)), k), x.bitwiseAND(F.lit(_PLACE - 1))))
-        return F.when(b - a == 1, again).otherwise(F.transform(again, renamed))
+        again = lambda x, i: (i > 0) & (F.shiftright(x, 25) == F.shiftright(F.get(c, i - 1), 25))
+        return F.concat(F.filter(c, lambda x, i: ~again(x, i)), _let(F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: again(F.get(c, i), i)), lambda r: of_repeats(c, r)))
+
+    def of_repeats(c: Column, r: Column) -> Column:
+        # Repeats of one hash stand next to each other, after its first anchor; the next hash's come after a gap.
+        first = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda j: (j == 0) | (F.get(r, j) != F.get(r, j - 1) + 1))
+        numbers = _let(first, lambda f: F.flatten(F.zip_with(f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(r))), lambda a, b: F.sequence(F.lit(1), b - a))))
+        renamed = lambda i, k: hashed(F.xxhash64(F.get(c, i).bitwiseAND(F.lit(-2 * _SIDE)), k), F.get(c, i).bitwiseAND(F.lit(_PLACE - 1)))
+        return F.when(F.size(r) > 0, F.zip_with(r, numbers, renamed)).otherwise(F.array().cast("array<bigint>"))
 
     packed = F.zip_with(marks["hash"], marks["at"], hashed)
     many = F.size(F.array_distinct(marks["hash"])) < F.size(marks["hash"])
