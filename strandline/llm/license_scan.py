@@ -34,6 +34,61 @@ PASSAGES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 )
+# Whole license texts and notices, by label, as words.
+TEXTS = (
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright "
+        "holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+        "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu "
+        "general public license along with this program",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties "
+        "of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+        "of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+        "the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an "
+        "action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+)
+#: Words of a part of a whole text, at least; each is a passage of its own, so a text that holds one part of a license is found.
+PART_WORDS = 32
+
+
+def parts_of(texts: tuple[tuple[str, str], ...], words: int = PART_WORDS) -> tuple[tuple[str, str], ...]:
+    """Whole texts cut into passages of equal length, of `words` to less than twice as many words."""
+    out = []
+    for label, text in texts:
+        all_words = text.split(" ")
+        n = max(len(all_words) // words, 1)
+        cuts = [i * len(all_words) // n for i in range(n + 1)]
+        out += [(label, " ".join(all_words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return tuple(out)
 
 _NO_WORD = np.zeros(256, dtype=bool)
 _NO_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -88,8 +143,10 @@ def _document_grams(wanted: np.ndarray):
     return run
 
 
-def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, cover: float = COVER) -> DataFrame:
-    """License phrases and passages in every document's whole text.
+def scan_licenses(
+    docs: DataFrame, base: dict[str, str] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, texts: tuple[tuple[str, str], ...] = TEXTS, cover: float = COVER
+) -> DataFrame:
+    """License phrases, notices and parts of license texts in every document's whole text.
 
     Takes any frame with doc_id and text. Returns doc_id, n_words, n_base (places of the base phrases), first_word, last_word (their
     smallest and largest start), base_labels, labels (with those of passages), score (1 with a base phrase, else the best passage's
@@ -103,6 +160,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, passages: tuple[
     Null texts have no words. Null ids and repeated rows are rows of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    passages = (*passages, *parts_of(texts))
     if any(t.count(" ") >= 64 + K - 1 for _, t in passages):
         raise ValueError("a passage has over 64 k-grams")
     templates = [(t, label) for t, label in base.items()] + [(t, label) for label, t in passages]

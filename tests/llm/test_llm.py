@@ -389,3 +389,13 @@ def test_pipeline_stages(spark, labels):
         kept = stage(spark, docs, SMALL)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_parts_of_whole_license_texts(spark):
+    parts = license_scan.parts_of(license_scan.TEXTS)
+    assert all(license_scan.PART_WORDS <= len(t.split()) < 2 * license_scan.PART_WORDS for _, t in parts)
+    assert {label: " ".join(t for x, t in parts if x == label) for label in dict(license_scan.TEXTS)} == dict(license_scan.TEXTS)
+    mit = dict(license_scan.TEXTS)["mit"].split()
+    rows = [(1, said(50, 1) + " " + " ".join(mit[110:]) + " " + said(20, 2)), (2, " ".join(w for i, w in enumerate(mit) if i % 40 != 7)), (3, " ".join(mit[150:])), (4, said(300, 4)), (5, None)]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "mit", 3: "", 4: "", 5: ""}
