@@ -69,6 +69,7 @@ class PieceTables:
         if trainer.get(3, 1) != 2 or not trainer.get(35, 0) or normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
             raise ValueError("only BPE models with byte fallback and no normalisation are supported")
         self.text = [p for p, _, _ in pieces]
+        self.names = [str(i) for i in range(len(pieces))]
         normal = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == self.NORMAL}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in normal) or {k for _, _, k in pieces} - {1, 2, 3, self.BYTE}:
             raise ValueError("only models whose pieces lie within words are supported")
@@ -221,12 +222,17 @@ class Codec:
         apart = "".join(c for c in "\n\t" if c not in self.tables.char_id)
         rest = f"[^{SPACE_MARK}{apart}]"
         self.words = re.compile(f"{SPACE_MARK}+{rest}*|{rest}+" + (f"|[{apart}]+" if apart else ""))
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: Ids, joined by commas, and decoded text of each word.
+        self.known: dict[str, str] = {}
+        self.said: dict[str, str] = {}
 
     def _learn(self, words: list[str]) -> None:
+        name, plain = self.tables.names, self.tables.byte_of.keys().isdisjoint
         for word, ids in zip(words, encode_words(self.tables, words), strict=True):
             listed = ids.tolist()
-            self.known[word] = (len(listed), ",".join(map(str, listed)), decode_ids(self.tables, listed))
+            self.known[word] = ",".join([name[i] for i in listed])
+            # Without byte pieces the pieces are the word.
+            self.said[word] = word.replace(SPACE_MARK, " ") if plain(listed) else decode_ids(self.tables, listed)
 
     def split(self, text: str) -> list[str]:
         """Words of the marked text; no piece crosses their borders."""
@@ -239,16 +245,16 @@ class Codec:
         split = [self.split(t) for t in texts]
         words = set().union(*split)
         if len(self.known) + len(words) > REMEMBER_WORDS:
-            self.known = {}
+            self.known, self.said = {}, {}
         self._learn(list(words - self.known.keys()))
-        look, out = self.known.__getitem__, []
+        ids_of, said_of, out = self.known.__getitem__, self.said.__getitem__, []
         for ws in split:
-            counts, ids, decoded = zip(*map(look, ws), strict=True) if ws else ((), (), ())
-            text = "".join(decoded)
-            out.append((sum(counts), ",".join(ids), text[1:] if self.tables.dummy_prefix and text[:1] == " " else text))
+            # Every word has ids, so their number is told by the commas.
+            ids, text = ",".join(map(ids_of, ws)), "".join(map(said_of, ws))
+            out.append((ids.count(",") + 1 if ids else 0, ids, text[1:] if self.tables.dummy_prefix and text[:1] == " " else text))
         for w in words:
             if len(w) > REMEMBER_CHARS:
-                del self.known[w]
+                del self.known[w], self.said[w]
         return out
 
 
