@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.loops import checkpointed
+
 #: Ids of entities.
 ENTITY = "^Q[0-9]+$"
+#: Rows beyond which a relation is numbered in ranges and not in one window.
+LARGE_RELATION = 5_000_000
 
 
 def entity_pairs(occs: DataFrame) -> DataFrame:
@@ -92,15 +96,34 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column | str], n: i
     return df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
 
 
-def downsample(occs: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, sizes: DataFrame, order: list[Column | str], name: str, large: int = LARGE_RELATION) -> DataFrame:
+    """Rows numbered from 1 within each relation (pid), in a total order; `sizes` (pid, n) has at least each relation's rows.
+
+    Relations of up to `large` rows are numbered in a window. Larger ones, of which there are few, are cut into ranges of the order that are
+    numbered apart, and what stands in the ranges before is added, so no task holds a relation.
+    """
+    within = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
+    big = checkpointed(sizes.where(F.col("n") > large).select("pid"))
+    if not big.limit(1).count():
+        return df.withColumn(name, within)
+    small = df.join(F.broadcast(big), "pid", "left_anti").withColumn(name, within)
+    ranged = checkpointed(df.join(F.broadcast(big), "pid", "left_semi").repartitionByRange("pid", *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("pid", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row a relation and range.
+    before = F.sum("_n").over(Window.partitionBy("pid").orderBy("_part")) - F.col("_n")
+    own = F.row_number().over(Window.partitionBy("pid", "_part").orderBy(*order))
+    placed = ranged.withColumn(name, own).join(F.broadcast(counts.select("pid", "_part", before.alias("_before"))), ["pid", "_part"])
+    return small.unionByName(placed.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name))
+
+
+def downsample(occs: DataFrame, large: int = LARGE_RELATION) -> DataFrame:
     """The first min(n, sqrt(n) * 10) of each relation's n rows, in the order of head and tail."""
     counts = occs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     bound = F.floor(F.least(F.col("n"), F.sqrt("n") * 10))
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy("h", "t"))
-    return occs.withColumn("nth", nth).join(counts, "pid").where(F.col("nth") <= bound).select("pid", "h", "t")
+    return numbered(occs.select("pid", "h", "t"), counts, ["h", "t"], "nth", large).join(counts, "pid").where(F.col("nth") <= bound).select("pid", "h", "t")
 
 
-def downsample_by_popularity(occs: DataFrame, popularity: DataFrame, most: int = 100_000) -> DataFrame:
+def downsample_by_popularity(occs: DataFrame, popularity: DataFrame, most: int = 100_000, large: int = LARGE_RELATION) -> DataFrame:
     """Distinct pairs of each relation with the highest harmonic popularity 1 / (1 / c(h) + 1 / c(t)); a missing one counts 0.
 
     The bound min(n, sqrt(min(n, most)) * 10) takes n with duplicates; ties go to the smaller head, then tail.
@@ -109,9 +132,8 @@ def downsample_by_popularity(occs: DataFrame, popularity: DataFrame, most: int =
     of = lambda side: popularity.select(F.col("entity").alias(side), F.col("cnt").alias(f"c_{side}"))
     scored = occs.select("pid", "h", "t").distinct().join(of("h"), "h", "left").join(of("t"), "t", "left")
     score = F.coalesce(1 / (1 / F.col("c_h") + 1 / F.col("c_t")), F.lit(0.0))
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "h", "t"))
     bound = F.floor(F.least(F.col("n"), F.sqrt(F.least(F.col("n"), F.lit(most))) * 10))
-    return scored.withColumn("score", score).withColumn("nth", nth).join(counts, "pid").where(F.col("nth") <= bound).select("pid", "h", "t")
+    return numbered(scored.withColumn("score", score), counts, [F.desc("score"), "h", "t"], "nth", large).join(counts, "pid").where(F.col("nth") <= bound).select("pid", "h", "t")
 
 
 def drop_consecutive(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
@@ -121,10 +143,10 @@ def drop_consecutive(df: DataFrame, key: list[str], order: list[str], value: str
     return df.withColumn("_before", before).withColumn("_nth", nth).where((F.col("_nth") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_nth")
 
 
-def chunked(occs: DataFrame, size: int) -> DataFrame:
+def chunked(occs: DataFrame, size: int, large: int = LARGE_RELATION) -> DataFrame:
     """Distinct pairs of each relation in chunks of a fixed size: (pid, chunk, n, first_h)."""
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy("h", "t"))
-    out = occs.select("pid", "h", "t").distinct().withColumn("chunk", F.floor((nth - 1) / size).cast("long"))
+    counts = occs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    out = numbered(occs.select("pid", "h", "t").distinct(), counts, ["h", "t"], "nth", large).withColumn("chunk", F.floor((F.col("nth") - 1) / size).cast("long"))
     return out.groupBy("pid", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first_h"))
 
 

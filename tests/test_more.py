@@ -9,6 +9,7 @@ from strandline.operators import evaluation as E
 from strandline.operators import graph as G
 from strandline.operators import hierarchy as H
 from strandline.operators import pair_scores as P
+from strandline.operators import relations as R_
 from strandline.operators import samples as S
 from strandline.operators import text as T
 from strandline.sources import readers as R
@@ -147,3 +148,11 @@ def test_sampled_files_keep_their_names(spark, tmp_path):
         (tmp_path / f"f{i}.txt").write_text(f"line {i}\n")
     got = R.sampled_files(spark, str(tmp_path), 2, 5).collect()
     assert len(got) == 2 and all(r.file.endswith(f"f{r.value[-1]}.txt") for r in got)
+
+
+def test_large_relations_are_numbered_in_ranges(spark):
+    occs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "P2").otherwise("P1").alias("pid"), F.concat(F.lit("Q"), ((F.col("id") * 7919) % 700).cast("string")).alias("h"), (F.col("id") % 11).cast("string").alias("t"))
+    popularity = R_.entity_degree(occs.select("h", F.lit("r").alias("r"), "t"))
+    for run in (lambda n: R_.downsample(occs, n), lambda n: R_.downsample_by_popularity(occs, popularity, large=n), lambda n: R_.chunked(occs, 7, n)):
+        whole, cut = (sorted(map(tuple, run(n).collect())) for n in (10**9, 1500))
+        assert whole == cut and len(whole) > 100
