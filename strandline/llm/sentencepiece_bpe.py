@@ -227,12 +227,11 @@ class Codec:
         self.said: dict[str, str] = {}
 
     def _learn(self, words: list[str]) -> None:
-        name, plain = self.tables.names, self.tables.byte_of.keys().isdisjoint
+        name = self.tables.names
         for word, ids in zip(words, encode_words(self.tables, words), strict=True):
             listed = ids.tolist()
             self.known[word] = ",".join([name[i] for i in listed])
-            # Without byte pieces the pieces are the word.
-            self.said[word] = word.replace(SPACE_MARK, " ") if plain(listed) else decode_ids(self.tables, listed)
+            self.said[word] = decode_ids(self.tables, listed)
 
     def split(self, text: str) -> list[str]:
         """Words of the marked text; no piece crosses their borders."""
