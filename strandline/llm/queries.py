@@ -9,10 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, html_extract, license_scan, mixing, ngram_join, quality_fm, sentencepiece_bpe, syncmers, toxicity, warc
+from strandline.llm import exact_dedup, html_extract, license_scan, mixing, ngram_join, periodic_runs, quality_fm, sentencepiece_bpe, syncmers, toxicity, warc, word_bpe
 
 #: Where the tokenizer model lies, unless a caller names another file.
 MODEL = "piece_bpe_32k.model"
+TOKENIZER = "word_bpe_49k.json"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,10 +30,10 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def model_path() -> str:
+def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(MODEL)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +131,14 @@ FROM r
 """
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_of_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.tokenize_documents(_table(spark, sf_dir, "documents"), model_path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -142,6 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
+        "op12_runs": op12_runs,
+        "op13_word_bpe": op13_word_bpe,
     }
 
 
