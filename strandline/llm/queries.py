@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, html_extract, license_scan, mixing, ngram_join, periodic_runs, quality_fm, sentencepiece_bpe, syncmers, toxicity, warc, word_bpe
+from strandline.llm import exact_dedup, hard_negatives, html_extract, license_scan, mixing, ngram_join, periodic_runs, quality_fm, sentencepiece_bpe, syncmers, toxicity, warc, word_bpe
 
 #: Where the tokenizer model lies, unless a caller names another file.
 MODEL = "piece_bpe_32k.model"
@@ -131,6 +131,31 @@ FROM r
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH fine AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_of_documents(_table(spark, sf_dir, "documents"))
 
@@ -151,10 +176,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_runs": op12_runs,
         "op13_word_bpe": op13_word_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op10_warc": OP10_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL}

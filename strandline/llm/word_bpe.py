@@ -23,7 +23,7 @@ LEAF = 64
 #: Words up to this many characters are remembered within a task, up to so many of them.
 REMEMBER_CHARS, REMEMBER_WORDS = 64, 200_000
 #: White space of the split pattern: the Unicode property, which lacks the separators 1C to 1F that str.split() takes.
-GAP = "\t-\r \x85\xa0  -     　"
+GAP = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = 1 << 60
 
 
