@@ -21,7 +21,7 @@ from strandline.llm.common import bounded_batches, portions
 #: Symbols that a leaf of the tree holds; longer unsplit text is halved down to it.
 LEAF = 64
 #: Words up to this many characters are remembered within a task, up to so many of them.
-REMEMBER_CHARS, REMEMBER_WORDS = 64, 200_000
+REMEMBER_CHARS, REMEMBER_WORDS = 64, 700_000
 #: White space of the split pattern: the Unicode property, which lacks the separators 1C to 1F that str.split() takes.
 GAP = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = 1 << 60
@@ -166,17 +166,18 @@ class WordCodec:
         #: Ids, joined by spaces, and decoded tokens of each word.
         self.known: dict[str, str] = {}
         self.said: dict[str, str] = {}
+        #: The same of the parts that words are split into; many words differ in marks and case only.
+        self.parts: dict[str, tuple[str, str]] = {}
 
     def words(self, text: str) -> list[str]:
         return self.between.findall(text) if self.odd.search(text) else text.split()
 
-    def ids_of_word(self, word: str) -> list[int]:
-        """Ids of a text without white space, normalised here: no normal form, case or pattern reaches beyond white space."""
-        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
-            return [i for part in self._split_by_library(word) for i in self.tables.encode_symbols(part)]
+    def split_word(self, word: str) -> list[str]:
+        """Parts of a text without white space, normalised here: no normal form, case or pattern reaches beyond white space."""
+        if word.isascii():
+            return [word.lower()] if word.isalpha() else self.tables.pattern.findall(word.lower())
         # Case is changed character by character, so a final sigma is none.
-        plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [i for part in self.tables.pattern.findall(plain) for i in self.tables.encode_symbols(self.tables.symbols(part))]
+        return self.tables.pattern.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
 
     def _split_by_library(self, word: str) -> list[list[int]]:
         """Symbols of the parts of a word with characters that Python's Unicode tables don't assign yet: their classes are those of the library's tables."""
@@ -192,10 +193,27 @@ class WordCodec:
         """The tokens joined by spaces: the file has no decoder of its own."""
         return " ".join([self.tables.text[i] for i in ids])
 
+    def _part(self, part: str) -> tuple[str, str]:
+        found = self.parts.get(part)
+        if found is None:
+            found = self._listed(self.tables.encode_symbols(self.tables.symbols(part)))
+            if len(part) <= REMEMBER_CHARS:
+                self.parts[part] = found
+        return found
+
+    def _listed(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.decode(ids)
+
     def _learn(self, words: set[str]) -> None:
         for word in words:
-            ids = self.ids_of_word(word)
-            self.known[word], self.said[word] = " ".join(map(str, ids)), self.decode(ids)
+            if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+                found = [self._listed(self.tables.encode_symbols(part)) for part in self._split_by_library(word)]
+            else:
+                found = [self._part(part) for part in self.split_word(word)]
+            if len(found) == 1:
+                self.known[word], self.said[word] = found[0]
+            else:
+                self.known[word], self.said[word] = (" ".join(x) for x in zip(*found, strict=True))
 
     def split(self, text: str) -> list[str]:
         """Words and special tokens of a text in order; these are found before anything is normalised."""
@@ -211,7 +229,7 @@ class WordCodec:
         split = [self.split(t) for t in texts]
         words = set().union(*split)
         if len(self.known) + len(words) > REMEMBER_WORDS:
-            self.known, self.said = {}, {}
+            self.known, self.said, self.parts = {}, {}, {}
         if not self.known:
             for name, i in self.tables.added.items():
                 self.known[name], self.said[name] = str(i), self.decode([i])
