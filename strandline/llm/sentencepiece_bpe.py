@@ -16,7 +16,7 @@ from strandline.llm.common import bounded_batches, portions
 
 SPACE_MARK = "▁"
 #: Words up to this many characters are remembered within a task, up to so many of them.
-REMEMBER_CHARS, REMEMBER_WORDS = 64, 200_000
+REMEMBER_CHARS, REMEMBER_WORDS = 64, 700_000
 _NO_PAIR = np.int64(1 << 62)
 
 
@@ -99,12 +99,25 @@ class PieceTables:
         self.keys = np.array(keys, dtype=np.int64)[by]
         self.merged = np.array(merged, dtype=np.int64)[by]
         self.order = np.array(order, dtype=np.int64)[by]
+        # Most pairs are found, or not, by one look into a table of hashes; a place that two pairs share is searched.
+        place, many = np.unique(self._hash(self.keys), return_counts=True)
+        self.place = np.full(1 << self.PLACE_BITS, -1, dtype=np.int32)
+        self.place[self._hash(self.keys)] = np.arange(len(self.keys))
+        self.place[place[many > 1]] = -2
+
+    PLACE_BITS = 20
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.PLACE_BITS)
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of each pair of symbols; a rank of _NO_PAIR where they don't merge."""
         key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
+        at = self.place[self._hash(key)]
+        shared = np.flatnonzero(at == -2)
+        at[shared] = np.minimum(np.searchsorted(self.keys, key[shared]), len(self.keys) - 1)
+        found = (at >= 0) & (self.keys[at] == key)
         return np.where(found, self.order[at], _NO_PAIR), np.where(found, self.merged[at], -1)
 
 
