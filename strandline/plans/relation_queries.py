@@ -16,6 +16,10 @@ def _closed(s):
     return H.closure(B.subprops(s))
 
 
+def _closed_tree(s, d):
+    return H.closure(B.tree(s, d))
+
+
 def _useful(s):
     return s.createDataFrame([(p,) for p in USEFUL], "pid string")
 
@@ -147,38 +151,38 @@ CATALOG = {
         _after("triples", "deg AS (SELECT entity, count(*) AS cnt FROM (SELECT h AS entity FROM triples UNION ALL SELECT t FROM triples) GROUP BY entity)", "SELECT entity, cnt, CAST(through AS BIGINT) AS through FROM (SELECT *, sum(cnt) OVER (ORDER BY cnt DESC, entity ROWS UNBOUNDED PRECEDING) AS through, sum(cnt) OVER () AS total FROM deg) WHERE through < 0.5 * total"),
     ),
     "hash_shuffle_sample": (lambda s, d: R.shuffled_sample(B.table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7, 100), "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100"),
-    "is_parent": (lambda s, d: B.subprops(s).select("parent", "child").distinct(), _V("subprops", "SELECT DISTINCT parent, child FROM subprops")),
-    "is_sibling": (lambda s, d: H.siblings(B.subprops(s)), _V("subprops", "SELECT DISTINCT x.child AS a, y.child AS b FROM subprops x JOIN subprops y USING (parent) WHERE x.child <> y.child")),
-    "hierarchy_closure": (lambda s, d: _closed(s).withColumn("depth", F.col("depth").cast("long")), _V("subprops closure", "SELECT anc, des, CAST(depth AS BIGINT) AS depth, count(*) AS paths FROM closure GROUP BY 1, 2, 3")),
+    "is_parent": (lambda s, d: B.tree(s, d).select("parent", "child").distinct(), _V("tree", "SELECT DISTINCT parent, child FROM tree")),
+    "is_sibling": (lambda s, d: H.siblings(B.tree(s, d)), _V("tree", "SELECT DISTINCT x.child AS a, y.child AS b FROM tree x JOIN tree y USING (parent) WHERE x.child <> y.child")),
+    "hierarchy_closure": (lambda s, d: _closed_tree(s, d).withColumn("depth", F.col("depth").cast("long")), _V("tree tree_closure", "SELECT anc, des, CAST(depth AS BIGINT) AS depth, count(*) AS paths FROM tree_closure GROUP BY 1, 2, 3")),
     "hierarchy_shape": (
-        lambda s, d: H.shape(B.properties(s), _closed(s)).select("pid", F.col("height").cast("long").alias("height"), F.col("descendants").cast("long").alias("descendants"), "leaf"),
-        _V("subprops closure properties", "SELECT pid, CAST(coalesce(max(depth), 0) AS BIGINT) AS height, count(DISTINCT des) AS descendants, max(depth) IS NULL AS leaf FROM properties LEFT JOIN closure ON anc = pid GROUP BY pid"),
+        lambda s, d: H.shape(B.tree_nodes(s, d), _closed_tree(s, d)).select("pid", F.col("height").cast("long").alias("height"), F.col("descendants").cast("long").alias("descendants"), "leaf"),
+        _V("tree tree_closure tree_nodes", "SELECT pid, CAST(coalesce(max(depth), 0) AS BIGINT) AS height, count(DISTINCT des) AS descendants, max(depth) IS NULL AS leaf FROM tree_nodes LEFT JOIN tree_closure ON anc = pid GROUP BY pid"),
     ),
-    "isolated_props": (lambda s, d: H.roots(B.properties(s), B.subprops(s)), _V("subprops properties", "SELECT pid, pid NOT IN (SELECT parent FROM subprops) AS isolated FROM properties WHERE pid NOT IN (SELECT child FROM subprops)")),
+    "isolated_props": (lambda s, d: H.roots(B.tree_nodes(s, d), B.tree(s, d)), _V("tree tree_nodes", "SELECT pid, pid NOT IN (SELECT parent FROM tree) AS isolated FROM tree_nodes WHERE pid NOT IN (SELECT child FROM tree)")),
     "deepest_parent_only": (
-        lambda s, d: H.deepest_parent_only(B.subprops(s), B.properties(s), _closed(s)),
-        _V("subprops closure properties", "SELECT parent, child FROM (SELECT s.parent, s.child, row_number() OVER (PARTITION BY s.child ORDER BY coalesce(depth, 0) DESC, s.parent) AS n FROM subprops s LEFT JOIN (SELECT des, max(depth) AS depth FROM closure GROUP BY des) ON des = s.parent) WHERE n = 1"),
+        lambda s, d: H.deepest_parent_only(B.tree(s, d), B.tree_nodes(s, d), _closed_tree(s, d)),
+        _V("tree tree_closure tree_nodes", "SELECT parent, child FROM (SELECT s.parent, s.child, row_number() OVER (PARTITION BY s.child ORDER BY coalesce(depth, 0) DESC, s.parent) AS n FROM tree s LEFT JOIN (SELECT des, max(depth) AS depth FROM tree_closure GROUP BY des) ON des = s.parent) WHERE n = 1"),
     ),
     "subtree_prune": (
-        lambda s, d: H.pruned(B.subprops(s), _closed(s), ["P20"]),
-        _V("subprops closure", "SELECT parent, child FROM subprops WHERE child NOT IN (SELECT des FROM closure WHERE anc = 'P20') AND child <> 'P20' AND parent <> 'P20' AND parent NOT IN (SELECT des FROM closure WHERE anc = 'P20')"),
+        lambda s, d: H.pruned(B.tree(s, d), _closed_tree(s, d), ["EUROPE", "small"]),
+        _after("tree tree_closure", "gone AS (SELECT des AS pid FROM tree_closure WHERE anc IN ('EUROPE', 'small') UNION SELECT unnest(['EUROPE', 'small']))", "SELECT parent, child FROM tree WHERE child NOT IN (SELECT pid FROM gone) AND parent NOT IN (SELECT pid FROM gone)"),
     ),
-    "subtree_lines": (lambda s, d: H.subtree_lines(B.subprops(s), B.properties(s)), _V("subprops properties", "SELECT pid, coalesce(string_agg(DISTINCT child, ',' ORDER BY child), '') AS children FROM properties LEFT JOIN subprops ON parent = pid GROUP BY pid")),
+    "subtree_lines": (lambda s, d: H.subtree_lines(B.tree(s, d), B.tree_nodes(s, d)), _V("tree tree_nodes", "SELECT pid, coalesce(string_agg(DISTINCT child, ',' ORDER BY child), '') AS children FROM tree_nodes LEFT JOIN tree ON parent = pid GROUP BY pid")),
     "populate_text_counts": (
         lambda s, d: H.populated_counts(B.occs(s, d).groupBy("pid", F.col("t").alias("key")).agg(F.count(F.lit(1)).alias("cnt")), _closed(s)),
         _V("occs subprops closure", "SELECT pid, key, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT pid, t AS key, count(*) AS cnt FROM occs GROUP BY 1, 2 UNION ALL SELECT anc, t, count(*) FROM occs JOIN closure ON des = pid GROUP BY 1, 2) GROUP BY 1, 2"),
     ),
     "disjoint_splits": (
-        lambda s, d: S.disjoint(B.subprops(s).select(F.col("child").alias("pid")), B.subprops(s).select(F.col("parent").alias("pid")), B.properties(s)),
-        _V("subprops properties", "SELECT DISTINCT child AS pid, 'test' AS split FROM subprops UNION ALL SELECT DISTINCT parent, 'dev' FROM subprops WHERE parent NOT IN (SELECT child FROM subprops) UNION ALL SELECT pid, 'train' FROM properties WHERE pid NOT IN (SELECT child FROM subprops) AND pid NOT IN (SELECT parent FROM subprops)"),
+        lambda s, d: S.disjoint(B.tree(s, d).select(F.col("child").alias("pid")), B.tree(s, d).select(F.col("parent").alias("pid")), B.tree_nodes(s, d)),
+        _V("tree tree_nodes", "SELECT DISTINCT child AS pid, 'test' AS split FROM tree UNION ALL SELECT DISTINCT parent, 'dev' FROM tree WHERE parent NOT IN (SELECT child FROM tree) UNION ALL SELECT pid, 'train' FROM tree_nodes WHERE pid NOT IN (SELECT child FROM tree) AND pid NOT IN (SELECT parent FROM tree)"),
     ),
     "nway_samples": (
         lambda s, d: S.nway_samples(R.chunked(B.occs(s, d), 50), B.subprops(s)),
         _V("occs subprops", "SELECT s.parent AS label, c.pid, c.chunk, c.n FROM (SELECT pid, (k - 1) // 50 AS chunk, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY h, t) AS k FROM (SELECT DISTINCT * FROM occs)) GROUP BY 1, 2) c JOIN subprops s ON s.child = c.pid"),
     ),
     "pointwise_pairs": (
-        lambda s, d: S.pointwise_pairs(B.subprops(s).select(F.col("parent").alias("pid")).distinct(), B.properties(s), _closed(s)).withColumn("label", F.col("label").cast("long")),
-        _V("subprops closure properties", "SELECT p.parent, q.pid AS child, CAST(CASE WHEN EXISTS (SELECT 1 FROM closure c WHERE c.anc = p.parent AND c.des = q.pid) THEN 1 ELSE 0 END AS BIGINT) AS label FROM (SELECT DISTINCT parent FROM subprops) p JOIN properties q ON p.parent <> q.pid"),
+        lambda s, d: S.pointwise_pairs(B.tree(s, d).select(F.col("parent").alias("pid")).distinct(), B.tree_nodes(s, d), _closed_tree(s, d)).withColumn("label", F.col("label").cast("long")),
+        _V("tree tree_closure tree_nodes", "SELECT p.parent, q.pid AS child, CAST(CASE WHEN EXISTS (SELECT 1 FROM tree_closure c WHERE c.anc = p.parent AND c.des = q.pid) THEN 1 ELSE 0 END AS BIGINT) AS label FROM (SELECT DISTINCT parent FROM tree) p JOIN tree_nodes q ON p.parent <> q.pid"),
     ),
     "pm2_split": (lambda s, d: S.proportional_split(B.table(s, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("member"), F.col("p_partkey").alias("order")), [("train", 0.6), ("dev", 0.2), ("test", 0.2)]),
         """WITH RECURSIVE m AS (SELECT p_brand AS grp, p_partkey AS member, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part),

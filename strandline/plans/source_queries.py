@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.loops import checkpointed
@@ -41,8 +41,8 @@ def _sample_lines(s, d):
     return _orders_by_customer(s, d).select(_tabs(F.col("o_custkey") % 7, F.concat_ws(" ", F.concat(F.lit("P"), F.col("o_custkey").cast("string")), pairs)))
 
 
-def _tree(s):
-    edges = B.subprops(s)
+def _tree(s, d):
+    edges = B.tree(s, d)
     own = edges.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "child"))), lambda x: F.concat(x["child"], F.lit(",a, b of "), x["child"])), "\t").alias("children"))
     return own.select(F.concat_ws("\t", F.concat("parent", F.lit(",top "), F.col("parent")), "children").alias("value"))
 
@@ -74,8 +74,8 @@ def _mention_lines(s, d):
 CATALOG = {
     "read_triples": (lambda s, d: _read(R.read_triples, B.triples(s, d).select(_tabs("h", "r", "t")).unionAll(s.createDataFrame([("one\ttwo",), ("",), ("a\tb\tc\td",)], "value string"))), B.with_views("triples", "SELECT h, r, t FROM triples")),
     "read_hierarchy": (
-        lambda s, d: _read(R.read_hierarchy, _tree(s)).select("parent", "parent_label", "child", "child_label", F.col("pos").cast("long").alias("pos")),
-        B.with_views("subprops", "SELECT parent, 'top ' || parent AS parent_label, child, 'a, b of ' || child AS child_label, row_number() OVER (PARTITION BY parent ORDER BY pos) - 1 AS pos FROM subprops"),
+        lambda s, d: _read(R.read_hierarchy, _tree(s, d)).select("parent", "parent_label", "child", "child_label", F.col("pos").cast("long").alias("pos")),
+        B.with_views("tree", "SELECT parent, 'top ' || parent AS parent_label, child, 'a, b of ' || child AS child_label, row_number() OVER (PARTITION BY parent ORDER BY pos) - 1 AS pos FROM tree"),
     ),
     "read_subgraphs": (
         lambda s, d: _read(R.read_subgraphs, _orders_by_customer(s, d).select(_tabs(F.col("o_custkey").cast("string"), F.array_join(F.transform("o", lambda x: F.concat_ws(" ", F.col("o_custkey").cast("string"), x["o_orderstatus"], x["o_orderkey"].cast("string"))), "\t"))))
@@ -151,8 +151,8 @@ CATALOG = {
         B.with_views("occs", "SELECT pid, h, t FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY md5('4:' || h || '|' || t), h, t) AS k FROM (SELECT DISTINCT * FROM occs)) WHERE k <= 25"),
     ),
     "tree_json": (
-        lambda s, d: W.tree_json(B.subprops(s), s.createDataFrame([("P10", "P100"), ("P11", "P10"), ("P12", "P20")], "pid string, predicted string")),
-        B.with_views("subprops", """SELECT pid, '{"id":"' || pid || '","parent":"' || coalesce(parent, '#') || '","predicted":"' || coalesce(p, '#') || '"}' AS value FROM (SELECT child AS pid, min(parent) AS parent FROM subprops GROUP BY child UNION SELECT parent, NULL FROM subprops WHERE parent NOT IN (SELECT child FROM subprops))
-          LEFT JOIN (SELECT * FROM (VALUES ('P10', 'P100'), ('P11', 'P10'), ('P12', 'P20')) AS v(q, p)) ON q = pid"""),
+        lambda s, d: W.tree_json(B.tree(s, d), B.tree(s, d).where("pos = 0").select(F.col("child").alias("pid"), F.concat(F.lit("not "), F.max("parent").over(Window.partitionBy("child"))).alias("predicted")).distinct()),
+        B.with_views("tree", """SELECT pid, '{"id":"' || pid || '","parent":"' || coalesce(parent, '#') || '","predicted":"' || coalesce(p, '#') || '"}' AS value FROM (SELECT child AS pid, min(parent) AS parent FROM tree GROUP BY child UNION SELECT parent, NULL FROM tree WHERE parent NOT IN (SELECT child FROM tree))
+          LEFT JOIN (SELECT child AS q, 'not ' || max(parent) AS p FROM tree WHERE pos = 0 GROUP BY child) ON q = pid"""),
     ),
 }

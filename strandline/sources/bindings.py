@@ -5,7 +5,7 @@ Entity ids are 'Q' followed by kind * 1,000,000,000 + key; kinds: 1 region, 2 na
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GIGA = 1_000_000_000
@@ -89,6 +89,65 @@ def properties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PROPERTIES], "pid string")
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy that the tables hold, as edges (parent, child, pos): places down to a nation's market segments, and goods, where each name has two parents."""
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    quality, kind = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    edge = lambda df, a, b: df.select(a.alias("parent"), b.alias("child"))
+    placed = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sold = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = [
+        edge(table(spark, sf_dir, "region"), F.lit("world"), F.col("r_name")),
+        edge(placed, F.col("r_name"), F.col("n_name")),
+        edge(sold, F.col("n_name"), F.concat_ws("|", "n_name", "c_mktsegment")),
+        edge(part, F.lit("goods"), kind),
+        edge(part, F.lit("qualities"), quality),
+        edge(part, kind, F.col("p_name")),
+        edge(part, quality, F.col("p_name")),
+        edge(part, F.col("p_name"), F.concat_ws("|", "p_name", "p_brand")),
+    ]
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionAll(e)
+    return out.distinct().withColumn("pos", F.row_number().over(Window.partitionBy("parent").orderBy("child")) - 1)
+
+
+TREE = """
+  SELECT parent, child, CAST(row_number() OVER (PARTITION BY parent ORDER BY child) - 1 AS INTEGER) AS pos FROM (
+    SELECT 'world' AS parent, r_name AS child FROM region
+    UNION SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT n_name, n_name || '|' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION SELECT 'goods', split_part(p_name, ' ', 2) FROM part
+    UNION SELECT 'qualities', split_part(p_name, ' ', 1) FROM part
+    UNION SELECT split_part(p_name, ' ', 2), p_name FROM part
+    UNION SELECT split_part(p_name, ' ', 1), p_name FROM part
+    UNION SELECT p_name, p_name || '|' || p_brand FROM part)
+"""
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the hierarchy (pid), and order priorities, which stand alone."""
+    inner = tree(spark, sf_dir).select(F.explode(F.array("parent", "child")).alias("pid"))
+    return inner.unionAll(table(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
+
+
+def tree_occs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences (pid, h, t) on the hierarchy of goods: part and supplier under name and brand, and of returned items under their kind."""
+    item = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    pair = [entity(5, "l_partkey").alias("h"), entity(4, "l_suppkey").alias("t")]
+    own = item.select(F.concat_ws("|", "p_name", "p_brand").alias("pid"), *pair)
+    back = item.where("l_returnflag = 'R'").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("pid"), *pair)
+    return own.unionAll(back).distinct()
+
+
+TREE_OCCS = """
+  SELECT DISTINCT p_name || '|' || p_brand AS pid, 'Q' || CAST(5000000000 + l_partkey AS VARCHAR) AS h, 'Q' || CAST(4000000000 + l_suppkey AS VARCHAR) AS t
+    FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT split_part(p_name, ' ', 2), 'Q' || CAST(5000000000 + l_partkey AS VARCHAR), 'Q' || CAST(4000000000 + l_suppkey AS VARCHAR)
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'
+"""
+
+
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types (entity, type, depth, pos): a part's deep and shallow type, a supplier's nation."""
     part = table(spark, sf_dir, "part")
@@ -187,6 +246,10 @@ _SQL = {
     "occs": ((), OCCS),
     "subprops": ((), "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {i})" for a, b, i in SUBPROPS) + ") AS v(parent, child, pos)"),
     "properties": ((), "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in PROPERTIES) + ") AS v(pid)"),
+    "tree": ((), TREE),
+    "tree_nodes": (("tree",), "SELECT parent AS pid FROM tree UNION SELECT child FROM tree UNION SELECT o_orderpriority FROM orders"),
+    "tree_occs": ((), TREE_OCCS),
+    "tree_closure": (("tree",), "SELECT parent AS anc, child AS des, 1 AS depth FROM tree UNION ALL SELECT c.anc, s.child, c.depth + 1 FROM tree_closure c JOIN tree s ON s.parent = c.des"),
     "types": ((), TYPES),
     "tokens": ((), TOKENS),
     "lexicon": (("tokens",), LEXICON),
