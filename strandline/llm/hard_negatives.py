@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -99,85 +98,101 @@ class Cells:
 def _annulus(norm2: float, vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distances that the window's scores mean, a little wider for rounding; infinite ends where a window has none."""
     whole = norm2 + (vectors * vectors).sum(axis=1)
-    slack = 1e-6 * np.sqrt(whole) + 1e-6
+    slack = _slack(whole)
     near, far = np.sqrt(np.maximum(whole - 2 * high, 0)) - slack, np.sqrt(np.maximum(whole - 2 * low, 0)) + slack
     return near, far
 
 
+def _slack(whole: np.ndarray) -> np.ndarray:
+    return 1e-6 * np.sqrt(whole) + 1e-6
+
+
 class BlockTree:
-    """A vantage-point tree over the vectors of one block, searched nearest first for one query at a time."""
+    """A vantage-point tree over the vectors of one block. A pack of queries goes through it together, each nearest leaf first."""
 
     def __init__(self, norm2: float, vectors: np.ndarray, labels: np.ndarray, ids: list[list[int]]):
-        self.norm2, self.labels, self.ids = norm2, labels, ids
-        self.vectors = vectors
-        #: Products are whole numbers that doubles hold exactly, or else longs.
-        largest = float(np.abs(vectors).max(initial=0))
-        self.exact = vectors.shape[1] * largest * largest < 1 << 52
-        self.real = vectors.astype(float)
+        self.norm2 = norm2
+        copies = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.vectors, self.labels = np.repeat(vectors, copies, axis=0), np.repeat(labels, copies)
+        self.ids = np.array([i for own in ids for i in own], dtype=np.int64)
+        self.real = self.vectors.astype(float)
+        self.largest = float(np.abs(self.vectors).max(initial=0))
         points = np.column_stack([self.real, np.sqrt(np.maximum(norm2 - (self.real**2).sum(axis=1), 0))])
-        self.vantage: list[np.ndarray] = []
-        #: Per node: members of a leaf, or (vantage, near child, its range, far child, its range).
-        self.nodes: list = [None]
-        todo = [(0, np.arange(len(vectors)))]
+        self.leaves: list[np.ndarray] = []
+        #: Per leaf, each vantage point above it with the range of its members' distances.
+        self.above: list[list[tuple[int, float, float]]] = []
+        vantage: list[np.ndarray] = []
+        todo: list[tuple[np.ndarray, list]] = [(np.arange(len(points)), [])]
         while todo:
-            node, own = todo.pop()
+            own, path = todo.pop()
             if len(own) <= LEAF:
-                self.nodes[node] = own
+                self.leaves.append(own)
+                self.above.append(path)
                 continue
+            # The member that lies farthest from the first spreads the others best.
             v = points[own[np.argmax(_distance(points[own], points[own[0]]))]]
             d = _distance(points[own], v)
             by = np.argsort(d, kind="stable")
-            half, d = len(own) // 2, d[by]
-            self.vantage.append(v)
-            near, far = len(self.nodes), len(self.nodes) + 1
-            self.nodes[node] = (len(self.vantage) - 1, near, d[0], d[half - 1], far, d[half], d[-1])
-            self.nodes += [None, None]
-            todo += [(near, own[by[:half]]), (far, own[by[half:]])]
-        self.points_of_vantage = np.array(self.vantage).reshape(len(self.vantage), vectors.shape[1] + 1)
-
-    def search(self, vector: np.ndarray, label: int, same: bool, low: int | None, high: int | None, k: int, bound: int | None) -> list[tuple[int, int, bool]]:
-        """The first k (score, id, whether it is the query's own vector) within the window, of the query's label or of others.
-
-        Nodes come nearest first. The search ends at a node that lies beyond the window or beyond the score `bound`, or the k-th one's, once k are found.
+            half = len(own) // 2
+            vantage.append(v)
+            for part in (by[half:], by[:half]):
+                todo.append((own[part], [*path, (len(vantage) - 1, float(d[part].min()), float(d[part].max()))]))
+        self.vantage = np.array(vantage).reshape(len(vantage), points.shape[1])
+
+    def _bounds(self, real: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance of each leaf's members from each query."""
+        square = (self.vantage**2).sum(axis=1) + (real**2).sum(axis=1)[:, None] - 2 * (real @ self.vantage[:, :-1].T)
+        far = np.sqrt(np.maximum(square, 0))
+        least, most = np.zeros((len(real), len(self.leaves))), np.full((len(real), len(self.leaves)), np.inf)
+        for leaf, path in enumerate(self.above):
+            for v, low, high in path:
+                least[:, leaf] = np.maximum(least[:, leaf], np.maximum(low - far[:, v], far[:, v] - high))
+                most[:, leaf] = np.minimum(most[:, leaf], far[:, v] + high)
+        return least, most
+
+    def search(self, vectors: np.ndarray, labels: np.ndarray, same: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each query the first k rows within its window, of its label or of others: numbers of queries, scores, ids, and whether a row is the query's own vector.
+
+        `low`, `high` and `bound`, a score that the k-th row is known to have, are infinite where open. A query visits its nearest leaf, then the
+        next one, the next two, four and so on, while they lie in the window's annulus and no farther than its k-th row so far.
         """
-        q = vector.astype(float)
-        whole = self.norm2 + float(q @ q)
-        slack = 1e-6 * np.sqrt(whole) + 1e-6
-        near = np.sqrt(max(whole - 2 * high, 0)) - slack if high is not None else -1.0
-        least_score = max((x for x in (low, bound) if x is not None), default=None)
-        far = np.sqrt(max(whole - 2 * least_score, 0)) + slack if least_score is not None else np.inf
-        to_vantage = _distance(self.points_of_vantage, np.append(q, 0)) if len(self.vantage) else []
-        found: list[tuple[int, int, bool]] = []
-        heap = [(0.0, 0)]
-        while heap:
-            least, node = heappop(heap)
-            if least > far:
-                break
-            here = self.nodes[node]
-            if isinstance(here, tuple):
-                v, a, a_low, a_high, b, b_low, b_high = here
-                d = to_vantage[v]
-                for child, c_low, c_high in ((a, a_low, a_high), (b, b_low, b_high)):
-                    at = max(least, c_low - d, d - c_high)
-                    if at <= far and d + c_high >= near:
-                        heappush(heap, (at, child))
-                continue
-            score = (self.real[here] @ q) if self.exact and len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(self.real[here]).max(initial=0)) < 1 << 52 else self.vectors[here] @ vector
-            fits = (self.labels[here] == label) == same
-            if low is not None:
-                fits &= score >= low
-            if high is not None:
-                fits &= score <= high
-            if least_score is not None:
-                fits &= score >= least_score
-            for i in np.flatnonzero(fits):
-                own = bool(same and np.array_equal(self.vectors[here[i]], vector))
-                found += [(int(score[i]), vec_id, own) for vec_id in self.ids[here[i]]]
-            if len(found) >= k:
-                found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                kth = found[-1][0]
-                far = min(far, np.sqrt(max(whole - 2 * kth, 0)) + slack)
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+        real = vectors.astype(float)
+        whole = self.norm2 + (real * real).sum(axis=1)
+        near, _ = _annulus(self.norm2, real, low, high)
+        floor = np.maximum(low, bound)
+        least, most = self._bounds(real, whole)
+        order = np.argsort(least, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        rank[most < near[:, None] - _slack(whole)[:, None]] = len(self.leaves)
+        exact = real.shape[1] * self.largest * float(np.abs(real).max(initial=0)) < 1 << 52  # whole numbers that doubles hold
+        best = np.full((len(real), k), -np.inf) if exact else np.full((len(real), k), np.iinfo(np.int64).min)
+        place = np.full((len(real), k), -1, dtype=np.int64)
+        names = np.full((len(real), k), np.iinfo(np.int64).max)
+        start, stop = 0, 1
+        while start < len(self.leaves):
+            _, far = _annulus(self.norm2, real, np.maximum(floor, np.where(place[:, -1] >= 0, best[:, -1], -np.inf)), high)
+            visit = (rank >= start) & (rank < stop) & (least <= far[:, None])
+            for leaf in np.flatnonzero(visit.any(axis=0)):
+                q, here = np.flatnonzero(visit[:, leaf]), self.leaves[leaf]
+                score = real[q] @ self.real[here].T if exact else vectors[q] @ self.vectors[here].T
+                fits = (self.labels[here][None, :] == labels[q][:, None]) == same[q][:, None]
+                fits &= (score >= floor[q][:, None]) & (score <= high[q][:, None])
+                some = fits.any(axis=1)
+                q, score, fits = q[some], score[some], fits[some]
+                if not len(q):
+                    continue
+                nothing = -np.inf if exact else np.iinfo(np.int64).min
+                scores = np.concatenate([best[q], np.where(fits, score, nothing)], axis=1)
+                places = np.concatenate([place[q], np.where(fits, here[None, :], -1)], axis=1)
+                called = np.concatenate([names[q], np.where(fits, self.ids[here][None, :], np.iinfo(np.int64).max)], axis=1)
+                first = np.lexsort((called, -scores), axis=1)[:, :k]
+                best[q], place[q], names[q] = (np.take_along_axis(x, first, axis=1) for x in (scores, places, called))
+            start, stop = stop, 2 * stop
+        q, nth = np.nonzero(place >= 0)
+        at = place[q, nth]
+        own = same[q] & (self.vectors[at] == vectors[q]).all(axis=1)
+        return q, best[q, nth].astype(np.int64), self.ids[at], own
 
 
 # --- the index in Spark -------------------------------------------------------------------------------------------
@@ -284,11 +299,11 @@ class Index:
                         tree = BlockTree(norm2, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [i for h in held for i in h[2]])
                     queries = pa.ipc.open_stream(part.column("pack")[0].as_py()).read_all()
                     vectors = _matrix(queries.column("vector").combine_chunks(), width)
-                    rows = queries.drop_columns(["vector"]).to_pylist()
-                    found = [(q["qkey"], *x) for q, v in zip(rows, vectors, strict=True) for x in tree.search(v, q["label"], q["same"], q["low"], q["high"], k, q["bound"])]
-                    if found:
-                        qkey, score, vec_id, own = zip(*found, strict=True)
-                        yield pa.record_batch({"qkey": pa.array(qkey), "score": pa.array(score, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "own": pa.array(own)})
+                    low, high, bound = (queries.column(c).to_numpy().astype(float) for c in ("low", "high", "bound"))
+                    low, high, bound = np.nan_to_num(low, nan=-np.inf), np.nan_to_num(high, nan=np.inf), np.nan_to_num(bound, nan=-np.inf)
+                    q, score, vec_id, own = tree.search(vectors, queries.column("label").to_numpy(), queries.column("same").to_numpy(), low, high, k, bound)
+                    if len(q):
+                        yield pa.record_batch({"qkey": queries.column("qkey").take(pa.array(q)).combine_chunks(), "score": pa.array(score), "vec_id": pa.array(vec_id), "own": pa.array(own)})
 
         packs = queries.mapInArrow(route, "cell int, block int, kind int, pack binary")
         rows = self.blocks.unionByName(packs, allowMissingColumns=True)

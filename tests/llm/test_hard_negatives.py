@@ -107,14 +107,17 @@ def test_block_tree_finds_every_window(seed):
     v[100:300] = v[0]
     labels, ids = r.integers(0, 3, size=900), [[i] for i in range(900)]
     tree = BlockTree(float((v * v).sum(axis=1).max()), v, labels, ids)
-    for q in r.integers(-60, 60, size=(40, 5)):
-        scores = v @ q
-        for same in (True, False):
-            for low, high in ((None, None), (0, 3000), (2500, 2500), (-9000, -100)):
-                want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if (labels[i] == 1) == same and (low is None or low <= s <= high))[:5]
-                got = tree.search(q, 1, same, low, high, 5, None)
-                # Rows of a vector are dealt as one class outside; inside a tie the ids decide, too.
-                assert [(-s, i) for s, i, _ in got] == want
+    queries, windows = r.integers(-60, 60, size=(40, 5)), ((None, None), (0, 3000), (2500, 2500), (-9000, -100))
+    asked = [(q, same, *w) for q in queries for same in (True, False) for w in windows]
+    ends = [np.array([fill if a[n] is None else a[n] for a in asked], dtype=float) for n, fill in ((2, -np.inf), (3, np.inf))]
+    open_ = np.full(len(asked), -np.inf)
+    found = tree.search(np.array([a[0] for a in asked]), np.ones(len(asked), dtype=int), np.array([a[1] for a in asked]), *ends, 5, open_)
+    got = defaultdict(list)
+    for q, score, vec_id, _ in zip(*(x.tolist() for x in found)):
+        got[q].append((-score, vec_id))
+    for n, (q, same, low, high) in enumerate(asked):
+        want = sorted((-s, i) for i, s in enumerate((v @ q).tolist()) if (labels[i] == 1) == same and (low is None or low <= s <= high))[:5]
+        assert got[n] == want
 
 
 def test_upper_tree_places_by_distance():
