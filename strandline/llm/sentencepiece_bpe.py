@@ -17,6 +17,8 @@ from strandline.llm.common import bounded_batches, portions
 SPACE_MARK = "▁"
 #: Words up to this many characters are remembered within a task, up to so many of them.
 REMEMBER_CHARS, REMEMBER_WORDS = 64, 700_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 22
 _NO_PAIR = np.int64(1 << 62)
 
 
@@ -259,10 +261,11 @@ class Codec:
         if len(self.known) + len(words) > REMEMBER_WORDS:
             self.known, self.said = {}, {}
         self._learn(list(words - self.known.keys()))
-        ids_of, said_of, out = self.known.__getitem__, self.said.__getitem__, []
+        # The words of these texts alone are a small table, which is quicker to look into.
+        ids_of, said_of, out = {w: self.known[w] for w in words}, {w: self.said[w] for w in words}, []
         for ws in split:
             # Every word has ids, so their number is told by the commas.
-            ids, text = ",".join(map(ids_of, ws)), "".join(map(said_of, ws))
+            ids, text = ",".join(map(ids_of.__getitem__, ws)), "".join(map(said_of.__getitem__, ws))
             out.append((ids.count(",") + 1 if ids else 0, ids, text[1:] if self.tables.dummy_prefix and text[:1] == " " else text))
         for w in words:
             if len(w) > REMEMBER_CHARS:
@@ -285,7 +288,7 @@ def tokenize_documents(docs: DataFrame, model_path: str, with_ids: bool = False)
             codec = Codec(model.value)
             for batch in batches:
                 ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in portions(texts):
+                for a, b in portions(texts, TOGETHER):
                     got = codec.encode(texts[a:b])
                     columns = {
                         "doc_id": ids.slice(a, b - a),
