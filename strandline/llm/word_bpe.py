@@ -22,9 +22,13 @@ from strandline.llm.common import bounded_batches, portions
 LEAF = 64
 #: Words up to this many characters are remembered within a task, up to so many of them.
 REMEMBER_CHARS, REMEMBER_WORDS = 64, 700_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 22
 #: White space of the split pattern: the Unicode property, which lacks the separators 1C to 1F that str.split() takes.
 GAP = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_NONE = 1 << 60
+#: Bits of an id.
+BITS = 20
+LOW_BITS, _NONE = (1 << BITS) - 1, 1 << 60
 
 
 def byte_characters() -> list[str]:
@@ -61,19 +65,20 @@ class MergeTables:
         vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.names = {i: str(i) for i in self.text}
         self.pattern = regex.compile(before[0]["pattern"]["Regex"])
         chars = byte_characters()
         self.inner = [vocab[c] for c in chars]
         self.last = [vocab[c + self.end] for c in chars]
-        #: Symbols that a token spans, rank and result of each pair.
+        if len(self.text) > 1 << BITS:
+            raise ValueError("the vocabulary is too large")
+        #: Symbols that a token spans; rank and result of each pair, both as one number.
         self.spans = dict.fromkeys([*self.inner, *self.last], 1)
-        self.rank: dict[tuple[int, int], int] = {}
-        self.result: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             ids, whole = (vocab[left], vocab[right]), vocab[left + right]
-            self.rank.setdefault(ids, rank)
-            self.result.setdefault(ids, whole)
+            self.pairs.setdefault(ids[0] << BITS | ids[1], rank << BITS | whole)
             span = self.spans[ids[0]] + self.spans[ids[1]]
             if self.spans.setdefault(whole, span) != span:
                 raise ValueError("a token stands for texts of different lengths")
@@ -88,41 +93,41 @@ class MergeTables:
         return self._merge_few(list(symbols)) if len(symbols) <= LEAF else self._merge_many(symbols)
 
     def _merge_few(self, ids: list[int]) -> list[int]:
-        rank = self.rank.get
-        ranks = [rank(p, _NONE) for p in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
+        look = self.pairs.get
+        found = [look(a << BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found:
+            low = min(found)
             if low == _NONE:
                 break
-            i = ranks.index(low)
-            ids[i : i + 2] = [self.result[ids[i], ids[i + 1]]]
-            del ranks[i]
+            i = found.index(low)
+            ids[i] = whole = low & LOW_BITS
+            del ids[i + 1], found[i]
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NONE)
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), _NONE)
+                found[i - 1] = look(ids[i - 1] << BITS | whole, _NONE)
+            if i < len(found):
+                found[i] = look(whole << BITS | ids[i + 1], _NONE)
         return ids
 
     def _merge_many(self, symbols: list[int]) -> list[int]:
         """The same with a heap of pairs, for windows that have grown long."""
         ids: list[int | None] = list(symbols)
-        n, rank = len(ids), self.rank.get
+        n, look = len(ids), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank((a, b))) is not None]
+        heap = [(r >> BITS, i, a << BITS | b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := look(a << BITS | b)) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b = heappop(heap)
+            _, i, pair = heappop(heap)
             j = after[i]
-            if ids[i] != a or j == n or ids[j] != b:
+            if ids[i] is None or j == n or ids[i] << BITS | ids[j] != pair:
                 continue  # one of the two has merged since
-            ids[i], ids[j] = self.result[a, b], None
+            ids[i], ids[j] = self.pairs[pair] & LOW_BITS, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank((ids[i], ids[k]))) is not None:
-                    heappush(heap, (r, i, ids[i], ids[k]))
-            if (h := before[i]) >= 0 and (r := rank((ids[h], ids[i]))) is not None:
-                heappush(heap, (r, h, ids[h], ids[i]))
+                if (r := look(ids[i] << BITS | ids[k])) is not None:
+                    heappush(heap, (r >> BITS, i, ids[i] << BITS | ids[k]))
+            if (h := before[i]) >= 0 and (r := look(ids[h] << BITS | ids[i])) is not None:
+                heappush(heap, (r >> BITS, h, ids[h] << BITS | ids[i]))
         return [x for x in ids if x is not None]
 
     def join(self, left: list[int], right: list[int], symbols: list[int]) -> list[int]:
@@ -191,7 +196,7 @@ class WordCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the file has no decoder of its own."""
-        return " ".join([self.tables.text[i] for i in ids])
+        return " ".join(map(self.tables.text.__getitem__, ids))
 
     def _part(self, part: str) -> tuple[str, str]:
         found = self.parts.get(part)
@@ -202,7 +207,7 @@ class WordCodec:
         return found
 
     def _listed(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), self.decode(ids)
+        return " ".join(map(self.tables.names.__getitem__, ids)), self.decode(ids)
 
     def _learn(self, words: set[str]) -> None:
         for word in words:
@@ -234,10 +239,11 @@ class WordCodec:
             for name, i in self.tables.added.items():
                 self.known[name], self.said[name] = str(i), self.decode([i])
         self._learn(words - self.known.keys())
-        out = []
+        # The words of these texts alone are a small table, which is quicker to look into.
+        ids_of, said_of, out = {w: self.known[w] for w in words}, {w: self.said[w] for w in words}, []
         for ws in split:
-            ids = " ".join(map(self.known.__getitem__, ws))
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.said.__getitem__, ws))))
+            ids = " ".join(map(ids_of.__getitem__, ws))
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(said_of.__getitem__, ws))))
         for w in words:
             if len(w) > REMEMBER_CHARS:
                 del self.known[w], self.said[w]
@@ -260,7 +266,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fa
             codec = WordCodec(tokenizer.value)
             for batch in batches:
                 ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in portions(texts):
+                for a, b in portions(texts, TOGETHER):
                     got = codec.encode(texts[a:b])
                     columns = {
                         "doc_id": ids.slice(a, b - a),

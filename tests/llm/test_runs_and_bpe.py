@@ -177,8 +177,8 @@ def test_a_join_reaches_as_far_as_both_sides_differ(codec):
 def test_decoding_reads_the_ids(codec):
     assert codec.decode([3306, 49407]) == "hello</w> <|endoftext|>"
     broken = word_bpe.WordCodec(open(queries.model_path(queries.TOKENIZER), "rb").read())
-    pair = next(p for p, whole in broken.tables.result.items() if whole == 3306)
-    del broken.tables.rank[pair]
+    pair = next(p for p, found in broken.tables.pairs.items() if found & word_bpe.LOW_BITS == 3306)
+    del broken.tables.pairs[pair]
     assert broken.encode(["hello"])[0][2] != codec.encode(["hello"])[0][2] == "hello</w>"
 
 
