@@ -43,12 +43,25 @@ def layers(edges: DataFrame) -> DataFrame:
 
 
 def layers_of_all(edges: DataFrame) -> DataFrame:
-    """Layers as in `layers`; what stays without one, on cycles and after them, comes one below the lowest layer of its known sources, or at 0."""
+    """Layers as in `layers`; a node that stays without one, on a cycle or after it, takes that of the nearest node above that has one plus its distance.
+
+    The search goes up through other nodes without a layer, too. Of several equally near, the lowest layer counts most; 0 where there is none.
+    """
+    edges = checkpointed(edges.select("src", "dst").distinct())
     known = checkpointed(layers(edges))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(known, "node", "left_anti")
-    above = edges.select("src", F.col("dst").alias("node")).distinct().join(known.select(F.col("node").alias("src"), "layer"), "src").groupBy("node").agg(F.max("layer").alias("layer"))
-    rest = nodes.join(above, "node", "left").select("node", F.coalesce(F.col("layer") + 1, F.lit(0)).alias("layer"), F.lit(True).alias("cyclic"))
-    return known.withColumn("cyclic", F.lit(False)).unionByName(rest)
+    rest = checkpointed(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(known, "node", "left_anti"))
+    inner = checkpointed(edges.join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    last, found, distance = known.select("node", "layer"), None, 0
+    while True:
+        distance += 1
+        below = inner.join(last.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("layer").alias("layer"))
+        last = checkpointed(below if found is None else below.join(found.select("node"), "node", "left_anti"))
+        placed = last.withColumn("at", F.col("layer") + distance)
+        found = checkpointed(placed if found is None else found.unionByName(placed))
+        if not last.limit(1).count():
+            break
+    cyclic = rest.join(found, "node", "left").select("node", F.coalesce("at", F.lit(0)).alias("layer"), F.lit(True).alias("cyclic"))
+    return known.withColumn("cyclic", F.lit(False)).unionByName(cyclic)
 
 
 def top_nodes(edges: DataFrame, most: int = 1000, levels: int = 2) -> DataFrame:

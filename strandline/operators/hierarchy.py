@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.loops import checkpointed
@@ -85,3 +85,57 @@ def subtree_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node with its children in order, joined by commas; nodes without children too."""
     own = edges.groupBy(F.col("parent").alias("pid")).agg(F.array_join(F.array_sort(F.collect_set("child")), ",").alias("children"))
     return nodes.join(own, "pid", "left").select("pid", F.coalesce("children", F.lit("")).alias("children"))
+
+
+def _drawn(seed: str, below: str) -> Column:
+    """Whether a row (pid, h, t) falls into a share of all, by the first eight hexadecimal digits of a hash: '80000000' is a half."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), "pid", "h", "t")), 1, 8) < below
+
+
+def completed_bottom_up(occs: DataFrame, edges: DataFrame, with_own: bool = False, seed: str = "third") -> DataFrame:
+    """Occurrences (pid, h, t) for inner nodes, out of their children's: a third of the children's union, by hash, moves up and leaves them.
+
+    Nodes of one height draw at once from what the levels below left, so a child of two such parents loses what either takes. A node's
+    own occurrences count for leaves, and with `with_own` join what an inner node took. One checkpoint a level of height.
+    """
+    edges = checkpointed(edges.select("parent", "child").distinct())
+    height = checkpointed(closure(edges).groupBy(F.col("anc").alias("parent")).agg(F.max("depth").alias("height")))
+    own = checkpointed(occs.select("pid", "h", "t").distinct())
+    inner = height.select(F.col("parent").alias("pid"), "height")
+    held = checkpointed(own.join(inner, "pid", "left_anti"))
+    for level in range(1, (height.agg(F.max("height")).first()[0] or 0) + 1):
+        here = edges.join(height.where(F.col("height") == level), "parent").select("parent", "child")
+        union = here.join(held.withColumnRenamed("pid", "child"), "child").select(F.col("parent").alias("pid"), "h", "t").distinct()
+        taken = checkpointed(union.where(_drawn(seed, "55555555")))
+        lost = here.join(taken.withColumnRenamed("pid", "parent"), "parent").select(F.col("child").alias("pid"), "h", "t")
+        new = taken
+        if with_own:
+            new = taken.unionByName(own.join(inner.where(F.col("height") == level), "pid").select("pid", "h", "t")).distinct()
+        held = checkpointed(held.join(lost, ["pid", "h", "t"], "left_anti").unionByName(new))
+    return held
+
+
+def completed_top_down(occs: DataFrame, edges: DataFrame, seed: str = "half") -> DataFrame:
+    """Occurrences (pid, h, t) of each node and all below it, without overlap between a node and what is above it.
+
+    From the roots on, a node keeps a half of what it may hold, by hash, and passes the rest; its children may hold only what all their
+    parents passed, and leaves keep that whole. Nodes are done by their greatest depth, after all their parents. A parent that never held
+    anything doesn't restrict its children. One checkpoint a level of depth.
+    """
+    edges = checkpointed(edges.select("parent", "child").distinct())
+    held = checkpointed(populated(occs, edges))
+    depth = checkpointed(closure(edges).groupBy(F.col("des").alias("pid")).agg(F.max("depth").alias("depth")))
+    inner = edges.select(F.col("parent").alias("pid")).distinct()
+    above = checkpointed(edges.join(held.select(F.col("pid").alias("parent")).distinct(), "parent", "left_semi"))
+    needed = above.groupBy(F.col("child").alias("pid")).agg(F.count(F.lit(1)).alias("needed"))
+    here, out, passed = held.join(depth, "pid", "left_anti"), None, None
+    for level in range((depth.agg(F.max("depth")).first()[0] or 0) + 1):
+        if level:
+            own = held.join(depth.where(F.col("depth") == level), "pid").select("pid", "h", "t").join(needed, "pid", "left")
+            allowed = above.join(passed.withColumnRenamed("pid", "parent"), "parent").groupBy(F.col("child").alias("pid"), "h", "t").agg(F.count(F.lit(1)).alias("n"))
+            here = own.join(allowed, ["pid", "h", "t"], "left").where("needed is null or n = needed").select("pid", "h", "t")
+        marked = checkpointed(here.join(inner.withColumn("inner", F.lit(True)), "pid", "left").withColumn("keeps", F.col("inner").isNull() | _drawn(seed, "80000000")))
+        kept, rest = marked.where("keeps").select("pid", "h", "t"), marked.where("not keeps").select("pid", "h", "t")
+        out = kept if out is None else out.unionByName(kept)
+        passed = rest if passed is None else passed.unionByName(rest)
+    return out
