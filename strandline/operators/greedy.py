@@ -50,14 +50,14 @@ def easy_siblings(scores: DataFrame, siblings: DataFrame) -> DataFrame:
     met = easy.select(F.col("p1").alias("a"), F.col("p2").alias("b")).join(easy.select(F.col("p1").alias("b")), "b").select("a", "b")
     chosen = first_independent_set(nodes, met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     test = checkpointed(chosen.where("taken").select(F.col("node").alias("pid")))
-    return test.withColumn("split", F.lit("test")).unionByName(_siblings_of(test, easy, siblings).withColumn("split", F.lit("train")))
+    return _with_siblings(test, scores, siblings)
 
 
-def _siblings_of(test: DataFrame, easy: DataFrame | None, siblings: DataFrame) -> DataFrame:
-    near = siblings.join(test.select(F.col("pid").alias("a")), "a", "left_semi").select(F.col("b").alias("pid"))
-    if easy is not None:
-        near = near.unionByName(easy.join(test.select(F.col("pid").alias("p1")), "p1", "left_semi").select(F.col("p2").alias("pid")))
-    return near.distinct().join(test, "pid", "left_anti")
+def _with_siblings(test: DataFrame, scores: DataFrame, siblings: DataFrame) -> DataFrame:
+    """Test relations, and as train all others with scores that are a sibling of one."""
+    near = siblings.join(test.select(F.col("pid").alias("a")), "a", "left_semi").select(F.col("b").alias("pid")).distinct()
+    train = near.join(scores.select(F.col("p1").alias("pid")), "pid", "left_semi").join(test, "pid", "left_anti")
+    return test.withColumn("split", F.lit("test")).unionByName(train.withColumn("split", F.lit("train")))
 
 
 def hard_siblings(scores: DataFrame, siblings: DataFrame, nearest: int = 10) -> DataFrame:
@@ -68,11 +68,10 @@ def hard_siblings(scores: DataFrame, siblings: DataFrame, nearest: int = 10) ->
     some = siblings.select(F.col("a").alias("pid")).distinct().join(known, "pid", "left_semi")
     met = close.join(siblings, ["a", "b"], "left_semi").select(F.col("a").alias("pid"))
     test = checkpointed(some.join(met, "pid", "left_anti"))
-    train = _siblings_of(test, None, siblings).join(known, "pid", "left_semi")
-    return test.withColumn("split", F.lit("test")).unionByName(train.withColumn("split", F.lit("train")))
+    return _with_siblings(test, scores, siblings)
 
 
-def test_and_dev(splits: DataFrame, seed: int = 1) -> DataFrame:
+def with_dev_half(splits: DataFrame, seed: int = 1) -> DataFrame:
     """The first half of the test relations, in the order of a hash, becomes dev; relations number in the thousands at most."""
     order = Window.partitionBy("split").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "pid")), "pid")
     n = F.count(F.lit(1)).over(Window.partitionBy("split"))

@@ -59,11 +59,18 @@ def _articles(s, d):
     return docs.select(F.to_json(row).alias("value"))
 
 
-def _dump_lines(s, d):
+#: A dump's statement before its rows, one line a column.
+_DUMP_HEAD = ["-- dump", "CREATE TABLE `page` (", "  `page_id` int NOT NULL,", "  `page_namespace` int,", "  `page_title` varbinary(255) DEFAULT '',", "  `more` text,", "  PRIMARY KEY (`page_id`),", "  KEY `more` (`more`)", ");"]
+
+
+def _dump_lines(s, d, faults=False):
+    """Customers as tuples of a dump; with `faults` every line has one of three fields and a stretch that is no tuple."""
     quoted = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.col(c), "'", "\\\\'"), F.lit("'"))
     one = F.concat(F.lit("("), F.col("c_custkey").cast("string"), F.lit(",0,"), quoted("c_name"), F.lit(",'a, (b) \\'c\\''"), F.lit(")"))
     rows = B.table(s, d, "customer").groupBy((F.col("c_custkey") % 50).alias("k")).agg(F.array_join(F.collect_list(one), ",").alias("v"))
-    return rows.select(F.concat(F.lit("INSERT INTO `page` VALUES "), F.col("v"), F.lit(";")).alias("value")).unionAll(s.createDataFrame([("-- dump",), ("CREATE TABLE `page` (",)], "value string"))
+    more = F.lit(",(1,0,'short'),((torn") if faults else F.lit("")
+    head = s.createDataFrame([(x,) for x in _DUMP_HEAD], "value string").repartition(1) if faults else s.createDataFrame([(x,) for x in _DUMP_HEAD], "value string")
+    return head.unionAll(rows.select(F.concat(F.lit("INSERT INTO `page` VALUES "), F.col("v"), more, F.lit(";")).alias("value")))
 
 
 def _mention_lines(s, d):
@@ -126,8 +133,12 @@ CATALOG = {
         r"""SELECT 'u' || CAST(doc_id AS VARCHAR) AS url, CAST(0 AS BIGINT) AS start, length(w) AS "end", w AS surface_form, lang AS uri FROM (SELECT doc_id, lang, regexp_extract(text, '^[^\x20\x09-\x0D]*') AS w FROM documents WHERE length(text) > 0)""",
     ),
     "read_dump": (
-        lambda s, d: _read(R.read_dump, _dump_lines(s, d), ["id", "ns", "title", "more"], keep={"ns": "0"}),
-        "SELECT CAST(c_custkey AS VARCHAR) AS id, '0' AS ns, c_name AS title, 'a, (b) ''c''' AS more FROM customer",
+        lambda s, d: _read(R.read_dump, _dump_lines(s, d), keep={"page_namespace": "0"}),
+        "SELECT CAST(c_custkey AS VARCHAR) AS page_id, '0' AS page_namespace, c_name AS page_title, 'a, (b) ''c''' AS more FROM customer",
+    ),
+    "dump_faults": (
+        lambda s, d: _read(R.dump_faults, _dump_lines(s, d, faults=True)),
+        "SELECT count(*) + count(DISTINCT c_custkey % 50) AS tuples, count(DISTINCT c_custkey % 50) AS malformed, count(DISTINCT c_custkey % 50) AS broken FROM customer",
     ),
     "read_names": (
         lambda s, d: _read(R.read_names, B.table(s, d, "part").select(_tabs(B.entity(5, "p_partkey"), "p_name", F.concat_ws("||", "p_brand", "p_name", "p_type"))), B.table(s, d, "part").where("p_size > 10").select(B.entity(5, "p_partkey").alias("entity"))).select("entity", F.array_join("names", "|").alias("names")),

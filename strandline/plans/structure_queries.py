@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import dictionary as D
+from strandline.operators import encoders as N
+from strandline.operators import greedy as G
 from strandline.operators import hierarchy as H
+from strandline.operators import relations as R
 from strandline.operators import text as T
+from strandline.operators import vectors as V
+from strandline.operators.loops import checkpointed
 from strandline.plans.relation_queries import _after
 from strandline.sources import bindings as B
 
@@ -116,6 +121,153 @@ def _topics(s, d):
     return topics, links.select(name("item_id").alias("id"), name("j").alias("other")), places
 
 
+# --- relations by their vectors -----------------------------------------------------------------------------------
+
+
+def _parts_of_labels(s, d, parts):
+    """Vectors under their label, divided by number: (id, pid, vec)."""
+    return B.vectors(s, d).withColumn("pid", F.concat_ws("_", "pid", (F.col("id") % parts).cast("string")))
+
+
+def _siblings(rows):
+    """Relations with the same label, both ways."""
+    one = rows.select("pid").distinct().withColumn("label", F.substring_index("pid", "_", 1))
+    return one.select("label", F.col("pid").alias("a")).join(one.select("label", F.col("pid").alias("b")), "label").where("a <> b").select("a", "b")
+
+
+def _cosines(s, d):
+    rows = _parts_of_labels(s, d, 30)
+    return checkpointed(V.mean_scores(rows).select("p1", "p2", F.col("cosine").alias("score"))), _siblings(rows)
+
+
+def _means(source: str) -> str:
+    return f"""long AS (SELECT pid, unnest(range(len(vec))) AS dim, CAST(unnest(vec) AS DOUBLE) AS x FROM {source}),
+  means AS (SELECT pid, list(x ORDER BY dim) AS v FROM (SELECT pid, dim, avg(x) AS x FROM long GROUP BY 1, 2) GROUP BY pid)"""
+
+
+_SCORES = f"""rel AS (SELECT pid || '_' || CAST(id % 30 AS VARCHAR) AS pid, vec FROM vectors), {_means('rel')},
+  scores AS (SELECT a.pid AS p1, b.pid AS p2, list_cosine_similarity(a.v, b.v) AS score FROM means a JOIN means b ON a.pid <> b.pid),
+  ranked AS (SELECT *, split_part(p1, '_', 1) = split_part(p2, '_', 1) AS sibling, row_number() OVER (PARTITION BY p1 ORDER BY score DESC, p2) AS nth FROM scores)"""
+_SPLIT = """trained AS (SELECT DISTINCT p2 AS pid FROM ranked WHERE sibling AND p1 IN (SELECT pid FROM test) AND p2 NOT IN (SELECT pid FROM test)),
+  split AS (SELECT pid, 'test' AS split FROM test UNION ALL SELECT pid, 'train' FROM trained)"""
+
+
+def _hierarchy_of_labels(rows):
+    """A root over labels over their parts, and a second root over the even labels; with the groups of a label and its parts."""
+    pids = rows.select("pid").distinct()
+    label = F.substring_index("pid", "_", 1)
+    below = pids.select(label.alias("parent"), F.col("pid").alias("child"))
+    tops = pids.select(label.alias("child")).distinct()
+    edges = below.unionAll(tops.select(F.lit("ALL"), "child")).unionAll(tops.where("cast(substring(child, 2) as int) % 2 = 0").select(F.lit("EVEN"), "child"))
+    return edges, pids.select(label.alias("grp"), "pid").unionAll(tops.select(F.col("child"), F.col("child")))
+
+
+_METHODS = ("min", "middle", "top_2", "random")
+
+
+def _hard_split(s, d):
+    rows = _parts_of_labels(s, d, 7)
+    edges, groups = _hierarchy_of_labels(rows)
+    means = checkpointed(V.mean_vectors(rows.unionByName(B.vectors(s, d))))
+    out = None
+    for method in _METHODS:
+        hard = V.central_member(means, groups, method).select(F.col("grp").alias("a"), F.col("pid").alias("b"))
+        one = V.swapped(edges, hard).select(F.lit(method).alias("method"), "parent", "child")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_HARD = f"""rel AS (SELECT pid || '_' || CAST(id % 7 AS VARCHAR) AS pid, vec FROM vectors UNION ALL SELECT pid, vec FROM vectors), {_means('rel')},
+  grp AS (SELECT split_part(pid, '_', 1) AS grp, pid, v FROM means),
+  central AS (SELECT a.grp, a.pid, avg(list_cosine_similarity(a.v, b.v)) AS central FROM grp a JOIN grp b USING (grp) GROUP BY 1, 2),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY central, pid) AS nth, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY md5('1|' || grp || '|' || pid), pid) AS drawn FROM central),
+  hard AS (SELECT 'min' AS method, grp, pid FROM placed WHERE nth = 1 UNION ALL SELECT 'middle', grp, pid FROM placed WHERE nth = n // 2 + 1
+    UNION ALL SELECT 'top_2', grp, pid FROM placed WHERE nth = least(3, n) UNION ALL SELECT 'random', grp, pid FROM placed WHERE drawn = 1),
+  new AS (SELECT method, grp AS was, pid AS now FROM hard WHERE grp <> pid UNION ALL SELECT method, pid, grp FROM hard WHERE grp <> pid),
+  edges AS (SELECT grp AS parent, pid AS child FROM grp WHERE grp <> pid UNION ALL SELECT DISTINCT 'ALL', grp FROM grp UNION ALL SELECT DISTINCT 'EVEN', grp FROM grp WHERE CAST(substr(grp, 2) AS INTEGER) % 2 = 0)"""
+
+
+def _joined_vectors(s, d):
+    """Occurrences as the vectors of an entity and of the next one, end to end."""
+    own = B.vectors(s, d)
+    return own.join(own.select((F.col("id") - 1).alias("id"), F.col("vec").alias("tail")), "id").select("pid", F.concat("vec", "tail").alias("vec"))
+
+
+# --- samples as graphs --------------------------------------------------------------------------------------------
+
+_IN_SAMPLE, _IN_BATCH = 10, 4
+
+
+def _samples(s, d):
+    """Occurrences of every relation in samples of ten, four samples a batch."""
+    pairs = R.entity_pairs(B.triples(s, d)).select(F.col("r").alias("pid"), "h", "t").distinct()
+    n = F.col("nth") - 1
+    chunk = F.floor(n / _IN_SAMPLE)
+    occs = R.numbered(pairs, pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n")), ["h", "t"], "nth").select(F.concat_ws(":", "pid", chunk.cast("string")).alias("sample"), "pid", (n % _IN_SAMPLE).alias("pos"), "h", "t", chunk.alias("number"))
+    occs = checkpointed(occs)
+    samples = occs.select("sample", "pid", "number", F.concat_ws("/", "pid", F.floor(F.col("number") / _IN_BATCH).cast("string")).alias("batch")).distinct()
+    return occs.drop("number"), samples
+
+
+def _graphs(s, d, kind):
+    occs, samples = _samples(s, d)
+    edges = checkpointed(N.sample_edges(occs, B.triples(s, d), kind))
+    nodes = checkpointed(N.sample_nodes(samples, edges, kind))
+    return samples, edges, nodes, N.batch_offsets(samples, nodes)
+
+
+def _packed(kind):
+    def query(s, d):
+        _, edges, nodes, offsets = _graphs(s, d, kind)
+        return N.packed_edges(edges, nodes, offsets).withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long"))
+
+    return query
+
+
+_OWN_EDGES = {
+    "one": [("'one'", "h", "pid"), ("'one'", "pid", "t")],
+    "only_property": [],
+    "bow": [("'head'", "h", "pid"), ("'tail'", "t", "pid")],
+    "property": [("'<AGG>'", "h", "'<AGG>'"), ("'<AGG>'", "t", "'<AGG>'"), ("pid", "h", "t")],
+}
+_SIDE_EDGES = {
+    "one": ([("'one'", "e", "r"), ("'one'", "r", "o")], "true"),
+    "only_property": ([("side", "r", "pid")], "r <> pid"),
+    "bow": ([("side || '_other'", "r", "pid"), ("side || '_other'", "o", "pid")], "r <> pid"),
+    "property": ([("r", "e", "o")], "true"),
+}
+
+
+def _graph_sql(kind: str) -> str:
+    parts = [f"SELECT sample, pid, [pos, 0, 0, {i}] AS place, {k} AS kind, {a} AS src, {b} AS dst FROM o" for i, (k, a, b) in enumerate(_OWN_EDGES[kind])]
+    edges, gives = _SIDE_EDGES[kind]
+    parts += [f"SELECT sample, pid, [pos, n, nth, {i}] AS place, {k} AS kind, {a} AS src, {b} AS dst FROM met WHERE {gives}" for i, (k, a, b) in enumerate(edges)]
+    first = "'<AGG>'" if kind == "property" else "pid"
+    return f"""occ AS (SELECT r AS pid, h, t, row_number() OVER (PARTITION BY r ORDER BY h, t) - 1 AS n FROM (SELECT DISTINCT h, r, t FROM triples WHERE regexp_matches(h, '^Q[0-9]+$') AND regexp_matches(t, '^Q[0-9]+$'))),
+      o AS (SELECT pid || ':' || CAST(n // {_IN_SAMPLE} AS VARCHAR) AS sample, pid, n % {_IN_SAMPLE} AS pos, h, t, n // {_IN_SAMPLE} AS number FROM occ),
+      around AS (SELECT h AS e, r, t AS o, row_number() OVER (PARTITION BY h ORDER BY r, t) AS nth FROM (SELECT DISTINCT h, r, t FROM triples)),
+      met AS (SELECT x.sample, x.pid, x.pos, x.n, x.side, a.* FROM (SELECT *, 1 AS n, 'head' AS side, h AS x FROM o UNION ALL SELECT *, 2, 'tail', t FROM o) x JOIN around a ON a.e = x.x),
+      edges AS ({' UNION ALL '.join(parts)}),
+      seen AS (SELECT sample, src AS id, list_append(place, 0) AS seen_at FROM edges UNION ALL SELECT sample, dst, list_append(place, 1) FROM edges UNION ALL SELECT DISTINCT sample, {first}, [-1, -1, -1, -1, 0] FROM o),
+      nodes AS (SELECT sample, id, row_number() OVER (PARTITION BY sample ORDER BY min(seen_at), id) - 1 AS ind FROM seen GROUP BY sample, id),
+      samples AS (SELECT DISTINCT sample, pid || '/' || CAST(number // {_IN_BATCH} AS VARCHAR) AS batch, number FROM o),
+      offsets AS (SELECT sample, batch, size, CAST(coalesce(sum(size) OVER (PARTITION BY batch ORDER BY number, sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM samples JOIN (SELECT sample, count(*) AS size FROM nodes GROUP BY sample) USING (sample))"""
+
+
+_PACKED = """SELECT f.batch, e.kind, a.ind + f."offset" AS src, b.ind + f."offset" AS dst FROM (SELECT DISTINCT sample, kind, src, dst FROM edges) e
+  JOIN nodes a ON a.sample = e.sample AND a.id = e.src JOIN nodes b ON b.sample = e.sample AND b.id = e.dst JOIN offsets f ON f.sample = e.sample"""
+
+
+def _train_tokens(s, d, train):
+    learns = F.substring(F.md5(F.col("sid").cast("string")), 1, 1) < "c"
+    return B.tokens(s, d).where(learns if train else ~learns)
+
+
+_TOKENS_OF = """train AS (SELECT * FROM tokens WHERE substr(md5(CAST(sid AS VARCHAR)), 1, 1) < 'c'), dev AS (SELECT * FROM tokens WHERE NOT substr(md5(CAST(sid AS VARCHAR)), 1, 1) < 'c'),
+  vocab AS (SELECT '<PAD>' AS tok, 0 AS ind UNION ALL SELECT '<UNK>', 1 UNION ALL SELECT tok, row_number() OVER (ORDER BY min((sid, pos))) + 1 FROM train GROUP BY tok)"""
+
+
 CATALOG = {
     "complete_bottom_up": (lambda s, d: H.completed_bottom_up(B.tree_occs(s, d), B.tree(s, d)), _after("tree tree_closure tree_occs", _bottom_up(""), f"SELECT * FROM s{max(_LEVELS)}")),
     "complete_bottom_up_with_own": (
@@ -156,6 +308,44 @@ CATALOG = {
           met AS (SELECT DISTINCT unnest(string_split(p.ids, ',')) AS id, p.sid, CAST(n.sent AS BIGINT) AS sent FROM places p JOIN numbered n ON n.sid = p.sid AND n.pos = p.start)
           SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY sid, sent) <= 20""",
     ),
+    "easy_siblings": (
+        lambda s, d: G.with_dev_half(G.easy_siblings(*_cosines(s, d))),
+        # The pass itself, pair by pair, with what is in test and train so far.
+        _after("vectors", _SCORES + """, easy AS (SELECT p1, p2, row_number() OVER (ORDER BY score DESC, p1) AS k FROM ranked WHERE nth = 1 AND sibling),
+          pass AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS test, CAST([] AS VARCHAR[]) AS train UNION ALL
+            SELECT e.k, CASE WHEN list_contains(p.train, p1) OR list_contains(p.test, p2) THEN p.test ELSE list_append(p.test, p1) END,
+              CASE WHEN list_contains(p.train, p1) OR list_contains(p.test, p2) THEN p.train ELSE list_append(p.train, p2) END FROM pass p JOIN easy e ON e.k = p.k + 1),
+          test AS (SELECT unnest(test) AS pid FROM pass WHERE k = (SELECT max(k) FROM pass)), """ + _SPLIT, """SELECT pid, CASE WHEN split = 'test' AND row_number() OVER (PARTITION BY split ORDER BY md5('1:' || pid), pid) <= count(*) OVER (PARTITION BY split) // 2 THEN 'dev' ELSE split END AS split FROM split"""),
+    ),
+    "hard_siblings": (
+        lambda s, d: G.hard_siblings(*_cosines(s, d), nearest=3),
+        _after("vectors", _SCORES + ", test AS (SELECT p1 AS pid FROM ranked GROUP BY p1 HAVING bool_or(sibling) AND NOT bool_or(sibling AND nth <= 3)), " + _SPLIT, "SELECT * FROM split"),
+    ),
+    "hard_split": (_hard_split, _after("vectors", _HARD, """SELECT m.method, coalesce(a.now, parent) AS parent, coalesce(b.now, child) AS child FROM edges CROSS JOIN (SELECT DISTINCT method FROM hard) m
+      LEFT JOIN new a ON a.method = m.method AND a.was = parent LEFT JOIN new b ON b.method = m.method AND b.was = child""")),
+    "covariances": (
+        lambda s, d: V.covariances(_joined_vectors(s, d)).select("pid", "n", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("mean_i", 6).alias("mean_i"), F.round("covariance", 6).alias("covariance")),
+        _after("vectors", """joined AS (SELECT a.pid, list_concat(a.vec, b.vec) AS vec FROM vectors a JOIN vectors b ON b.id = a.id + 1), numbered AS (SELECT row_number() OVER () AS k, * FROM joined),
+          long AS (SELECT k, pid, unnest(range(len(vec))) AS i, CAST(unnest(vec) AS DOUBLE) AS x FROM numbered)""",
+          "SELECT a.pid, count(*) AS n, a.i, b.i AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS covariance FROM long a JOIN long b ON a.k = b.k GROUP BY a.pid, a.i, b.i"),
+    ),
+    "graph_one": (_packed("one"), _after("triples", _graph_sql("one"), _PACKED)),
+    "graph_only_property": (_packed("only_property"), _after("triples", _graph_sql("only_property"), _PACKED)),
+    "graph_bow": (_packed("bow"), _after("triples", _graph_sql("bow"), _PACKED)),
+    "graph_property": (_packed("property"), _after("triples", _graph_sql("property"), _PACKED)),
+    "graph_offsets": (
+        lambda s, d: _graphs(s, d, "bow")[3].select("sample", "batch", F.col("size").cast("long").alias("size"), F.col("offset").cast("long").alias("before")),
+        _after("triples", _graph_sql("bow"), 'SELECT sample, batch, size, "offset" AS before FROM offsets'),
+    ),
+    "vocabulary": (lambda s, d: N.vocabulary(_train_tokens(s, d, True)), _after("tokens", _TOKENS_OF, "SELECT tok, CAST(ind AS BIGINT) AS ind FROM vocab")),
+    "encoded_dev": (
+        lambda s, d: N.encoded_tokens(_train_tokens(s, d, False), checkpointed(N.vocabulary(_train_tokens(s, d, True)))).groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ind"))), lambda x: x["ind"].cast("string")), " ").alias("ids")),
+        _after("tokens", _TOKENS_OF, "SELECT sid, string_agg(CAST(coalesce(v.ind, 1) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM dev LEFT JOIN vocab v USING (tok) GROUP BY sid"),
+    ),
+    "bags_dev": (
+        lambda s, d: N.encoded_tokens(_train_tokens(s, d, False), checkpointed(N.vocabulary(_train_tokens(s, d, True))), unknown=None).groupBy("sid", "ind").agg(F.count(F.lit(1)).alias("cnt")),
+        _after("tokens", _TOKENS_OF, "SELECT sid, CAST(ind AS BIGINT) AS ind, count(*) AS cnt FROM dev JOIN vocab USING (tok) GROUP BY 1, 2"),
+    ),
     # A loop with a state an article: no SQL, held against a plain loop in the tests.
     "topic_graphs": (lambda s, d: D.topic_graphs(*_topics(s, d)), None),
 }

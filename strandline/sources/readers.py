@@ -10,8 +10,10 @@ from strandline.operators.relations import ENTITY
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their position: file, then offset order within it as read by tasks."""
-    return spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
+    """Lines with a number in the order in which tasks read them, and their place in the order of files: path, first byte of the task's block, number."""
+    nth = F.monotonically_increasing_id()
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), nth.alias("nth"))
+    return spark.read.text(path).select("value", F.input_file_name().alias("file"), nth.alias("pos"), place.alias("place"))
 
 
 def _field(i: int, sep: str = "\t") -> Column:
@@ -31,12 +33,12 @@ def read_occurrences(spark: SparkSession, path: str, named: bool = False, entiti
     """
     rows = _lines(spark, path)
     h, t = (0, 2) if named else (0, 1)
-    out = rows.select(F.regexp_extract("file", r"([^/]+?)\.txt(\.order)?$", 1).alias("pid"), "pos", _field(h).alias("h"), _field(t).alias("t"), *([_field(1).alias("h_label"), _field(3).alias("t_label")] if named else []))
+    out = rows.select(F.regexp_extract("file", r"([^/]+?)\.txt(\.order)?$", 1).alias("pid"), "place", _field(h).alias("h"), _field(t).alias("t"), *([_field(1).alias("h_label"), _field(3).alias("t_label")] if named else []))
     if entities_only:
         out = out.where(F.col("h").rlike(ENTITY) & F.col("t").rlike(ENTITY))
     if most is not None:
-        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("pos"))).where(F.col("nth") <= most).drop("nth")
-    return out.drop("pos")
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("place"))).where(F.col("nth") <= most).drop("nth")
+    return out.drop("place")
 
 
 def prefer(first: DataFrame, fallback: DataFrame, key: str = "pid") -> DataFrame:
@@ -55,9 +57,9 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 
 def read_subgraphs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a root and its edges `e1 p e2`; roots without edges have an empty list, a root's last line wins."""
-    rows = _lines(spark, path).select(_field(0).alias("root"), "pos", F.split("value", "\t").alias("parts"))
+    rows = _lines(spark, path).select(_field(0).alias("root"), "place", F.split("value", "\t").alias("parts"))
     edges = F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: F.struct(F.split(x, " ")[0].alias("e1"), F.split(x, " ")[1].alias("p"), F.split(x, " ")[2].alias("e2")))
-    return rows.groupBy("root").agg(F.max_by(edges, "pos").alias("adj"))
+    return rows.groupBy("root").agg(F.max_by(edges, "place").alias("adj"))
 
 
 def _pairs_from(parts: Column, first: int) -> Column:
@@ -111,8 +113,8 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_list_map(spark: SparkSession, path: str, separator: str = "|||") -> DataFrame:
     """A key and its list: (key, vals). Of equal keys the last wins."""
-    rows = _lines(spark, path).where("value <> ''").select(_field(0).alias("key"), F.split(_field(1), "".join(f"[{c}]" for c in separator)).alias("vals"), "pos")
-    return rows.groupBy("key").agg(F.max_by("vals", "pos").alias("vals"))
+    rows = _lines(spark, path).where("value <> ''").select(_field(0).alias("key"), F.split(_field(1), "".join(f"[{c}]" for c in separator)).alias("vals"), "place")
+    return rows.groupBy("key").agg(F.max_by("vals", "place").alias("vals"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -169,8 +171,8 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """Two columns by tab; blank lines are left out and of equal keys the last wins."""
-    rows = _lines(spark, path).where("value <> ''").select(_field(0).alias("key"), _field(1).alias("val"), "pos")
-    return rows.groupBy("key").agg(F.max_by("val", "pos").alias("val"))
+    rows = _lines(spark, path).where("value <> ''").select(_field(0).alias("key"), _field(1).alias("val"), "place")
+    return rows.groupBy("key").agg(F.max_by("val", "place").alias("val"))
 
 
 def read_vectors(spark: SparkSession, path: str, size: int, sep: str = "\t", unwrap: bool = False, header: bool = False) -> DataFrame:
@@ -233,13 +235,39 @@ _FIELD = r"'(?:[^'\\]|\\.)*'|[^,()]+"
 _TUPLE = rf"\(((?:{_FIELD})(?:,(?:{_FIELD}))*)\)"
 
 
-def read_dump(spark: SparkSession, path: str, columns: list[str], keep: dict[str, str] | None = None) -> DataFrame:
+def dump_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a dump's first CREATE TABLE statement, in its order: the quoted names that lines begin with, up to the first key or the end.
+
+    Lines keep their order by file and place; those that can hold a name are as many as the tables have columns, and come to the driver.
+    """
+    lines = _lines(spark, path).where(r"value rlike '^(CREATE TABLE|\\s*`|\\s*(PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FULLTEXT)|\\))' and not value like 'INSERT%'")
+    found: list[str] | None = None
+    for (value,) in lines.orderBy("place").select(F.substring("value", 1, 1000)).collect():
+        if value.startswith("CREATE TABLE"):
+            if found is not None:
+                break
+            found = []
+        elif found is not None:
+            if not value.lstrip().startswith("`"):
+                break
+            found.append(value.split("`")[1])
+    if not found:
+        raise ValueError("the dump has no CREATE TABLE statement with quoted column names")
+    return found
+
+
+def _insert_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where("value like 'INSERT INTO%'").select(F.expr("substring(value, instr(value, 'VALUES') + 6)").alias("value"))
+
+
+def read_dump(spark: SparkSession, path: str, columns: list[str] | None = None, keep: dict[str, str] | None = None) -> DataFrame:
     """Rows of a database dump's INSERT lines, gzip too. Quoted fields may hold commas, brackets and escapes.
 
-    Tuples with another number of fields are left out; `keep` holds values that columns must have.
+    Columns are those of the dump's CREATE TABLE, unless the caller names them. Tuples with another number of fields are left out
+    (`dump_faults` counts them); `keep` holds values that columns must have.
     """
-    lines = spark.read.text(path).where("value like 'INSERT INTO%'")
-    tuples = lines.select(F.explode(F.regexp_extract_all(F.expr("substring(value, instr(value, 'VALUES'))"), F.lit(_TUPLE), F.lit(1))).alias("t"))
+    columns = columns or dump_columns(spark, path)
+    tuples = _insert_lines(spark, path).select(F.explode(F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(1))).alias("t"))
     fields = tuples.select(F.regexp_extract_all("t", F.lit(_FIELD), F.lit(0)).alias("f")).where(F.size("f") == len(columns))
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^'|'$", ""), r"\\(.)", "$1")
     out = fields.select(*[plain(F.col("f")[i]).alias(c) for i, c in enumerate(columns)])
@@ -248,6 +276,16 @@ def read_dump(spark: SparkSession, path: str, columns: list[str], keep: dict[str
     return out
 
 
+def dump_faults(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """One row: tuples of a dump, those with another number of fields than its columns, and stretches between tuples that are none."""
+    columns = columns or dump_columns(spark, path)
+    lines = _insert_lines(spark, path)
+    found = lines.select(F.explode(F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(1))).alias("t")).select((F.size(F.regexp_extract_all("t", F.lit(_FIELD), F.lit(0))) != len(columns)).cast("long").alias("other"))
+    left = lines.select(F.explode(F.split(F.regexp_replace("value", _TUPLE, "\u0001"), "\u0001")).alias("rest")).where(r"not rest rlike '^[\\s,;]*$'")
+    counts = found.agg(F.count(F.lit(1)).alias("tuples"), F.coalesce(F.sum("other"), F.lit(0)).alias("malformed"))
+    return counts.crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("broken"))))
+
+
 def read_names(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     """Names of known entities, `id TAB name TAB alias||alias`: the name first."""
     rows = spark.read.text(path).select(_field(0).alias("entity"), _field(1).alias("name"), F.coalesce(_field(2), F.lit("")).alias("aka"))
