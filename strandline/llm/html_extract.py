@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded_batches, join_group_facts, shared_checkpoint
 
-#: Share of a page's text that its main container holds at least.
-MAIN_SHARE = 0.8
+#: Share of a page's text that its main container holds at least, and share of links that makes a block outside it a menu.
+MAIN_SHARE, MENU_SHARE = 0.8, 0.5
 #: Characters of hosts and their winning paths that may be broadcast together.
 BROADCAST_CHARS = 10_000_000
 #: Longer paths and names are cut and end in a digest; elements nested deeper stand for their ancestor, as in browsers.
@@ -39,6 +39,10 @@ ASIDE_WORDS = frozenset(
 )
 #: Words that a class may have beside those of an aside: 'comments-list' is one, 'no-sidebar' and 'post-header' are none.
 HOLDER_WORDS = frozenset("area block bar bottom box container global inner items left links list main outer posts primary right secondary section site top wrap wrapper".split())
+# Beginnings, and whole words, that name comments and adverts in any class, unless it says that there are none or that others lie beside it.
+ASIDE_STEMS = ("comment", "advert", "sponsor", "disqus")
+ASIDE_ANYWHERE = frozenset("ad ads adslot adslots adbox adunit adsense adzone".split())
+NO_ASIDE = frozenset("commentary commentaries commentator commented no not non has with without hide hidden".split())
 #: Elements that no class makes an aside, those that name the article, and asides of which some hold it.
 PAGE_TAGS = frozenset("html body main article".split())
 LANDMARKS = frozenset("main article h1".split())
@@ -79,6 +83,8 @@ class _Block:
     inside: tuple[str, ...] = ()
     article: bool = False
     marks: tuple[_Mark, ...] = ()
+    #: Whether it is a page's or a section's title.
+    title: bool = False
 
 
 _OUTSIDE = _Element("", "", False)
@@ -90,6 +96,8 @@ def _says_aside(values: str) -> bool:
         parts = set(_PART.findall(token))
         if parts & ASIDE_WORDS and parts <= ASIDE_WORDS | HOLDER_WORDS:
             return True
+        if not parts & NO_ASIDE and (parts & ASIDE_ANYWHERE or any(p.startswith(ASIDE_STEMS) for p in parts)):
+            return True
     return False
 
 
@@ -139,7 +147,7 @@ def blocks_of(page: str) -> list[_Block]:
             if text and not top.aside:
                 for m in top.marks:
                     m.size += len(text)
-                out.append(_Block(text, linked, top.around, top.article, top.marks))
+                out.append(_Block(text, linked, top.around, top.article, top.marks, top.tag in ("h1", "h2")))
         held, linked = [], 0
 
     size = len(page)
@@ -194,11 +202,10 @@ def blocks_of(page: str) -> list[_Block]:
     return [b for b in out if not any(map(stands, b.marks))]
 
 
-def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
-    """The path of the smallest container that holds the whole article; empty if there is none.
+def _article(blocks: list[_Block], share: float) -> list[_Block]:
+    """The blocks that belong to the article for themselves: those of article or main elements and of the deepest container with `share` of the page's text.
 
-    The article is what lies in article or main elements and in the deepest container with `share` of the page's text, links not
-    counted. A page without those elements has it in all that is around that container, up to the body.
+    Links don't count for that share. Without such elements all blocks belong to it that don't consist of links for the most part, and those of that container.
     """
     scores: Counter[str] = Counter()
     depth: dict[str, int] = {}
@@ -209,16 +216,27 @@ def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
         for i, path in enumerate(b.inside):
             scores[path] += own
             depth[path] = i
-    place = lambda p: (depth[p], p)
-    fit = [p for p, s in scores.items() if s >= share * total and s > 0]
-    deepest = max(fit, key=place, default="")
-    if not deepest:
+    fit = [p for p, n in scores.items() if n >= share * total and n > 0]
+    deepest = max(fit, key=lambda p: (depth[p], p), default="")
+    if any(b.article for b in blocks):
+        return [b for b in blocks if b.article or deepest in b.inside]
+    return [b for b in blocks if deepest in b.inside or b.linked <= MENU_SHARE * len(b.text)] if deepest else blocks
+
+
+def main_path(blocks: list[_Block], share: float = MAIN_SHARE) -> str:
+    """The path of the smallest container that holds the whole article; empty if there is none.
+
+    A page without article or main elements votes for the layout around it, as far up as the body.
+    """
+    needed = _article(blocks, share)
+    if not any(len(b.text) > b.linked for b in needed):
         return ""
-    needed = [b for b in blocks if b.article or deepest in b.inside]
     shared = set(needed[0].inside).intersection(*(b.inside for b in needed))
+    depth = {path: i for i, path in enumerate(needed[0].inside)}
+    place = lambda p: (depth[p], p)
     if not any(b.article for b in needed):
         layout = [p for p in shared if _tag(p) not in ("html", "body")]
-        return min(layout or shared, key=place)
+        return min(layout or shared, key=place, default="")
     return max(shared, key=place, default="")
 
 
@@ -227,11 +245,13 @@ def _tag(path: str) -> str:
 
 
 def text_by_path(blocks: list[_Block], path: str | None) -> str:
-    """The blocks within the host's path if all of the page's own main container lies in it, else those of that container."""
-    own = main_path(blocks)
-    mine = [b for b in blocks if own in b.inside] if own else blocks
-    whole = path and all(path in b.inside for b in mine)
-    return "\n".join(b.text for b in (blocks if whole else mine) if not whole or path in b.inside)
+    """The article's own blocks, and all within the host's path if that holds them; titles before them, too."""
+    mine = _article(blocks, MAIN_SHARE)
+    if path and all(path in b.inside for b in mine):
+        ids = set(map(id, mine))
+        mine = [b for b in blocks if path in b.inside and (id(b) in ids or b.linked <= MENU_SHARE * len(b.text))]
+    first = next((i for i, b in enumerate(blocks) if mine and b is mine[0]), 0)
+    return "\n".join(b.text for b in [*(b for b in blocks[:first] if b.title), *mine])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

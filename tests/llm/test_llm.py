@@ -253,7 +253,7 @@ def test_pages(spark):
 
 def test_host_path_adds_and_drops_nothing(spark):
     """The host's path holds the page's own container and a caption beside it; a page with its text elsewhere keeps that."""
-    usual = "<html><body><div class='w'><div class='c'><p>{}</p></div><p>cap</p></div><div class='x'>menu</div></body></html>"
+    usual = "<html><body><div class='w'><div class='c'><p>{}</p></div><p>cap</p></div><div class='x'><a href='/'>menu</a></div></body></html>"
     odd = f"<html><body><div class='c'><p>{said(10, 1)}</p></div><div class='x2'><p>{said(90, 2)}</p></div></body></html>"
     rows = [(i, f"http://h/{i}", usual.format(said(60, i))) for i in range(6)] + [(7, "http://h/7", odd)]
     got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
