@@ -18,12 +18,19 @@ from strandline.llm.common import shared_checkpoint, text_of
 #: Characters that go on with a unit. It ends before white space and after any other character: a rare letter, two digits, a mark, any
 #: character beyond ASCII. They are listed one by one, as the pattern's classes are looked up in a table then, not tried range by range.
 GOES_ON = "ACDEFHILMNOPRSTUWacdefhilmnoprstuw02345689"
-UNIT = rf"[{GOES_ON}]++[^\s{GOES_ON}]?|[^\s{GOES_ON}]"
+#: Where LONG or more such characters stand in a row, a unit ends after the third or a later one that is one of these.
+TURNS = "AEIOUNSTaeiounst02468"
+LONG = 16
+_ON_ALONE = "".join(c for c in GOES_ON if c not in TURNS)
+UNIT = rf"[{GOES_ON}]{{1,{LONG - 1}}}+(?![{GOES_ON}])[^\s{GOES_ON}]?|[{GOES_ON}]{{2}}[{_ON_ALONE}]*+[{TURNS}]|[{GOES_ON}]++[^\s{GOES_ON}]?|[^\s{GOES_ON}]"
 K, S = 4, 2
+#: So many k-mers at either end of a text are anchors whether they are closed or not.
+ENDS = 2
 #: Two neighbouring bins of offsets are a band; a bin is this part of the longer text's units.
 BINS = 16
 #: Bits of an anchor's hash that take part in matching; the rest of a long holds its side and its place.
-_PLACE, _SIDE = 1 << 23, 1 << 24
+_PLACE = _SIDE = 1 << 31
+_TOP = 32
 
 
 def _let(value: Column, then) -> Column:
@@ -38,7 +45,8 @@ def unit_hashes(text: Column) -> Column:
 def places(text: Column) -> Column:
     """The anchors of a text in its order, as a struct of two arrays: hashes, and the unit that each begins at.
 
-    Anchors are all closed syncmers. A text of few units, or without a syncmer, has all its pairs of units; one of a single unit has that.
+    Anchors are all closed syncmers, and the first two and last two k-mers, all named alike. Only texts of less than K units, which have no k-mer,
+    have their pairs of units; one of a single unit has that.
     """
 
     def of_units(h: Column) -> Column:
@@ -47,18 +55,16 @@ def places(text: Column) -> Column:
 
     def of_pairs(p: Column) -> Column:
         # Four units hold three pairs. A k-mer whose middle pair is smaller than both others isn't closed; its outer pairs cover and name it.
-        closed = F.filter(F.sequence(F.lit(0), F.size(p) - (K - S + 1)), lambda i: F.least(F.get(p, i), F.get(p, i + 2)) <= F.get(p, i + 1))
-        found = F.when(F.size(p) >= SHORT, closed).otherwise(F.array().cast("array<int>"))
+        last = F.size(p) - (K - S + 1)
+        closed = lambda i: F.least(F.get(p, i), F.get(p, i + 2)) <= F.get(p, i + 1)
+        found = F.filter(F.sequence(F.lit(0), last), lambda i: (i < ENDS) | (i > last - ENDS) | closed(i))
         every = F.struct(p.alias("hash"), F.transform(p, lambda x, i: i).alias("at"))
-        return _let(found, lambda at: F.when(F.size(at) > 0, F.struct(F.transform(at, lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2))).alias("hash"), at.alias("at"))).otherwise(every))
+        named = _let(found, lambda at: F.struct(F.transform(at, lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2))).alias("hash"), at.alias("at")))
+        return F.when(last >= 0, named).otherwise(every)
 
     return _let(unit_hashes(text), of_units)
 
 
-#: Texts of fewer pairs of units have all of them as anchors.
-SHORT = 12
-
-
 def printed(marks: Column) -> Column:
     """Anchors as a string in the text's order: the hash in hexadecimal, a colon, the place, and a full stop."""
     return F.array_join(F.zip_with(marks["hash"], marks["at"], lambda h, at: F.concat(F.hex(h), F.lit(":"), at.cast("string"))), ".")
@@ -72,12 +78,12 @@ def _first_of_runs(ordered: Column) -> Column:
 def told_apart(marks: Column) -> Column:
     """One long an anchor, that no other anchor of the text has: the top bits of its hash, and its place. Repeats after the first are hashed with their number.
 
-    Only texts with repeats are numbered. Places beyond eight million begin again at 0.
+    Only texts with repeats are numbered. Every place that a text can have is held whole.
     """
     hashed = lambda h, at: h.bitwiseAND(F.lit(-2 * _SIDE)).bitwiseOR(at.cast("long").bitwiseAND(F.lit(_PLACE - 1)))
 
     def numbered(c: Column) -> Column:
-        again = lambda x, i: (i > 0) & (F.shiftright(x, 25) == F.shiftright(F.get(c, i - 1), 25))
+        again = lambda x, i: (i > 0) & (F.shiftright(x, _TOP) == F.shiftright(F.get(c, i - 1), _TOP))
         return F.concat(F.filter(c, lambda x, i: ~again(x, i)), _let(F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: again(F.get(c, i), i)), lambda r: of_repeats(c, r)))
 
     def of_repeats(c: Column, r: Column) -> Column:
@@ -101,7 +107,7 @@ def matched(a: Column, b: Column) -> Column:
     without is like no other (0).
     """
     none = F.array().cast("array<int>")
-    top = lambda x: F.shiftright(x, 25)
+    top = lambda x: F.shiftright(x, _TOP)
     place = lambda x: x.bitwiseAND(F.lit(_PLACE - 1)).cast("int")
 
     def of_both(c: Column) -> Column:

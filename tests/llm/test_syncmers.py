@@ -23,23 +23,38 @@ def chained(*longs):
     return signed(seed)
 
 
+def units_of(text):
+    """Units by hand: a run of common letters with one more character, or that alone; in runs of sixteen and more, ends after the third letter and the next turn."""
+    on, units, i = set(syncmers.GOES_ON), [], 0
+    while i < len(text):
+        run = i
+        while run < len(text) and text[run] in on:
+            run += 1
+        stop = run
+        if run - i >= syncmers.LONG:
+            turn = i + 2
+            while turn < run and text[turn] not in syncmers.TURNS:
+                turn += 1
+            if turn < run:
+                units.append(text[i : turn + 1])
+                i = turn + 1
+                continue
+        if stop < len(text) and text[stop] not in " \t\n\x0b\x0c\r":
+            stop += 1
+        if stop > i:
+            units.append(text[i:stop])
+        i = max(stop, i + 1)
+    return units
+
+
 def brute_anchors(text):
-    """(hash, unit) of every run of four units whose least pair is its first or last; of short texts, of all pairs or the one unit."""
-    on, units, held = set(syncmers.GOES_ON), [], ""
-    for c in text:
-        if c in " \t\n\x0b\x0c\r":
-            units, held = units + [held] * bool(held), ""
-        elif c in on:
-            held += c
-        else:
-            units, held = [*units, held + c], ""
-    units += [held] * bool(held)
-    h = [signed(xxhash.xxh64(u.encode(), 42).intdigest()) for u in units]
+    """(hash, unit) of every run of four units whose least pair is its first or last, and of the two first and last; of shorter texts all pairs or the one unit."""
+    h = [signed(xxhash.xxh64(u.encode(), 42).intdigest()) for u in units_of(text)]
     p = [chained(a, b) for a, b in zip(h, h[1:])]
     if len(h) < 2:
         return [(x, 0) for x in h]
-    found = [(chained(p[i], p[i + 2]), i) for i in range(len(p) - 2) if min(p[i : i + 3]) in (p[i], p[i + 2])]
-    return found if found and len(p) >= syncmers.SHORT else list(zip(p, range(len(p))))
+    last = len(p) - 3
+    return [(chained(p[i], p[i + 2]), i) for i in range(last + 1) if i < 2 or i > last - 2 or min(p[i : i + 3]) in (p[i], p[i + 2])] if last >= 0 else list(zip(p, range(len(p))))
 
 
 def printed(marks):
@@ -64,6 +79,35 @@ def test_marks_equal_brute_force(spark):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
 
 
+def test_likeness_has_no_step_at_any_length(spark):
+    """A text and itself less its last word stay alike, however short they are, and so does its fingerprint by the documents' own edit."""
+    words = said(40, 11).split()
+    cuts = [(n, " ".join(words[:n])) for n in range(1, 41)]
+    df = spark.createDataFrame([(n, t, " ".join(t.split()[:-1])) for n, t in cuts], "n int, a string, b string")
+    near = syncmers.matched(syncmers.told_apart(syncmers.places(F.col("a"))), syncmers.told_apart(syncmers.places(F.col("b"))))["near"]
+    units = {n: len(units_of(t)) - len(units_of(" ".join(t.split()[:-1]))) for n, t in cuts}
+    got = {r.n: r.near for r in df.select("n", near.alias("near")).collect()}
+    r = random.Random(8)
+    letters = "acdefhilmnoprstu"
+    single = [r.choice(letters) + r.choice("bgkv") for _ in range(41)]  # a unit each
+    rows = [(n, "".join(single[:n]), "".join(single[: n - 1])) for n in range(5, 41)]
+    for x in spark.createDataFrame(rows, "n int, a string, b string").select("n", near.alias("near")).collect():
+        assert x.near > 0.6, x.n
+    # A word holds one to four units; the fewer are left, the more of them a word is.
+    assert all(got[n] > (0.6 if units[n] == 1 else 0.3) for n in got if n >= 5), got
+    assert all(got[n] > 0.6 for n in got if n >= 13)
+
+
+def test_letters_without_spaces(spark):
+    r = random.Random(6)
+    text = "".join(r.choice("acdefhilmnoprstu") for _ in range(400))
+    tail = "".join(r.choice("acdefhilmnoprstu") for _ in range(400))
+    rows = [(0, text, text[:200] + "m" + text[201:]), (1, text, text[:200] + "c" + text[200:]), (2, text, text[:300] + tail[:100])]
+    near = syncmers.matched(syncmers.told_apart(syncmers.places(F.col("a"))), syncmers.told_apart(syncmers.places(F.col("b"))))["near"]
+    got = {x.n: x.near for x in spark.createDataFrame(rows, "n int, a string, b string").select("n", near.alias("near")).collect()}
+    assert got[0] > 0.9 and got[1] > 0.9 and 0.65 < got[2] < 0.85
+
+
 def test_likeness_by_place(spark):
     r = random.Random(3)
     letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000))
@@ -79,7 +123,7 @@ def test_likeness_by_place(spark):
     for name, (a, b) in pairs.items():
         got[name] = next(x for x in fingerprints(spark, [(1, a), (2, b)]) if x.doc_id == 1).near_next
     assert min(got[x] for x in ("one more character", "one before", "a paragraph more", "repeats")) > 0.9 and got["equal"] == 1.0
-    assert got["reversed blocks"] < 0.3 and got["reversed words"] < 0.2 and got["other"] == 0.0 and 0.6 < got["rotated"] < 0.85 and got["short"] > 0.5
+    assert got["reversed blocks"] < 0.3 and got["reversed words"] < 0.2 and got["other"] == 0.0 and 0.6 < got["rotated"] < 0.85 and got["short"] >= 0.5
 
 
 def test_matching_equals_brute_force(spark):
