@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.relations import numbered
+
 
 def capped_keys(counts: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """Of each relation the first `most` keys to appear (smallest `order`, then key), with all their counts: (pid, key, cnt)."""
@@ -90,7 +92,7 @@ def either_side(h: DataFrame, t: DataFrame) -> DataFrame:
     """Sentences (pid, sid) of head or tail with whether both have them, those of both first: (pid, sid, both, nth)."""
     sides = h.select("pid", "sid", F.lit(1).alias("side")).unionByName(t.select("pid", "sid", F.lit(2).alias("side"))).distinct()
     both = sides.groupBy("pid", "sid").agg((F.count(F.lit(1)) == 2).alias("both"))
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("both"), "sid")))
+    return numbered(both, both.groupBy("pid").agg(F.count(F.lit(1)).alias("n")), [F.desc("both"), "sid"], "nth")
 
 
 def merged_lists(frames: list[DataFrame], key: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.loops import checkpointed
+from strandline.operators.relations import numbered
 
 
 def walks(seeds: DataFrame, triples: DataFrame, hops: int) -> DataFrame:
@@ -152,9 +153,9 @@ def id_frequency(edges: DataFrame, sample: str = "pid") -> DataFrame:
 
 
 def numbered_by_count(df: DataFrame, key: str, count: str) -> DataFrame:
-    """An index from 0 by descending count, then key. Counts repeat, so the table of counts is small; keys are numbered within one."""
+    """An index from 0 by descending count, then key. Counts repeat, so the table of counts is small; keys are numbered within one, those of a large one in ranges."""
     levels = df.groupBy(count).agg(F.count(F.lit(1)).alias("keys"))
     before = F.coalesce(F.sum("keys").over(Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = levels.select(count, before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy(count).orderBy(key))
-    return df.withColumn("_nth", nth).join(placed, count).withColumn("ind", F.col("before") + F.col("_nth") - 1).drop("_nth", "before")
+    sizes = levels.select(F.col(count).alias("pid"), F.col("keys").alias("n"))
+    return numbered(df.withColumn("pid", F.col(count)), sizes, [key], "_nth").drop("pid").join(placed, count).withColumn("ind", F.col("before") + F.col("_nth") - 1).drop("_nth", "before")

@@ -208,13 +208,13 @@ def cumulative_seeds(counts: DataFrame, key: str, ratio: float) -> DataFrame:
     """Keys by descending count, before the one at which the running sum reaches `ratio` of the total.
 
     The running sum goes by count first: counts repeat, so their table is small, and keys of one count follow each other by name in
-    windows of that count alone.
+    windows of that count alone, or in ranges where it has many.
     """
     per_count = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("keys"))
     before = F.coalesce(F.sum(F.col("cnt") * F.col("keys")).over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     levels = per_count.select("cnt", before.alias("before"), F.sum(F.col("cnt") * F.col("keys")).over(Window.partitionBy()).alias("total"))
-    nth = F.row_number().over(Window.partitionBy("cnt").orderBy(key))
-    through = counts.withColumn("nth", nth).join(levels, "cnt").withColumn("through", F.col("before") + F.col("nth") * F.col("cnt"))
+    own = numbered(counts.withColumn("pid", F.col("cnt")), per_count.select(F.col("cnt").alias("pid"), F.col("keys").alias("n")), [key], "nth").drop("pid")
+    through = own.join(levels, "cnt").withColumn("through", F.col("before") + F.col("nth") * F.col("cnt"))
     return through.where(F.col("through") < ratio * F.col("total")).select(key, "cnt", "through")
 
 

@@ -8,6 +8,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.relations import numbered
+
 
 def disjoint(test: DataFrame, dev: DataFrame, train: DataFrame, key: str = "pid") -> DataFrame:
     """Test keys, dev keys without them, train keys without both: (key, split)."""
@@ -40,10 +42,11 @@ def dealing_pattern(shares: list[float], longest: int = 10_000) -> tuple[list[in
 def proportional_split(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     """Members of each group (grp, member, order) dealt one by one to the split that lags most behind its share: (grp, member, split)."""
     first, ever = dealing_pattern([s for _, s in shares])
-    nth = F.row_number().over(Window.partitionBy("grp").orderBy("order", "member")) - 1
     names = F.array(*[F.lit(s) for s, _ in shares])
     pick = F.when(F.col("nth") < len(first), F.get(F.lit(first), F.col("nth"))).otherwise(F.get(F.lit(ever), F.col("nth") % len(ever)))
-    return groups.withColumn("nth", nth).select("grp", "member", F.get(names, pick).alias("split"))
+    sizes = groups.groupBy(F.col("grp").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+    own = numbered(groups.withColumn("pid", F.col("grp")), sizes, ["order", "member"], "nth").withColumn("nth", F.col("nth") - 1)
+    return own.select("grp", "member", F.get(names, pick).alias("split"))
 
 
 def nway_samples(chunks: DataFrame, parents: DataFrame) -> DataFrame:

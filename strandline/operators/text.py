@@ -179,7 +179,7 @@ def path_bags(paths: DataFrame, least: int = 10) -> DataFrame:
 
 
 def set_pmi(members: DataFrame) -> DataFrame:
-    """ln(n |a and b| / (|a| |b|)) of all pairs of the sets in (cat, entity); ln(1e-5) for pairs that never meet, and at least. Sets number in the hundreds."""
+    """ln(n |a and b| / (|a| |b|)) of all pairs of the sets in (cat, entity); ln(1e-5) for pairs that never meet. Sets number in the hundreds."""
     own = members.select("cat", "entity").distinct()
     sizes = own.groupBy("cat").agg(F.count(F.lit(1)).alias("size"))
     total = own.select("entity").distinct().agg(F.count(F.lit(1)).alias("n"))
@@ -188,4 +188,4 @@ def set_pmi(members: DataFrame) -> DataFrame:
     every = sizes.agg(F.collect_list(F.struct(F.col("cat").alias("b"), F.col("size").alias("size_b"))).alias("every"))
     pairs = sizes.select(F.col("cat").alias("a"), F.col("size").alias("size_a")).crossJoin(F.broadcast(every)).select("a", "size_a", F.inline("every")).where("a < b")
     met = pairs.join(met, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    return met.crossJoin(F.broadcast(total)).select("a", "b", F.log(F.greatest(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b")), F.lit(1e-5))).alias("pmi"))
+    return met.crossJoin(F.broadcast(total)).select("a", "b", F.log(F.when(F.col("both") == 0, F.lit(1e-5)).otherwise(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b")))).alias("pmi"))

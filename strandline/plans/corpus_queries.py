@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import contexts as X
@@ -11,6 +12,7 @@ from strandline.operators import pair_scores as P
 from strandline.operators import relations as R
 from strandline.operators import text as T
 from strandline.operators import vectors as V
+from strandline.operators.loops import checkpointed
 from strandline.plans.relation_queries import _after, _closed
 from strandline.plans.vector_queries import _LONG, _SCORED, _ancestors, _parents
 from strandline.sources import bindings as B
@@ -34,11 +36,11 @@ def _counted(s, d):
 
 
 def _words(s, d):
-    docs = B.table(s, d, "documents").where("lang is not null")
-    return docs.select(F.col("lang").alias("pid"), F.col("doc_id").alias("sid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    docs = B.table(s, d, "documents")
+    return docs.select(F.coalesce("lang", F.lit("none")).alias("pid"), F.col("doc_id").alias("sid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("word"))
 
 
-_COUNTED = "counted AS (SELECT lang AS pid, doc_id AS sid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang IS NOT NULL)"
+_COUNTED = r"counted AS (SELECT coalesce(lang, 'none') AS pid, doc_id AS sid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents)"
 
 
 def _names(s, d):
@@ -83,14 +85,28 @@ def _middles(s, d):
     return X.middle_contexts(B.mentions(s, d, lex), B.pair_relations(s, d, lex), B.token_lists(s, d), 20)
 
 
-def _paths_of_names(s, d):
-    """Paths from the first to the third word of a part's name, each word hanging from the one before it."""
-    words = B.table(s, d, "part").select(F.col("p_partkey").alias("sid"), F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
-    edges = words.where("pos > 0").select("sid", F.col("pos").alias("child"), (F.col("pos") - 1).alias("head"), F.concat(F.lit("d"), (F.col("pos") % 3).cast("string")).alias("dep"))
-    pairs = B.table(s, d, "part").select(F.col("p_partkey").alias("sid"), F.lit(1).alias("pair"), F.array(F.lit(0)).alias("starts"), F.array(F.lit(2)).alias("ends"))
+def _paths_of_sentences(s, d):
+    """Paths from the last to the second word of each sentence; a word hangs from the one at half its place, so paths go up and down a tree."""
+    ends = F.when(F.col("tok").isin(T.SENTENCE_ENDS), 1).otherwise(0)
+    before = F.coalesce(F.sum(ends).over(Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = B.tokens(s, d).withColumn("sent", before)
+    n = F.row_number().over(Window.partitionBy("sid", "sent").orderBy("pos")) - 1
+    words = checkpointed(said.withColumn("n", n).select(F.concat_ws(":", F.col("sid").cast("string"), F.col("sent").cast("string")).alias("sid"), F.col("n").alias("pos"), F.col("tok").alias("word")))
+    edges = words.where("pos > 0").select("sid", F.col("pos").alias("child"), F.floor((F.col("pos") - 1) / 2).cast("int").alias("head"), F.concat(F.lit("d"), (F.col("pos") % 3).cast("string")).alias("dep"))
+    pairs = words.groupBy("sid").agg(F.max("pos").alias("last")).where("last > 1").select("sid", F.lit(1).alias("pair"), F.array("last").alias("starts"), F.array(F.lit(1)).alias("ends"))
     return X.dependency_paths(edges, words, pairs)
 
 
+_SENTENCES = """said AS (SELECT sid, pos, tok, coalesce(sum(CASE WHEN tok IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM tokens),
+  words AS (SELECT CAST(sid AS VARCHAR) || ':' || CAST(CAST(sent AS BIGINT) AS VARCHAR) AS sid, row_number() OVER (PARTITION BY sid, sent ORDER BY pos) - 1 AS pos, tok AS word FROM said),
+  climb AS (SELECT sid, max(pos) AS spot, CAST([] AS VARCHAR[]) AS path FROM words GROUP BY sid HAVING max(pos) > 1
+    UNION ALL SELECT c.sid, (c.spot - 1) // 2, list_concat(c.path, CASE WHEN (c.spot - 1) // 2 = 1 THEN ['d' || CAST(c.spot % 3 AS VARCHAR)] ELSE ['d' || CAST(c.spot % 3 AS VARCHAR), w.word] END)
+    FROM climb c JOIN words w ON w.sid = c.sid AND w.pos = (c.spot - 1) // 2 WHERE c.spot > 1)"""
+
+#: Weights of relations in message sums.
+_WEIGHTS = {"P1": 1.0, "P2": 0.5, "P3": 2.0, "P4": 0.25, "P5": 0.125, "P6": 0.75, "P31": 1.5, "P279": 3.0, "P99": 4.0}
+
+
 def _prompted(s, d):
     """A sentence of each part's name: its first two words are head and tail, with a word between them and one at the end."""
     words = F.split("p_name", " ")
@@ -223,14 +239,14 @@ CATALOG = {
         "SELECT DISTINCT 'Q' || CAST(5000000000 + p_partkey AS VARCHAR) AS entity, surface, surface = p_name AS canonical FROM (SELECT p_partkey, p_name, unnest([p_name, p_brand]) AS surface FROM part)",
     ),
     "masked_means": (
-        lambda s, d: E.masked_means(B.occs(s, d).select(F.col("pid").alias("sample"), (F.substring("t", 2, 12).cast("long") - 4 * B.GIGA).alias("key"), F.lit(2).alias("weight")), B.vectors(s, d).select(F.col("id").alias("key"), F.slice("vec", 1, 8).alias("vec")), True)
+        lambda s, d: E.masked_means(B.occs(s, d).select(F.col("pid").alias("sample"), (F.substring("t", 2, 12).cast("long") - 4 * B.GIGA).alias("key"), F.lit(2).alias("weight")), B.vectors(s, d).select(F.col("id").alias("key"), "vec"), True)
         .select("sample", F.posexplode("vec").alias("dim", "x")).select("sample", F.col("dim").cast("long").alias("dim"), F.round("x", 4).alias("x")),
-        _after("occs vectors", "met AS (SELECT pid AS sample, vec FROM occs JOIN vectors v USING (pid) WHERE false), m AS (SELECT o.pid AS sample, CAST(unnest(range(8)) AS BIGINT) AS dim, CAST(unnest(vec[1:8]) AS DOUBLE) AS x FROM occs o JOIN vectors v ON v.id = CAST(substr(o.t, 2) AS BIGINT) - 4000000000)", "SELECT sample, dim, round(avg(x), 4) AS x FROM m GROUP BY 1, 2"),
+        _after("occs vectors", "m AS (SELECT o.pid AS sample, CAST(unnest(range(len(vec))) AS BIGINT) AS dim, CAST(unnest(vec) AS DOUBLE) AS x FROM occs o JOIN vectors v ON v.id = CAST(substr(o.t, 2) AS BIGINT) - 4000000000)", "SELECT sample, dim, round(avg(x), 4) AS x FROM m GROUP BY 1, 2"),
     ),
     "message_sums": (
-        lambda s, d: E.message_sums(B.triples(s, d).where("r in ('P1', 'P2', 'P3')").select(F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("kind")), R.distinct_entities(B.triples(s, d)).select(F.col("entity").alias("node"), F.lit(0).alias("dim"), F.substring("entity", 11, 1).cast("double").alias("x")), {"P1": 1.0, "P2": 0.5, "P3": 2.0})
+        lambda s, d: E.message_sums(B.triples(s, d).select(F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("kind")), R.distinct_entities(B.triples(s, d)).select(F.col("entity").alias("node"), F.lit(0).alias("dim"), F.substring("entity", 11, 1).cast("double").alias("x")), _WEIGHTS)
         .select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 4).alias("x")),
-        _V("triples", "SELECT t AS node, CAST(0 AS BIGINT) AS dim, round(sum(CAST(substr(h, 11, 1) AS DOUBLE) * CASE r WHEN 'P1' THEN 1.0 WHEN 'P2' THEN 0.5 ELSE 2.0 END), 4) AS x FROM triples WHERE r IN ('P1', 'P2', 'P3') GROUP BY t"),
+        _V("triples", "SELECT t AS node, CAST(0 AS BIGINT) AS dim, round(sum(CAST(substr(h, 11, 1) AS DOUBLE) * w), 4) AS x FROM triples JOIN (VALUES " + ", ".join(f"('{r}', {w})" for r, w in _WEIGHTS.items()) + ") AS v(kind, w) ON kind = r WHERE regexp_matches(h, '^Q[0-9]+$') GROUP BY t"),
     ),
     "middle_contexts": (
         lambda s, d: _middles(s, d).select("sid", "pid", "h", "t", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.array_join("toks", " ").alias("middle")),
@@ -240,8 +256,9 @@ CATALOG = {
           """SELECT b.sid, pid, h, t, start, end_ AS "end", string_agg(k.tok, ' ' ORDER BY k.pos) AS middle FROM best b JOIN tokens k ON k.sid = b.sid AND k.pos >= start AND k.pos < end_ GROUP BY 1, 2, 3, 4, 5, 6"""),
     ),
     "dependency_paths": (
-        lambda s, d: _paths_of_names(s, d).select(F.col("sid"), F.array_join("path", " ").alias("path")),
-        "SELECT p_partkey AS sid, 'dep_d1 ' || w[2] || ' dep_d2' AS path FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) WHERE len(w) > 2",
+        lambda s, d: _paths_of_sentences(s, d).select(F.col("sid"), F.array_join("path", " ").alias("path")),
+        # Up to the second word, or to the first and down from it.
+        _after("tokens", _SENTENCES, "SELECT sid, array_to_string(CASE WHEN spot = 1 THEN path ELSE list_append(path, 'dep_d1') END, ' ') AS path FROM climb WHERE spot <= 1"),
     ),
     "mined_prompts": (
         lambda s, d: X.mined_prompts(_prompted(s, d), 20, 5).select("pid", "prompt", "cnt", F.col("rank").cast("long").alias("rank")),

@@ -55,7 +55,7 @@ def _articles(s, d):
     """Linked articles: a document's first word is its annotation."""
     docs = B.table(s, d, "documents").where("length(text) > 0")
     note = F.struct(F.lit(0).alias("offset"), F.regexp_extract("text", r"^\S*", 0).alias("surface_form"), F.col("lang").alias("uri"))
-    row = F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.array("doc_id").alias("id"), F.substring("text", 1, 20).alias("text"), F.array(note).alias("annotations"))
+    row = F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.array("doc_id").alias("id"), "text", F.array(note).alias("annotations"))
     return docs.select(F.to_json(row).alias("value"))
 
 
@@ -154,8 +154,8 @@ CATALOG = {
         "SELECT CAST(n_regionkey AS VARCHAR) AS key, n_name AS val FROM nation",
     ),
     "read_corpus": (
-        lambda s, d: _read(R.read_corpus, B.table(s, d, "documents").select(F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("T "), F.col("lang")).alias("title"), F.array(F.substring("text", 1, 30), F.lit("  end \n x ")).alias("sections"))).alias("value"))).select("id", F.length("text").cast("long").alias("n")),
-        r"""SELECT CAST(doc_id AS VARCHAR) AS id, length(trim(regexp_replace('T ' || lang || ' ' || substr(text, 1, 30) || '   end x ', '[\x20\x09-\x0D]+', ' ', 'g'))) AS n FROM documents WHERE doc_id % 3 <> 0""",
+        lambda s, d: _read(R.read_corpus, B.table(s, d, "documents").select(F.to_json(F.struct(F.when(F.length("text") == 0, "").otherwise(F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("T "), F.col("lang")).alias("title"), F.array("text", F.lit("  end \n x ")).alias("sections"))).alias("value"))).select("id", F.length("text").cast("long").alias("n")),
+        r"""SELECT CAST(doc_id AS VARCHAR) AS id, length(trim(regexp_replace('T ' || lang || ' ' || text || '   end x ', '[\x20\x09-\x0D]+', ' ', 'g'))) AS n FROM documents WHERE length(text) > 0""",
     ),
     "shuffled_heads": (
         lambda s, d: W.shuffled_heads(B.occs(s, d).distinct(), 25, 4),

@@ -112,7 +112,7 @@ CATALOG = {
     "pmi_categories": (
         lambda s, d: T.set_pmi(_categories(s, d)).withColumn("pmi", F.round("pmi", 6)),
         """WITH c AS (SELECT p_brand AS cat, p_partkey AS e FROM part UNION SELECT p_type, p_partkey FROM part), z AS (SELECT cat, count(*) AS n FROM c GROUP BY cat)
-          SELECT x.cat AS a, y.cat AS b, round(ln(greatest(coalesce(both_, 0) * (SELECT count(DISTINCT e) FROM c) / (x.n * y.n), 0.00001)), 6) AS pmi FROM z x JOIN z y ON x.cat < y.cat LEFT JOIN (SELECT l.cat AS a, r.cat AS b, count(*) AS both_ FROM c l JOIN c r ON l.e = r.e AND l.cat < r.cat GROUP BY 1, 2) ON a = x.cat AND b = y.cat""",
+          SELECT x.cat AS a, y.cat AS b, round(ln(CASE WHEN both_ IS NULL THEN 0.00001 ELSE both_ * (SELECT count(DISTINCT e) FROM c) / (x.n * y.n) END), 6) AS pmi FROM z x JOIN z y ON x.cat < y.cat LEFT JOIN (SELECT l.cat AS a, r.cat AS b, count(*) AS both_ FROM c l JOIN c r ON l.e = r.e AND l.cat < r.cat GROUP BY 1, 2) ON a = x.cat AND b = y.cat""",
     ),
     "dep_bow": (
         lambda s, d: T.path_bags(_paths(s, d), 10),
