@@ -57,7 +57,9 @@ def places(text: Column) -> Column:
         # Four units hold three pairs. A k-mer whose middle pair is smaller than both others isn't closed; its outer pairs cover and name it.
         last = F.size(p) - (K - S + 1)
         closed = lambda i: F.least(F.get(p, i), F.get(p, i + 2)) <= F.get(p, i + 1)
-        found = F.filter(F.sequence(F.lit(0), last), lambda i: (i < ENDS) | (i > last - ENDS) | closed(i))
+        inner = F.filter(F.sequence(F.lit(ENDS), last - ENDS), closed)
+        ends = lambda first: F.sequence(first, first + (ENDS - 1))
+        found = F.when(last < 2 * ENDS, F.sequence(F.lit(0), last)).otherwise(F.concat(ends(F.lit(0)), inner, ends(last - (ENDS - 1))))
         every = F.struct(p.alias("hash"), F.transform(p, lambda x, i: i).alias("at"))
         named = _let(found, lambda at: F.struct(F.transform(at, lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2))).alias("hash"), at.alias("at")))
         return F.when(last >= 0, named).otherwise(every)
