@@ -183,3 +183,19 @@ def plain_prompts(prompts: DataFrame, stop_words: list[str], slots: tuple[str, s
     bounded = is_slot(F.element_at(words, 1)) & is_slot(F.element_at(words, -1))
     capital = F.exists(words, lambda w: ~is_slot(w) & w.rlike("[A-Z]"))
     return prompts.where(some & ~bounded & ~capital)
+
+
+def only_by_path(prompts: DataFrame, least: int = 10, slots: tuple[str, str] = ("[X]", "[Y]")) -> DataFrame:
+    """Prompts (prompt, cnt) that are frequent and that a path alone gives: not bounded by slots on both ends, and without a word that begins with a capital.
+
+    Full stops and blanks at the end don't count.
+    """
+    bare = F.trim(F.regexp_replace("prompt", r"\.+$", ""))
+    bounded = lambda end: F.greatest(*[end(bare, F.lit(s)) for s in slots])
+    capital = F.exists(F.split(bare, " "), lambda w: w.rlike(r"^\p{Lu}"))
+    return prompts.where((F.col("cnt") >= least) & ~(bounded(F.startswith) & bounded(F.endswith)) & ~capital)
+
+
+def tokens_of(tokens: DataFrame, sentences: DataFrame, key: str = "sid") -> DataFrame:
+    """Token rows of the named sentences alone."""
+    return tokens.join(sentences.select(key).distinct(), key, "left_semi")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import corpus_queries, graph_queries, relation_queries, source_queries, structure_queries, text_queries, vector_queries
+from strandline.plans import corpus_queries, dataset_queries, graph_queries, relation_queries, source_queries, structure_queries, text_queries, vector_queries
 
-_GROUPS = (relation_queries, graph_queries, text_queries, vector_queries, corpus_queries, source_queries, structure_queries)
+_GROUPS = (relation_queries, graph_queries, text_queries, vector_queries, corpus_queries, source_queries, structure_queries, dataset_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

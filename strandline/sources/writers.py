@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,42 @@ def rank_lines(ranked: DataFrame, k: int) -> DataFrame:
     return top.select(F.concat_ws(",", "p1", F.array_join(F.transform("found", lambda x: x.p2), ",")).alias("value"))
 
 
+def rank_table(ranked: DataFrame, k: int, names: DataFrame | None = None) -> DataFrame:
+    """A table of the first k candidates (p1, rank, p2, score, rel) of each query: a head line, then `"query","candidate" score rel,...`: (nth, value) in the order of nth.
+
+    Scores have two decimals. Columns go as far as the longest row, k at the most. Names (pid, name) stand for relations where given. Queries number in the hundreds, and
+    are in one window.
+    """
+    top = ranked.where(F.col("rank") <= k)
+    if names is not None:
+        said = lambda side: names.select(F.col("pid").alias(side), F.col("name").alias(f"{side}_name"))
+        top = top.join(said("p1"), "p1", "left").join(said("p2"), "p2", "left")
+    else:
+        top = top.withColumn("p1_name", F.col("p1")).withColumn("p2_name", F.col("p2"))
+    entry = F.format_string('"%s" %.2f %s', F.coalesce("p2_name", "p2"), F.col("score").cast("double"), "rel")
+    rows = top.groupBy("p1").agg(F.first(F.coalesce("p1_name", "p1")).alias("said"), F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("all"))
+    lines = rows.select(F.row_number().over(Window.orderBy("p1")).alias("nth"), F.concat(F.lit('"'), "said", F.lit('",'), F.array_join(F.transform("all", lambda x: x["entry"]), ",")).alias("value"))
+    head = top.agg(F.max("rank").alias("n")).where("n is not null").select(F.lit(0).alias("nth"), F.concat(F.lit("query,"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("pos_"), i.cast("string"))), ",")).alias("value"))
+    return head.unionByName(lines)
+
+
+def _said_occs(pid: str, occs: str) -> Column:
+    """A relation and its occurrences in a row, by spaces; without occurrences the relation alone."""
+    return F.concat_ws(" ", F.array(F.col(pid)), F.flatten(F.transform(occs, lambda o: F.array(o["h"], o["t"]))))
+
+
+def pointwise_lines(pairs: DataFrame) -> DataFrame:
+    """Labelled pairs of samples (label, p1, occs1, p2, occs2) as lines `label TAB p1 h t ... TAB p2 h t ...`."""
+    return pairs.select(F.concat_ws("\t", F.col("label").cast("string"), _said_occs("p1", "occs1"), _said_occs("p2", "occs2")).alias("value"))
+
+
+def label_occs_lines(labels: DataFrame, samples: DataFrame) -> DataFrame:
+    """Each label (label, ind) with the occurrences of one sample of its relation (pid, occs) as lines `ind TAB label h t ...`."""
+    met = labels.join(samples.select(F.col("pid").alias("label"), "occs"), "label", "left")
+    none = F.array().cast("array<struct<h:string,t:string>>")
+    return met.withColumn("occs", F.coalesce("occs", none)).select(F.concat_ws("\t", F.col("ind").cast("string"), _said_occs("label", "occs")).alias("value"))
+
+
 def tree_lines(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Each root's tree as lines indented by depth, in the order of paths: (path, value). A cycle raises."""
     from strandline.operators.loops import checkpointed
