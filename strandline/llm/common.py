@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,20 +21,45 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 EDGES_IN_TASK = 500_000
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the folder named in spark.checkpoint.dir and read them back, so that nothing before is run again.
-
-    Where the session names no folder, a local master gets a temporary one, as in tests; a cluster has to name one that its executors share.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder. Where the session names none, a local master gets a temporary one, as in tests; a cluster has to name one that its executors share."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write the rows to the folder named in spark.checkpoint.dir and read them back, so that nothing before is run again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write the rows as a compressed table in the shared folder, for texts, and read them back: the frame and the table's folder, for `remove_table`."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def remove_table(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def one_text_per_id(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The text of each drawn row's document (doc_id, text, and the drawn columns), the smallest of several; `drawn` is a sample of bounded size, so it may be broadcast.
+
+    Repeats go in Spark, in the tasks first, so what follows is no larger than the sample however often an id repeats.
+    """
+    names = [c for c in drawn.columns if c != "doc_id"]
+    met = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return met.groupBy("doc_id", *names).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark the frame for broadcast if its counted rows allow it; beyond that Spark joins by shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -82,7 +82,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> Data
     """The documents as often as the mix takes them; columns are unchanged.
 
     A document appears once for each whole pass, and once more if the last pass takes at least half of its words: texts stay whole, so
-    a source departs from its budget by half a document at most. Documents without words appear once for each whole pass.
+    a source departs from its budget by half a document at most. Documents without words appear once for each whole pass. Null texts have
+    no words, a null source is one of its own, null ids and repeated rows share their copies; an empty table gives no rows.
     """
     key, own_copies, nth, copy = unused(docs, "key", "copies", "nth", "copy")
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded_batches, portions
+from strandline.llm.common import bounded_batches, one_text_per_id, portions
 from strandline.llm.text_features import STATISTICS, counted_words, structure
 
 BITS, RANK = 15, 8
@@ -135,12 +135,11 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most `sample_rows` labelled rows that aren't held out, drawn by hash of the id."""
+    """Fit on at most `sample_rows` labelled rows that aren't held out, drawn by hash of the id. Of several texts of one id the smallest counts."""
     drawn = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # At most sample_rows rows of two numbers, so they may be broadcast.
-    got = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, columns binary, values binary, raw binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = one_text_per_id(docs, drawn).mapInArrow(_training_rows, "doc_id long, quality int, columns binary, values binary, raw binary").toPandas()
+    got = got.sort_values("doc_id")
     rows = [(np.frombuffer(c, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for c, v in zip(got["columns"], got["values"], strict=True)]
     raw = np.array([np.frombuffer(x, dtype=np.float32) for x in got["raw"]]) if len(got) else np.zeros((1, len(STATISTICS)), dtype=np.float32)
     return fit(rows, raw, (got["quality"].to_numpy() > 0).astype(np.float32))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded_batches, portions
+from strandline.llm.common import bounded_batches, one_text_per_id, portions
 from strandline.llm.text_features import counted_words, hashed_words
 
 BITS, HEADS = 18, (4, 5, 6)
@@ -121,14 +121,12 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[LinearModel]:
     """Fit the chain on at most `sample_rows` labelled rows, drawn by hash of the id.
 
-    Rows without an id or a toxic label aren't used, and of rows with one id the one with the smallest features; without any usable row
-    there is no chain.
+    Rows without an id or a toxic label aren't used, and of several texts of one id the smallest is; without any usable row there is no chain.
     """
     drawn = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # At most sample_rows rows of three numbers, so they may be broadcast.
-    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(_training_features, "doc_id long, quality int, toxic int, words binary").toPandas()
-    rows = rows.sort_values(["doc_id", "words"]).drop_duplicates("doc_id")
+    rows = one_text_per_id(docs, drawn).mapInArrow(_training_features, "doc_id long, quality int, toxic int, words binary").toPandas()
+    rows = rows.sort_values("doc_id")
     if not len(rows):
         return []
     bucket = np.frombuffer(b"".join(rows["words"]), dtype=np.int32)
