@@ -176,9 +176,9 @@ CATALOG = {
           """SELECT CAST(0 AS BIGINT) AS nth, 'query,pos_0,pos_1,pos_2' AS value UNION ALL SELECT row_number() OVER (ORDER BY p1), '"' || q || '",' || string_agg('"' || c || '" ' || printf('%.2f', round(score, 4)) || ' ' || rel, ',' ORDER BY rank) FROM said GROUP BY p1, q"""),
     ),
     "only_by_path": (
-        lambda s, d: C.only_by_path(_prompts(s, d), 5),
+        lambda s, d: C.only_by_path(_prompts(s, d), 2),
         """WITH p AS (SELECT p_partkey % 4 AS k, CASE WHEN p_size % 5 = 0 THEN upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) ELSE p_name END AS n, p_size % 5 = 0 AS capital FROM part)
-          SELECT CASE k WHEN 1 THEN 'the [X] ' || n || ' [Y] .' WHEN 2 THEN '[Y] ' || n || ' [X] of' ELSE n END AS prompt, count(*) AS cnt FROM p WHERE k > 0 AND NOT capital GROUP BY 1 HAVING count(*) >= 5""",
+          SELECT CASE k WHEN 1 THEN 'the [X] ' || n || ' [Y] .' WHEN 2 THEN '[Y] ' || n || ' [X] of' ELSE n END AS prompt, count(*) AS cnt FROM p WHERE k > 0 AND NOT capital GROUP BY 1 HAVING count(*) >= 2""",
     ),
     "tokens_of": (
         lambda s, d: C.tokens_of(B.tokens(s, d), B.table(s, d, "labels").select(F.col("doc_id").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("tokens"), F.max("tok").alias("last")),
