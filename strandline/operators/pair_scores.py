@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandline.operators import metrics as M
 from strandline.operators import vectors as V
 
-BLOCK_ROWS = 512
+BLOCK_ROWS, BLOCKS_IN_CELL = 512, 64
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
@@ -35,30 +35,55 @@ def blocks(rows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     return held.select("pid", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("data"))
 
 
-def _distances(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """For each child of a pair of blocks: parents met, the sum of distances, and ln of the sum of exp(-d2 / scale)."""
+def _met(children: np.ndarray, parents: list[np.ndarray], scale: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Parents met, each child's sum of distances to them, and ln of its sum of exp(-d2 / scale)."""
+    met, distance, kernel = 0, np.zeros(len(children)), np.full(len(children), -np.inf)
+    own = (children * children).sum(axis=1)[:, None]
+    for y in parents:
+        d2 = np.maximum(own + (y * y).sum(axis=1)[None, :] - 2 * children @ y.T, 0)
+        low = d2.min(axis=1)
+        met, distance = met + len(y), distance + np.sqrt(d2).sum(axis=1)
+        kernel = np.logaddexp(kernel, np.log(np.exp((low[:, None] - d2) / scale).sum(axis=1)) - low / scale)
+    return met, distance, kernel
+
+
+def _cells(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+    """Of each cell the parents' blocks come first and are held; then each child block meets those it is wanted for."""
+    key: tuple | None = None
+    held: dict[str, list[np.ndarray]] = {}
     for batch in batches:
-        for i in range(batch.num_rows):
-            x, y = (np.asarray(batch.column(c)[i].values, dtype=np.float64) for c in ("x", "y"))
-            ids, met = batch.column("ids")[i].values, len(batch.column("met")[i].values)
-            x, y = x.reshape(len(ids), -1), y.reshape(met, -1)
-            d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-            low = d2.min(axis=1)
-            kernel = np.log(np.exp((low[:, None] - d2) / scale).sum(axis=1)) - low / scale
-            n = len(ids)
-            yield pa.record_batch(
-                [batch.column(c).take(pa.array([i] * n)) for c in ("p1", "p2")] + [ids, pa.array(np.full(n, met)), pa.array(np.sqrt(d2).sum(axis=1)), pa.array(kernel)],
-                ["p1", "p2", "c", "met", "distance", "kernel"],
-            )
+        for row in range(batch.num_rows):
+            at = (batch.column("r")[row].as_py(), batch.column("c")[row].as_py())
+            if at != key:
+                key, held = at, {}
+            pid, ids = batch.column("pid")[row].as_py(), batch.column("ids")[row].values
+            x = np.asarray(batch.column("data")[row].values, dtype=np.float64).reshape(len(ids), -1)
+            if not batch.column("side")[row].as_py():
+                held.setdefault(pid, []).append(x)
+                continue
+            for other in batch.column("wanted")[row].as_py():
+                if other in held:
+                    met, distance, kernel = _met(x, held[other], scale)
+                    n = len(ids)
+                    yield pa.record_batch([pa.array([pid] * n), pa.array([other] * n), ids, pa.array(np.full(n, met)), pa.array(distance), pa.array(kernel)], ["p1", "p2", "c", "met", "distance", "kernel"])
 
 
 def child_scores(rows: DataFrame, pairs: DataFrame, scale: float) -> DataFrame:
-    """For each pair (p1: child, p2: parent) and occurrence c of the child: parents met, the sum of its distances to them, and ln sum exp(-d2 / scale)."""
-    held = blocks(rows)
-    x = held.select(F.col("pid").alias("p1"), "ids", F.col("data").alias("x"))
-    y = held.select(F.col("pid").alias("p2"), F.col("ids").alias("met"), F.col("data").alias("y"))
-    met = pairs.select("p1", "p2").distinct().join(x, "p1").join(y, "p2").select("p1", "p2", "ids", "met", "x", "y")
-    each = met.mapInArrow(lambda b: _distances(b, scale), "p1 string, p2 string, c long, met long, distance double, kernel double")
+    """For each pair (p1: child, p2: parent) and occurrence c of the child: parents met, the sum of its distances to them, and ln sum exp(-d2 / scale).
+
+    Blocks meet on a grid: a block stands in one row of cells as children and in one column as parents, so a vector travels as often as the grid
+    is long, which is the root of the number of cells. A cell holds some sixty parent blocks, and gives one number a child and parent.
+    """
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    counts = rows.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n"))
+    side = max(math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / BLOCKS_IN_CELL), math.ceil(math.sqrt(parallel)))
+    held = blocks(rows).withColumn("own", F.pmod(F.xxhash64("pid", "ids"), F.lit(side)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)).cast("array<bigint>"))
+    wanted = pairs.groupBy(F.col("p1").alias("pid")).agg(F.collect_set("p2").alias("wanted"))
+    children = held.join(wanted, "pid").select(F.col("own").alias("r"), every.alias("c"), F.lit(1).alias("side"), "pid", "ids", "data", "wanted")
+    parents = held.join(pairs.select(F.col("p2").alias("pid")).distinct(), "pid", "left_semi").select(every.alias("r"), F.col("own").alias("c"), F.lit(0).alias("side"), "pid", "ids", "data", F.lit(None).cast("array<string>").alias("wanted"))
+    cells = parents.unionByName(children).repartition("r", "c").sortWithinPartitions("r", "c", "side")
+    each = cells.mapInArrow(lambda b: _cells(b, scale), "p1 string, p2 string, c long, met long, distance double, kernel double")
     most = F.array_max("kernels")
     summed = each.groupBy("p1", "p2", "c").agg(F.sum("met").alias("met"), F.sum("distance").alias("distance"), F.collect_list("kernel").alias("kernels"))
     return summed.select("p1", "p2", "c", "met", "distance", (most + F.log(F.aggregate("kernels", F.lit(0.0), lambda s, k: s + F.exp(k - most)))).alias("kernel"))
