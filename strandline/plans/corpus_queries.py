@@ -81,8 +81,8 @@ def _ntriples(s, d):
 
 
 def _middles(s, d):
-    lex = B.lexicon(s, d)
-    return X.middle_contexts(B.mentions(s, d, lex), B.pair_relations(s, d, lex), B.token_lists(s, d), 20)
+    said = B.Annotated(s, d)
+    return X.middle_contexts(said.mentions, said.relations, said.lists, 20)
 
 
 def _paths_of_sentences(s, d):

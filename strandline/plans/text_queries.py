@@ -15,8 +15,24 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 def _gaps(s, d):
-    lex = B.lexicon(s, d)
-    return T.forward_pairs(B.mentions(s, d, lex), B.pair_relations(s, d, lex))
+    return _gaps_and_lists(s, d)[0]
+
+
+def _gaps_and_lists(s, d):
+    said = B.Annotated(s, d)
+    return T.forward_pairs(said.mentions, said.relations), said.lists
+
+
+def _in_sentences(s, d):
+    said = B.Annotated(s, d)
+    return said.mentions, said.tokens, said.relations
+
+
+def _matched(s, d):
+    """Words of the lexicon and two phrases in all tokens."""
+    said = B.Annotated(s, d)
+    phrases = s.createDataFrame([("of the", "X1"), ("in the", "X2")], "surface string, wdid string")
+    return said.tokens, said.lexicon.select(F.col("word").alias("surface"), "wdid").unionAll(phrases)
 
 
 _GAPS = """m AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start, end_, wdid) AS idx FROM mentions),
@@ -46,7 +62,7 @@ def _paths(s, d):
 
 
 def _bag(s, d):
-    return T.filtered_words(T.context_words(_gaps(s, d), B.token_lists(s, d)))
+    return T.filtered_words(T.context_words(*_gaps_and_lists(s, d)))
 
 
 CATALOG = {
@@ -56,20 +72,20 @@ CATALOG = {
     ),
     "mention_popularity": (lambda s, d: T.document_mentions(B.mentions(s, d)), _V("tokens lexicon mentions", "SELECT wdid, count(DISTINCT sid) AS docs, count(*) AS cnt, min(sid) AS first_sid FROM mentions GROUP BY wdid")),
     "mention_pairs_forward": (lambda s, d: _gaps(s, d).withColumns({c: F.col(c).cast("long") for c in ("start", "end", "direction")}), _after(_NAMES, _GAPS, 'SELECT sid, pid, start, end_ AS "end", CAST(direction AS BIGINT) AS direction FROM gaps')),
-    "gap_snippets": (lambda s, d: T.snippets(_gaps(s, d), B.token_lists(s, d)).withColumn("direction", F.col("direction").cast("long")), _after(_NAMES, _SNIPPETS, "SELECT pid, snippet, CAST(direction AS BIGINT) AS direction, cnt FROM snips")),
+    "gap_snippets": (lambda s, d: T.snippets(*_gaps_and_lists(s, d)).withColumn("direction", F.col("direction").cast("long")), _after(_NAMES, _SNIPPETS, "SELECT pid, snippet, CAST(direction AS BIGINT) AS direction, cnt FROM snips")),
     "snippet_filter": (
-        lambda s, d: T.filtered_snippets(T.snippets(_gaps(s, d), B.token_lists(s, d))).withColumn("direction", F.col("direction").cast("long")),
+        lambda s, d: T.filtered_snippets(T.snippets(*_gaps_and_lists(s, d))).withColumn("direction", F.col("direction").cast("long")),
         _after(_NAMES, _SNIPPETS, f"""SELECT pid, lower(snippet) AS snippet, CAST(direction AS BIGINT) AS direction, CAST(sum(cnt) AS BIGINT) AS cnt FROM snips
           WHERE NOT regexp_matches(lower(snippet), '{T.PUNCTUATION}') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2, 3"""),
     ),
-    "pid_context_counts": (lambda s, d: T.context_words(_gaps(s, d), B.token_lists(s, d), 2), _after(_NAMES, _WORDS, "SELECT * FROM words WHERE cnt >= 2")),
+    "pid_context_counts": (lambda s, d: T.context_words(*_gaps_and_lists(s, d), 2), _after(_NAMES, _WORDS, "SELECT * FROM words WHERE cnt >= 2")),
     "bow_filter": (lambda s, d: _bag(s, d), _after(_NAMES, _BAG, "SELECT * FROM bag")),
     "tfidf": (
         lambda s, d: T.tfidf(_bag(s, d)).withColumn("weight", F.round("weight", 6)),
         _after(_NAMES, _BAG + ", raw AS (SELECT b.pid, b.word, cnt * (ln((1 + (SELECT count(DISTINCT pid) FROM bag)) / (1 + df)) + 1) AS w FROM bag b JOIN (SELECT word, count(DISTINCT pid) AS df FROM bag GROUP BY word) USING (word))", "SELECT pid, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY pid)), 6) AS weight FROM raw"),
     ),
     "pattern_topk": (
-        lambda s, d: T.top_per_relation(T.filtered_snippets(T.snippets(_gaps(s, d), B.token_lists(s, d))).groupBy("pid", "snippet").agg(F.sum("cnt").alias("cnt")), "snippet", 5).withColumn("rank", F.col("rank").cast("long")),
+        lambda s, d: T.top_per_relation(T.filtered_snippets(T.snippets(*_gaps_and_lists(s, d))).groupBy("pid", "snippet").agg(F.sum("cnt").alias("cnt")), "snippet", 5).withColumn("rank", F.col("rank").cast("long")),
         _after(_NAMES, _SNIPPETS, f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cnt DESC, snippet) AS rank FROM (SELECT pid, lower(snippet) AS snippet, CAST(sum(cnt) AS BIGINT) AS cnt FROM snips
           WHERE NOT regexp_matches(lower(snippet), '{T.PUNCTUATION}') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(lower(snippet), ' '), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY 1, 2)) WHERE rank <= 5"""),
     ),
@@ -88,7 +104,7 @@ CATALOG = {
           both_ AS (SELECT a, cnt FROM c UNION ALL SELECT b, cnt FROM c), own AS (SELECT a, sum(cnt) AS own FROM both_ GROUP BY a)""", "SELECT c.a, c.b, c.cnt, round(ln(c.cnt * (SELECT sum(cnt) FROM both_) / (x.own * y.own)), 6) AS pmi FROM c JOIN own x ON x.a = c.a JOIN own y ON y.a = c.b"),
     ),
     "surface_match": (
-        lambda s, d: T.surface_matches(B.tokens(s, d), B.lexicon(s, d).select(F.col("word").alias("surface"), "wdid").unionAll(s.createDataFrame([("of the", "X1"), ("in the", "X2")], "surface string, wdid string"))).groupBy("wdid").agg(F.count(F.lit(1)).alias("cnt"), F.min("sid").alias("first_sid")),
+        lambda s, d: T.surface_matches(*_matched(s, d)).groupBy("wdid").agg(F.count(F.lit(1)).alias("cnt"), F.min("sid").alias("first_sid")),
         _after("tokens lexicon", "two AS (SELECT sid, tok || ' ' || lead(tok) OVER (PARTITION BY sid ORDER BY pos) AS g FROM tokens)", """SELECT wdid, count(*) AS cnt, min(sid) AS first_sid FROM (
           SELECT wdid, sid FROM tokens JOIN lexicon ON tok = word UNION ALL SELECT CASE g WHEN 'of the' THEN 'X1' ELSE 'X2' END, sid FROM two WHERE g IN ('of the', 'in the')) GROUP BY 1"""),
     ),
@@ -97,7 +113,7 @@ CATALOG = {
         _V("tokens", "SELECT tok, cnt, row_number() OVER (ORDER BY cnt DESC, tok) - 1 AS ind FROM (SELECT tok, count(*) AS cnt FROM tokens GROUP BY tok)"),
     ),
     "mention_pairs_sentence": (
-        lambda s, d: T.sentence_pairs(B.mentions(s, d), B.tokens(s, d), B.pair_relations(s, d)).withColumns({c: F.col(c).cast("long") for c in ("start", "end")}),
+        lambda s, d: T.sentence_pairs(*_in_sentences(s, d)).withColumns({c: F.col(c).cast("long") for c in ("start", "end")}),
         _after(_NAMES, _SENTS + """, m AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start, end_, wdid) AS idx FROM mentions), rel AS (SELECT h, t, max(pid) AS pid FROM pair_relations GROUP BY h, t),
           held AS (SELECT c.sid, p.wdid AS a, c.wdid AS b, p.end_ AS f, c.start AS g FROM m c JOIN m p ON p.sid = c.sid AND p.idx BETWEEN c.idx - 5 AND c.idx - 1 AND p.end_ <= c.start AND c.start - p.end_ <= 30
             JOIN sents s ON s.sid = c.sid AND p.start >= s.start AND c.end_ <= s.end_ AND s.end_ - s.start < 100)""",
@@ -105,7 +121,7 @@ CATALOG = {
           FROM held LEFT JOIN rel x ON x.h = a AND x.t = b LEFT JOIN rel y ON y.h = b AND y.t = a WHERE x.pid IS NOT NULL OR y.pid IS NOT NULL"""),
     ),
     "entity_sentence_index": (
-        lambda s, d: T.entity_sentences(B.mentions(s, d), B.tokens(s, d), 5).withColumn("sent", F.col("sent").cast("long")),
+        lambda s, d: T.entity_sentences(*_in_sentences(s, d)[:2], 5).withColumn("sent", F.col("sent").cast("long")),
         _after("tokens lexicon mentions", _SENTS, """SELECT wdid, sid, CAST(sent AS BIGINT) AS sent, mentions FROM (SELECT *, row_number() OVER (PARTITION BY wdid ORDER BY sid, sent) AS k FROM (
           SELECT wdid, m.sid, sent, count(*) AS mentions FROM mentions m JOIN sents s ON s.sid = m.sid AND m.start >= s.start AND m.start < s.end_ GROUP BY 1, 2, 3)) WHERE k <= 5"""),
     ),

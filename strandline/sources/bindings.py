@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.loops import checkpointed
+
 GIGA = 1_000_000_000
 
 
@@ -186,9 +188,9 @@ TOKENS = f"""
 LEXICON_WORDS = 200
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
     """The most frequent long words as entities: (word, wdid, rank). Two hundred rows, found once and held by the driver."""
-    df = tokens(spark, sf_dir).where("length(tok) >= 7").groupBy("tok").agg(F.countDistinct("sid").alias("df"))
+    df = (tokens(spark, sf_dir) if toks is None else toks).where("length(tok) >= 7").groupBy("tok").agg(F.countDistinct("sid").alias("df"))
     top = df.orderBy(F.desc("df"), "tok").limit(LEXICON_WORDS)
     rows = [(r.tok, i, f"W{i}") for i, r in enumerate(top.collect(), 1)]
     return spark.createDataFrame(rows, "word string, rank int, wdid string")
@@ -201,10 +203,9 @@ LEXICON = f"""
 """
 
 
-def mentions(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions (sid, start, end, wdid): tokens that are in the lexicon, of a fixed two hundred words."""
-    lex = (lexicon(spark, sf_dir) if lex is None else lex).select(F.col("word").alias("tok"), "wdid")
-    return tokens(spark, sf_dir).join(F.broadcast(lex), "tok").select("sid", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "wdid")
+    return Annotated(spark, sf_dir).mentions
 
 
 MENTIONS = "SELECT sid, pos AS start, pos + 1 AS end_, wdid FROM tokens JOIN lexicon ON tok = word"
@@ -241,6 +242,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_LINKS = """SELECT url AS page, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS entity FROM pages"""
 
+class Annotated:
+    """All documents' tokens, found once and written to the checkpoint folder, and what is made of them: lists, tokens, lexicon, mentions and relations."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.lists = checkpointed(token_lists(spark, sf_dir))
+        self.tokens = self.lists.select("sid", F.posexplode("toks").alias("pos", "tok"))
+        self.lexicon = lexicon(spark, sf_dir, self.tokens)
+        words = F.broadcast(self.lexicon.select(F.col("word").alias("tok"), "wdid"))
+        self.mentions = self.tokens.join(words, "tok").select("sid", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "wdid")
+        self.relations = pair_relations(spark, sf_dir, self.lexicon)
+
+
 _SQL = {
     "triples": ((), TRIPLES),
     "occs": ((), OCCS),
