@@ -135,8 +135,16 @@ def propagated(edges: DataFrame, values: DataFrame) -> DataFrame:
     return sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") / F.sqrt(F.col("d") * F.col("d_src"))).alias("x"))
 
 
-def edge_features(occs: DataFrame, triples: DataFrame) -> DataFrame:
-    """Typed edges of each occurrence's surroundings: its pair, and the triples of head and tail under other relations."""
+def edge_features(occs: DataFrame, triples: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Typed edges of each occurrence's surroundings: its pair, and the triples of head and tail under other relations.
+
+    With `roots` (entity), the entities whose surroundings were read, an occurrence with another entity raises.
+    """
+    if roots is not None:
+        ends = occs.select(F.explode(F.array("h", "t")).alias("entity")).distinct()
+        missing = ends.join(roots.select("entity").distinct(), "entity", "left_anti").orderBy("entity").limit(3).collect()
+        if missing:
+            raise ValueError(f"no surroundings were read for {', '.join(r.entity for r in missing)}")
     pair = occs.select("pid", F.lit("one").alias("kind"), F.col("h").alias("src"), F.col("t").alias("dst"))
     other = triples.select(F.col("h").alias("e"), "r", F.col("t").alias("o")).distinct()
     sides = []

@@ -139,3 +139,9 @@ def completed_top_down(occs: DataFrame, edges: DataFrame, seed: str = "half") ->
         out = kept if out is None else out.unionByName(kept)
         passed = rest if passed is None else passed.unionByName(rest)
     return out
+
+
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row: parents, their children, and ordered pairs of siblings, n (n - 1) a parent."""
+    own = edges.select("parent", "child").distinct().groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    return own.agg(F.count(F.lit(1)).alias("parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("children"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("sibling_pairs"))

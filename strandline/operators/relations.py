@@ -199,6 +199,13 @@ def parallel_relations(triples: DataFrame, least: int = 3) -> DataFrame:
     return own.join(back, ["h", "t"]).where("r <> against").groupBy("r", "against").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
 
 
+def parallel_by_sample(occs: DataFrame, triples: DataFrame, least: int = 3) -> DataFrame:
+    """Relations that run back over a sample's occurrences (sample, pid, h, t): (sample, r, cnt) with `least` occurrences; the sample's own relation is none."""
+    back = triples.select(F.col("t").alias("h"), F.col("h").alias("t"), "r").distinct()
+    own = occs.select("sample", "pid", "h", "t").distinct()
+    return own.join(back, ["h", "t"]).where("r <> pid").groupBy("sample", "r").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+
+
 def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """A map: of the rows of one key, the value of the last."""
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -189,3 +189,24 @@ def set_pmi(members: DataFrame) -> DataFrame:
     pairs = sizes.select(F.col("cat").alias("a"), F.col("size").alias("size_a")).crossJoin(F.broadcast(every)).select("a", "size_a", F.inline("every")).where("a < b")
     met = pairs.join(met, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return met.crossJoin(F.broadcast(total)).select("a", "b", F.log(F.when(F.col("both") == 0, F.lit(1e-5)).otherwise(F.col("both") * F.col("n") / (F.col("size_a") * F.col("size_b")))).alias("pmi"))
+
+
+def snippet_bags(counts: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Words of snippets (pid, snippet, direction): (pid, word, cnt). Each distinct snippet of a direction counts once for each of its words' places; then directions add up."""
+    one = counts.select("pid", "snippet", "direction").distinct().select("pid", F.explode(F.split("snippet", " ")).alias("word"))
+    return filtered_words(one.groupBy("pid", "word").agg(F.count(F.lit(1)).alias("cnt")), stop_words)
+
+
+def words_that_differ(train: DataFrame, test: DataFrame, pairs: DataFrame, n: int = 10) -> DataFrame:
+    """For pairs of relations (a, b) the words whose counts differ most, among the first n both in train and in test: (a, b, word, train_gap, test_gap).
+
+    Counts are (pid, word, cnt). Equal gaps go by the word. Gaps are those of a less those of b.
+    """
+    sides = pairs.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("pid"), F.lit(1).alias("sign")), F.struct(F.col("b").alias("pid"), F.lit(-1).alias("sign")))))
+
+    def first(counts: DataFrame, name: str) -> DataFrame:
+        gaps = sides.join(counts, "pid").groupBy("a", "b", "word").agg(F.sum(F.col("cnt") * F.col("sign")).alias(name))
+        nth = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc(F.abs(name)), "word"))
+        return gaps.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+    return first(train, "train_gap").join(first(test, "test_gap"), ["a", "b", "word"])

@@ -29,6 +29,11 @@ def mean_vectors(rows: DataFrame, unit: bool = False) -> DataFrame:
     return long.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p.x).alias("vec"))
 
 
+def own_vectors(props: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations (pid) by a vector of their own (entity, vec) in place of their occurrences': (id, pid, vec); those without one are left out."""
+    return props.select("pid").distinct().join(entities.select(F.col("entity").alias("pid"), "vec"), "pid").select(F.lit(0).cast("long").alias("id"), "pid", "vec")
+
+
 def _pairs(means: DataFrame) -> DataFrame:
     """Pairs of different relations; relations number in the hundreds, so this side is small whatever the occurrences' count."""
     return means.select(F.col("pid").alias("p1"), F.col("vec").alias("x")).join(means.select(F.col("pid").alias("p2"), F.col("vec").alias("y")), F.col("p1") != F.col("p2"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from strandline.operators import corpus as C
 from strandline.operators import datasets as S
 from strandline.operators import hierarchy as H
+from strandline.operators import relations as R
 from strandline.operators import text as T
 from strandline.operators import vectors as V
 from strandline.plans.relation_queries import _after
 from strandline.plans.source_queries import _read
 from strandline.plans.structure_queries import _IN_SAMPLE, _parts_of_labels, _samples, _siblings
+from strandline.plans.text_queries import _NAMES, _SNIPPETS, _gaps_and_lists
 from strandline.plans.vector_queries import _SCORED, _tagged
 from strandline.sources import bindings as B
 from strandline.sources import readers
@@ -112,6 +114,38 @@ def _prompts(s, d):
     return B.table(s, d, "part").select(said.alias("prompt")).groupBy("prompt").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _snippets(body):
+    """The SQL of filtered snippets, as the snippet queries have it, under the name found."""
+    stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    low = f"""low AS (SELECT pid, lower(snippet) AS snippet, direction FROM snips),
+      found AS (SELECT * FROM low WHERE NOT regexp_matches(snippet, '^[!-/:-@\\[-`{{-~]') AND len(string_split(snippet, ' ')) <= 5 AND len(list_filter(string_split(snippet, ' '), lambda x: x NOT IN ({stop}))) > 0)"""
+    return _after(_NAMES, f"{_SNIPPETS}, {low}", body.replace("STOP", stop))
+
+
+def _counted_by(s, d, half):
+    """Words of one half of the documents by source."""
+    docs = B.table(s, d, "documents").where(F.col("doc_id") % 2 == half)
+    words = docs.select(F.coalesce("source", F.lit("none")).alias("pid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return words.groupBy("pid", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _source_pairs(s, d):
+    """Pairs of sources in order; as few as there are sources."""
+    one = B.table(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("a")).distinct()
+    return one.join(one.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+
+
+def _with_back(s, d):
+    """Triples, and those of two relations turned round under another name."""
+    own = B.triples(s, d)
+    return own.unionAll(own.where("r in ('P2', 'P5')").select(F.col("t").alias("h"), F.concat("r", F.lit("_back")).alias("r"), F.col("h").alias("t")))
+
+
+def _first_vectors(s, d):
+    """Each label's own vector: that of its smallest id."""
+    return B.vectors(s, d).groupBy(F.col("pid").alias("entity")).agg(F.min_by("vec", "id").alias("vec"))
+
+
 CATALOG = {
     "split_within": (lambda s, d: S.split_within(B.tree(s, d), _SHARES), _after("tree", _dealt(), "SELECT * FROM dealt WHERE parent IN (SELECT parent FROM dealt GROUP BY parent HAVING count(DISTINCT split) = 3)")),
     "split_within_known": (
@@ -192,6 +226,29 @@ CATALOG = {
         lambda s, d: T.numbered_mentions(B.mentions(s, d)).select("sid", F.col("start").cast("long").alias("start"), "wdid", F.col("idx").cast("long").alias("idx")),
         _V("tokens lexicon mentions", "SELECT sid, start, wdid, row_number() OVER (PARTITION BY sid ORDER BY start, end_, wdid) AS idx FROM mentions"),
     ),
+    "snippet_bags": (
+        lambda s, d: T.snippet_bags(T.filtered_snippets(T.snippets(*_gaps_and_lists(s, d)))),
+        _snippets("SELECT pid, lower(word) AS word, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT pid, word, count(*) AS cnt FROM (SELECT pid, unnest(string_split(snippet, ' ')) AS word FROM (SELECT DISTINCT pid, snippet, direction FROM found)) GROUP BY 1, 2) WHERE regexp_matches(lower(word), '^[a-z0-9]+$') AND lower(word) NOT IN (STOP) GROUP BY 1, 2"),
+    ),
+    "words_that_differ": (
+        lambda s, d: T.words_that_differ(_counted_by(s, d, 0), _counted_by(s, d, 1), _source_pairs(s, d), 10),
+        r"""WITH c AS (SELECT coalesce(source, 'none') AS pid, doc_id % 2 AS half, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents), s AS (SELECT DISTINCT pid FROM c),
+          g AS (SELECT a.pid AS a, b.pid AS b, half, word, sum(CASE WHEN c.pid = a.pid THEN 1 ELSE -1 END) AS gap FROM s a JOIN s b ON a.pid < b.pid JOIN c ON c.pid IN (a.pid, b.pid) GROUP BY 1, 2, 3, 4),
+          k AS (SELECT *, row_number() OVER (PARTITION BY a, b, half ORDER BY abs(gap) DESC, word) AS nth FROM g)
+          SELECT x.a, x.b, x.word, CAST(x.gap AS BIGINT) AS train_gap, CAST(y.gap AS BIGINT) AS test_gap FROM k x JOIN k y USING (a, b, word) WHERE x.half = 0 AND y.half = 1 AND x.nth <= 10 AND y.nth <= 10""",
+    ),
+    "parallel_by_sample": (
+        lambda s, d: R.parallel_by_sample(_samples(s, d)[0], _with_back(s, d)),
+        _after("triples", _TERMS + ", back AS (SELECT DISTINCT t AS h, h AS t, r || '_back' AS r FROM triples WHERE r IN ('P2', 'P5'))", "SELECT o.doc AS sample, x.r, count(*) AS cnt FROM o JOIN (SELECT h, t, r FROM back UNION SELECT h, t, r FROM triples) x ON x.h = o.t AND x.t = o.h WHERE x.r <> o.pid GROUP BY 1, 2 HAVING count(*) >= 3"),
+    ),
+    "hierarchy_statistics": (
+        lambda s, d: H.statistics(B.tree(s, d)),
+        _V("tree", "SELECT count(*) AS parents, CAST(sum(n) AS BIGINT) AS children, CAST(sum(n * (n - 1)) AS BIGINT) AS sibling_pairs FROM (SELECT parent, count(DISTINCT child) AS n FROM tree GROUP BY parent)"),
+    ),
+    "own_vector_scores": (
+        lambda s, d: V.mean_scores(V.own_vectors(B.vectors(s, d).select("pid"), _first_vectors(s, d))).select("p1", "p2", F.round("cosine", 6).alias("cosine")),
+        _V("vectors", "SELECT a.pid AS p1, b.pid AS p2, round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 6) AS cosine FROM (SELECT pid, arg_min(vec, id) AS v FROM vectors GROUP BY pid) a JOIN (SELECT pid, arg_min(vec, id) AS v FROM vectors GROUP BY pid) b ON a.pid <> b.pid"),
+    ),
     "nearest_named": (
         lambda s, d: V.nearest_relations(_parts_of_labels(s, d, 4).where("not pid like '%_3'"), 3).select("p1", F.col("rank").cast("long").alias("rank"), "p2"),
         _after("vectors", """rel AS (SELECT pid || '_' || CAST(id % 4 AS VARCHAR) AS pid, vec FROM vectors WHERE id % 4 <> 3), long AS (SELECT pid, unnest(range(len(vec))) AS dim, CAST(unnest(vec) AS DOUBLE) AS x FROM rel),

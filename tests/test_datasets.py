@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from strandline.operators import corpus as C
 from strandline.operators import datasets as S
+from strandline.operators import graph as G
+from strandline.operators import hierarchy as H
+from strandline.operators import relations as R_
+from strandline.operators import text as T
+from strandline.operators import vectors as V
 from strandline.plans import catalog
 from strandline.sources import writers as W
 from tests.compare import oracle_rows
@@ -142,3 +147,38 @@ def test_every_query_reads_the_tables(spark, tmp_path):
         except Exception as e:  # noqa: BLE001
             assert "PATH_NOT_FOUND" in str(e), (name, e)
     assert ran == []
+
+
+def test_bags_of_snippets_count_each_snippet_once(spark):
+    counts = spark.createDataFrame([("P1", "born in old town", 1, 9), ("P1", "born in old town", -1, 3), ("P1", "old old", 1, 1), ("P2", "the", 1, 1)], "pid string, snippet string, direction int, cnt long")
+    assert rows(T.snippet_bags(counts), "pid", "word", "cnt") == [("P1", "born", 2), ("P1", "old", 4), ("P1", "town", 2)]
+
+
+def test_words_that_differ_in_both_splits(spark):
+    train = spark.createDataFrame([("a", "x", 9), ("b", "x", 1), ("a", "y", 2), ("b", "z", 5)], "pid string, word string, cnt long")
+    test = spark.createDataFrame([("a", "x", 3), ("b", "z", 1), ("a", "w", 2)], "pid string, word string, cnt long")
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert rows(T.words_that_differ(train, test, pairs, 2), "word", "train_gap", "test_gap") == [("x", 8, 3)]
+    assert rows(T.words_that_differ(train, test, pairs, 3), "word", "train_gap", "test_gap") == [("x", 8, 3), ("z", -5, -1)]
+
+
+def test_relations_back_over_a_samples_occurrences(spark):
+    occs = spark.createDataFrame([("s", "P1", "a", "b"), ("s", "P1", "c", "d"), ("t", "P1", "a", "b")], "sample string, pid string, h string, t string")
+    triples = spark.createDataFrame([("b", "P2", "a"), ("d", "P2", "c"), ("b", "P1", "a"), ("a", "P3", "b")], "h string, r string, t string")
+    assert rows(R_.parallel_by_sample(occs, triples, 2), "sample", "r", "cnt") == [("s", "P2", 2)]
+
+
+def test_unread_surroundings_raise(spark):
+    occs = spark.createDataFrame([("P1", "a", "b")], "pid string, h string, t string")
+    triples = spark.createDataFrame([("a", "P2", "c")], "h string, r string, t string")
+    roots = spark.createDataFrame([("a",)], "entity string")
+    with pytest.raises(ValueError, match="no surroundings were read for b"):
+        G.edge_features(occs, triples, roots)
+    assert G.edge_features(occs, triples, roots.unionAll(spark.createDataFrame([("b",)], "entity string"))).count() == 2
+
+
+def test_hierarchy_statistics_and_own_vectors(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "e"), ("a", "b")], "parent string, child string")
+    assert tuple(H.statistics(edges).first()) == (2, 4, 6) and tuple(H.statistics(edges.limit(0)).first()) == (0, 0, 0)
+    entities = spark.createDataFrame([("a", [1.0]), ("x", [2.0])], "entity string, vec array<double>")
+    assert rows(V.own_vectors(edges.select(F.col("parent").alias("pid")), entities), "pid", "vec") == [("a", [1.0])]
