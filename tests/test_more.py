@@ -114,7 +114,7 @@ def test_cycles_raise_or_end(spark):
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 0) for i in range(70)], "parent string, child string, pos int")
     assert G.ancestors_until_root(spark.createDataFrame([("n070",)], "node string"), chain, spark.createDataFrame([("zz",)], "node string")).count() == 71
     edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("x", "x")], "src string, dst string")
-    assert rows(G.layers_of_all(edges), "node", "layer", "cyclic") == [("a", 1, True), ("b", 0, True), ("r", 0, False), ("x", 0, True)]
+    assert rows(G.layers_of_all(edges), "node", "layer", "cyclic") == [("a", 1, True), ("b", 2, True), ("r", 0, False), ("x", 0, True)]
 
 
 def test_lines_must_pair(spark):
