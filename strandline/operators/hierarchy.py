@@ -87,32 +87,61 @@ def subtree_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(own, "pid", "left").select("pid", F.coalesce("children", F.lit("")).alias("children"))
 
 
-def _drawn(seed: str, below: str) -> Column:
-    """Whether a row (pid, h, t) falls into a share of all, by the first eight hexadecimal digits of a hash: '80000000' is a half."""
-    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), "pid", "h", "t")), 1, 8) < below
+def _drawn(seed: str, pid: Column, below: str) -> Column:
+    """Whether a pair (h, t) of a node falls into a share of all, by the first eight hexadecimal digits of a hash: '80000000' is a half."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), pid, "h", "t")), 1, 8) < below
+
+
+#: Sets of nodes up to which their plans are broadcast.
+SMALL_PLANS = 50_000
+
+
+def _by_pair(occs: DataFrame) -> DataFrame:
+    """The nodes that hold each pair, as a sorted set: (h, t, pids)."""
+    return occs.groupBy("h", "t").agg(F.array_sort(F.flatten(F.collect_set(F.array("pid")))).alias("pids"))
+
+
+def _planned(occs: DataFrame, sets: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """Pairs with what is known of their nodes and all nodes above: (h, t, pids, plan); `nodes` (pid, node) has a struct a node, whose order is the plan's, `ways` (pid, anc) what is above."""
+    at = sets.select("pids", F.explode("pids").alias("pid"))
+    every = at.unionByName(at.join(ways, "pid").select("pids", F.col("anc").alias("pid"))).distinct()
+    plans = checkpointed(every.join(nodes, every.pid.eqNullSafe(nodes.pid)).groupBy("pids").agg(F.array_sort(F.collect_list("node")).alias("plan")))
+    return _by_pair(occs).join(F.broadcast(plans) if plans.limit(SMALL_PLANS + 1).count() <= SMALL_PLANS else plans, "pids")
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("child").alias("pid")).agg(F.array_sort(F.collect_list("parent")).alias("parents"))
+
+
+def _nodes(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    return sets.select(F.explode("pids").alias("pid")).unionByName(edges.select(F.explode(F.array("parent", "child")).alias("pid"))).distinct()
 
 
 def completed_bottom_up(occs: DataFrame, edges: DataFrame, with_own: bool = False, seed: str = "third") -> DataFrame:
     """Occurrences (pid, h, t) for inner nodes, out of their children's: a third of the children's union, by hash, moves up and leaves them.
 
     Nodes of one height draw at once from what the levels below left, so a child of two such parents loses what either takes. A node's
-    own occurrences count for leaves, and with `with_own` join what an inner node took. One checkpoint a level of height.
+    own occurrences count for leaves, and with `with_own` join what an inner node took. Pairs don't depend on each other: each goes through the
+    nodes above its own in one row, which is as long as they are.
     """
     edges = checkpointed(edges.select("parent", "child").distinct())
-    height = checkpointed(closure(edges).groupBy(F.col("anc").alias("parent")).agg(F.max("depth").alias("height")))
-    own = checkpointed(occs.select("pid", "h", "t").distinct())
-    inner = height.select(F.col("parent").alias("pid"), "height")
-    held = checkpointed(own.join(inner, "pid", "left_anti"))
-    for level in range(1, (height.agg(F.max("height")).first()[0] or 0) + 1):
-        here = edges.join(height.where(F.col("height") == level), "parent").select("parent", "child")
-        union = here.join(held.withColumnRenamed("pid", "child"), "child").select(F.col("parent").alias("pid"), "h", "t").distinct()
-        taken = checkpointed(union.where(_drawn(seed, "55555555")))
-        lost = here.join(taken.withColumnRenamed("pid", "parent"), "parent").select(F.col("child").alias("pid"), "h", "t")
-        new = taken
-        if with_own:
-            new = taken.unionByName(own.join(inner.where(F.col("height") == level), "pid").select("pid", "h", "t")).distinct()
-        held = checkpointed(held.join(lost, ["pid", "h", "t"], "left_anti").unionByName(new))
-    return held
+    closed = checkpointed(closure(edges))
+    sets = checkpointed(_by_pair(occs).select("pids").distinct())
+    height = closed.groupBy(F.col("anc").alias("pid")).agg(F.max("depth").alias("height"))
+    known = _nodes(sets, edges).join(height, "pid", "left").join(_parents(edges), "pid", "left")
+    known = known.select("pid", F.struct(F.coalesce("height", F.lit(0)).alias("height"), "pid", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")).alias("node"))
+    planned = _planned(occs, sets, known, closed.select(F.col("des").alias("pid"), "anc").distinct())
+    own = lambda x: F.exists("pids", lambda p: p.eqNullSafe(x["pid"]))
+
+    def step(held: Column, level: Column) -> Column:
+        below = F.flatten(F.transform(held, lambda c: c["parents"]))
+        taken = F.filter("plan", lambda x: (x["height"] == level) & F.array_contains(below, x["pid"]) & _drawn(seed, x["pid"], "55555555"))
+        new = F.array_union(taken, F.filter("plan", lambda x: (x["height"] == level) & own(x))) if with_own else taken
+        return F.concat(F.filter(held, lambda c: ~F.arrays_overlap(c["parents"], F.transform(taken, lambda x: x["pid"]))), new)
+
+    levels = F.filter(F.array_distinct(F.transform("plan", lambda x: x["height"])), lambda x: x > 0)
+    held = F.aggregate(levels, F.filter("plan", lambda x: (x["height"] == 0) & own(x)), step)
+    return planned.select(F.explode(F.transform(held, lambda x: x["pid"])).alias("pid"), "h", "t")
 
 
 def completed_top_down(occs: DataFrame, edges: DataFrame, seed: str = "half") -> DataFrame:
@@ -120,25 +149,29 @@ def completed_top_down(occs: DataFrame, edges: DataFrame, seed: str = "half") ->
 
     From the roots on, a node keeps a half of what it may hold, by hash, and passes the rest; its children may hold only what all their
     parents passed, and leaves keep that whole. Nodes are done by their greatest depth, after all their parents. A parent that never held
-    anything doesn't restrict its children. One checkpoint a level of depth.
+    anything doesn't restrict its children. Pairs don't depend on each other: each goes through its nodes and those above in one row.
     """
     edges = checkpointed(edges.select("parent", "child").distinct())
-    held = checkpointed(populated(occs, edges))
-    depth = checkpointed(closure(edges).groupBy(F.col("des").alias("pid")).agg(F.max("depth").alias("depth")))
-    inner = edges.select(F.col("parent").alias("pid")).distinct()
-    above = checkpointed(edges.join(held.select(F.col("pid").alias("parent")).distinct(), "parent", "left_semi"))
-    needed = above.groupBy(F.col("child").alias("pid")).agg(F.count(F.lit(1)).alias("needed"))
-    here, out, passed = held.join(depth, "pid", "left_anti"), None, None
-    for level in range((depth.agg(F.max("depth")).first()[0] or 0) + 1):
-        if level:
-            own = held.join(depth.where(F.col("depth") == level), "pid").select("pid", "h", "t").join(needed, "pid", "left")
-            allowed = above.join(passed.withColumnRenamed("pid", "parent"), "parent").groupBy(F.col("child").alias("pid"), "h", "t").agg(F.count(F.lit(1)).alias("n"))
-            here = own.join(allowed, ["pid", "h", "t"], "left").where("needed is null or n = needed").select("pid", "h", "t")
-        marked = checkpointed(here.join(inner.withColumn("inner", F.lit(True)), "pid", "left").withColumn("keeps", F.col("inner").isNull() | _drawn(seed, "80000000")))
-        kept, rest = marked.where("keeps").select("pid", "h", "t"), marked.where("not keeps").select("pid", "h", "t")
-        out = kept if out is None else out.unionByName(kept)
-        passed = rest if passed is None else passed.unionByName(rest)
-    return out
+    closed = checkpointed(closure(edges))
+    ways = closed.select(F.col("des").alias("pid"), "anc").distinct()
+    sets = checkpointed(_by_pair(occs).select("pids").distinct())
+    at = sets.select(F.explode("pids").alias("pid")).distinct()
+    held = at.unionByName(at.join(ways, "pid").select(F.col("anc").alias("pid"))).distinct()
+    above = edges.join(held.withColumnRenamed("pid", "parent"), "parent", "left_semi")
+    inner = edges.select(F.col("parent").alias("pid"), F.lit(True).alias("inner")).distinct()
+    depth = closed.groupBy(F.col("des").alias("pid")).agg(F.max("depth").alias("depth"))
+    known = _nodes(sets, edges).join(depth, "pid", "left").join(inner, "pid", "left").join(_parents(above), "pid", "left")
+    known = known.select("pid", F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "pid", F.coalesce("inner", F.lit(False)).alias("inner"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents")).alias("node"))
+    drawn = F.transform("plan", lambda x: F.struct(x["pid"].alias("pid"), x["parents"].alias("parents"), (~x["inner"] | _drawn(seed, x["pid"], "80000000")).alias("keeps")))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        may = F.size(F.array_except(x["parents"], done["passed"])) == 0
+        added = lambda to, when: F.when(may & when, F.concat(done[to], F.array(x["pid"]))).otherwise(done[to]).alias(to)
+        return F.struct(added("kept", x["keeps"]), added("passed", ~x["keeps"]))
+
+    kept = F.aggregate(drawn, F.struct(none.alias("kept"), none.alias("passed")), step)["kept"]
+    return _planned(occs, sets, known, ways).select(F.explode(kept).alias("pid"), "h", "t")
 
 
 def statistics(edges: DataFrame) -> DataFrame:

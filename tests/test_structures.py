@@ -352,3 +352,16 @@ def test_last_lines_are_those_of_the_last_file(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("k\tnew\n")
     got = {r.key: r.val for r in R.read_map(spark, str(tmp_path)).collect()}
     assert got == {"k": "new", "x": "y"}
+
+# --- work that grows with the input alone -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("complete", [H.completed_bottom_up, H.completed_top_down])
+def test_completions_write_plans_not_pairs(spark, monkeypatch, complete):
+    """What is written on the way is as long as the hierarchy and its sets of nodes, however many pairs there are."""
+    written, write = [], H.checkpointed
+    monkeypatch.setattr(H, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    edges, _, _ = tree_and_occs(spark)
+    occs = spark.range(500).select(F.lit("y").alias("pid"), F.concat(F.lit("h"), F.col("id")).alias("h"), F.lit("t").alias("t"))
+    assert complete(occs, edges).select("h", "t").distinct().count() == 500
+    assert max(df.count() for df in written) < 50
