@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import dictionary as D
@@ -365,3 +366,20 @@ def test_completions_write_plans_not_pairs(spark, monkeypatch, complete):
     occs = spark.range(500).select(F.lit("y").alias("pid"), F.concat(F.lit("h"), F.col("id")).alias("h"), F.lit("t").alias("t"))
     assert complete(occs, edges).select("h", "t").distinct().count() == 500
     assert max(df.count() for df in written) < 50
+
+
+@pytest.mark.parametrize("kind", N.KINDS)
+def test_packed_samples_in_one_go(spark, monkeypatch, kind):
+    """Batches are packed as by edges, nodes and offsets one after the other, with nothing written."""
+    batches = spark.createDataFrame([("s1", "b", 0), ("s2", "b", 1)], "sample string, batch string, number int")
+    occs = spark.createDataFrame(OCCS, "sample string, pid string, pos int, h string, t string").join(batches, "sample")
+    occs = occs.withColumn("pos", F.row_number().over(Window.partitionBy("sample").orderBy("pos")) - 1)
+    triples = spark.createDataFrame(TRIPLES, "h string, r string, t string")
+    (n1, e1), (n2, e2) = encoded_by_hand(kind, "P", [("h1", "t1"), ("h2", "t1")]), encoded_by_hand(kind, "Q", [("t1", "h1")])
+    want = [("b", k, a, b) for k, s in e1.items() for a, b in s] + [("b", k, a + len(n1), b + len(n1)) for k, s in e2.items() for a, b in s]
+    assert rows(N.packed_samples(occs, triples, kind), "batch", "kind", "src", "dst") == sorted(want)
+    assert rows(N.sample_offsets(occs, triples, kind), "sample", "size", "offset") == [("s1", len(n1), 0), ("s2", len(n2), len(n1))]
+    written, write = [], structure_queries.checkpointed
+    monkeypatch.setattr(structure_queries, "checkpointed", lambda df: written.append(df) or write(df))
+    catalog.queries()[f"graph_{kind}"](spark, SMALL)
+    assert not written
