@@ -63,13 +63,18 @@ def _articles(s, d):
 _DUMP_HEAD = ["-- dump", "CREATE TABLE `page` (", "  `page_id` int NOT NULL,", "  `page_namespace` int,", "  `page_title` varbinary(255) DEFAULT '',", "  `more` text,", "  PRIMARY KEY (`page_id`),", "  KEY `more` (`more`)", ");"]
 
 
+def _dump_head(s):
+    """The statement's lines in one file, in their order: no shuffle, which would take them as blocks arrive."""
+    return s.createDataFrame([(x,) for x in _DUMP_HEAD], "value string").coalesce(1)
+
+
 def _dump_lines(s, d, faults=False):
     """Customers as tuples of a dump; with `faults` every line has one of three fields and a stretch that is no tuple."""
     quoted = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.col(c), "'", "\\\\'"), F.lit("'"))
     one = F.concat(F.lit("("), F.col("c_custkey").cast("string"), F.lit(",0,"), quoted("c_name"), F.lit(",'a, (b) \\'c\\''"), F.lit(")"))
     rows = B.table(s, d, "customer").groupBy((F.col("c_custkey") % 50).alias("k")).agg(F.array_join(F.collect_list(one), ",").alias("v"))
     more = F.lit(",(1,0,'short'),((torn") if faults else F.lit("")
-    head = s.createDataFrame([(x,) for x in _DUMP_HEAD], "value string").repartition(1) if faults else s.createDataFrame([(x,) for x in _DUMP_HEAD], "value string")
+    head = _dump_head(s)
     return head.unionAll(rows.select(F.concat(F.lit("INSERT INTO `page` VALUES "), F.col("v"), more, F.lit(";")).alias("value")))
 
 

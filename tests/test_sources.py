@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.plans import source_queries
 from strandline.sources import readers as R
 from strandline.sources import writers as W
 from strandline.streaming import counts
@@ -102,3 +103,10 @@ def test_streamed_popularity(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.wdid, r.cnt) for r in spark.table("popularity").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_dump_head_keeps_its_lines_in_order(spark):
+    """A shuffle gives lines in the order in which executors answer."""
+    head = source_queries._dump_head(spark)
+    assert head.rdd.getNumPartitions() == 1 and [r.value for r in head.collect()] == source_queries._DUMP_HEAD
+    assert "Exchange" not in head._jdf.queryExecution().executedPlan().toString()
