@@ -23,10 +23,23 @@ def rank_lines(ranked: DataFrame, k: int) -> DataFrame:
     return top.select(F.concat_ws(",", "p1", F.array_join(F.transform("found", lambda x: x.p2), ",")).alias("value"))
 
 
+def _two_decimals(x: Column) -> Column:
+    """A number as the nearest of two decimals by its exact binary value, a tie to the even one, as C prints it: 0.495, which is a little less, as 0.49. Java's format would round what it shows in decimals.
+
+    Both parts of a number cut at float precision are multiplied by 200 without error, so their sum has the sign of the distance to the middle of two.
+    """
+    size = F.abs(x)
+    low, top = F.floor(size * 100), size.cast("float").cast("double")
+    off = (top * 200 - (low * 2 + 1).cast("double")) + (size - top) * 200
+    near = (low + F.when((off > 0) | ((off == 0) & (low % 2 == 1)), 1).otherwise(0)) / 100
+    # Beyond 2^40 there is no rounding to speak of; not a number and infinity stay.
+    return F.when(size < 2.0**40, near * F.when(x < 0, -1.0).otherwise(1.0)).otherwise(x)
+
+
 def rank_table(ranked: DataFrame, k: int, names: DataFrame | None = None) -> DataFrame:
     """A table of the first k candidates (p1, rank, p2, score, rel) of each query: a head line, then `"query","candidate" score rel,...`: (nth, value) in the order of nth.
 
-    Scores have two decimals. Columns go as far as the longest row, k at the most. Names (pid, name) stand for relations where given. Queries number in the hundreds, and
+    Scores have two decimals, rounded by their exact value. Columns go as far as the longest row, k at the most. Names (pid, name) stand for relations where given. Queries number in the hundreds, and
     are in one window.
     """
     top = ranked.where(F.col("rank") <= k)
@@ -35,7 +48,7 @@ def rank_table(ranked: DataFrame, k: int, names: DataFrame | None = None) -> Dat
         top = top.join(said("p1"), "p1", "left").join(said("p2"), "p2", "left")
     else:
         top = top.withColumn("p1_name", F.col("p1")).withColumn("p2_name", F.col("p2"))
-    entry = F.format_string('"%s" %.2f %s', F.coalesce("p2_name", "p2"), F.col("score").cast("double"), "rel")
+    entry = F.format_string('"%s" %.2f %s', F.coalesce("p2_name", "p2"), _two_decimals(F.col("score").cast("double")), "rel")
     rows = top.groupBy("p1").agg(F.first(F.coalesce("p1_name", "p1")).alias("said"), F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("all"))
     lines = rows.select(F.row_number().over(Window.orderBy("p1")).alias("nth"), F.concat(F.lit('"'), "said", F.lit('",'), F.array_join(F.transform("all", lambda x: x["entry"]), ",")).alias("value"))
     head = top.agg(F.max("rank").alias("n")).where("n is not null").select(F.lit(0).alias("nth"), F.concat(F.lit("query,"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("pos_"), i.cast("string"))), ",")).alias("value"))

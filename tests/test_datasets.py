@@ -182,3 +182,11 @@ def test_hierarchy_statistics_and_own_vectors(spark):
     assert tuple(H.statistics(edges).first()) == (2, 4, 6) and tuple(H.statistics(edges.limit(0)).first()) == (0, 0, 0)
     entities = spark.createDataFrame([("a", [1.0]), ("x", [2.0])], "entity string, vec array<double>")
     assert rows(V.own_vectors(edges.select(F.col("parent").alias("pid")), entities), "pid", "vec") == [("a", [1.0])]
+
+
+def test_rank_table_rounds_the_exact_value(spark):
+    """0.495 is a little less in binary and 0.505 a little more; 0.125 and 0.375 are exact and go to the even side."""
+    scores = [0.495, 0.505, 0.125, 0.375, 0.515, 0.29, 1.0, 0.0, -0.495, 0.285, 2.675]
+    ranked = spark.createDataFrame([("q", i + 1, "c", x, "*") for i, x in enumerate(scores)], "p1 string, rank int, p2 string, score double, rel string")
+    line = W.rank_table(ranked, 20).where("nth = 1").first().value
+    assert [x.split(" ")[1] for x in line.split(",")[1:]] == [f"{x:.2f}" for x in scores]
