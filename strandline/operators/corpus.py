@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.loops import few
 from strandline.operators.relations import numbered
 
 
@@ -45,7 +46,9 @@ def with_subgraph_and_vector(occs: DataFrame, subgraphs: DataFrame, vectors: Dat
     """Distinct occurrences whose relation has a vector (key) and whose entities have one and a sub-graph without gaps; the first `most` of each relation."""
     keys = vectors.select("key").distinct()
     fine = whole_subgraphs(subgraphs, vectors).join(keys.withColumnRenamed("key", "root"), "root", "left_semi")
-    out = occs.select("pid", "h", "t").distinct().join(keys.withColumnRenamed("key", "pid"), "pid", "left_semi")
+    # Many keys and few relations: which of them have a vector is found first.
+    pids = few(occs.select("pid").distinct().join(keys.withColumnRenamed("key", "pid"), "pid", "left_semi"))
+    out = occs.select("pid", "h", "t").distinct().join(pids, "pid", "left_semi")
     for side in ("h", "t"):
         out = out.join(fine.withColumnRenamed("root", side), side, "left_semi")
     if most is None:

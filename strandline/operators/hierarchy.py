@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.loops import checkpointed
+from strandline.operators.loops import checkpointed, few
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def pruned(edges: DataFrame, closed: DataFrame, gone: list[str]) -> DataFrame:
 def populated(occs: DataFrame, edges: DataFrame, cut: list[str] = ()) -> DataFrame:
     """Distinct pairs of each node and all below it; edges into the nodes in `cut` are not followed."""
     followed = edges.where(~F.col("child").isin(list(cut))) if cut else edges
-    below = closure(followed).select(F.col("anc"), F.col("des").alias("pid")).distinct()
+    below = few(closure(followed).select(F.col("anc"), F.col("des").alias("pid")).distinct())
     up = occs.join(below, "pid").select(F.col("anc").alias("pid"), "h", "t")
     return occs.select("pid", "h", "t").unionByName(up).distinct()
 
@@ -92,10 +92,6 @@ def _drawn(seed: str, pid: Column, below: str) -> Column:
     return F.substring(F.md5(F.concat_ws("|", F.lit(seed), pid, "h", "t")), 1, 8) < below
 
 
-#: Sets of nodes up to which their plans are broadcast.
-SMALL_PLANS = 50_000
-
-
 def _by_pair(occs: DataFrame) -> DataFrame:
     """The nodes that hold each pair, as a sorted set: (h, t, pids)."""
     return occs.groupBy("h", "t").agg(F.array_sort(F.flatten(F.collect_set(F.array("pid")))).alias("pids"))
@@ -105,8 +101,8 @@ def _planned(occs: DataFrame, sets: DataFrame, nodes: DataFrame, ways: DataFrame
     """Pairs with what is known of their nodes and all nodes above: (h, t, pids, plan); `nodes` (pid, node) has a struct a node, whose order is the plan's, `ways` (pid, anc) what is above."""
     at = sets.select("pids", F.explode("pids").alias("pid"))
     every = at.unionByName(at.join(ways, "pid").select("pids", F.col("anc").alias("pid"))).distinct()
-    plans = checkpointed(every.join(nodes, every.pid.eqNullSafe(nodes.pid)).groupBy("pids").agg(F.array_sort(F.collect_list("node")).alias("plan")))
-    return _by_pair(occs).join(F.broadcast(plans) if plans.limit(SMALL_PLANS + 1).count() <= SMALL_PLANS else plans, "pids")
+    plans = few(every.join(nodes, every.pid.eqNullSafe(nodes.pid)).groupBy("pids").agg(F.array_sort(F.collect_list("node")).alias("plan")))
+    return _by_pair(occs).join(plans, "pids")
 
 
 def _parents(edges: DataFrame) -> DataFrame:

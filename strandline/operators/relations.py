@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.loops import checkpointed
+from strandline.operators.loops import checkpointed, few
 
 #: Ids of entities.
 ENTITY = "^Q[0-9]+$"
@@ -61,7 +61,7 @@ def contained_share(entities: DataFrame, popularity: DataFrame) -> DataFrame:
 
 def with_ancestors(occs: DataFrame, closure: DataFrame) -> DataFrame:
     """Distinct occurrences of each relation and of all its ancestors."""
-    above = occs.join(closure.select(F.col("des").alias("pid"), "anc").distinct(), "pid").select(F.col("anc").alias("pid"), "h", "t")
+    above = occs.join(few(closure.select(F.col("des").alias("pid"), "anc").distinct()), "pid").select(F.col("anc").alias("pid"), "h", "t")
     return occs.select("pid", "h", "t").unionByName(above).distinct()
 
 
@@ -73,8 +73,8 @@ def minus(occs: DataFrame, main: str, others: list[str]) -> DataFrame:
 
 def without_descendants(occs: DataFrame, closure: DataFrame) -> DataFrame:
     """A relation with descendants keeps its distinct pairs that none of them has; others keep all rows, duplicates too."""
-    parents = closure.select(F.col("anc").alias("pid")).distinct()
-    below = occs.join(closure.select(F.col("des").alias("pid"), "anc").distinct(), "pid").select(F.col("anc").alias("pid"), "h", "t")
+    parents = few(closure.select(F.col("anc").alias("pid")).distinct())
+    below = occs.join(few(closure.select(F.col("des").alias("pid"), "anc").distinct()), "pid").select(F.col("anc").alias("pid"), "h", "t")
     inner = occs.join(parents, "pid", "left_semi").distinct().join(below, ["pid", "h", "t"], "left_anti")
     return inner.unionByName(occs.join(parents, "pid", "left_anti"))
 
@@ -184,7 +184,7 @@ def split_by_type(occs: DataFrame, types: DataFrame, share: float = 0.01, major_
     """Distinct occurrences under their new names: (pid, h, t, name)."""
     keyed = type_keys(occs, types)
     names = split_names(keyed, share, major_keeps_name).select("pid", "h_type", "t_type", "name")
-    return keyed.join(names, ["pid", "h_type", "t_type"]).select("pid", "h", "t", "name")
+    return keyed.join(few(names), ["pid", "h_type", "t_type"]).select("pid", "h", "t", "name")
 
 
 def split_counts(occs: DataFrame, types: DataFrame, share: float = 0.01, major_keeps_name: bool = False) -> DataFrame:

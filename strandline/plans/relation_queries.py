@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import hierarchy as H
 from strandline.operators import relations as R
+from strandline.operators.loops import few
 from strandline.operators import samples as S
 from strandline.sources import bindings as B
 
@@ -202,5 +203,5 @@ def _split_leaf_edges(s, d):
     """The hierarchy with leaves replaced by what they are split into."""
     edges = B.subprops(s)
     leaves = edges.select(F.col("child").alias("pid")).distinct().join(edges.select(F.col("parent").alias("pid")), "pid", "left_anti")
-    names = R.split_by_type(B.occs(s, d).join(leaves, "pid", "left_semi"), B.types(s, d)).select("pid", "name").distinct()
+    names = R.split_counts(B.occs(s, d).join(few(leaves), "pid", "left_semi"), B.types(s, d)).select("pid", "name")
     return edges.join(names, edges.child == names.pid, "left").select("parent", F.coalesce("name", "child").alias("child"))

@@ -121,3 +121,24 @@ def test_proportional_split_follows_the_shares(spark):
 def test_padding_cuts_and_fills(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([],)], "a array<int>")
     assert [r[0] for r in df.select(S.padded("a", 2)).collect()] == [[1, 2], [0, 0]]
+
+
+def test_joins_on_a_relation_do_not_deal_by_relation(spark):
+    """Few relations have all rows: a join on them takes the small side to the rows, at any size of the large side."""
+    from strandline.operators import corpus as C
+    from strandline.operators import hierarchy as H
+    from strandline.operators import relations as R
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        occs = spark.createDataFrame([("a", "h", "t"), ("b", "h", "t"), ("b", "h", "u")], "pid string, h string, t string")
+        edges = spark.createDataFrame([("a", "b")], "parent string, child string")
+        types = spark.createDataFrame([("h", "x", 0, 0)], "entity string, type string, depth int, pos int")
+        closed, keys = H.closure(edges), spark.createDataFrame([("a",), ("h",), ("t",)], "key string")
+        graphs = spark.createDataFrame([("h", "h"), ("t", "t")], "root string, id string")
+        found = [R.with_ancestors(occs, closed), R.without_descendants(occs, closed), H.populated(occs, edges), R.split_by_type(occs, types), C.with_subgraph_and_vector(occs, graphs, keys, 5)]
+        for df in found:
+            assert "BroadcastHashJoin [pid" in df._jdf.queryExecution().sparkPlan().toString()
+            assert df.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
