@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from strandline.operators.loops import checkpointed
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def middle_contexts(mentions: DataFrame, relations: DataFrame, lists: DataFrame, distance: int = 20) -> DataFrame:
@@ -29,30 +32,87 @@ def middle_contexts(mentions: DataFrame, relations: DataFrame, lists: DataFrame,
     return lists.join(in_document, "sid").select("sid", F.explode(cut).alias("g")).select("sid", "g.*")
 
 
+def _path_search() -> Callable:
+    """A function from sentences, each with its pairs, edges and words, to found paths. All of it is defined in here, so executors need no package of ours."""
+
+    def shortest_path(steps: dict, words: dict, starts: list, ends: set, place: dict) -> list | None:
+        """The first in order of the shortest paths between two token sets, or None. `steps` has (next, label) of each token; `place` orders labels and words."""
+        before: dict = {node: None for node in starts if node is not None}
+        if ends.intersection(before):
+            return []
+        rank, many = dict.fromkeys(before, 0), len(place)
+        while rank:
+            # Paths of one length are in the order of the paths that they go on from, then by label and word.
+            reached: dict = {}
+            for node, r in rank.items():
+                for there, label in steps.get(node, ()):
+                    if there not in before and there in words:
+                        at = r * many + place[label]
+                        if there not in reached or at < reached[there][0]:
+                            reached[there] = (at, node, label)
+            last = min(ends.intersection(reached), key=lambda node: reached[node][0], default=None)
+            if last is not None:
+                _, node, label = reached[last]
+                path = [label]
+                while before[node]:
+                    path += [words[node], before[node][1]]
+                    node = before[node][0]
+                return path[::-1]
+            orders = {node: at * many + place[words[node]] for node, (at, _, _) in reached.items()}
+            nth = {order: i for i, order in enumerate(sorted(set(orders.values())))}
+            rank = {node: nth[order] for node, order in orders.items()}
+            before.update({node: (back, label) for node, (_, back, label) in reached.items()})
+        return None
+
+    def paths_of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        at = {c: column(c).offsets.to_pylist() for c in ("pairs", "edges", "words")}
+        field = lambda name, i: column(name).values.field(i)
+        pair, starts, ends = (field("pairs", i).to_pylist() for i in range(3))
+        child, head, dep = (field("edges", i).to_pylist() for i in range(3))
+        pos, word = (field("words", i).to_pylist() for i in range(2))
+        down = {x: None if x is None else f"dep_{x}" for x in set(dep)}
+        place = {x: i for i, x in enumerate(sorted({*down, *down.values(), *word}, key=lambda x: (x is not None, x or "")))}
+        rows, of, paths = [], [], []
+        for i in range(batch.num_rows):
+            words: dict = {}
+            for j in range(at["words"][i], at["words"][i + 1]):
+                if pos[j] not in words or place[word[j]] < place[words[pos[j]]]:
+                    words[pos[j]] = word[j]
+            steps = defaultdict(list)
+            for j in range(at["edges"][i], at["edges"][i + 1]):
+                steps[child[j]].append((head[j], dep[j]))
+                steps[head[j]].append((child[j], down[dep[j]]))
+            best: dict = {}
+            for j in range(at["pairs"][i], at["pairs"][i + 1]):
+                path = shortest_path(steps, words, starts[j] or [], set(ends[j] or ()) - {None}, place)
+                if path is not None:
+                    order = (len(path), [place[x] for x in path])
+                    if pair[j] not in best or order < best[pair[j]][0]:
+                        best[pair[j]] = (order, j, path)
+            for _, j, path in best.values():
+                rows.append(i)
+                of.append(j)
+                paths.append(path)
+        taken = [column("sid").take(pa.array(rows, pa.int64())), field("pairs", 0).take(pa.array(of, pa.int64())), pa.array(paths, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(taken, ["sid", "pair", "path"])
+
+    return lambda batches: map(paths_of_batch, batches)
+
+
 def dependency_paths(edges: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shortest path between two token sets of a sentence: (sid, pair, path), labels and words in turn, the start word left out.
 
     Edges are (sid, child, head, dep), words (sid, pos, word), pairs (sid, pair, starts, ends) with arrays of positions. Edges are walked
-    both ways; against the arrow a label gets `dep_`. Of equally short paths the first in order stays. A step a round; a pair leaves once
-    it is found, and a path never meets a token twice, so the rounds end.
+    both ways; against the arrow a label gets `dep_`. Of equally short paths the first in order stays. A sentence with pairs meets its edges and
+    words once, in one row, and is searched level by level, a token once; nothing of the search is shuffled or written.
     """
-    up = edges.select("sid", F.col("child").alias("node"), F.col("head").alias("next"), F.col("dep").alias("label"))
-    down = edges.select("sid", F.col("head").alias("node"), F.col("child").alias("next"), F.concat(F.lit("dep_"), "dep").alias("label"))
-    steps = up.unionByName(down).join(words.select("sid", F.col("pos").alias("next"), "word"), ["sid", "next"])
-    empty = F.array().cast("array<string>")
-    front = checkpointed(pairs.select("sid", "pair", "ends", F.explode("starts").alias("node")).select("sid", "pair", "ends", "node", F.array("node").alias("seen"), empty.alias("path")))
-    found = None
-    while front.limit(1).count():
-        there = front.where(F.array_contains("ends", F.col("node")))
-        done = there.groupBy("sid", "pair").agg(F.min("path").alias("path"))
-        found = done if found is None else found.unionByName(done)
-        on = front.join(done.select("sid", "pair"), ["sid", "pair"], "left_anti").join(steps, ["sid", "node"]).where(~F.array_contains("seen", F.col("next")))
-        last = F.array_contains("ends", F.col("next"))
-        path = F.concat("path", F.when(last, F.array("label")).otherwise(F.array("label", "word")))
-        # Of the paths to one token in one round the first stays.
-        on = on.select("sid", "pair", "ends", "next", F.concat("seen", F.array("next")).alias("seen"), path.alias("path"))
-        front = checkpointed(on.groupBy("sid", "pair", "ends", F.col("next").alias("node")).agg(F.min(F.struct("path", "seen")).alias("m")).select("sid", "pair", "ends", "node", "m.seen", "m.path"))
-    return found if found is not None else pairs.select("sid", "pair", empty.alias("path")).limit(0)
+    wanted = pairs.groupBy("sid").agg(F.collect_list(F.struct("pair", "starts", "ends")).alias("pairs"))
+    held = edges.groupBy("sid").agg(F.collect_list(F.struct("child", "head", "dep")).alias("edges"))
+    said = words.groupBy("sid").agg(F.collect_list(F.struct("pos", "word")).alias("words"))
+    whole = wanted.join(held, "sid", "left").join(said, "sid", "left")
+    kind = StructType([StructField("sid", pairs.schema["sid"].dataType), StructField("pair", pairs.schema["pair"].dataType), StructField("path", ArrayType(StringType()))])
+    return whole.mapInArrow(_path_search(), kind)
 
 
 def mined_prompts(sentences: DataFrame, longest: int = 20, most: int = 100) -> DataFrame:

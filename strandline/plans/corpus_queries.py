@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import contexts as X
@@ -12,7 +11,6 @@ from strandline.operators import pair_scores as P
 from strandline.operators import relations as R
 from strandline.operators import text as T
 from strandline.operators import vectors as V
-from strandline.operators.loops import checkpointed
 from strandline.plans.relation_queries import _after, _closed
 from strandline.plans.vector_queries import _LONG, _SCORED, _ancestors, _parents
 from strandline.sources import bindings as B
@@ -87,13 +85,14 @@ def _middles(s, d):
 
 def _paths_of_sentences(s, d):
     """Paths from the last to the second word of each sentence; a word hangs from the one at half its place, so paths go up and down a tree."""
-    ends = F.when(F.col("tok").isin(T.SENTENCE_ENDS), 1).otherwise(0)
-    before = F.coalesce(F.sum(ends).over(Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    said = B.tokens(s, d).withColumn("sent", before)
-    n = F.row_number().over(Window.partitionBy("sid", "sent").orderBy("pos")) - 1
-    words = checkpointed(said.withColumn("n", n).select(F.concat_ws(":", F.col("sid").cast("string"), F.col("sent").cast("string")).alias("sid"), F.col("n").alias("pos"), F.col("tok").alias("word")))
+    ends = B.token_lists(s, d).withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("toks")), lambda i: F.get("toks", i - 1).isin(T.SENTENCE_ENDS)))
+    cut = F.transform(F.concat(F.array(F.lit(0)), "ends"), lambda a, k: F.slice("toks", a + 1, F.coalesce(F.get("ends", k), F.size("toks")) - a))
+    # Only sentences with a pair are searched.
+    said = ends.select("sid", F.posexplode(cut).alias("sent", "toks")).where(F.size("toks") > 2)
+    long = said.select(F.concat_ws(":", F.col("sid").cast("string"), F.col("sent").cast("string")).alias("sid"), "toks")
+    words = long.select("sid", F.posexplode("toks").alias("pos", "word"))
     edges = words.where("pos > 0").select("sid", F.col("pos").alias("child"), F.floor((F.col("pos") - 1) / 2).cast("int").alias("head"), F.concat(F.lit("d"), (F.col("pos") % 3).cast("string")).alias("dep"))
-    pairs = words.groupBy("sid").agg(F.max("pos").alias("last")).where("last > 1").select("sid", F.lit(1).alias("pair"), F.array("last").alias("starts"), F.array(F.lit(1)).alias("ends"))
+    pairs = long.select("sid", F.lit(1).alias("pair"), F.array(F.size("toks") - 1).alias("starts"), F.array(F.lit(1)).alias("ends"))
     return X.dependency_paths(edges, words, pairs)
 
 

@@ -1,5 +1,7 @@
 """Literal fixtures for contexts, samples, evaluation, loops and readers."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def test_dependency_paths_walk_both_ways(spark):
     assert X.dependency_paths(edges, words, pairs.limit(0)).count() == 0
 
 
+def test_dependency_paths_search_a_sentence_in_one_row(spark):
+    # Two ways of one length: the first label in order counts, then the word; a null label comes first; a token without a word is no step; repeats of a pair go together.
+    edges = spark.createDataFrame([(1, 0, 1, "b"), (1, 0, 2, "b"), (1, 0, 3, "c"), (1, 1, 4, "z"), (1, 2, 4, "a"), (1, 3, 4, "a"), (1, 0, 9, "a"), (1, 9, 4, "a"), (2, 0, 1, "x"), (2, 0, 1, None)], "sid long, child int, head int, dep string")
+    words = spark.createDataFrame([(1, 0, "o"), (1, 1, "p"), (1, 2, "q"), (1, 3, "p"), (1, 4, "e"), (2, 0, "o"), (2, 1, "e")], "sid long, pos int, word string")
+    pairs = spark.createDataFrame([(1, 7, [0], [4]), (1, 8, [0], [4]), (1, 8, [3], [4]), (1, 9, [0], [9]), (2, 7, [0, None], [1]), (3, 7, [5], [5]), (3, 8, [5], [6])], "sid long, pair int, starts array<int>, ends array<int>")
+    shared = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = len(list(shared.iterdir()))
+    assert {(r.sid, r.pair): r.path for r in X.dependency_paths(edges, words, pairs).collect()} == {(1, 7): ["b", "p", "z"], (1, 8): ["a"], (2, 7): [None], (3, 7): []}
+    # No round is written.
+    assert len(list(shared.iterdir())) == before
+
+
 def test_prompts_span_path_words_and_both_entities(spark):
     tokens = "the old king of France was Louis of course".split()
     df = spark.createDataFrame([("P1_a", tokens, 4, 5, 6, 7, ["of", "was"]), ("P1", tokens, 4, 5, 6, 7, ["of"]), ("P2", ["a"] * 30, 0, 1, 29, 30, ["a"])], "pid string, tokens array<string>, hs int, he int, ts int, te int, path array<string>")
