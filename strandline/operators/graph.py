@@ -127,12 +127,16 @@ def nearest_top(nodes: DataFrame, parents: DataFrame, tops: DataFrame) -> DataFr
 
 def propagated(edges: DataFrame, values: DataFrame) -> DataFrame:
     """One step of symmetric normalised propagation with self loops: sum of x(u) / sqrt(d(u) d(v)) over v's neighbours and v."""
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct()
-    loops = values.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    links = both.toDF("src", "dst").unionAll(loops)
-    degree = links.groupBy("dst").agg(F.count(F.lit(1)).alias("d"))
-    sent = links.join(values.select(F.col("node").alias("src"), "x"), "src").join(degree.select(F.col("dst").alias("src"), F.col("d").alias("d_src")), "src").join(degree, "dst")
-    return sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") / F.sqrt(F.col("d") * F.col("d_src"))).alias("x"))
+    # Links are dealt by source once: repeats go, degrees are counted and values met where they lie. Loops are one a node and go beside them.
+    apart = edges.select("src", "dst").where("src <> dst")
+    links = apart.unionAll(apart.select("dst", "src")).repartition("src").distinct()
+    own = values.groupBy("node").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("loops"))
+    near = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    known = checkpointed(near.join(own, "node", "full").select("node", "x", "loops", (F.coalesce("links", F.lit(0)) + F.coalesce("loops", F.lit(0))).alias("d")))
+    met = links.join(known.where("loops > 0").select(F.col("node").alias("src"), "x", F.col("d").alias("d_src")), "src")
+    sent = met.join(known.select(F.col("node").alias("dst"), "d"), "dst").select(F.col("dst").alias("node"), (F.col("x") / F.sqrt(F.col("d") * F.col("d_src"))).alias("x"))
+    loops = known.where("loops > 0").select("node", (F.col("loops") * F.col("x") / F.sqrt(F.col("d") * F.col("d"))).alias("x"))
+    return sent.unionByName(loops).groupBy("node").agg(F.sum("x").alias("x"))
 
 
 def edge_features(occs: DataFrame, triples: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -145,13 +149,13 @@ def edge_features(occs: DataFrame, triples: DataFrame, roots: DataFrame | None =
         missing = ends.join(roots.select("entity").distinct(), "entity", "left_anti").orderBy("entity").limit(3).collect()
         if missing:
             raise ValueError(f"no surroundings were read for {', '.join(r.entity for r in missing)}")
-    pair = occs.select("pid", F.lit("one").alias("kind"), F.col("h").alias("src"), F.col("t").alias("dst"))
-    other = triples.select(F.col("h").alias("e"), "r", F.col("t").alias("o")).distinct()
-    sides = []
-    for side in ("h", "t"):
-        found = occs.select("pid", F.col(side).alias("e")).distinct().join(other, "e").where("r <> pid")
-        sides.append(found.select("pid", F.lit("head" if side == "h" else "tail").alias("kind"), F.col("e").alias("src"), F.col("o").alias("dst")))
-    return pair.unionByName(sides[0]).unionByName(sides[1]).distinct()
+    pair = occs.select("pid", F.lit("one").alias("kind"), F.col("h").alias("src"), F.col("t").alias("dst")).distinct()
+    # One row for each two entities, with the first and the last of their relations: of two that differ one is not the occurrence's. So no edge comes twice.
+    other = triples.where("r is not null").select(F.col("h").alias("e"), F.col("t").alias("o"), "r").repartition("e").groupBy("e", "o").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    sides = F.inline(F.array(F.struct(F.lit("head").alias("kind"), F.col("h").alias("e")), F.struct(F.lit("tail").alias("kind"), F.col("t").alias("e"))))
+    ends = occs.select("pid", sides).distinct()
+    around = ends.join(other, "e").where("first <> pid or last <> pid").select("pid", "kind", F.col("e").alias("src"), F.col("o").alias("dst"))
+    return pair.unionByName(around)
 
 
 def id_frequency(edges: DataFrame, sample: str = "pid") -> DataFrame:
