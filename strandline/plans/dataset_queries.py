@@ -10,9 +10,11 @@ from strandline.operators import hierarchy as H
 from strandline.operators import relations as R
 from strandline.operators import text as T
 from strandline.operators import vectors as V
+from strandline.operators.loops import checkpointed
 from strandline.plans.relation_queries import _after
 from strandline.plans.source_queries import _read
-from strandline.plans.structure_queries import _IN_SAMPLE, _parts_of_labels, _samples, _siblings
+from strandline.plans.structure_queries import _IN_SAMPLE, _parts_of_labels, _siblings
+from strandline.plans.structure_queries import _dealt as _dealt_samples
 from strandline.plans.text_queries import _NAMES, _SNIPPETS, _gaps_and_lists
 from strandline.plans.vector_queries import _SCORED, _tagged
 from strandline.sources import bindings as B
@@ -60,12 +62,16 @@ _LABEL_SPLITS = """splits AS (SELECT pid, CASE WHEN CAST(split_part(pid, '_', 2)
 
 def _learns(s, d):
     """Terms around each sample, and the samples to fit on: those whose hash begins below c."""
-    occs, _ = _samples(s, d)
-    counts = S.neighbour_terms(occs, B.triples(s, d))
+    occs = _dealt_samples(s, d)
+    counts = checkpointed(S.neighbour_terms(occs, B.triples(s, d)))
     train = F.substring(F.md5("doc"), 1, 1) < "c"
     return counts, counts.where(train), occs.select(F.col("sample").alias("doc")).distinct().where(train)
 
 
+def _weighted(counts, fitted, documents):
+    return S.weighted_by(counts.where(F.substring(F.md5("doc"), 1, 1) >= "c"), S.fitted_idf(fitted, documents))
+
+
 _TERMS = f"""occ AS (SELECT r AS pid, h, t, row_number() OVER (PARTITION BY r ORDER BY h, t) - 1 AS n FROM (SELECT DISTINCT h, r, t FROM triples WHERE regexp_matches(h, '^Q[0-9]+$') AND regexp_matches(t, '^Q[0-9]+$'))),
   o AS (SELECT pid || ':' || CAST(n // {_IN_SAMPLE} AS VARCHAR) AS doc, pid, h, t FROM occ),
   around AS (SELECT h AS e, r, count(*) AS n FROM triples GROUP BY 1, 2),
@@ -185,10 +191,10 @@ CATALOG = {
         _V("vectors", "SELECT parent, bool_and(split_part(child, '_', 1) = parent) AS split FROM (SELECT CASE WHEN id % 3 = 0 THEN pid ELSE 'P' || CAST(id % 4 AS VARCHAR) END AS parent, pid || '_' || CAST(id % 5 AS VARCHAR) AS child FROM vectors) GROUP BY parent"),
     ),
     "tfidf_fitted": (
-        lambda s, d: S.weighted_by(_learns(s, d)[0].where(F.substring(F.md5("doc"), 1, 1) >= "c"), S.fitted_idf(*_learns(s, d)[1:])).withColumn("weight", F.round("weight", 6)),
+        lambda s, d: _weighted(*_learns(s, d)).withColumn("weight", F.round("weight", 6)),
         _after("triples", _TERMS, "SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM (SELECT doc, term, cnt * idf AS w FROM counts JOIN idf USING (term) WHERE substr(md5(doc), 1, 1) >= 'c')"),
     ),
-    "neighbour_terms": (lambda s, d: _learns(s, d)[0], _after("triples", _TERMS, "SELECT doc, term, CAST(cnt AS BIGINT) AS cnt FROM counts")),
+    "neighbour_terms": (lambda s, d: S.neighbour_terms(_dealt_samples(s, d), B.triples(s, d)), _after("triples", _TERMS, "SELECT doc, term, CAST(cnt AS BIGINT) AS cnt FROM counts")),
     "sentence_contexts": (lambda s, d: S.sentence_contexts(_spoken(s, d), 8, 300), "WITH " + _SPOKEN + " SELECT * FROM contexts"),
     "known_bags": (
         lambda s, d: _bagged(s, d).select("sample", F.col("ind").cast("long").alias("ind"), "cnt"),
@@ -238,7 +244,7 @@ CATALOG = {
           SELECT x.a, x.b, x.word, CAST(x.gap AS BIGINT) AS train_gap, CAST(y.gap AS BIGINT) AS test_gap FROM k x JOIN k y USING (a, b, word) WHERE x.half = 0 AND y.half = 1 AND x.nth <= 10 AND y.nth <= 10""",
     ),
     "parallel_by_sample": (
-        lambda s, d: R.parallel_by_sample(_samples(s, d)[0], _with_back(s, d)),
+        lambda s, d: R.parallel_by_sample(_dealt_samples(s, d), _with_back(s, d)),
         _after("triples", _TERMS + ", back AS (SELECT DISTINCT t AS h, h AS t, r || '_back' AS r FROM triples WHERE r IN ('P2', 'P5'))", "SELECT o.doc AS sample, x.r, count(*) AS cnt FROM o JOIN (SELECT h, t, r FROM back UNION SELECT h, t, r FROM triples) x ON x.h = o.t AND x.t = o.h WHERE x.r <> o.pid GROUP BY 1, 2 HAVING count(*) >= 3"),
     ),
     "hierarchy_statistics": (

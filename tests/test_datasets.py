@@ -190,3 +190,43 @@ def test_rank_table_rounds_the_exact_value(spark):
     ranked = spark.createDataFrame([("q", i + 1, "c", x, "*") for i, x in enumerate(scores)], "p1 string, rank int, p2 string, score double, rel string")
     line = W.rank_table(ranked, 20).where("nth = 1").first().value
     assert [x.split(" ")[1] for x in line.split(",")[1:]] == [f"{x:.2f}" for x in scores]
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+def test_edges_around_occurrences_come_once_without_a_last_shuffle(spark):
+    triples = spark.createDataFrame([("a", "P1", "b"), ("a", "P1", "b"), ("a", "P2", "b"), ("a", "P2", "c"), ("b", "P1", "d"), ("b", "P3", "a")], "h string, r string, t string")
+    occs = spark.createDataFrame([("P1", "a", "b"), ("P1", "a", "b"), ("P2", "a", "b")], "pid string, h string, t string")
+    want = [("P1", "head", "a", "b"), ("P1", "head", "a", "c"), ("P1", "one", "a", "b"), ("P1", "tail", "b", "a"), ("P2", "head", "a", "b"), ("P2", "one", "a", "b"), ("P2", "tail", "b", "a"), ("P2", "tail", "b", "d")]
+    found = G.edge_features(occs, triples)
+    assert rows(found, "pid", "kind", "src", "dst") == want
+    # Nothing is made distinct after the union.
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_pairs_of_samples_are_dealt_once(spark):
+    occs = spark.createDataFrame([("s", "P1", "a", "b")] * 2, "sample string, pid string, h string, t string")
+    triples = spark.createDataFrame([("b", "P2", "a")] * 2 + [("b", "P1", "a")], "h string, r string, t string")
+    found = R_.parallel_by_sample(occs, triples, 1)
+    assert rows(found, "sample", "r", "cnt") == [("s", "P2", 1)]
+    assert _shuffles(R_.parallel_by_sample(occs, triples, 1)) <= 3
+
+
+def test_counts_of_terms_are_made_once(spark, monkeypatch):
+    from strandline.plans import dataset_queries as Q
+
+    made = []
+    real = Q.S.neighbour_terms
+    monkeypatch.setattr(Q.S, "neighbour_terms", lambda *a: made.append(1) or real(*a))
+    assert Q.CATALOG["tfidf_fitted"][0](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1
+
+
+def test_rows_are_limited_in_their_tasks_before_popularity_is_ranked(spark):
+    occs = spark.createDataFrame([("P1", f"h{i % 7}", f"t{i}") for i in range(400)], "pid string, h string, t string")
+    popularity = spark.createDataFrame([(f"h{i}", i + 1) for i in range(7)] + [(f"t{i}", 1 + i % 3) for i in range(300)], "entity string, cnt long")
+    one, other = R_.downsample_by_popularity(occs, popularity), R_.downsample_by_popularity(occs, popularity, large=5)
+    assert rows(one, "pid", "h", "t") == rows(other, "pid", "h", "t") and one.count() == 200
+    assert "WindowGroupLimit" in one._jdf.queryExecution().executedPlan().toString()
