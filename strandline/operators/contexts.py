@@ -127,11 +127,15 @@ def mined_prompts(sentences: DataFrame, longest: int = 20, most: int = 100) -> D
     found = F.filter(F.transform("path", near), lambda i: i.isNotNull())
     from_, to = F.least(F.col("hs"), F.col("ts"), F.array_min("found")), F.greatest(F.col("he") - 1, F.col("te") - 1, F.array_max("found"))
     slot = lambda i: F.when((i >= F.col("hs")) & (i < F.col("he")), "[X]").when((i >= F.col("ts")) & (i < F.col("te")), "[Y]").otherwise(F.get("tokens", i))
-    said = sentences.where(F.size("tokens") > 0).withColumn("found", found).withColumns({"from": from_, "to": to})
+    # Equal sentences are one row with their count; so a prompt is made once for all of them, and by as many tasks as there are.
+    names = ["pid", "tokens", "hs", "he", "ts", "te", "path"]
+    once_each = sentences.where(F.size("tokens") > 0).groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    said = once_each.withColumn("found", found).withColumns({"from": from_, "to": to})
     said = said.withColumn("all", F.transform(F.sequence("from", "to"), slot))
     once = F.filter(F.transform("all", lambda x, i: F.when(x.isin("[X]", "[Y]") & (i > 0) & (F.get("all", i - 1) == x), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    said = said.withColumn("all", once).where(F.size("all") < longest)
-    counts = said.groupBy(F.substring_index("pid", "_", 1).alias("pid"), F.concat(F.array_join("all", " "), F.lit(" .")).alias("prompt")).agg(F.count(F.lit(1)).alias("cnt"))
+    # The length goes with the count, or Spark would test it before the grouping, on every sentence.
+    said = said.withColumn("all", once).where(F.when(F.col("times") > 0, F.size("all")) < longest)
+    counts = said.groupBy(F.substring_index("pid", "_", 1).alias("pid"), F.concat(F.array_join("all", " "), F.lit(" .")).alias("prompt")).agg(F.sum("times").alias("cnt"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("cnt"), "prompt"))).where(F.col("rank") <= most)
 
 

@@ -52,6 +52,15 @@ def test_prompts_span_path_words_and_both_entities(spark):
     assert rows(C.plain_prompts(prompts, T.STOP_WORDS + ["was"]), "prompt") == [("[X] born in [Y] city",)]
 
 
+def test_equal_sentences_make_one_prompt_with_their_count(spark):
+    df = spark.createDataFrame([("P1", ["a", "x", "b"], 0, 1, 2, 3, ["x"])] * 5 + [("P1_s", ["a", "x", "b"], 0, 1, 2, 3, ["x"])] * 2, "pid string, tokens array<string>, hs int, he int, ts int, te int, path array<string>")
+    got = X.mined_prompts(df)
+    assert rows(got, "pid", "prompt", "cnt", "rank") == [("P1", "[X] x [Y] .", 7, 1)]
+    # Prompts are made above the grouping of sentences.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1) AS times" in plan and "transform" not in plan.split("count(1) AS times")[1]
+
+
 def test_middles_are_of_the_closest_spans(spark):
     mentions = spark.createDataFrame([(1, 0, 1, "A"), (1, 9, 10, "B"), (1, 12, 13, "A"), (1, 13, 14, "B"), (2, 0, 2, "B"), (2, 1, 2, "A"), (2, 5, 6, "A")], "sid long, start int, end int, wdid string")
     lists = spark.createDataFrame([(s, [f"t{i}" for i in range(20)]) for s in (1, 2)], "sid long, toks array<string>")
