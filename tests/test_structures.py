@@ -191,6 +191,17 @@ def test_topic_query_equals_a_plain_loop(spark):
     assert rows(catalog.queries()["topic_graphs"](spark, SMALL), "sid", "id", "round") == sorted(want)
 
 
+def test_topics_match_texts_once_and_write_a_round_once(spark, monkeypatch):
+    topics, _, places = structure_queries._topics(spark, SMALL)
+    assert not any("regexp" in df._jdf.queryExecution().optimizedPlan().toString() for df in (topics, places))
+    written = []
+    monkeypatch.setattr(D, "checkpointed", lambda df: written.append(df) or df.checkpoint())
+    chain = [(f"e{i}", f"e{i + 1}") for i in range(6)]
+    got = D.topic_graphs(spark.createDataFrame([(1, "e0"), (2, None)], "sid long, id string"), spark.createDataFrame(chain, "id string, other string"), spark.createDataFrame([(1, f"e{i}", i, i + 1) for i in range(7)], "sid long, id string, start long, end long"))
+    assert rows(got.where("sid = 1"), "id", "round") == [(f"e{i}", i) for i in range(7)] and got.where("sid = 2").count() == 1
+    assert len(written) <= 3 + 2 * 7
+
+
 # --- greedy choices -----------------------------------------------------------------------------------------------
 
 
