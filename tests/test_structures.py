@@ -136,6 +136,18 @@ def test_longest_leftmost_places_equal_a_reader(spark):
     assert rows(D.not_found(held, places), "surface") == sorted((s,) for s in surfaces - said)
 
 
+def test_places_are_found_across_stretches_and_lists_once(spark):
+    words = [f"w{i % 7}" for i in range(3 * D.STRETCH + 1)]
+    names = [("a", " ".join(words[i : i + n])) for i, n in ((0, 1), (3, 2), (5, 33), (1, 70), (0, 97), (0, 98))]
+    lists = spark.createDataFrame([(1, words), (2, []), (3, None), (4, words[:32]), (5, words[:33]), (6, ["w0", None, "W1"])], "sid long, toks array<string>")
+    surfaces = {x for _, x in names}
+    want = [(i, a, b, " ".join(t[a:b])) for i, t in ((1, words), (4, words[:32]), (5, words[:33])) for a in range(len(t)) for b in range(a + 1, len(t) + 1) if " ".join(t[a:b]) in surfaces]
+    got = D.dictionary_places(lists, D.inverted_names(spark.createDataFrame(names, "id string, name string")))
+    assert rows(got, "sid", "start", "end", "surface") == sorted([*want, (6, 0, 1, "w0")])
+    plan = catalog.queries()["dictionary_places"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_sentences_of_names_are_capped(spark):
     places = spark.createDataFrame([(1, 0, 1, ["x", "y"]), (1, 70, 72, ["x"]), (2, 0, 1, ["x"])], "sid long, start long, end long, ids array<string>")
     sentences = spark.createDataFrame([(1, 0, 0, 65), (1, 1, 65, 140), (2, 0, 0, 3)], "sid long, sent long, start long, end long")
