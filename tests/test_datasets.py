@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -162,6 +163,42 @@ def test_words_that_differ_in_both_splits(spark):
     assert rows(T.words_that_differ(train, test, pairs, 3), "word", "train_gap", "test_gap") == [("x", 8, 3), ("z", -5, -1)]
 
 
+def written_records(spark):
+    """Records written to shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_words_that_differ_pairs_few_words(spark):
+    """Twelve relations with rare words of their own, ties among the first, and one that has few words; a count comes in two rows."""
+    r = random.Random(3)
+    pids = [f"p{i:02d}" for i in range(12)]
+    halves = []
+    for _ in range(2):
+        rare = [(p, f"{p}-{r.randrange(10**6)}", 1) for p in pids[1:] for _ in range(1500)]
+        often = [(p, f"w{i:02d}", r.choice([20, 30, 40])) for p in pids[1:] for i in range(40)]
+        halves.append(sorted({(p, w): (p, w, n) for p, w, n in rare + often + [("p00", "w01", 3), ("p00", "own", 2)]}.values()))
+    pairs = [(a, b) for a in pids for b in pids if a < b]
+
+    def first(rows_, a, b):
+        gaps = defaultdict(int)
+        for p, w, n in rows_:
+            gaps[w] += n * ((p == a) - (p == b)) if p in (a, b) else 0
+        said = {w for p, w, _ in rows_ if p in (a, b)}
+        return {w: gaps[w] for w in sorted(said, key=lambda w: (-abs(gaps[w]), w))[:10]}
+
+    want = []
+    for a, b in pairs:
+        x, y = first(halves[0], a, b), first(halves[1], a, b)
+        want += [(a, b, w, x[w], y[w]) for w in x if w in y]
+    given = [spark.createDataFrame([z for p, w, n in h for z in ([(p, w, n - 1), (p, w, 1)] if n > 1 else [(p, w, n)])], "pid string, word string, cnt long") for h in halves]
+    before = written_records(spark)
+    assert rows(T.words_that_differ(*given, spark.createDataFrame(pairs + pairs[:1], "a string, b string")), "a", "b", "word", "train_gap", "test_gap") == sorted(want)
+    # Each word of a relation in each of its pairs would be 360,000.
+    assert written_records(spark) - before < 120_000
+
+
 def test_relations_back_over_a_samples_occurrences(spark):
     occs = spark.createDataFrame([("s", "P1", "a", "b"), ("s", "P1", "c", "d"), ("t", "P1", "a", "b")], "sample string, pid string, h string, t string")
     triples = spark.createDataFrame([("b", "P2", "a"), ("d", "P2", "c"), ("b", "P1", "a"), ("a", "P3", "b")], "h string, r string, t string")
