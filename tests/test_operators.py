@@ -81,6 +81,27 @@ def test_sentences_keep_their_end_mark(spark):
     assert rows(T.sentences(t), "start", "end") == [(0, 3), (3, 5), (5, 6)]
 
 
+def test_mentions_find_their_sentence_among_end_marks(spark):
+    """Texts that end with and without a mark, marks in a row, mentions at marks, before the first and behind the last token; of tokens, end marks alone are dealt."""
+    texts = {1: "a b . c ! d", 2: ". . a", 3: "a b .", 4: "a", 5: "x " * 5000 + "."}
+    t = spark.createDataFrame([(s, i, w) for s, x in texts.items() for i, w in enumerate(x.split())], "sid long, pos int, tok string")
+    places = [(s, i, i + 2, w) for s, x in texts.items() for i in range(-1, len(x.split()) + 1) if i < 9 for w in ("W1", "W2")]
+    want = []
+    for s, i, j, w in places:
+        toks = texts.get(s, "").split()
+        if 0 <= i < len(toks):
+            ends = [k for k, x in enumerate(toks) if x in ".!?"]
+            behind = [k for k in ends if k < i]
+            want.append((s, i, j, w, len(behind), max(behind, default=-1) + 1, min([k for k in ends if k >= i], default=len(toks) - 1) + 1))
+    got = T.with_sentence(spark.createDataFrame([*places, (9, 0, 1, "W1")], "sid long, start int, end int, wdid string"), t)
+    assert rows(got, "sid", "start", "end", "wdid", "sent", "s_start", "s_end") == sorted(want)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    got.count()
+    new = [x for x in map(stages().apply, range(stages().size())) if x.stageId() not in before]
+    assert new and sum(x.shuffleWriteRecords() for x in new) < 1000
+
+
 def test_forward_pairs_reach_five_and_respect_the_gap(spark):
     m = spark.createDataFrame([(1, 3 * i, 3 * i + 1, f"e{i}") for i in range(8)], "sid long, start int, end int, wdid string")
     rel = spark.createDataFrame([(f"e{i}", f"e{j}", "p") for i in range(8) for j in range(8) if i < j], "h string, t string, pid string")
