@@ -148,6 +148,13 @@ def test_places_are_found_across_stretches_and_lists_once(spark):
     assert plan.count("regexp_extract_all") == 1
 
 
+def test_places_with_case_are_found_by_it(spark):
+    names = spark.createDataFrame([("a", "New York"), ("b", "new york"), ("c", "New")], "id string, name string")
+    lists = spark.createDataFrame([(1, ["New", "York", "new", "york", "NEW"]), (2, [])], "sid long, toks array<string>")
+    got = D.dictionary_places(lists, D.inverted_names(names, lower=False), lower=False)
+    assert rows(got, "sid", "start", "end", "surface") == [(1, 0, 1, "New"), (1, 0, 2, "New York"), (1, 2, 4, "new york")]
+
+
 def test_sentences_of_names_are_capped(spark):
     places = spark.createDataFrame([(1, 0, 1, ["x", "y"]), (1, 70, 72, ["x"]), (2, 0, 1, ["x"])], "sid long, start long, end long, ids array<string>")
     sentences = spark.createDataFrame([(1, 0, 0, 65), (1, 1, 65, 140), (2, 0, 0, 3)], "sid long, sent long, start long, end long")
