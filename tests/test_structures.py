@@ -210,6 +210,15 @@ def test_topic_query_equals_a_plain_loop(spark):
     assert rows(catalog.queries()["topic_graphs"](spark, SMALL), "sid", "id", "round") == sorted(want)
 
 
+def test_a_surface_of_many_items_unfolds_to_all_of_them(spark, tmp_path):
+    """Of 250 items with the name of three words, B2 is not among the first hundred, and is the topic's neighbour."""
+    spark.range(2000).select(F.col("id").alias("item_id"), F.lit("so so so so so so so so").alias("text")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "so so so"), (2, "so")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(catalog.queries()["topic_graphs"](spark, str(tmp_path)), "sid", "id", "round") == [(1, "B1", 0), (1, "B2", 1)]
+    # A place stands once, however many items it names.
+    assert structure_queries._unfolded(spark, str(tmp_path))[2].count() == 3
+
+
 def test_topics_match_texts_once_and_write_a_round_once(spark, monkeypatch):
     topics, _, places = structure_queries._topics(spark, SMALL)
     assert not any("regexp" in df._jdf.queryExecution().optimizedPlan().toString() for df in (topics, places))
