@@ -422,3 +422,26 @@ def test_packed_samples_in_one_go(spark, monkeypatch, kind):
     monkeypatch.setattr(structure_queries, "checkpointed", lambda df: written.append(df) or write(df))
     catalog.queries()[f"graph_{kind}"](spark, SMALL)
     assert not written
+
+
+@pytest.mark.parametrize("kind", N.KINDS)
+def test_edges_of_samples_are_not_dealt(spark, kind):
+    """A head with more triples than go in a packed row, and repeats: graphs are as by single steps, without a window or an aggregate over edges."""
+    n = 2 * N.PACKED + 3
+    triples = spark.createDataFrame([("h1", "ab"[i % 2], f"x{i % n}") for i in range(n + 50)] + [("t1", "P", "h1"), ("t2", "c", "x1")], "h string, r string, t string")
+    occs = spark.createDataFrame([("s1", "b", 0, "P", 0, "h1", "t1"), ("s1", "b", 0, "P", 1, "h1", "t2"), ("s2", "b", 1, "P", 0, "t2", "none"), ("s3", "c", 2, "a", 0, "t1", "h1")], "sample string, batch string, number int, pid string, pos int, h string, t string")
+    edges = N.sample_edges(occs, triples, kind)
+    nodes = N.sample_nodes(occs.select("sample", "pid"), edges, kind)
+    offsets = N.batch_offsets(occs.select("sample", "batch", "number").distinct(), nodes)
+    got, sizes = N.packed_samples(occs, triples, kind), N.sample_offsets(occs, triples, kind)
+    assert rows(got, "batch", "kind", "src", "dst") == rows(N.packed_edges(edges, nodes, offsets), "batch", "kind", "src", "dst")
+    assert rows(sizes, "sample", "batch", "size", "offset") == rows(offsets, "sample", "batch", "size", "offset")
+    for made in (got, sizes):
+        assert not any(x in made._jdf.queryExecution().optimizedPlan().toString() for x in ("Window", "Aggregate", "Join"))
+
+
+def test_a_null_tail_is_a_node_without_edges(spark):
+    triples = spark.createDataFrame([("h", "r", None), ("h", "r", "x")], "h string, r string, t string")
+    occs = spark.createDataFrame([("s", "b", 0, "P", 0, "h", "t")], "sample string, batch string, number int, pid string, pos int, h string, t string")
+    assert rows(N.packed_samples(occs, triples, "bow"), "kind", "src", "dst") == [("head", 1, 0), ("head_other", 3, 0), ("head_other", 4, 0), ("tail", 2, 0)]
+    assert rows(N.sample_offsets(occs, triples, "bow"), "size") == [(6,)]
