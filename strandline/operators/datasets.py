@@ -88,12 +88,18 @@ def sibling_pairs(splits: DataFrame, siblings: DataFrame, with_train: bool = Fal
 
 
 def neighbour_terms(occs: DataFrame, triples: DataFrame) -> DataFrame:
-    """Relations around each sample's occurrences (sample, pid, h, t) and how often: (doc, term, cnt). Those with the sample's root relation are left out."""
+    """Relations around each sample's occurrences (sample, pid, h, t) and how often: (doc, term, cnt). Those with the sample's root relation are left out.
+
+    What is around an entity is one row, and stays one when it is dealt to the entity's samples.
+    """
     root = lambda c: F.substring_index(c, "_", 1)
-    around = triples.select(F.col("h").alias("e"), "r").groupBy("e", "r").agg(F.count(F.lit(1)).alias("n"))
-    ends = occs.select("sample", "pid", F.explode(F.array("h", "t")).alias("e")).groupBy("sample", "pid", "e").agg(F.count(F.lit(1)).alias("times"))
-    met = ends.join(around, "e").where(root(F.col("r")) != root(F.col("pid")))
-    return met.groupBy(F.col("sample").alias("doc"), F.col("r").alias("term")).agg(F.sum(F.col("n") * F.col("times")).alias("cnt"))
+    around = triples.where("r is not null").groupBy(F.col("h").alias("e"), "r").agg(F.count(F.lit(1)).alias("n"))
+    around = around.groupBy("e").agg(F.sort_array(F.collect_list(F.concat(F.col("n").cast("string"), F.lit(":"), F.col("r")))).alias("terms"))
+    ends = occs.select("sample", root("pid").alias("root"), F.explode(F.array("h", "t")).alias("e"))
+    met = ends.join(around, "e").select("sample", "root", "terms").repartition("sample")
+    one = met.select(F.col("sample").alias("doc"), "root", F.explode("terms").alias("x"))
+    one = one.select("doc", "root", F.expr("substr(x, instr(x, ':') + 1)").alias("term"), F.substring_index("x", ":", 1).cast("long").alias("n"))
+    return one.where(root(F.col("term")) != F.col("root")).groupBy("doc", "term").agg(F.sum("n").alias("cnt"))
 
 
 def fitted_idf(counts: DataFrame, documents: DataFrame | None = None, shortest: int = 2) -> DataFrame:

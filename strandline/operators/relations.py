@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.loops import checkpointed, few
+from strandline.operators.loops import checkpointed, few, written
 
 #: Ids of entities.
 ENTITY = "^Q[0-9]+$"
@@ -96,16 +96,20 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column | str], n: i
     return df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
 
 
-def numbered(df: DataFrame, sizes: DataFrame, order: list[Column | str], name: str, large: int = LARGE_RELATION) -> DataFrame:
+def numbered(df: DataFrame, sizes: DataFrame, order: list[Column | str], name: str, large: int = LARGE_RELATION, distinct: bool = False) -> DataFrame:
     """Rows numbered from 1 within each relation (pid), in a total order; `sizes` (pid, n) has at least each relation's rows.
 
-    Where none has over `large` rows, relations are numbered in a window. Else all rows are dealt once, in sorted ranges of relation and order; a
+    Rows that repeat count once if `distinct`, for which the order must have all columns. Where none has over `large` rows, relations are numbered in a window. Else all rows are dealt once, in sorted ranges of relation and order; a
     row's place in its range and what stands in the ranges before give its number, so no task holds a relation and nothing is dealt again.
     """
     if not sizes.where(F.col("n") > large).limit(1).count():
-        return df.withColumn(name, F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
-    # The id has the range in its upper bits and the place in the lower 33.
-    ranged = checkpointed(df.repartitionByRange("pid", *order).sortWithinPartitions("pid", *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+        return (df.distinct() if distinct else df).withColumn(name, F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
+    ranged = df.repartitionByRange("pid", *order)
+    if distinct:
+        # Equal rows are in one range, so nothing is dealt for this.
+        ranged = ranged.distinct()
+    # The id has the range in its upper bits and the place in the lower 33. A checkpoint would hold the rows uncompressed, ten times the table's size.
+    ranged = written(ranged.sortWithinPartitions("pid", *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     counts = ranged.groupBy(F.col("pid").alias("_pid"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     # One row a relation and range.
     before = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_of")) - F.col("_n")

@@ -267,3 +267,22 @@ def test_rows_are_limited_in_their_tasks_before_popularity_is_ranked(spark):
     one, other = R_.downsample_by_popularity(occs, popularity), R_.downsample_by_popularity(occs, popularity, large=5)
     assert rows(one, "pid", "h", "t") == rows(other, "pid", "h", "t") and one.count() == 200
     assert "WindowGroupLimit" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_relations_are_numbered_without_repeats_or_checkpoints(spark, monkeypatch):
+    """Ranges are kept as a compressed table, and rows that repeat are dealt with them."""
+    monkeypatch.setattr(R_, "checkpointed", None)
+    pairs = spark.createDataFrame([(f"P{i % 3}", f"h{i * 7 % 50:02d}", f"t{i % 11}") for i in range(900)], "pid string, h string, t string")
+    sizes = pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    one, other = (R_.numbered(pairs, sizes, ["h", "t"], "nth", large, distinct=True) for large in (10, 1000))
+    assert rows(one, "pid", "h", "t", "nth") == rows(other, "pid", "h", "t", "nth") and one.count() == pairs.distinct().count()
+    assert "parquet" in one._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_what_is_around_an_entity_is_dealt_as_one_row(spark):
+    """Terms with a colon, repeats, and a null relation, which is no term; after the exchange by sample nothing is dealt again."""
+    occs = spark.createDataFrame([("s", "P1", "a", "b"), ("s", "P1", "a", "c"), ("u", "P2", "b", "zz")], "sample string, pid string, h string, t string")
+    triples = spark.createDataFrame([("a", "P:2", "x"), ("a", "P:2", "x"), ("a", None, "x"), ("b", "P2_k", "y"), ("b", "3:", "y"), ("c", "P1_k", "y")], "h string, r string, t string")
+    found = S.neighbour_terms(occs, triples)
+    assert rows(found, "doc", "term", "cnt") == [("s", "3:", 1), ("s", "P2_k", 1), ("s", "P:2", 4), ("u", "3:", 1)]
+    assert _shuffles(S.neighbour_terms(occs, triples)) <= 4
