@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_checkpoint, text_of
+from strandline.llm.common import text_of
 
 #: Characters that go on with a unit. It ends before white space and after any other character: a rare letter, two digits, a mark, any
 #: character beyond ASCII. They are listed one by one, as the pattern's classes are looked up in a table then, not tried range by range.
@@ -31,6 +31,8 @@ BINS = 16
 #: Bits of an anchor's hash that take part in matching; the rest of a long holds its side and its place.
 _PLACE = _SIDE = 1 << 31
 _TOP = 32
+#: Ranges of ids for each partition.
+RANGES = 2
 
 
 def _let(value: Column, then) -> Column:
@@ -166,15 +168,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("key", F.coalesce("doc_id", last))
-    order = shared_checkpoint(_next_keys(texts.select("key").distinct()))
-
-    # One shuffle of the texts serves both joins below: they read the same columns of it. Anchors are larger than texts and found after it.
-    dealt = texts.repartition("key")
-    # The next document sends its text to the one before it.
-    follows = order.select(F.col("next").alias("key"), F.col("key").alias("owner"))
-    sent = dealt.join(follows, "key").select("owner", F.xxhash64("text", "doc_id").alias("tie"), F.col("text").alias("sent"))
-    sent = sent.groupBy("owner").agg(F.min_by("sent", "tie").alias("sent")).select(F.col("owner").alias("key"), F.coalesce("sent", F.lit("")).alias("sent"))
-    met = dealt.join(sent, "key", "left").select("doc_id", "text", F.coalesce("sent", F.lit("")).alias("sent"))
+    part, before = _key_ranges(texts.select("key"))
+
+    # Texts are dealt once, by ranges of ids, in which a text's next is the row beside it; each range also gets the next one's first text. Anchors are larger than texts and found after it.
+    tie = F.xxhash64("text", "doc_id")
+    beyond = texts.join(F.broadcast(before), "key").groupBy("part").agg(F.min_by("text", tie).alias("text"))
+    beyond = beyond.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), "part", F.lit(0).cast("long").alias("tie"))
+    dealt = texts.select("doc_id", "text", "key", part.alias("part"), tie.alias("tie")).unionByName(beyond)
+    by = Window.partitionBy("part").orderBy(F.desc_nulls_first("key"), F.desc("tie"))
+    # Of rows that share an id the last stands beside the rows before it, which all take what the first of them found.
+    met = dealt.withColumn("sent", F.when(~F.lag("key").over(by).eqNullSafe(F.col("key")), F.lag("text").over(by)))
+    met = met.withColumn("sent", F.last("sent", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("key is not null").select("doc_id", "text", "sent")
     met = met.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 4).cast("int"))
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("cut")), F.substring(F.col("sent"), F.lit(1), F.col("cut"))))
     met = met.withColumns({"marks": places(F.col("text")), "edited_marks": places(F.col("edited")), "next_marks": places(F.col("sent"))})
@@ -195,16 +199,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _next_keys(keys: DataFrame) -> DataFrame:
-    """Each key with the next larger one, the largest with the smallest: rows (key, next).
+def _key_ranges(keys: DataFrame) -> tuple[Column, DataFrame]:
+    """The range that a key lies in, by about equal numbers of keys, and for each range that has any the first key of the next one, of the last the smallest: rows (key, part).
 
-    Keys are dealt into ranges. Within a range a window finds the next key; a table of the ranges' first keys, one row a range, links
-    the ranges.
+    Only keys are read; there are RANGES ranges for each partition that Spark deals to, so those are about equal, too.
     """
-    ranged = shared_checkpoint(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
-    firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
-    by = Window.orderBy("part")
-    smallest = F.min("first").over(Window.partitionBy())
-    beyond = firsts.select("part", F.coalesce(F.lead("first").over(by), smallest).alias("beyond"))
-    inside = ranged.withColumn("inside", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
-    return inside.join(beyond, "part").select("key", F.coalesce("inside", "beyond").alias("next"))
+    n = RANGES * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({int(x) for x in keys.approxQuantile("key", [i / n for i in range(1, n)], 1 / (20 * n))}) if n > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(min(x, (1 << 63) - 1)).cast("long") for x in bounds]).cast("array<bigint>"), lambda x: x <= F.col("key")))
+    firsts = keys.select("key", part.alias("part")).groupBy("part").agg(F.min("key").alias("key"))
+    before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    return part, firsts.select("key", before.alias("part"))

@@ -158,3 +158,21 @@ def test_documents_and_awkward_rows(spark):
     assert len(got) == 7 and len({x.fingerprint for x in got if x.n_chars == len(same)}) == 1
     assert len(next(x for x in got if x.doc_id == 3).fingerprint.split(".")) > 15_000
     assert fingerprints(spark, []) == [] and fingerprints(spark, [(1, same)])[0].near_next == 1.0
+
+
+def test_texts_are_dealt_once(spark):
+    """The next text stands beside a text or is one of the ranges' first; only those are joined, by ids alone. Ids that repeat, on both sides of borders, take the text of the smallest hash."""
+    ids = [i // 2 * 3 - 40 for i in range(60)] + [None, None, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"{n} text") for n, i in enumerate(ids)], "doc_id long, text string")
+    made = syncmers.fingerprint_documents(docs)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    last = 2**63 - 1
+    tied = {(r.doc_id, r.text): r.tie for r in docs.withColumn("tie", F.xxhash64("text", "doc_id")).collect()}
+    own = {}
+    for (i, text), tie in tied.items():
+        own.setdefault(last if i is None else i, []).append((tie, text))
+    keys = sorted(own)
+    sent = {k: min(own[keys[(n + 1) % len(keys)]])[1] for n, k in enumerate(keys)}
+    edited = [(i, text[: len(text) - len(text) // 4] + sent[last if i is None else i][: len(text) // 4]) for i, text in tied]
+    want = sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in edited)
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in made.collect()) == want
